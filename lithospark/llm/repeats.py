@@ -147,31 +147,32 @@ def removed_runs(starts: list, length: int, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, window: int = 192) -> DataFrame:
-    """Adds kept (binary: the bytes left), n_bytes, n_removed and n_spans to docs(doc_id, text, ...)."""
+def remove_repeats(docs: DataFrame, length: int = 400, window: int = 192, as_text: bool = False) -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans and kept (binary: the bytes left) to docs(doc_id, text, ...).
+
+    With as_text, text itself becomes what is left instead, without characters that lost some of their bytes."""
     runs = keep(repeated_starts(docs, length, window).groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("starts")), "runs")  # bounded by one text
-    names = docs.columns
+    names = [c for c in docs.columns if c != "text"]
     joined = docs.withColumn("_rid", row_id()).join(runs.select(F.col("rid").alias("_rid"), "starts"), "_rid", "left")
+    new = ["text" if as_text else "kept", "n_bytes", "n_removed", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, out = b.slice(at, 500), []
                 for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist()):
-                    data, gone = (text or "").encode(), []
-                    if starts:
-                        gone = removed_runs([(s["first"], s["last"]) for s in starts], length, len(data))
-                    left, pos = [], 0
-                    for s, e in gone:
-                        left.append(data[pos:s])
-                        pos = e
-                    left.append(data[pos:])
-                    out.append((b"".join(left), len(data), sum(e - s for s, e in gone), len(gone)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "starts").mapInArrow(run, f"{fields}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+                    data = (text or "").encode()
+                    gone = removed_runs([(s["first"], s["last"]) for s in starts or ()], length, len(data))
+                    ends = [0, *(e for _, e in gone)]
+                    left = [data[p:s] for p, s in zip(ends, [*(s for s, _ in gone), len(data)])]
+                    whole = b"".join(left) if not as_text else text if not gone else "".join(x.decode(errors="ignore") for x in left)
+                    out.append((whole, len(data), sum(e - s for s, e in gone), len(gone)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], [*names, *new])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
+    kinds = ["text string" if as_text else "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]
+    return joined.select(*names, "text", "starts").mapInArrow(run, ", ".join(fields + kinds))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
