@@ -11,10 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its counted rows stay below this.
-BROADCAST_ROWS = 200_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,11 +55,6 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0))
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
-    """Join, broadcasting right only if its counted rows are few; else both sides are shuffled and AQE splits skew."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
-
-
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(array, pa.ChunkedArray):

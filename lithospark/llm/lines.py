@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import components, discard, join_checked, keep, local_components, partitions, table, whole_groups
+from lithospark.llm.common import components, discard, keep, local_components, partitions, table, whole_groups
 from lithospark.llm.hashing import mix, powers, range_hash
 from lithospark.llm.repeats import row_id
 
@@ -209,7 +209,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     met = keep(shared.join(keep(sizes, "sizes"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
     discard(shared)
     wanted = keep(met.select("h").distinct(), "wanted")
-    lines = join_checked(line_rows(docs, min_chars).select("h", "line"), wanted, ["h"], "left_semi", wanted.count())
+    lines = line_rows(docs, min_chars).select("h", "line").join(wanted, ["h"], "left_semi")
     lines = keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
     met = met.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "index").join(lines, "h")
@@ -223,12 +223,12 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     near = keep(line_classes(docs, edits, min_chars), "classes")
     rows = line_rows(docs, min_chars)
     first = keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "line_no")).alias("first")), "firsts")
-    repeated = join_checked(first, near.select(F.col("node").alias("h"), "root"), ["h"], "left", near.count()).where("n > 1 OR root IS NOT NULL")
+    repeated = first.join(near.select(F.col("node").alias("h"), "root"), ["h"], "left").where("n > 1 OR root IS NOT NULL")
     repeated = keep(repeated.withColumn("root", F.coalesce("root", "h")), "repeated")
     discard(first)
     heads = keep(repeated.groupBy("root").agg(F.min("first").alias("first")), "heads")
     repeated = keep(repeated.select("h", "root").join(heads, "root").select("h", F.col("first.rid").alias("kept_rid"), F.col("first.line_no").alias("kept_line")), "kept")
-    gone = join_checked(rows.select("rid", "line_no", "h"), repeated, ["h"], "inner", repeated.count())
+    gone = rows.select("rid", "line_no", "h").join(repeated, ["h"], "inner")
     gone = gone.where((F.col("rid") != F.col("kept_rid")) | (F.col("line_no") != F.col("kept_line")))
     gone = keep(gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone")), "gone")  # bounded by one text
     names = docs.columns

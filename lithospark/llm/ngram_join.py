@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import components, discard, join_checked, keep, local_components, partitions, row_chunks, table, utf8, whole_groups
+from lithospark.llm.common import components, discard, keep, local_components, partitions, row_chunks, table, utf8, whole_groups
 from lithospark.llm.hashing import mix, shingles, words
 from lithospark.llm.repeats import row_id
 
@@ -256,7 +256,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, len(counts)) for c in names), of], [*names, "shingles"])
 
     keys = ["root", "lo", "hi"]
-    full = join_checked(texts.select("rid", "text"), active, ["rid"], "inner", active.count()).mapInArrow(sets, "fp bigint, root bigint, weight bigint, blocks bigint, shingles array<bigint>")
+    full = texts.select("rid", "text").join(active, ["rid"], "inner").mapInArrow(sets, "fp bigint, root bigint, weight bigint, blocks bigint, shingles array<bigint>")
     full = _blocked(full, "blocks").select(*keys, "block", "fp", "weight", "shingles")
     found = keep(full.repartition(shuffles, *keys).sortWithinPartitions(*keys).mapInArrow(_links(exact), "fp bigint, links bigint, low bigint"), "links")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
@@ -274,7 +274,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999)
     members, classes = jaccard_classes(docs, threshold, recall)
     many = classes.where((F.col("copies") > 1) | (F.col("links") > 0))
     many = keep(many, "many")
-    out = join_checked(members, many, ["fp"], "left", many.count())
+    out = members.join(many, ["fp"], "left")
     return out.select("doc_id", "rid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_rid", "rid").alias("class_rid"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
 
 

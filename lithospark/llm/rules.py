@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import join_checked, keep, table, text_key
+from lithospark.llm.common import keep, table, text_key
 
 _BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 _FIGURES = [c.split()[0] for c in _BASE.split(", ")]
@@ -87,7 +87,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, ma
     seen = base.select("host", "key", "lines", "sizes").select("host", "key", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
     seen = seen.select("host", "key", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     copies = base.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))
-    removed = join_checked(seen, common, ["host", "line"], "left_semi", common.count()).groupBy("host", "key").agg(F.sum("size").alias("lost"))
+    removed = seen.join(common, ["host", "line"], "left_semi").groupBy("host", "key").agg(F.sum("size").alias("lost"))
     removed = removed.join(copies, ["host", "key"]).select("host", "key", (F.col("lost") / F.col("copies")).cast("bigint").alias("n_removed_words"))
     out = base.drop("lines", "sizes").join(removed, ["host", "key"], "left").na.fill(0, ["n_removed_words"])
     n, left = F.col("n_words"), F.col("n_words") - F.col("n_removed_words")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import components, join_checked, keep, table
+from lithospark.llm.common import components, keep, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,7 +83,7 @@ def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> Data
     blocked = named.where(rule_for(host_of(F.col("u")), path_of(F.col("u")), rules)[1] == "block").select("node").distinct()
     blocked = classes.join(blocked, "node").select("root").distinct()
     blocked = keep(classes.join(blocked, "root", "left_semi").select("node", F.lit(True).alias("_alias")), "blocked")
-    out = join_checked(judged.withColumn("node", F.xxhash64(node_of(url))), blocked, ["node"], "left", blocked.count())
+    out = judged.withColumn("node", F.xxhash64(node_of(url))).join(blocked, ["node"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_explicit", F.when(F.col("_alias"), "block"), F.lit("allow")).alias("verdict"))
 
 
