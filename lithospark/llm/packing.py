@@ -18,12 +18,14 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,13 @@ from lithospark.llm.common import keep, partitions, table
 
 
 class WordTokens(dict):
-    """chunk of text between white space -> bytes of its ids, from a tokenizer that never joins over white space."""
+    """Chunk of text between white space -> bytes of its ids, for a tokenizer that cuts text into words by its
+    split pattern, never joins over white space and lower-cases.
 
-    LIMIT = 400_000
+    New chunks are cut into words, and only words not met before go to the tokenizer. Latin-1 texts are
+    lower-cased first, where Python's and the tokenizer's rules agree; other texts' chunks stay as they are."""
+
+    CHUNKS = WORDS = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,14 +48,29 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(steps[0]["pattern"]["Regex"])
+        self.words: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > self.LIMIT:
+        new = chunks - self.keys()
+        if len(self) + len(new) > self.CHUNKS:
             self.clear()
-            new = list(chunks)
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+            new = chunks
+        # a chunk beyond Latin-1 is a word of its own here: the tokenizer normalises and cuts it
+        cut = {c: self.split.findall(c.lower()) if latin(c) else [c] for c in new}
+        wanted = set().union(*cut.values())
+        unknown = wanted - self.words.keys()
+        if len(self.words) + len(unknown) > self.WORDS:
+            self.words.clear()
+            unknown = wanted
+        unknown = list(unknown)
+        for w, e in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        words = self.words
+        for c, w in cut.items():
+            self[c] = b"".join([words[x] for x in w])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,12 +79,20 @@ class WordTokens(dict):
         """Ids of each text as little-endian 32-bit numbers."""
         # the tokenizer takes \x1c to \x1f for no white space, str.split() does; special tokens are cut out before splitting
         odd = [any(c in t for c in (*self.special, "\x1c", "\x1d", "\x1e", "\x1f")) for t in texts]
-        split = [() if o else t.split() for t, o in zip(texts, odd)]
+        split = [() if o else (t.lower() if latin(t) else t).split() for t, o in zip(texts, odd)]
         self.learn(set().union(*split))
         for t, o, chunks in zip(texts, odd, split):
             yield self.whole(t) if o else b"".join(map(self.__getitem__, chunks))
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 #: Of this Python worker: chunks learnt in one task serve the next.
 _tokens: dict[str, WordTokens] = {}
 
