@@ -209,7 +209,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     met = keep(shared.join(keep(sizes, "sizes"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
     discard(shared)
     wanted = keep(met.select("h").distinct(), "wanted")
-    lines = line_rows(docs, min_chars).select("h", "line").join(wanted, ["h"], "left_semi")
+    lines = line_rows(docs, min_chars).select("h", "line").join(wanted.hint("merge"), ["h"], "left_semi")
     lines = keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
     met = met.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "index").join(lines, "h")
