@@ -1,4 +1,418 @@
-"""Queries of the library's operators on the given tables, and their SQL."""
+"""Queries of the library's operators on the given tables, and their SQL written from the definitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lithospark.functions import scalar as S
+from lithospark.operators import frame, grids, markov, spatial
+from lithospark.sources import tables as T
+from lithospark.spec import GridSpec, Structure, VariogramModel
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+_PT = "SELECT c_custkey AS row_id, CAST((c_custkey*c_custkey*31+c_custkey*7919)%1009 AS DOUBLE) AS x, CAST((c_custkey*c_custkey*c_custkey*17+c_custkey*104729)%997 AS DOUBLE) AS y, CAST(c_custkey%50 AS DOUBLE) AS z, c_acctbal AS v, dense_rank() OVER (ORDER BY c_mktsegment) AS dom FROM customer"
+_PS = "SELECT s_suppkey AS row_id, CAST((s_suppkey*s_suppkey*31+s_suppkey*7919)%1009 AS DOUBLE) AS x, CAST((s_suppkey*s_suppkey*s_suppkey*17+s_suppkey*104729)%997 AS DOUBLE) AS y, s_acctbal AS v FROM supplier"
+_SEG = "SELECT event_id AS row_id, hole, z0, z1, CASE WHEN event_id % 17 <> 0 THEN c END AS cat, grade FROM (SELECT event_id, user_id AS hole, (epoch_us(ts) / 1e6 - 1704067200) / 3600 AS z0, lead((epoch_us(ts) / 1e6 - 1704067200) / 3600) OVER (PARTITION BY user_id ORDER BY ts) AS z1, dense_rank() OVER (ORDER BY event_type) AS c, value AS grade FROM events) WHERE z1 IS NOT NULL"
+_GRID = "SELECT o_orderkey AS cell, CAST(o_orderkey % 100 AS INTEGER) AS i, CAST(o_orderkey // 100 AS INTEGER) AS j, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS v, o_orderpriority AS cat FROM orders"
+_ENS = "SELECT l_linenumber AS \"real\", l_orderkey AS cell, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL"
+_MODEL = VariogramModel(0.1, (Structure("spherical", 0.6, (60.0, 30.0, 20.0), 30.0), Structure("exponential", 0.3, (200.0, 200.0, 50.0))))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _r(*columns, digits=6):
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+
+
+# --- tables, predicates, summaries
+@query("P1_ndv_to_null", f"WITH g AS ({_GRID}) SELECT cell, CASE WHEN cat <> '1-URGENT' THEN v END AS v, coalesce(v, -999) AS back FROM g")
+def p1(s, d):
+    g = T.grid(s, d)
+    return g.select("cell", F.when(F.col("cat") != "1-URGENT", F.col("v")).alias("v"), F.coalesce("v", F.lit(-999.0)).alias("back"))
+
+
+@query("P2_filter_range", f"WITH p AS ({_PT}) SELECT row_id, v FROM p WHERE v >= 100 AND v <= 5000")
+def p2(s, d):
+    return frame.filter_range(T.points(s, d), "v", 100, 5000).select("row_id", "v")
+
+
+@query("P3_filter_category", f"WITH p AS ({_PT}) SELECT row_id, v FROM p WHERE dom = 2")
+def p3(s, d):
+    names = s.createDataFrame(list(zip(T.SEGMENTS, range(1, 6))), "name string, code int")
+    return T.points(s, d).join(names.where("name = 'BUILDING'"), F.col("dom") == F.col("code"), "left_semi").select("row_id", "v")
+
+
+@query("P4_classify", f"WITH p AS ({_PT}) SELECT row_id, CAST(CASE WHEN v BETWEEN -1000 AND 0 THEN 1 WHEN v BETWEEN 0 AND 4000 THEN 2 WHEN v BETWEEN 3000 AND 8000 THEN 3 ELSE -1 END AS INTEGER) AS code FROM p")
+def p4(s, d):
+    return T.points(s, d).select("row_id", frame.classify("v", [(-1000, 0, 1), (0, 4000, 2), (3000, 8000, 3)], -1).alias("code"))
+
+
+@query("P5_to_categorical", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN round(l_quantity / 10) IN (1, 2, 4) THEN round(l_quantity / 10) ELSE 9 END AS INTEGER) AS code FROM lineitem")
+def p5(s, d):
+    x = T.table(s, d, "lineitem").withColumn("q", F.col("l_quantity") / 10)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", frame.to_categorical("q", [1, 2, 4], 9).alias("code"))
+
+
+@query("P6_names_to_codes", "SELECT c_custkey, r_regionkey AS code FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
+def p6(s, d):
+    names = T.table(s, d, "region").where("r_name <> 'ASIA'").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("code"))
+    regions = T.table(s, d, "nation").join(T.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
+    return frame.names_to_codes(T.table(s, d, "customer").join(regions, F.col("c_nationkey") == F.col("n_nationkey")), "region", names).select("c_custkey", "code")
+
+
+@query("P8_append_column", f"WITH p AS ({_PT}), q AS ({_PS}) SELECT p.row_id, p.v, q.v AS w FROM p LEFT JOIN q USING (row_id)")
+def p8(s, d):
+    return frame.append_column_from(T.points(s, d), T.few_points(s, d).withColumnRenamed("v", "w"), "w").select("row_id", "v", "w")
+
+
+@query("P9_calculate", f"WITH p AS ({_PT}) SELECT row_id, CASE WHEN v > 0 THEN round(ln(v), 6) END AS l, round(x * 2 + y, 6) AS m FROM p")
+def p9(s, d):
+    return rounded(frame.calculate(T.points(s, d), {"l": "ln(v)", "m": "x * 2 + y"}), "l", "m").select("row_id", "l", "m")
+
+
+@query("P10_in_polygon", f"WITH p AS ({_PT}) SELECT row_id FROM p WHERE x BETWEEN 100.5 AND 800.5 AND y BETWEEN 100.5 AND 700.5 AND (x - 100.5) * 600 >= (y - 100.5) * 350 AND (800.5 - x) * 600 >= (y - 100.5) * 350")
+def p10(s, d):
+    return T.points(s, d).where(S.in_polygon(F.col("x"), F.col("y"), [(100.5, 100.5), (800.5, 100.5), (450.5, 700.5)])).select("row_id")
+
+
+@query("A1_summary", f"WITH p AS ({_PT}) SELECT dom, min(v) AS min, max(v) AS max, min(abs(v)) AS min_abs, max(abs(v)) AS max_abs, round(avg(v), 4) AS mean, round(var_pop(v), 2) AS variance, count(v) AS n FROM p GROUP BY dom")
+def a1(s, d):
+    return frame.summary(T.points(s, d), "v", "dom").withColumns({"mean": F.round("mean", 4), "variance": F.round("variance", 2)})
+
+
+@query("A2_correlation", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def a2(s, d):
+    return frame.correlation(T.table(s, d, "lineitem"), "l_quantity", "l_extendedprice").withColumns({"r": F.round("r", 6), "slope": F.round("slope", 4), "intercept": F.round("intercept", 4)})
+
+
+@query("A3_proportion", f"WITH p AS ({_PT}) SELECT round(avg(CASE WHEN v BETWEEN 0 AND 3000 THEN 1.0 ELSE 0.0 END), 6) AS p FROM p WHERE v IS NOT NULL")
+def a3(s, d):
+    return rounded(frame.proportion(T.points(s, d), "v", 0, 3000), "p")
+
+
+@query("A4_proportion_by_length", f"WITH s AS ({_SEG}) SELECT cat, round(sum(z1 - z0) / (SELECT sum(z1 - z0) FROM s WHERE cat IS NOT NULL), 6) AS p FROM s WHERE cat IS NOT NULL GROUP BY cat")
+def a4(s, d):
+    return rounded(markov.proportion_by_length(T.segments(s, d)), "p")
+
+
+@query("A5_bounding_box", f"WITH p AS ({_PT}) SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z FROM p")
+def a5(s, d):
+    return rounded(frame.bounding_box(T.points(s, d)), "center_x", "center_y", "center_z")
+
+
+@query("A7_mean_thickness", f"WITH s AS ({_SEG}) SELECT cat, round(avg(z1 - z0), 6) AS thickness FROM s WHERE cat IS NOT NULL GROUP BY cat")
+def a7(s, d):
+    return rounded(markov.mean_thickness(T.segments(s, d)), "thickness")
+
+
+@query("A8_drift", f"WITH p AS ({_PT}), a AS (SELECT 'x' AS axis, x AS c, v FROM p UNION ALL SELECT 'y', y, v FROM p UNION ALL SELECT 'z', z, v FROM p), b AS (SELECT axis, min(c) AS lo, max(c) AS hi FROM a GROUP BY axis) SELECT axis, CAST(least(floor((c - lo) / (hi - lo) * 10), 9) AS INTEGER) AS slice, round(avg(v), 4) AS mean, count(v) AS n FROM a JOIN b USING (axis) GROUP BY ALL")
+def a8(s, d):
+    return rounded(frame.drift(T.points(s, d), "v", 10), "mean", digits=4)
+
+
+@query("A10_histogram", f"WITH p AS ({_PT}) SELECT CAST(least(floor((v + 1000) / 11000 * 20), 19) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS weight FROM p WHERE v BETWEEN -1000 AND 10000 GROUP BY ALL")
+def a10(s, d):
+    return frame.histogram(T.points(s, d), "v", 20, -1000, 10000)
+
+
+@query("A11_realization_histograms", f"WITH e AS ({_ENS}) SELECT \"real\", CAST(least(floor(v / 100000 * 15), 14) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS weight FROM e WHERE v BETWEEN 0 AND 100000 GROUP BY ALL")
+def a11(s, d):
+    return frame.histogram(T.ensemble(s, d), "v", 15, 0, 100000, by=("real",))
+
+
+@query("A12_decluster", f"WITH p AS ({_PT}), s AS (SELECT row_id, size, o, floor((x + o * size / 5.0) / size) AS cx, floor((y + o * size / 5.0) / size) AS cy FROM p, (SELECT unnest([20.0, 50.0, 110.0]::DOUBLE[]) AS size), range(5) t(o)), c AS (SELECT size, o, cx, cy, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT size, o, count(*) AS occ, sum(n) AS total FROM c GROUP BY ALL) SELECT row_id, size, round(avg(total / (n * occ)), 6) AS weight FROM s JOIN c USING (size, o, cx, cy) JOIN k USING (size, o) GROUP BY ALL")
+def a12(s, d):
+    return rounded(frame.decluster(T.points(s, d), [20.0, 50.0, 110.0]), "weight")
+
+
+@query("A13_soft_calibration", "SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS class, count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN l_extendedprice <= {t} THEN 1.0 ELSE 0.0 END), 6) AS p{i}" for i, t in enumerate((20000, 40000, 60000))) + " FROM lineitem GROUP BY ALL")
+def a13(s, d):
+    return rounded(frame.soft_calibration(T.table(s, d, "lineitem"), "l_extendedprice", F.floor(F.col("l_quantity") / 10), [20000, 40000, 60000]), "p0", "p1", "p2")
+
+
+@query("A16_value_counts", f"WITH g AS ({_GRID}) SELECT cat, count(*) AS count FROM g GROUP BY cat")
+def a16(s, d):
+    return T.grid(s, d).groupBy("cat").count()
+
+
+# --- drill holes
+@query("W1_distance_to_next", f"WITH s AS (SELECT * FROM ({_SEG}) WHERE row_id % 11 <> 0) SELECT row_id, round(coalesce(lead(z0) OVER (PARTITION BY hole ORDER BY z0, row_id) - z1, 0), 6) AS gap FROM s")
+def w1(s, d):
+    return rounded(markov.distance_to_next(T.segments(s, d, True)), "gap").select("row_id", "gap")
+
+
+_ALONG = f"s AS (SELECT * FROM ({_SEG}) WHERE row_id % 11 <> 0), g AS (SELECT *, coalesce(lead(z0) OVER (PARTITION BY hole ORDER BY z0, row_id) - z1, 0) AS gap FROM s), a AS (SELECT *, coalesce(sum(z1 - z0 + gap) OVER (PARTITION BY hole ORDER BY z0, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS along FROM g)"
+
+
+@query("W2_distance_along", f"WITH {_ALONG} SELECT row_id, round(along, 5) AS along FROM a")
+def w2(s, d):
+    return rounded(markov.distance_along(T.segments(s, d, True)), "along", digits=5).select("row_id", "along")
+
+
+_SEQ = f"s AS (SELECT * FROM ({_SEG}) WHERE row_id % 11 <> 0), b AS (SELECT *, CASE WHEN least(abs(z0 - lag(z1) OVER w), abs(z1 - lag(z0) OVER w), abs(z0 - lag(z0) OVER w), abs(z1 - lag(z1) OVER w)) > 1e-6 THEN 1 ELSE 0 END AS brk FROM s WINDOW w AS (PARTITION BY hole ORDER BY z0, row_id)), q AS (SELECT *, sum(brk) OVER (PARTITION BY hole ORDER BY z0, row_id) AS seq FROM b), t AS (SELECT cat AS \"from\", lead(cat) OVER (PARTITION BY hole, seq ORDER BY z0, row_id) AS \"to\" FROM q WHERE cat IS NOT NULL), f AS (SELECT \"from\", \"to\", count(*) AS n FROM t WHERE \"to\" IS NOT NULL GROUP BY ALL)"
+
+
+@query("W3_gap_breaks", f"WITH {_SEQ} SELECT row_id, CAST(seq AS BIGINT) AS seq FROM q")
+def w3(s, d):
+    return markov.gap_breaks(T.segments(s, d, True)).select("row_id", "seq")
+
+
+def _ftm(s, d):
+    return markov.transition_counts(T.segments(s, d, True))
+
+
+@query("C1_transition_counts", f"WITH {_SEQ} SELECT * FROM f")
+def c1(s, d):
+    return _ftm(s, d)
+
+
+@query("C4_probabilities", f"WITH {_SEQ} SELECT \"from\", \"to\", n, round(n / sum(n) OVER (PARTITION BY \"from\"), 6) AS up, round(n / sum(n) OVER (PARTITION BY \"to\"), 6) AS down FROM f")
+def c4(s, d):
+    return rounded(markov.probabilities(_ftm(s, d)), "up", "down")
+
+
+@query("C5_rates", f"WITH {_SEQ}, m AS (SELECT cat, avg(z1 - z0) AS l FROM s WHERE cat IS NOT NULL GROUP BY cat), o AS (SELECT \"from\", \"to\", n / sum(n) OVER (PARTITION BY \"from\") AS p FROM f WHERE \"from\" <> \"to\" UNION ALL SELECT cat, cat, -1.0 FROM m) SELECT \"from\", \"to\", round(p / l, 6) AS rate FROM o JOIN m ON cat = \"from\"")
+def c5(s, d):
+    seg = T.segments(s, d, True)
+    return rounded(markov.transition_rates(markov.transition_counts(seg), markov.mean_thickness(seg)), "rate")
+
+
+@query("C6_entropy", f"WITH {_SEQ}, o AS (SELECT \"from\", \"to\", n / sum(n) OVER (PARTITION BY \"from\") AS p, n / sum(n) OVER (PARTITION BY \"to\") AS q FROM f WHERE \"from\" <> \"to\") SELECT a.cat, round(post, 6) AS post, round(pre, 6) AS pre FROM (SELECT \"from\" AS cat, -sum(p * log2(p)) / log2(4) AS post FROM o GROUP BY 1) a FULL JOIN (SELECT \"to\" AS cat, -sum(q * log2(q)) / log2(4) AS pre FROM o GROUP BY 1) b ON a.cat = b.cat")
+def c6(s, d):
+    return rounded(markov.entropies(_ftm(s, d), 5), "post", "pre")
+
+
+_EXP = f"{_SEQ}, r AS (SELECT *, sum(n) OVER (PARTITION BY \"from\") AS rs, sum(n) OVER (PARTITION BY \"to\") AS cs, sum(n) OVER () AS tt FROM f), x AS (SELECT *, CASE WHEN \"from\" = \"to\" THEN 0.0 ELSE cs / (tt - rs) END AS trail FROM r)"
+
+
+@query("C7_expected", f"WITH {_EXP} SELECT \"from\", \"to\", n, round(trail, 6) AS trail, round(n / rs - trail, 6) AS difference, round(trail * rs, 4) AS expected FROM x")
+def c7(s, d):
+    return markov.expected(_ftm(s, d)).withColumns({"trail": F.round("trail", 6), "difference": F.round("difference", 6), "expected": F.round("expected", 4)})
+
+
+@query("C8_chi_squared", f"WITH {_EXP} SELECT round(sum(CASE WHEN trail * rs > 0 THEN (n - trail * rs) * (n - trail * rs) / (trail * rs) END), 4) AS chi2 FROM x")
+def c8(s, d):
+    return rounded(markov.chi_squared(_ftm(s, d)), "chi2", digits=4)
+
+
+@query("C2_transition_counts_at", f"WITH {_ALONG}, st AS (SELECT hole, k, cat, along, row_id FROM a, range(0, 2000) t(k) WHERE k * 5.5 >= along AND k * 5.5 <= along + z1 - z0), m AS (SELECT hole, k, arg_min(cat, (along, row_id)) AS cat FROM st GROUP BY ALL), t AS (SELECT cat AS \"from\", lead(cat) OVER (PARTITION BY hole ORDER BY k) AS \"to\" FROM m WHERE cat IS NOT NULL) SELECT \"from\", \"to\", count(*) AS n FROM t WHERE \"to\" IS NOT NULL GROUP BY ALL")
+def c2(s, d):
+    return markov.transition_counts_at(T.segments(s, d, True), 5.5)
+
+
+@query("C11_vpc", f"WITH s AS ({_SEG}), c AS (SELECT CAST(k AS BIGINT) AS d, cat, least(z1, 100 + k * 10.0 + 12.5, 500) - greatest(z0, 100 + k * 10.0 - 12.5, 100) AS len FROM s, range(0, 41) t(k) WHERE cat IS NOT NULL), l AS (SELECT d, cat, sum(len) AS len FROM c WHERE len > 0 GROUP BY ALL) SELECT d, cat, round(len, 4) AS len, round(len / sum(len) OVER (PARTITION BY d), 6) AS p FROM l")
+def c11(s, d):
+    return markov.vpc(T.segments(s, d), 100, 500, 40, 25).select("d", "cat", F.round("len", 4).alias("len"), F.round("p", 6).alias("p"))
+
+
+@query("G12_segments_to_points", f"WITH s AS ({_SEG}) SELECT row_id, hole, CAST(n AS BIGINT) AS n, round(z0 + n * 4.3, 6) AS z FROM s, range(0, 1000) t(n) WHERE n <= floor((z1 - z0) / 4.3)")
+def g12(s, d):
+    return rounded(markov.to_points(T.segments(s, d), 4.3), "z").select("row_id", "hole", F.col("n").cast("bigint").alias("n"), "z")
+
+
+# --- grids
+@query("G2_index", f"WITH g AS ({_GRID}) SELECT cell, i, j, round(10 + (i + 0.5) * 2, 6) AS x, round(20 + (j + 0.5) * 3, 6) AS y FROM g")
+def g2(s, d):
+    return spatial.center_of(GridSpec(100, 1 << 20, 1, 10, 20, 0, 2, 3, 1), T.grid(s, d).withColumn("k", F.lit(0))).select("cell", "i", "j", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("G4_resample", f"WITH g AS ({_GRID}) SELECT CAST(i // 4 AS INTEGER) AS i, CAST(j // 3 AS INTEGER) AS j, v FROM g WHERE i % 4 = 0 AND j % 3 = 0")
+def g4(s, d):
+    return grids.resample(T.grid(s, d), 4, 3).select("i", "j", "v")
+
+
+@query("G5_subgrid", f"WITH g AS ({_GRID}) SELECT i - 10 AS i, j - 5 AS j, v FROM g WHERE i BETWEEN 10 AND 40 AND j BETWEEN 5 AND 60")
+def g5(s, d):
+    return grids.subgrid(T.grid(s, d), (10, 40), (5, 60)).select("i", "j", "v")
+
+
+@query("G7_flip", f"WITH g AS ({_GRID}) SELECT 99 - i AS i, j, v FROM g")
+def g7(s, d):
+    return grids.flip(T.grid(s, d), "i", 100).select("i", "j", "v")
+
+
+@query("W5_neigh", f"WITH g AS ({_GRID}) SELECT g.cell, g.v, h.v AS neigh FROM g LEFT JOIN g h ON h.i = g.i + 1 AND h.j = g.j - 2")
+def w5(s, d):
+    return grids.neigh(T.grid(s, d), "v", 1, -2).select("cell", "v", "neigh")
+
+
+@query("K1_window_mean", f"WITH g AS ({_GRID}) SELECT g.cell, round(avg(h.v) + 1e-7, 4) AS mean FROM g JOIN g h ON h.i BETWEEN g.i - 3 AND g.i + 3 AND h.j BETWEEN g.j - 3 AND g.j + 3 GROUP BY g.cell")
+def k1(s, d):
+    return grids.window_mean(T.grid(s, d), "v", 3).select("cell", F.round(F.col("mean") + 1e-7, 4).alias("mean"))
+
+
+@query("K1_window_median", f"WITH g AS ({_GRID}) SELECT g.i, g.j, round(median(h.v), 4) AS median FROM g JOIN g h ON h.i BETWEEN g.i - 1 AND g.i + 1 AND h.j BETWEEN g.j - 1 AND g.j + 1 GROUP BY ALL")
+def k1m(s, d):
+    return rounded(grids.window_median(T.grid(s, d), "v", 1), "median", digits=4)
+
+
+@query("K3_extrema", f"WITH g AS ({_GRID}) SELECT g.cell, coalesce(any_value(g.v) >= max(h.v), false) AS is_max, coalesce(any_value(g.v) <= min(h.v), false) AS is_min FROM g JOIN g h ON h.i BETWEEN g.i - 2 AND g.i + 2 AND h.j BETWEEN g.j - 2 AND g.j + 2 GROUP BY g.cell")
+def k3(s, d):
+    return grids.extrema(T.grid(s, d), "v", 2).select("cell", "is_max", "is_min")
+
+
+_S1 = {"mean": ("avg(v)", 4), "variance": ("var_pop(v)", 1), "q25": ("quantile_cont(v, 0.25)", 4), "q50": ("quantile_cont(v, 0.5)", 4), "q75": ("quantile_cont(v, 0.75)", 4), "above": ("avg(CASE WHEN v > 30000 THEN 1.0 ELSE 0.0 END)", 6), "mean_above": ("avg(CASE WHEN v > 30000 THEN v END)", 4)}
+
+
+# a small amount is added before rounding, on both sides, since means of cents often lie halfway
+@query("S1_post_sim", f"WITH e AS ({_ENS}) SELECT cell, count(v) AS n, " + ", ".join(f"round({e} + 1.7e-{k + 3}, {k}) AS {c}" for c, (e, k) in _S1.items()) + " FROM e GROUP BY cell")
+def s1(s, d):
+    return grids.post_sim(T.ensemble(s, d), 30000).withColumns({c: F.round(F.col(c) + 1.7 * 10.0 ** -(k + 3), k) for c, (_, k) in _S1.items()})
+
+
+_SHARES = "SELECT l_orderkey AS cell, " + ", ".join(f"avg(CASE WHEN l_returnflag = '{f}' THEN 1.0 ELSE 0.0 END) AS p{f}" for f in "ANR") + " FROM lineitem GROUP BY ALL"
+
+
+def _shares(s, d):
+    return T.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("cell")).agg(*[F.avg(F.when(F.col("l_returnflag") == f, 1.0).otherwise(0.0)).alias(f"p{f}") for f in "ANR"])
+
+
+@query("T5_facies", f"WITH s AS ({_SHARES}) SELECT cell, CASE WHEN pA >= pN AND pA >= pR THEN 1 WHEN pN >= pR THEN 2 ELSE 3 END AS facies FROM s")
+def t5(s, d):
+    return _shares(s, d).select("cell", grids.facies({1: F.col("pA"), 2: F.col("pN"), 3: F.col("pR")}).alias("facies"))
+
+
+@query("F12_tau", f"WITH s AS ({_SHARES}), o AS (SELECT cell, pA, CASE WHEN pA <= 0 THEN 1000.0 ELSE (1 - pA) / pA END AS a FROM s) SELECT cell, round(1 / (1 + (0.7 / 0.3) * pow(a / (0.7 / 0.3), 1.5)), 6) AS p FROM o")
+def f12(s, d):
+    return _shares(s, d).select("cell", F.round(S.tau_combine(F.lit(0.3), [F.col("pA")], [1.5]), 6).alias("p"))
+
+
+# --- functions
+@query("F1_decibel", f"WITH p AS ({_PT}) SELECT row_id, round(20 * log10((abs(v) + 1e-10) / 50) * CASE WHEN v < 0 THEN -1 ELSE 1 END, 6) AS db FROM p")
+def f1(s, d):
+    return T.points(s, d).select("row_id", F.round(S.decibel(F.col("v"), 50), 6).alias("db"))
+
+
+@query("F2_azimuth", f"WITH p AS ({_PT}) SELECT row_id, CASE WHEN x = 500 AND y = 500 THEN NULL ELSE round((degrees(atan2(x - 500, y - 500)) + 360) % 360, 6) END AS azimuth FROM p WHERE NOT (x = 500 AND y >= 500)")
+def f2(s, d):
+    return T.points(s, d).where("NOT (x = 500 AND y >= 500)").select("row_id", F.round(S.azimuth(F.col("x"), F.col("y"), 500, 500), 6).alias("azimuth"))
+
+
+@query("F4_unitize", "SELECT vec_id, round(embedding[1]::DOUBLE / list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.001)), 5) AS first FROM embeddings")
+def f4(s, d):
+    e = T.table(s, d, "embeddings")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")) + 0.001)
+    return e.select("vec_id", F.round(F.col("embedding")[0].cast("double") / total, 5).alias("first"))
+
+
+@query("F10_gamma", f"WITH p AS ({_PT}), h AS (SELECT row_id, x, y, z, sqrt(pow((x * sin(radians(30)) + y * cos(radians(30))) / 60, 2) + pow((-x * cos(radians(30)) + y * sin(radians(30))) / 30, 2) + pow(z / 20, 2)) AS h1, sqrt(pow(x / 200, 2) + pow(y / 200, 2) + pow(z / 50, 2)) AS h2 FROM p) SELECT row_id, CASE WHEN x = 0 AND y = 0 AND z = 0 THEN 0.0 ELSE round(0.1 + 0.6 * CASE WHEN h1 >= 1 THEN 1 ELSE 1.5 * h1 - 0.5 * h1 * h1 * h1 END + 0.3 * (1 - exp(-3 * h2)), 6) END AS gamma FROM h")
+def f10(s, d):
+    return rounded(spatial.model_surface(T.points(s, d), _MODEL), "gamma").select("row_id", "gamma")
+
+
+@query("F16_trend", f"WITH p AS ({_PT}) SELECT row_id, round(x * x * 0.001 - 0.002 * y * y + 0.3 * z * z + 0.01 * x * y - 0.02 * x * z + 0.03 * y * z + x - 2 * y + 3 * z, 4) AS t FROM p")
+def f16(s, d):
+    return T.points(s, d).select("row_id", F.round(S.quadratic_trend(F.col("x"), F.col("y"), F.col("z"), (0.001, -0.002, 0.3, 0.01, -0.02, 0.03, 1.0, -2.0, 3.0)), 4).alias("t"))
+
+
+# --- distributions
+_CDF = f"p AS ({_PT}), u AS (SELECT v AS value, CAST(count(*) AS DOUBLE) AS w FROM p WHERE v IS NOT NULL GROUP BY v)"
+
+
+@query("D3_cdf", f"WITH {_CDF} SELECT value, w, round((sum(w) OVER (ORDER BY value) - w / 2) / sum(w) OVER (), 6) AS p FROM u")
+def d3(s, d):
+    return rounded(frame.cdf_table(T.points(s, d), "v"), "p")
+
+
+@query("D1_normal_score")
+def d1(s, d):
+    return rounded(frame.normal_score(T.points(s, d), "v"), "score").select("row_id", "v", "score")
+
+
+@query("D7_bivariate", f"WITH p AS ({_PT}) SELECT CAST(floor(x / 200) AS BIGINT) AS bx, CAST(floor(v / 2000) AS BIGINT) AS by, round(count(*) / (SELECT count(*) FROM p), 6) AS p FROM p GROUP BY ALL")
+def d7(s, d):
+    return rounded(frame.bivariate(T.points(s, d), "x", "v", 200, 2000), "p")
+
+
+@query("E11_trend_sums", f"WITH p AS ({_PT}) SELECT round(sum(x * x * v) / 1e6, 2) AS b0, round(sum(x * y * v) / 1e6, 2) AS b3, round(sum(z * v), 2) AS b8, round(sum(x * x * x * x) / 1e6, 2) AS a00, round(sum(x * y * y * z) / 1e6, 2) AS a35 FROM p WHERE v IS NOT NULL")
+def e11(s, d):
+    out = frame.trend_sums(T.points(s, d), "v")
+    return out.select(*[F.round(F.col(c) / k, 2).alias(c) for c, k in (("b0", 1e6), ("b3", 1e6), ("b8", 1), ("a00", 1e6), ("a35", 1e6))])
+
+
+# --- joins by place
+@query("J1_within_distance", f"WITH p AS ({_PT}) SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 6) AS d FROM p a JOIN p b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 650.25")
+def j1(s, d):
+    p = T.points(s, d)
+    return rounded(spatial.within_distance(p, p, 25.5), "d").select("row_id_a", "row_id_b", "d")
+
+
+@query("J2_knn", f"WITH p AS ({_PT}), q AS ({_PS}) SELECT q.row_id AS row_id_a, p.row_id AS row_id_b, CAST(row_number() OVER w AS INTEGER) AS rank FROM q JOIN p ON p.row_id <> q.row_id WINDOW w AS (PARTITION BY q.row_id ORDER BY sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)), p.row_id) QUALIFY row_number() OVER w <= 4")
+def j2(s, d):
+    return spatial.knn(T.few_points(s, d), T.points(s, d), 4, 40.0, "xy").select("row_id_a", "row_id_b", "rank")
+
+
+@query("J5_ellipsoid", f"WITH p AS ({_PT}), q AS ({_PS}), n AS (SELECT q.row_id AS row_id_a, p.row_id AS row_id_b, sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) AS d FROM q JOIN p ON pow((p.x-q.x)/60.5,2)+pow((p.y-q.y)/30.5,2) <= 1) SELECT row_id_a, row_id_b, CAST(row_number() OVER w AS INTEGER) AS rank FROM n WINDOW w AS (PARTITION BY row_id_a ORDER BY d, row_id_b) QUALIFY row_number() OVER w <= 6")
+def j5(s, d):
+    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d).select("row_id", "x", "y"), 60.6, "xy")
+    zero = F.lit(0.0)
+    pairs = pairs.where(spatial.in_ellipsoid(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"), zero, (60.5, 30.5, 1.0)))
+    return spatial.nearest(pairs, 6).select("row_id_a", "row_id_b", "rank")
+
+
+@query("J8_close_samples", "WITH p AS (SELECT p_partkey AS row_id, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS d FROM p a JOIN p b ON a.row_id < b.row_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 2.25")
+def j8(s, d):
+    return rounded(spatial.close_samples(T.parts(s, d), 1.5), "d")
+
+
+@query("J9_grid_to_points", f"WITH p AS ({_PT}), g AS ({_GRID}) SELECT p.row_id, g.v AS cell_value FROM p LEFT JOIN g ON g.i = floor(p.x / 10) AND g.j = floor(p.y / 10) AND p.x < 1000")
+def j9(s, d):
+    spec = GridSpec(100, 1 << 20, 1, 0, 0, 0, 10, 10, 1)
+    return spatial.collocate_grid_to_points(T.points(s, d), T.grid(s, d).withColumn("k", F.lit(0)), spec, "v").select("row_id", "cell_value")
+
+
+@query("J10_points_to_grid", f"WITH p AS ({_PT}), g AS ({_GRID}), c AS (SELECT floor(x / 10) AS i, floor(y / 10) AS j, arg_max(v, row_id) AS point_value FROM p WHERE x < 1000 GROUP BY ALL) SELECT g.cell, c.point_value FROM g LEFT JOIN c ON g.i = c.i AND g.j = c.j")
+def j10(s, d):
+    spec = GridSpec(100, 1 << 20, 1, 0, 0, 0, 10, 10, 1)
+    return spatial.collocate_points_to_grid(T.points(s, d), T.grid(s, d).withColumn("k", F.lit(0)), spec, "v").select("cell", "point_value")
+
+
+@query("V1_variogram_points", f"WITH p AS ({_PT}), q AS (SELECT sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d, (a.v-b.v)*(a.v-b.v)/2 AS g FROM p a JOIN p b ON a.row_id < b.row_id) SELECT CAST(floor(d / 10.05) AS INTEGER) AS lag, count(*) AS n, round(avg(d), 6) AS h, round(avg(g), 2) AS gamma FROM q WHERE d > 0 AND d < 100.5 GROUP BY ALL")
+def v1(s, d):
+    return spatial.variogram_points(T.points(s, d), "v", "v", 10.05, 10).withColumns({"h": F.round("h", 6), "gamma": F.round("gamma", 2)})
+
+
+@query("V2_variogram_grid", f"WITH g AS ({_GRID}), o AS (SELECT dir, k, CASE dir WHEN 0 THEN k ELSE k END AS di, CASE dir WHEN 0 THEN 0 ELSE k END AS dj FROM range(2) a(dir), range(1, 11) b(k)) SELECT CAST(dir AS INTEGER) AS dir, CAST(k AS INTEGER) AS lag, count(*) AS n, round(avg((a.v-b.v)*(a.v-b.v)/2), 0) AS gamma FROM g a, o, g b WHERE b.i = a.i + di AND b.j = a.j + dj AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL")
+def v2(s, d):
+    return rounded(spatial.variogram_grid(T.grid(s, d), "v", [(1, 0), (1, 1)], 10), "gamma", digits=0)
+
+
+@query("A9_contact_analysis", f"WITH p AS ({_PT}), n AS (SELECT a.row_id, a.v, a.dom, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))) AS d FROM p a JOIN p b ON a.dom IN (1, 2) AND b.dom = 3 - a.dom GROUP BY ALL) SELECT CAST(dom - 1 AS INTEGER) AS side, CAST(ceil(d / 8.05) AS INTEGER) AS lag, count(v) AS n, round(avg(v), 4) AS mean FROM n WHERE d > 0 AND d <= 80.5 GROUP BY ALL")
+def a9(s, d):
+    return rounded(spatial.contact_analysis(T.points(s, d), "dom", "v", 1, 2, 8.05, 10), "mean", digits=4)
+
+
+@query("E9_shepard", f"WITH p AS ({_PS}), g AS ({_PT}), q AS (SELECT g.row_id, p.v, sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)) AS d FROM g JOIN p ON sqrt((g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y)) < 80.5) SELECT row_id, round(coalesce(avg(CASE WHEN d = 0 THEN v END), sum(CASE WHEN d > 0 THEN v / (d * d) END) / sum(CASE WHEN d > 0 THEN 1 / (d * d) END)), 4) AS estimate FROM q GROUP BY row_id")
+def e9(s, d):
+    return rounded(spatial.shepard(T.points(s, d), T.few_points(s, d), "v", 80.5), "estimate", digits=4)
+
+
+@query("E1_krige")
+def e1(s, d):
+    return spatial.krige(T.points(s, d).drop("v", "dom", "z"), T.few_points(s, d).drop("z"), "v", _MODEL, 150.5)
+
+
+@query("E3_cross_validate")
+def e3(s, d):
+    p = T.few_points(s, d).drop("z")
+    return spatial.krige(p, p, "v", _MODEL, 150.5, leave_out_self=True).join(p.select("row_id", "v"), "row_id")
+
+
+@query("K2_fft")
+def k2(s, d):
+    g = T.grid(s, d).select(F.lit(1).alias("real"), "i", "j", F.coalesce("v", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    return grids.fft(g)
