@@ -25,6 +25,8 @@ from lithospark.llm.common import id_crc, keep, table
 
 BITS, ORDERS = 16, 4
 DIM = 1 << BITS
+#: Tasks of a training pass at most: as many states reach the driver.
+TASKS = 6
 _LETTER = regex.compile(r"\p{L}")
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -112,7 +114,7 @@ def fit(learn: DataFrame, train: DataFrame, calibrate: DataFrame, passes: int =
     k = len(langs)
     index = {x: i for i, x in enumerate(langs)}
     order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    sample = keep(train.orderBy(*order).limit(train_rows).repartition(6, F.xxhash64("doc_id", "text")), "train")
+    sample = keep(train.orderBy(*order).limit(train_rows).repartition(TASKS, F.xxhash64("doc_id", "text")), "train")
     z, n = np.zeros((DIM + 1, k)), np.zeros((DIM + 1, k))
     for _ in range(passes):
         def run(batches: Iterator[pa.RecordBatch], z0=z.astype(np.float32), n0=n.astype(np.float32)) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def fit(learn: DataFrame, train: DataFrame, calibrate: DataFrame, passes: int =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([z1.astype("<f4").tobytes()]), pa.array([n1.astype("<f4").tobytes()])], ["rows", "z", "n"])
 
-        states = sample.select("text", "lang").repartition(6, F.xxhash64("text")).mapInArrow(run, "rows bigint, z binary, n binary").collect()  # one per task, 6 at most
+        states = sample.select("text", "lang").coalesce(TASKS).mapInArrow(run, "rows bigint, z binary, n binary").collect()  # one per task, TASKS at most
         weight = sum(r["rows"] for r in states) or 1
         z = sum((np.frombuffer(r["z"], "<f4").reshape(z.shape) * (r["rows"] / weight) for r in states), np.zeros_like(z))
         n = sum((np.frombuffer(r["n"], "<f4").reshape(n.shape) * (r["rows"] / weight) for r in states), np.zeros_like(n))
