@@ -36,10 +36,12 @@ class WordTokens(dict):
     """Chunk of text between white space -> bytes of its ids, for a tokenizer that cuts text into words by its
     split pattern, never joins over white space and lower-cases.
 
-    New chunks are cut into words, and only words not met before go to the tokenizer. Latin-1 texts are
-    lower-cased first, where Python's and the tokenizer's rules agree; other texts' chunks stay as they are."""
+    New chunks are cut into words, and only words not met before go to the tokenizer, many in one text: each
+    word's last token ends a word, which tells them apart again. Latin-1 texts are lower-cased first, where
+    Python's and the tokenizer's rules agree; other texts' chunks stay as they are."""
 
     CHUNKS = WORDS = 600_000
+    TOGETHER = 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,28 +51,39 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(steps[0]["pattern"]["Regex"])
+            file = json.load(f)
+        self.split = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(file["model"]["end_of_word_suffix"])]] = True
         self.words: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.keys()
+        # set - dict.keys() would go through all keys of the dict
+        new = [c for c in chunks if c not in self]
         if len(self) + len(new) > self.CHUNKS:
             self.clear()
-            new = chunks
+            new = list(chunks)
         # a chunk beyond Latin-1 is a word of its own here: the tokenizer normalises and cuts it
-        cut = {c: self.split.findall(c.lower()) if latin(c) else [c] for c in new}
-        wanted = set().union(*cut.values())
-        unknown = wanted - self.words.keys()
+        plain = {c: [c.lower()] if c.isalpha() else self.split.findall(c.lower()) for c in new if latin(c)}
+        other = [c for c in new if c not in plain]
+        wanted = set().union(*plain.values())
+        unknown = [w for w in wanted if w not in self.words]
         if len(self.words) + len(unknown) > self.WORDS:
             self.words.clear()
-            unknown = wanted
-        unknown = list(unknown)
-        for w, e in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            unknown = list(wanted)
+        for i in range(0, len(unknown), self.TOGETHER):
+            some = unknown[i : i + self.TOGETHER]
+            ids = self.whole(" ".join(some))
+            stop = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            for w, start, end in zip(some, [0, *stop], stop, strict=False):
+                self.words[w] = ids[start:end]
+            assert len(stop) == len(some)
         words = self.words
-        for c, w in cut.items():
-            self[c] = b"".join([words[x] for x in w])
+        for c, w in plain.items():
+            self[c] = words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])
+        for c in other:
+            self[c] = self.whole(c)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
