@@ -160,3 +160,28 @@ def fit_trend(df: DataFrame, column: str) -> tuple[float, ...]:
     r = trend_sums(df, column).first()  # 54 sums
     a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(9)] for i in range(9)], float)
     return tuple(np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(9)], float), rcond=None)[0])
+
+
+def global_pdf(df: DataFrame, indicators: list[str]) -> DataFrame:
+    """indicator, p: the mean of each indicator column, lost values aside."""
+    means = df.agg(*[F.avg(c).alias(c) for c in indicators])
+    return means.unpivot([], indicators, "indicator", "p")
+
+
+def trend_errors(df: DataFrame, column: str, candidates: list[tuple[float, ...]]) -> DataFrame:
+    """candidate, error: mean absolute error of each set of nine coefficients (xx, yy, zz, xy, xz, yz, x, y, z), in one pass."""
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    terms = [x * x, y * y, z * z, x * y, x * z, y * z, x, y, z]
+    names = [str(i) for i in range(len(candidates))]
+    errors = [F.avg(F.abs(F.col(column) - sum((t * c for t, c in zip(terms, row)), F.lit(0.0)))).alias(n) for n, row in zip(names, candidates)]
+    return df.agg(*errors).unpivot([], names, "candidate", "error").withColumn("candidate", F.col("candidate").cast("int"))
+
+
+def draw_category(pdf: DataFrame, draws: DataFrame) -> DataFrame:
+    """draws(u, ...) with the first category of pdf(code, p), by code, whose cumulative probability reaches u; null if none does.
+
+    The probabilities of one variable's categories are few: they become one row, as an array."""
+    cum = F.sum("p").over(Window.partitionBy(F.lit(0)).orderBy("code"))
+    steps = pdf.withColumn("cum", cum).agg(F.sort_array(F.collect_list(F.struct("code", "cum"))).alias("_steps"))
+    hit = F.filter("_steps", lambda s: s["cum"] >= F.col("u"))
+    return draws.crossJoin(F.broadcast(steps)).withColumn("code", F.get(hit, F.lit(0))["code"]).drop("_steps")  # one row

@@ -107,7 +107,7 @@ def vpc(segments: DataFrame, base: float, top: float, steps: int, window: float)
     z = F.lit(base) + F.col("d") * step
     length = F.least("z1", z + window / 2, F.lit(top)) - F.greatest("z0", z - window / 2, F.lit(base))
     sums = rows.withColumn("len", length).where("len > 0").groupBy("d", "cat").agg(F.sum("len").alias("len"))
-    return sums.withColumn("p", _share(F.col("len"), "d")).withColumn("cum", F.sum("p").over(Window.partitionBy("d").orderBy("cat")))
+    return cumulative_proportions(sums.withColumn("p", _share(F.col("len"), "d")))
 
 
 def proportion_by_length(segments: DataFrame) -> DataFrame:
@@ -119,3 +119,21 @@ def to_points(segments: DataFrame, step: float) -> DataFrame:
     """Points at 0, step, 2 step ... up to the length of each interval."""
     n = F.floor((F.col("z1") - F.col("z0")) / step)
     return segments.select("row_id", "hole", "z0", F.explode(F.sequence(F.lit(0), n)).alias("n")).select("row_id", "hole", "n", (F.col("z0") + F.col("n") * step).alias("z"))
+
+
+def in_z_interval(segments: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
+    """Pairs of segments and intervals(interval, low, high) that meet, ends included; both are dealt to slices of that width.
+
+    A pair comes from one slice only, the first that both have."""
+    def sliced(df: DataFrame, low: str, high: str, first: str) -> DataFrame:
+        df = df.withColumn(first, F.floor(F.col(low) / width))
+        return df.withColumn("_slice", F.explode(F.sequence(first, F.floor(F.col(high) / width))))
+
+    pairs = sliced(segments, "z0", "z1", "_a").join(sliced(intervals, "low", "high", "_b"), "_slice")
+    met = pairs.where((F.col("z0") <= F.col("high")) & (F.col("z1") >= F.col("low")) & (F.col("_slice") == F.greatest("_a", "_b")))
+    return met.drop("_slice", "_a", "_b")
+
+
+def cumulative_proportions(curve: DataFrame) -> DataFrame:
+    """curve(d, cat, p) with cum, the sum of p up to each category of a depth."""
+    return curve.withColumn("cum", F.sum("p").over(Window.partitionBy("d").orderBy("cat")))

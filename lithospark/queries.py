@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lithospark.functions import scalar as S
@@ -416,3 +417,37 @@ def e3(s, d):
 def k2(s, d):
     g = T.grid(s, d).select(F.lit(1).alias("real"), "i", "j", F.coalesce("v", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
     return grids.fft(g)
+
+
+@query("J4_in_z_interval", f"WITH s AS ({_SEG}), w AS (SELECT p_partkey AS interval, p_size * 10.0 AS low, p_size * 10.0 + p_partkey % 7 AS high FROM part) SELECT row_id, count(*) AS n, sum(interval) AS intervals FROM s JOIN w ON z0 <= high AND z1 >= low GROUP BY row_id")
+def j4(s, d):
+    low = F.col("p_size") * 10.0
+    windows = T.table(s, d, "part").select(F.col("p_partkey").alias("interval"), low.alias("low"), (low + F.col("p_partkey") % 7).alias("high"))
+    met = markov.in_z_interval(T.segments(s, d).select("row_id", "z0", "z1"), windows, 10.0)
+    return met.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.sum("interval").alias("intervals"))
+
+
+@query("W4_cumulative_proportions", "WITH n AS (SELECT l_linenumber AS d, dense_rank() OVER (ORDER BY l_returnflag) AS cat FROM lineitem), c AS (SELECT d, cat, count(*) AS n FROM n GROUP BY ALL), p AS (SELECT d, cat, n / sum(n) OVER (PARTITION BY d) AS p FROM c) SELECT d, cat, round(sum(p) OVER (PARTITION BY d ORDER BY cat), 6) AS cum FROM p")
+def w4(s, d):
+    modes = T.table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("d"), "l_returnflag").count()
+    by = Window.partitionBy("d")
+    curve = modes.select("d", F.row_number().over(by.orderBy("l_returnflag")).alias("cat"), (F.col("count") / F.sum("count").over(by)).alias("p"))
+    return markov.cumulative_proportions(curve).select("d", "cat", F.round("cum", 6).alias("cum"))
+
+
+@query("A14_global_pdf", "SELECT 'discount' AS indicator, round(avg(l_discount * 10), 6) AS p FROM lineitem UNION ALL SELECT 'tax', round(avg(l_tax * 10), 6) FROM lineitem")
+def a14(s, d):
+    soft = T.table(s, d, "lineitem").select((F.col("l_discount") * 10).alias("discount"), (F.col("l_tax") * 10).alias("tax"))
+    return rounded(frame.global_pdf(soft, ["discount", "tax"]), "p")
+
+
+@query("A15_trend_errors", f"WITH p AS ({_PT}) SELECT 0 AS candidate, round(avg(abs(v - (x + 2 * y))), 4) AS error FROM p UNION ALL SELECT 1, round(avg(abs(v - (0.01 * x * x - 0.02 * y * z + 3 * z))), 4) FROM p")
+def a15(s, d):
+    return rounded(frame.trend_errors(T.points(s, d), "v", [(0, 0, 0, 0, 0, 0, 1, 2, 0), (0.01, 0, 0, 0, 0, -0.02, 0, 0, 3)]), "error", digits=4)
+
+
+@query("F6_draw_category", "SELECT o_orderkey, CASE WHEN u <= 0.25 THEN 1 WHEN u <= 0.625 THEN 2 WHEN u <= 0.875 THEN 5 END AS code FROM (SELECT o_orderkey, (o_orderkey * 7919 % 1000) / 1000.0 AS u FROM orders)")
+def f6(s, d):
+    pdf = s.createDataFrame([(1, 0.25), (2, 0.375), (5, 0.25)], "code int, p double")
+    draws = T.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 1000 / 1000.0).alias("u"))
+    return frame.draw_category(pdf, draws).select("o_orderkey", "code")
