@@ -30,7 +30,7 @@ from lithospark.llm.common import components, discard, keep, local_components, p
 from lithospark.llm.hashing import mix, powers, range_hash
 from lithospark.llm.repeats import row_id
 
-EDITS, MIN_CHARS, BUCKET = 2, 24, 1000
+EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
 _STRIP = " \t\n\r\x0b\x0c"
 
 
@@ -199,8 +199,15 @@ def _near_lines(edits: int):
     return run
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(node, root): lines (by hash) with near lines, and the class of each."""
+def first_places(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(h, n, first) of every line that counts, and of these the at most HOT that are more than 1 / HOT of all."""
+    firsts = keep(line_rows(docs, min_chars).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "line_no")).alias("first")), "firsts")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    return firsts, keep(firsts.where(F.col("n") * HOT > total).coalesce(1), "hot")
+
+
+def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(node, root): lines (by hash) with near lines, and the class of each; hot as first_places() gives it."""
     n = partitions(docs.sparkSession)
     rows = docs.select("text").mapInArrow(_key_rows(edits, min_chars), "key bigint, h bigint")
     bucket = F.shiftright("key", 1)
@@ -209,7 +216,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     met = keep(shared.join(keep(sizes, "sizes"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
     discard(shared)
     wanted = keep(met.select("h").distinct(), "wanted")
-    lines = line_rows(docs, min_chars).select("h", "line").join(wanted.hint("merge"), ["h"], "left_semi")
+    lines = line_rows(docs, min_chars).join(F.broadcast(hot.select("h", "first")), ["h"], "left")
+    once = F.col("first").isNull() | ((F.col("rid") == F.col("first.rid")) & (F.col("line_no") == F.col("first.line_no")))
+    lines = lines.where(once).select("h", "line").join(wanted.hint("merge"), ["h"], "left_semi")
     lines = keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
     met = met.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "index").join(lines, "h")
@@ -220,15 +229,20 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text less the removed lines (n_chars, if there, follows), and n_lines, n_removed."""
-    near = keep(line_classes(docs, edits, min_chars), "classes")
-    rows = line_rows(docs, min_chars)
-    first = keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "line_no")).alias("first")), "firsts")
+    first, hot = first_places(docs, min_chars)
+    near = keep(line_classes(docs, hot, edits, min_chars), "classes")
+    rows = line_rows(docs, min_chars).select("rid", "line_no", "h")
     repeated = first.join(near.select(F.col("node").alias("h"), "root"), ["h"], "left").where("n > 1 OR root IS NOT NULL")
     repeated = keep(repeated.withColumn("root", F.coalesce("root", "h")), "repeated")
-    discard(first)
     heads = keep(repeated.groupBy("root").agg(F.min("first").alias("first")), "heads")
     repeated = keep(repeated.select("h", "root").join(heads, "root").select("h", F.col("first.rid").alias("kept_rid"), F.col("first.line_no").alias("kept_line")), "kept")
-    gone = rows.select("rid", "line_no", "h").join(repeated, ["h"], "inner")
+    often = keep(repeated.join(F.broadcast(hot.select("h")), "h", "left_semi").coalesce(1), "often")
+    rows = rows.join(F.broadcast(often.select("h", F.col("kept_rid").alias("often_rid"), F.col("kept_line").alias("often_line"))), ["h"], "left")
+    # places of hot lines spread over all tasks by their own hash and meet nothing there
+    rows = rows.withColumn("cold", F.col("often_rid").isNull()).withColumn("h", F.when(F.col("cold"), F.col("h")).otherwise(F.xxhash64("rid", "line_no")))
+    gone = rows.join(repeated.withColumn("cold", F.lit(True)).hint("merge"), ["h", "cold"], "left")
+    gone = gone.select("rid", "line_no", F.coalesce("often_rid", "kept_rid").alias("kept_rid"), F.coalesce("often_line", "kept_line").alias("kept_line"))
+    discard(first)
     gone = gone.where((F.col("rid") != F.col("kept_rid")) | (F.col("line_no") != F.col("kept_line")))
     gone = keep(gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone")), "gone")  # bounded by one text
     names = docs.columns

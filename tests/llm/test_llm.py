@@ -133,7 +133,9 @@ def test_banded_distance(edits):
     assert near(lines.banded_distance(a, b, edits)) == near(map(distance, a, b))
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [1000, 20, 0])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdefgé ") for _ in range(rng.randint(3, 50))) for _ in range(20)]
 
