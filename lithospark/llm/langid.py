@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import id_crc, keep, table
+from lithospark.llm.common import bounded_sample, id_crc, keep, table
 
 BITS, ORDERS = 16, 4
 DIM = 1 << BITS
@@ -114,7 +114,7 @@ def fit(learn: DataFrame, train: DataFrame, calibrate: DataFrame, passes: int =
     k = len(langs)
     index = {x: i for i, x in enumerate(langs)}
     order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    sample = keep(train.orderBy(*order).limit(train_rows).repartition(TASKS, F.xxhash64("doc_id", "text")), "train")
+    sample = keep(bounded_sample(train, train_rows, order).repartition(TASKS, F.xxhash64("doc_id", "text")), "train")
     z, n = np.zeros((DIM + 1, k)), np.zeros((DIM + 1, k))
     for _ in range(passes):
         def run(batches: Iterator[pa.RecordBatch], z0=z.astype(np.float32), n0=n.astype(np.float32)) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def fit(learn: DataFrame, train: DataFrame, calibrate: DataFrame, passes: int =
                     total += np.log(np.exp(s).sum(1)) - s[:, index[lang]]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid))), pa.array(total)], ["t", "loss"])
 
-    held = calibrate.orderBy(*order).limit(calibrate_rows).select("text", "lang")
+    held = bounded_sample(calibrate, calibrate_rows, order).select("text", "lang")
     loss = {r["t"]: r["loss"] for r in held.mapInArrow(losses, "t bigint, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).collect()}
     if loss and max(loss.values()) > 0:
         model.temperature = float(grid[min(loss, key=lambda t: (loss[t], t))])

@@ -246,3 +246,12 @@ def test_pipeline_small(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and (out.groupby("sequence_id")["length"].sum() <= 4096).all()
+
+
+def test_bounded_sample(spark):
+    from lithospark.llm.common import bounded_sample
+
+    df = spark.range(5000).withColumnRenamed("id", "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    for rows in (1, 300, 4999, 6000):
+        assert rows_of(bounded_sample(df, rows, order)) == rows_of(df.orderBy(*order).limit(rows))
