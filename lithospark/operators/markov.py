@@ -137,3 +137,68 @@ def in_z_interval(segments: DataFrame, intervals: DataFrame, width: float) -> Da
 def cumulative_proportions(curve: DataFrame) -> DataFrame:
     """curve(d, cat, p) with cum, the sum of p up to each category of a depth."""
     return curve.withColumn("cum", F.sum("p").over(Window.partitionBy("d").orderBy("cat")))
+
+
+def sum_counts(matrices: list[DataFrame]) -> DataFrame:
+    """Transition counts of several files or sets of holes, added up."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = out.unionByName(m)
+    return out.groupBy("from", "to").agg(F.sum("n").alias("n"))
+
+
+def drop_empty(matrices: DataFrame) -> DataFrame:
+    """matrices(h, from, to, n) less the categories that have no transition in any h."""
+    seen = matrices.where("n > 0")
+    some = seen.select(F.col("from").alias("cat")).unionByName(seen.select(F.col("to").alias("cat"))).distinct()
+    return matrices.join(some.withColumnRenamed("cat", "from"), "from", "left_semi").join(some.withColumnRenamed("cat", "to"), "to", "left_semi").select(*matrices.columns)
+
+
+def inexistent_transitions(reference: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """from, to, up: transitions that reference never has and asked has with a probability above the threshold."""
+    return probabilities(asked).where(F.col("up") > threshold).join(reference.where("n > 0"), ["from", "to"], "left_anti").select("from", "to", "up")
+
+
+def is_embedded(ftm: DataFrame) -> DataFrame:
+    """One row: are there no transitions from a category to itself?"""
+    return ftm.agg(F.coalesce(F.sum(F.when(F.col("from") == F.col("to"), F.col("n"))), F.lit(0)).alias("n_self")).select((F.col("n_self") == 0).alias("embedded"))
+
+
+def next_category(ftm: DataFrame, draws: DataFrame) -> DataFrame:
+    """draws(cat, u, ...) with next: the first category whose cumulative upward probability from cat reaches u.
+
+    The matrix has a row for each category; a category's row is one array."""
+    up = F.sum("n").over(Window.partitionBy("from").orderBy("to")) / F.sum("n").over(Window.partitionBy("from"))
+    rows = ftm.withColumn("_cum", up).groupBy(F.col("from").alias("cat")).agg(F.sort_array(F.collect_list(F.struct("_cum", "to"))).alias("_row"))
+    hit = F.get(F.filter("_row", lambda s: s["_cum"] >= F.col("u")), F.lit(0))["to"]
+    return draws.join(rows, "cat", "left").withColumn("next", hit).drop("_row")
+
+
+def relationship_edges(ftm: DataFrame, cutoff: float) -> DataFrame:
+    return probabilities(ftm).where(F.col("up") >= cutoff).select("from", "to", "up")
+
+
+def vpc_mean(curves: DataFrame) -> DataFrame:
+    """d, cat, p: mean of curves(curve, d, cat, p) with equal depths, scaled to sum 1 at each depth."""
+    sums = curves.groupBy("d", "cat").agg(F.sum("p").alias("p"))
+    return sums.withColumn("p", _share(F.col("p"), "d"))
+
+
+def _dense(curve: DataFrame, steps: int) -> DataFrame:
+    """Each category of curve(d, cat, p) at all depths 0 to steps, 0 where it has no entry, with the next depth's p as q."""
+    full = curve.select("cat").distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(steps)).cast("array<bigint>")))
+    full = full.join(curve.select("d", "cat", "p"), ["d", "cat"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    return full.withColumn("q", F.lead("p").over(Window.partitionBy("cat").orderBy("d"))).where("q IS NOT NULL")
+
+
+def vpc_at(curve: DataFrame, depths: DataFrame, steps: int) -> DataFrame:
+    """depths(depth, ...) with cat, p: linear between the curve's entries; no rows for depths outside 0 to 1."""
+    rows = depths.where(F.col("depth").between(0, 1)).withColumn("d", F.least(F.floor(F.col("depth") * steps), F.lit(steps - 1)))
+    at = F.col("depth") * steps - F.col("d")
+    return rows.join(_dense(curve, steps), "d").withColumn("p", F.col("p") + at * (F.col("q") - F.col("p"))).drop("d", "q")
+
+
+def fill_with_proportions(grid: DataFrame, curve: DataFrame, steps: int, k0: int, k1: int) -> DataFrame:
+    """grid cells of layers k0 to k1, a row for each cat, with the curve's p at the layer's center."""
+    layers = grid.sparkSession.range(k0, k1 + 1).withColumnRenamed("id", "k").withColumn("depth", (F.col("k") - k0 + 0.5) / (k1 - k0 + 1))
+    return grid.where(F.col("k").between(k0, k1)).join(vpc_at(curve, layers, steps).drop("depth"), "k")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lithospark.functions import scalar as S
-from lithospark.operators import frame, grids, markov, spatial
+from lithospark.operators import frame, grids, lookup, markov, mesh, spatial
 from lithospark.sources import tables as T
 from lithospark.spec import GridSpec, Structure, VariogramModel
 
@@ -451,3 +451,199 @@ def f6(s, d):
     pdf = s.createDataFrame([(1, 0.25), (2, 0.375), (5, 0.25)], "code int, p double")
     draws = T.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 1000 / 1000.0).alias("u"))
     return frame.draw_category(pdf, draws).select("o_orderkey", "code")
+
+
+# --- sets of transition matrices, proportion curves
+_STEP = f"s AS ({_SEG}), t AS (SELECT hole, cat AS f, lead(cat) OVER (PARTITION BY hole ORDER BY z0, row_id) AS t FROM s WHERE cat IS NOT NULL)"
+
+
+def _counts(s, d, where="true"):
+    return markov.transition_counts(T.segments(s, d).where(where), ignore_gaps=True)
+
+
+@query("U1_sum_counts", f'WITH {_STEP} SELECT f AS "from", t AS "to", count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL')
+def u1(s, d):
+    return markov.sum_counts([_counts(s, d, "hole % 2 = 0"), _counts(s, d, "hole % 2 = 1")])
+
+
+@query("U2_drop_empty", f'WITH {_STEP} SELECT hole % 3 AS h, f AS "from", t AS "to", sum(CASE WHEN f <> 2 AND t <> 2 THEN 1 ELSE 0 END) AS n FROM t WHERE t <> 2 AND f <> 2 GROUP BY ALL')
+def u2(s, d):
+    n = F.when((F.col("from") != 2) & (F.col("to") != 2), F.col("n")).otherwise(0)
+    parts = [_counts(s, d, f"hole % 3 = {h}").select(F.lit(h).alias("h"), "from", "to", n.alias("n")) for h in range(3)]
+    return markov.drop_empty(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query("U3_inexistent", f'WITH {_STEP}, r AS (SELECT DISTINCT f, t FROM t WHERE hole = 1 AND t IS NOT NULL), q AS (SELECT f, t, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL) SELECT f AS "from", t AS "to", round(up, 6) AS up FROM (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS up FROM q) WHERE up > 0.01 AND (f, t) NOT IN (SELECT (f, t) FROM r)')
+def u3(s, d):
+    return rounded(markov.inexistent_transitions(_counts(s, d, "hole = 1"), _counts(s, d), 0.01), "up")
+
+
+@query("C9_embedded", f"WITH {_STEP} SELECT count(*) FILTER (f = t) = 0 AS embedded FROM t WHERE t IS NOT NULL")
+def c9(s, d):
+    return markov.is_embedded(_counts(s, d))
+
+
+@query("C10_next_category", f'WITH {_STEP}, q AS (SELECT f, t, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL), c AS (SELECT f, t, sum(n) OVER (PARTITION BY f ORDER BY t) / sum(n) OVER (PARTITION BY f) AS c FROM q) SELECT row_id, (SELECT min(t) FROM c WHERE f = cat AND c >= (row_id * 37 % 1000) / 1000 + 0.0003) AS "next" FROM s WHERE cat IS NOT NULL')
+def c10(s, d):
+    draws = T.segments(s, d).where("cat IS NOT NULL").withColumn("u", (F.col("row_id") * 37 % 1000) / 1000 + 0.0003)
+    return markov.next_category(_counts(s, d), draws).select("row_id", "next")
+
+
+@query("C16_edges", f'WITH {_STEP}, q AS (SELECT f, t, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL) SELECT f AS "from", t AS "to", round(up, 6) AS up FROM (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS up FROM q) WHERE up >= 0.15')
+def c16(s, d):
+    return rounded(markov.relationship_edges(_counts(s, d), 0.15), "up")
+
+
+def _curve_sql(name, where):
+    return f"{name} AS (SELECT d, cat, len / sum(len) OVER (PARTITION BY d) AS p FROM (SELECT d, cat, sum(least(z1, d * 10 + 10, 200) - greatest(z0, d * 10 - 10, 0)) AS len FROM s, range(0, 21) t(d) WHERE cat IS NOT NULL AND {where} AND least(z1, d * 10 + 10, 200) > greatest(z0, d * 10 - 10, 0) GROUP BY d, cat))"
+
+
+_MEAN = f"WITH s AS ({_SEG}), {_curve_sql('a', 'hole % 2 = 0')}, {_curve_sql('b', 'hole % 2 = 1')}, m AS (SELECT d, cat, p / sum(p) OVER (PARTITION BY d) AS p FROM (SELECT d, cat, sum(p) AS p FROM (FROM a UNION ALL FROM b) GROUP BY d, cat)), f AS (SELECT t.d, c.cat, coalesce(m.p, 0) AS p FROM range(0, 21) t(d) CROSS JOIN (SELECT DISTINCT cat FROM m) c LEFT JOIN m ON m.d = t.d AND m.cat = c.cat)"
+
+
+def _mean_curve(s, d):
+    one = lambda h: markov.vpc(T.segments(s, d).where(f"hole % 2 = {h}"), 0.0, 200.0, 20, 20.0).select(F.lit(h).alias("curve"), "d", "cat", "p")
+    return markov.vpc_mean(one(0).unionByName(one(1)))
+
+
+@query("C13_vpc_mean", f"{_MEAN} SELECT d, cat, round(p, 6) AS p FROM m")
+def c13(s, d):
+    return rounded(_mean_curve(s, d), "p")
+
+
+@query("C14_vpc_at", f"{_MEAN} SELECT s_suppkey, f.cat, round(f.p + (x - f.d) * (g.p - f.p), 6) AS p FROM (SELECT s_suppkey, (s_suppkey * 13 % 997) / 997 * 20 AS x FROM supplier) JOIN f ON f.d = least(floor(x), 19) JOIN f g ON g.d = f.d + 1 AND g.cat = f.cat")
+def c14(s, d):
+    depths = T.table(s, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") * 13 % 997) / 997).alias("depth"))
+    return rounded(markov.vpc_at(_mean_curve(s, d), depths, 20), "p").select("s_suppkey", "cat", "p")
+
+
+@query("C15_fill_with_proportions", f"{_MEAN} SELECT o_orderkey AS cell, f.cat, round(f.p + (x - f.d) * (g.p - f.p), 6) AS p FROM (SELECT o_orderkey, (o_orderkey % 20 - 2 + 0.5) / 12 * 20 AS x FROM orders WHERE o_orderkey % 20 BETWEEN 2 AND 13) JOIN f ON f.d = least(floor(x), 19) JOIN f g ON g.d = f.d + 1 AND g.cat = f.cat")
+def c15(s, d):
+    layered = T.grid(s, d).select("cell", (F.col("cell") % 20).alias("k"))
+    return rounded(markov.fill_with_proportions(layered, _mean_curve(s, d), 20, 2, 13), "p").select("cell", "cat", "p")
+
+
+# --- piecewise linear tables
+def _cdf_sql(name, source):
+    return f"{name} AS (SELECT v, p, lead(v) OVER (ORDER BY v) AS v1, lead(p) OVER (ORDER BY v) AS p1, min(p) OVER () AS lo, max(p) OVER () AS hi FROM (SELECT v, (sum(w) OVER (ORDER BY v) - w / 2) / sum(w) OVER () AS p FROM (SELECT v, count(*) AS w FROM {source} WHERE v IS NOT NULL GROUP BY v)))"
+
+
+def _at(cdf, u):
+    return f"least(greatest({u}, {cdf}.lo), {cdf}.hi) >= {cdf}.p AND (least(greatest({u}, {cdf}.lo), {cdf}.hi) < {cdf}.p1 OR {cdf}.p1 = {cdf}.hi AND {u} >= {cdf}.hi)"
+
+
+def _value(cdf, u):
+    return f"{cdf}.v + (least(greatest({u}, {cdf}.lo), {cdf}.hi) - {cdf}.p) * ({cdf}.v1 - {cdf}.v) / ({cdf}.p1 - {cdf}.p)"
+
+
+@query("F7_draw_value", f"WITH q AS ({_PS}), {_cdf_sql('c', 'q')}, u AS (SELECT c_custkey AS row_id, (c_custkey * 7919 % 1000) / 1000 + 0.0003 AS u FROM customer) SELECT row_id, round({_value('c', 'u.u')}, 4) AS drawn FROM u JOIN c ON {_at('c', 'u.u')}")
+def f7(s, d):
+    draws = T.points(s, d).select("row_id", ((F.col("row_id") * 7919 % 1000) / 1000 + 0.0003).alias("u"))
+    return rounded(lookup.draw_value(draws, "u", frame.cdf_table(T.few_points(s, d), "v")), "drawn", digits=4).select("row_id", "drawn")
+
+
+@query("D4_qq_table", f"WITH x AS ({_PT}), y AS ({_PS}), {_cdf_sql('c', 'x')}, {_cdf_sql('e', 'y')}, u AS (SELECT range AS q, (range + 0.5) / 50 AS u FROM range(0, 50)) SELECT q, round({_value('c', 'u.u')}, 4) AS a, round({_value('e', 'u.u')}, 4) AS b FROM u JOIN c ON {_at('c', 'u.u')} JOIN e ON {_at('e', 'u.u')}")
+def d4(s, d):
+    return rounded(lookup.qq_table(T.points(s, d), T.few_points(s, d), "v", "v", 50), "a", "b", digits=4)
+
+
+@query("D2_back_transform")
+def d2(s, d):
+    p = T.points(s, d)
+    transform = frame.cdf_table(p, "v").select("value", frame.inverse_normal(F.col("p")).alias("score"))
+    return lookup.back_transform(frame.normal_score(p, "v").select("row_id", "v", "score"), "score", transform, "back")
+
+
+@query("F8_chi2_pdf", "SELECT l_orderkey, l_linenumber, l_partkey, round(exp(1.5 * ln(l_quantity) - l_quantity / 2 - (2.5 * ln(2) + lgamma(2.5))), 8) AS pdf FROM lineitem")
+def f8(s, d):
+    return rounded(T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.chi2_pdf(F.col("l_quantity"), 5).alias("pdf")), "pdf", digits=8)
+
+
+@query("F13_soft_indicators", f"WITH p AS ({_PT}) SELECT row_id, floor((CASE WHEN v <= 0 THEN 0 + (v + 1000) * 0.2 / 1000 WHEN v <= 5000 THEN 0.2 + v * (0.7 - 0.2) / 5000 ELSE 0.7 + (v - 5000) * (1.0 - 0.7) / 5000 END) * 1e4 + 0.5) / 1e4 AS soft FROM p")
+def f13(s, d):
+    return T.points(s, d).select("row_id", lookup.soft_indicator(F.col("v"), [(-1000.0, 0.0), (0.0, 0.2), (5000.0, 0.7), (10000.0, 1.0)]).alias("soft"))
+
+
+@query("E5_post_ik", "WITH c AS (SELECT l_orderkey, avg(CASE WHEN l_extendedprice <= 20000 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN l_extendedprice <= 50000 THEN 1.0 ELSE 0.0 END) AS q FROM lineitem GROUP BY l_orderkey), m AS (SELECT *, p * 10000 + (q - p) * 35000 + (1 - q) * 80000 AS mean, p * 4e8 / 3 + (q - p) * 3.9e9 / 3 + (1 - q) * 2.01e10 / 3 - (p * 10000 + (q - p) * 35000 + (1 - q) * 80000) ** 2 AS variance, (q - p) * (2.0 / 3) + 1 - q AS above, (q - p) * (2.0 / 3) * 40000 + (1 - q) * 80000 AS s FROM c) SELECT l_orderkey, round(mean, 3) AS mean, round(variance, 0) AS variance, round(above, 6) AS above, CASE WHEN above > 0 THEN round(s / above, 3) END AS mean_above FROM m")
+def e5(s, d):
+    x = F.col("l_extendedprice")
+    cdf = T.table(s, d, "lineitem").groupBy("l_orderkey").agg(*[F.avg(F.when(x <= t, 1.0).otherwise(0.0)).alias(c) for c, t in (("p", 20000), ("q", 50000))])
+    out = lookup.post_ik(cdf, [20000.0, 50000.0], ["p", "q"], 0.0, 110000.0, 30000.0)
+    return out.select("l_orderkey", F.round("mean", 3).alias("mean"), F.round("variance", 0).alias("variance"), F.round("above", 6).alias("above"), F.round("mean_above", 3).alias("mean_above"))
+
+
+@query("S7_bootstrap")
+def s7(s, d):
+    return lookup.bootstrap(T.points(s, d).select("row_id", "v"), 11)
+
+
+# --- meshes, other grids, variograms
+_HOR = "h AS (SELECT CAST(o_orderkey % 100 AS INTEGER) AS i, CAST(o_orderkey // 100 AS INTEGER) AS j, -o_totalprice / 100000 AS top, -o_totalprice / 100000 - 5 - o_orderkey % 3 AS base FROM orders)"
+
+
+def _horizons(s, d):
+    g, k = T.table(s, d, "orders"), F.col("o_orderkey")
+    i, j, top = (k % 100).cast("int"), F.floor(k / 100).cast("int"), -F.col("o_totalprice") / 100000
+    return g.select(i.alias("i"), j.alias("j"), (i + 0.5).alias("x"), (j + 0.5).alias("y"), top.alias("top"), (top - 5 - k % 3).alias("base"))
+
+
+@query("G13_vertices", f"WITH {_HOR} SELECT i, j, CAST(k AS INTEGER) AS k, round(base + k / 4 * (top - base), 6) AS z FROM h, range(0, 5) t(k)")
+def g13(s, d):
+    return rounded(mesh.vertices(_horizons(s, d), 4), "z").select("i", "j", "k", "z")
+
+
+@query("G15_mesh_centers", f"WITH {_HOR}, v AS (SELECT i, j, CAST(k AS INTEGER) AS k, base + k / 4 * (top - base) AS z FROM h, range(0, 5) t(k)) SELECT c.i, c.j, c.k, round(avg(v.z), 6) AS cz, round(min(v.z), 6) AS min_z, round(max(v.z), 6) AS max_z FROM v c JOIN v ON v.i BETWEEN c.i AND c.i + 1 AND v.j BETWEEN c.j AND c.j + 1 AND v.k BETWEEN c.k AND c.k + 1 GROUP BY c.i, c.j, c.k HAVING count(*) = 8")
+def g15(s, d):
+    return rounded(mesh.centers(mesh.cells(mesh.vertices(_horizons(s, d), 4))), "cz", "min_z", "max_z").select("i", "j", "k", "cz", "min_z", "max_z")
+
+
+@query("G14_mesh_zones", f"WITH {_HOR} SELECT a.i, a.j, CAST(k AS INTEGER) AS k, CASE WHEN k < 2 THEN 0 ELSE 1 END AS zone FROM h a JOIN h b ON b.i = a.i + 1 AND b.j = a.j JOIN h c ON c.i = a.i AND c.j = a.j + 1 JOIN h e ON e.i = a.i + 1 AND e.j = a.j + 1, range(0, 5) t(k)")
+def g14(s, d):
+    h = _horizons(s, d)
+    below = h.select("i", "j", "x", "y", F.col("base").alias("top"), (F.col("base") - 3).alias("base"))
+    return mesh.stack_zones([(mesh.cells(mesh.vertices(below, 2)), 2), (mesh.cells(mesh.vertices(h, 3)), 3)]).select("i", "j", "k", "zone")
+
+
+@query("G16_cell_volumes")
+def g16(s, d):
+    return mesh.volumes(mesh.cells(mesh.vertices(_horizons(s, d), 4))).select("i", "j", "k", "volume")
+
+
+@query("U5_stack_realizations", f"WITH g AS ({_GRID}) SELECT cell, v, 1 AS real FROM g UNION ALL SELECT cell, -v, 2 FROM g")
+def u5(s, d):
+    g = T.grid(s, d).select("cell", "v")
+    return mesh.stack_realizations([g, g.withColumn("v", -F.col("v"))])
+
+
+@query("G8_project", f"WITH g AS ({_GRID}), n AS (SELECT max(j) + 1 AS nj FROM g) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, coalesce(v, 0) AS v FROM n, range(0, 130) a(i) CROSS JOIN range(0, 12) b(j) LEFT JOIN g ON g.i = a.i - 15 AND g.j = b.j - CAST(floor((12 - (SELECT nj FROM n)) / 2) AS BIGINT)")
+def g8(s, d):
+    g = T.grid(s, d)
+    return mesh.project(g, "v", (100, g.agg(F.max("j")).first()[0] + 1), (130, 12))
+
+
+@query("V5_varmap", f"WITH g AS ({_GRID}) SELECT CAST(x.di AS INTEGER) AS di, CAST(y.dj AS INTEGER) AS dj, count(*) AS n, round(avg((a.v - b.v) * (a.v - b.v) / 2) / 1e6, 2) AS gamma FROM range(-3, 4) x(di), range(-2, 3) y(dj), g a, g b WHERE b.i = a.i + x.di AND b.j = a.j + y.dj AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL")
+def v5(s, d):
+    return mesh.varmap(T.grid(s, d), "v", 3, 2).withColumn("gamma", F.round(F.col("gamma") / 1e6, 2))
+
+
+@query("V4_variogram_realizations", f'WITH e AS ({_ENS}), g AS (SELECT "real", cell % 100 AS i, cell // 100 AS j, v FROM e) SELECT a."real", CAST(k AS INTEGER) AS lag, count(*) AS n, round(avg((a.v - b.v) * (a.v - b.v) / 2) / 1e6, 2) AS gamma FROM range(1, 4) t(k), g a, g b WHERE b."real" = a."real" AND b.i = a.i + k AND b.j = a.j GROUP BY ALL')
+def v4(s, d):
+    e = T.ensemble(s, d).withColumns({"i": F.col("cell") % 100, "j": F.floor(F.col("cell") / 100)})
+    return spatial.variogram_grid(e, "v", [(1, 0)], 3, ("real",)).select("real", "lag", "n", F.round(F.col("gamma") / 1e6, 2).alias("gamma"))
+
+
+@query("V3_cross_variogram", f"WITH p AS ({_PT}) SELECT CAST(floor(d / 10) AS INTEGER) AS lag, count(*) AS n, round(avg((v - w) * (y1 - y2) / 2), 2) AS gamma FROM (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, a.v AS v, b.v AS w, a.z AS y1, b.z AS y2 FROM p a JOIN p b ON a.row_id < b.row_id) WHERE d < 50 AND d > 0 GROUP BY ALL")
+def v3(s, d):
+    p = T.points(s, d).withColumnRenamed("z", "u")
+    return spatial.variogram_points(p, "v", "u", 10.0, 5).select("lag", "n", F.round("gamma", 2).alias("gamma"))
+
+
+@query("K6_spectrogram", f"WITH g AS ({_GRID}), b AS (SELECT cell, v, sqrt((i - 50.0) * (i - 50.0) + (j - 5.0) * (j - 5.0)) AS d, abs((i - 50) * sin(radians(70)) + (j - 5) * cos(radians(70))) AS a FROM g WHERE v IS NOT NULL) SELECT cell, round(d, 6) AS distance, round(20 * log10((abs(v) + 1e-10) / 100), 4) AS db FROM b WHERE a >= d * cos(radians(20.3))")
+def k6(s, d):
+    rows = lookup.band(T.grid(s, d), (50.0, 5.0), 70.0, 20.3)
+    return rows.select("cell", F.round("distance", 6).alias("distance"), F.round(S.decibel(F.col("v"), 100.0), 4).alias("db"))
+
+
+@query("K7_singular_values")
+def k7(s, d):
+    return mesh.singular_values(T.table(s, d, "embeddings"), "embedding", 64)
