@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import id_crc, table
+from lithospark.llm.common import bounded_sample, id_crc, table
 
 FEATURES = ("chars", "words", "word_length", "distinct_words", "top_word", "repeated_neighbours", "upper", "digits", "punctuation", "symbols", "other_marks", "lines", "line_length", "dup_lines", "short_lines", "end_marks")
 _KIND = np.zeros(256, np.int64)
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: AdditiveModel, without: tuple[str, ...] = ())
 def chosen_labels(labels: DataFrame, rows: int = 20_000) -> DataFrame:
     """At most that many labels outside the held-out fold, by lowest hash: a bounded side to join with."""
     marks = labels.where((id_crc() % 5 != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    return marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return bounded_sample(marks, rows, [F.xxhash64("doc_id"), F.col("doc_id")])
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> AdditiveModel:
