@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import first_by, keep
+from lithospark.llm.common import bounded_sample, first_by, keep
 
 #: Rows of a block of data or of queries in one task.
 BLOCK = 8192
@@ -69,7 +69,7 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id",
         return df.sparkSession.createDataFrame([], schema + ", rank int")
     longest *= 1 + 1e-12
     size = int(min(most_pivots, max(4, n**0.5)))
-    chosen = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(size).collect()], np.int64)  # at most most_pivots rows
+    chosen = np.array([r["v"] for r in bounded_sample(rows, size, [F.xxhash64("id"), F.col("id")]).collect()], np.int64)  # at most most_pivots rows
     pivots = _lift(np.unique(chosen, axis=0), longest)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
