@@ -559,7 +559,7 @@ def f8(s, d):
     return rounded(T.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.chi2_pdf(F.col("l_quantity"), 5).alias("pdf")), "pdf", digits=8)
 
 
-@query("F13_soft_indicators", f"WITH p AS ({_PT}) SELECT row_id, floor((CASE WHEN v <= 0 THEN 0 + (v + 1000) * 0.2 / 1000 WHEN v <= 5000 THEN 0.2 + v * (0.7 - 0.2) / 5000 ELSE 0.7 + (v - 5000) * (1.0 - 0.7) / 5000 END) * 1e4 + 0.5) / 1e4 AS soft FROM p")
+@query("F13_soft_indicators", f"WITH p AS ({_PT}) SELECT row_id, floor((CASE WHEN v <= 0 THEN 0 + (v + 1000) * 0.2 / 1000 WHEN v <= 5000 THEN 0.2 + v * (0.7::DOUBLE - 0.2::DOUBLE) / 5000 ELSE 0.7 + (v - 5000) * (1.0::DOUBLE - 0.7::DOUBLE) / 5000 END) * 1e4 + 0.5) / 1e4 AS soft FROM p")
 def f13(s, d):
     return T.points(s, d).select("row_id", lookup.soft_indicator(F.col("v"), [(-1000.0, 0.0), (0.0, 0.2), (5000.0, 0.7), (10000.0, 1.0)]).alias("soft"))
 
@@ -587,14 +587,14 @@ def _horizons(s, d):
     return g.select(i.alias("i"), j.alias("j"), (i + 0.5).alias("x"), (j + 0.5).alias("y"), top.alias("top"), (top - 5 - k % 3).alias("base"))
 
 
-@query("G13_vertices", f"WITH {_HOR} SELECT i, j, CAST(k AS INTEGER) AS k, round(base + k / 4 * (top - base), 6) AS z FROM h, range(0, 5) t(k)")
+@query("G13_vertices", f"WITH {_HOR} SELECT i, j, CAST(k AS INTEGER) AS k, round(base + k / 4 * (top - base), 9) AS z FROM h, range(0, 5) t(k)")
 def g13(s, d):
-    return rounded(mesh.vertices(_horizons(s, d), 4), "z").select("i", "j", "k", "z")
+    return rounded(mesh.vertices(_horizons(s, d), 4), "z", digits=9).select("i", "j", "k", "z")
 
 
-@query("G15_mesh_centers", f"WITH {_HOR}, v AS (SELECT i, j, CAST(k AS INTEGER) AS k, base + k / 4 * (top - base) AS z FROM h, range(0, 5) t(k)) SELECT c.i, c.j, c.k, round(avg(v.z), 6) AS cz, round(min(v.z), 6) AS min_z, round(max(v.z), 6) AS max_z FROM v c JOIN v ON v.i BETWEEN c.i AND c.i + 1 AND v.j BETWEEN c.j AND c.j + 1 AND v.k BETWEEN c.k AND c.k + 1 GROUP BY c.i, c.j, c.k HAVING count(*) = 8")
+@query("G15_mesh_centers", f"WITH {_HOR}, v AS (SELECT i, j, CAST(k AS INTEGER) AS k, base + k / 4 * (top - base) AS z FROM h, range(0, 5) t(k)) SELECT c.i, c.j, c.k, round(avg(v.z), 12) AS cz, round(min(v.z), 12) AS min_z, round(max(v.z), 12) AS max_z FROM v c JOIN v ON v.i BETWEEN c.i AND c.i + 1 AND v.j BETWEEN c.j AND c.j + 1 AND v.k BETWEEN c.k AND c.k + 1 GROUP BY c.i, c.j, c.k HAVING count(*) = 8")
 def g15(s, d):
-    return rounded(mesh.centers(mesh.cells(mesh.vertices(_horizons(s, d), 4))), "cz", "min_z", "max_z").select("i", "j", "k", "cz", "min_z", "max_z")
+    return rounded(mesh.centers(mesh.cells(mesh.vertices(_horizons(s, d), 4))), "cz", "min_z", "max_z", digits=12).select("i", "j", "k", "cz", "min_z", "max_z")
 
 
 @query("G14_mesh_zones", f"WITH {_HOR} SELECT a.i, a.j, CAST(k AS INTEGER) AS k, CASE WHEN k < 2 THEN 0 ELSE 1 END AS zone FROM h a JOIN h b ON b.i = a.i + 1 AND b.j = a.j JOIN h c ON c.i = a.i AND c.j = a.j + 1 JOIN h e ON e.i = a.i + 1 AND e.j = a.j + 1, range(0, 5) t(k)")
