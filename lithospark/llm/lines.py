@@ -9,9 +9,15 @@ are compared: first by character histograms, then by banded bit-parallel edit di
 Keys with many lines are compared in blocks paired with each other. Only a spanning star of each block's
 matches leaves a task, and connected components over all stars make the classes of lines.
 
+With `per`, a line may differ from a longer one by its length / per edits where these are more. Such lines
+share a run of unchanged characters, and so the least hash of GRAM characters in a window of it; the index
+has these, keyed by length class and place class, each line being in the next class too where its edits
+reach it. Few lines with a key are compared as distinct pairs, many in blocks as above, without pairs that
+a block has joined already. With `exact`, lines below `min_chars` with a word go where they equal an earlier
+line; without it they are never touched. The query and the pipeline use both.
+
 Lines are what newlines separate, without ASCII white space at the ends; edits count code points. Of each
-class the line with the least (doc_id, row, line number) stays, wherever it is; shorter lines are never
-touched. A null text stays null; a text may lose all its lines and is then empty. Repeated rows: the
+class the line with the least (doc_id, row, line number) stays, wherever it is. A null text stays null; a text may lose all its lines and is then empty. Repeated rows: the
 repeats are equal lines at equal places, and share one result: what the first of them keeps. An empty table
 gives an empty result.
 """
@@ -31,6 +37,9 @@ from lithospark.llm.hashing import mix, powers, range_hash
 from lithospark.llm.repeats import row_id
 
 EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
+#: Characters to an edit; characters hashed together; most lines of a key that are compared as pairs.
+PER, GRAM, FEW = 24, 10, 8
+_CLASSES = np.unique((1.2 ** np.arange(1, 118)).astype(np.int64))
 _STRIP = " \t\n\r\x0b\x0c"
 
 
@@ -84,15 +93,68 @@ def keys_of(texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_line), np.concatenate(out_key).view(np.int64)
 
 
-def _key_rows(edits: int, min_chars: int):
+def allowed(size, edits: int, per: int):
+    """Edits to a line of this length from a line that is as long or longer."""
+    return np.maximum(edits, size // per) if per else edits + 0 * size
+
+
+def grown_from(edits: int, per: int) -> int:
+    """Length from which lines have more than `edits` edits."""
+    return (edits + 1) * per
+
+
+def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the least hashes of the windows of each text of at least `least` characters.
+
+    A line of n characters changed by k = n // per edits keeps a run of (n - k) / (k + 1) characters; the
+    window is the shortest such run of all lengths."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    n = np.arange(least, max(least, per * per) + 2 * per)
+    run = int((-(-(n - n // per) // (n // per + 1))).min())
+    gram = min(GRAM, run)
+    if len(codes) < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    up, _ = powers(len(codes) + 1)
+    prefix = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x1234567)) * up[: len(codes)], out=prefix[1:])
+    at = np.arange(len(codes) - gram + 1)
+    h = range_hash(prefix, at, at + gram)
+    low = np.arange(len(h) - (run - gram))  # the first least hash of each window
+    for k in range(1, run - gram + 1):
+        other = np.arange(len(low)) + k
+        low = np.where(h[other] < h[low], other, low)
+    line = np.repeat(np.arange(len(texts)), size)
+    inside = np.arange(len(low)) + run <= (begin + size)[line[: len(low)]]
+    low = np.unique(low[inside])
+    line = line[low]
+    place, edits = low - begin[line], size[line] // per
+    out_line, out_key = [], []
+    kind, next_kind = (np.searchsorted(_CLASSES, x, "right") for x in (size[line], size[line] + edits))
+    for c, some in ((kind, slice(None)), (next_kind, next_kind != kind)):
+        c, g, p, k, on = c[some], h[low[some]], place[some], edits[some], line[some]
+        wide = 4 * (_CLASSES[c] // per + 1)
+        for step, more in ((p // wide, slice(None)), ((p + k) // wide, (p + k) // wide != p // wide)):
+            key = mix(g[more] + (c[more].astype(np.uint64) << np.uint64(40)) + step[more].astype(np.uint64) * np.uint64(0x9E3779B1))
+            out_line.append(on[more])
+            out_key.append(key | np.uint64(1))
+    return np.concatenate(out_line), np.concatenate(out_key).view(np.int64)
+
+
+def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
+    """Keys of the segments (of lines that have no more than `edits` edits), or of the windows (of the others)."""
+    first = max(min_chars, grown_from(edits, per)) if windows else min_chars
+    end = grown_from(edits, per) + edits if per and not windows else 1 << 40
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                lines = {s for t in b.column("text").slice(at, 1000).to_pylist() if t for x in t.split("\n") if len(s := x.strip(_STRIP)) >= min_chars}
+                lines = {s for t in b.column("text").slice(at, 1000).to_pylist() if t for x in t.split("\n") if first <= len(s := x.strip(_STRIP)) < end}
                 if lines:
                     texts = sorted(lines)
                     h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in texts], np.uint64).view(np.int64)
-                    line, key = keys_of(texts, edits)
+                    line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
                     for i in range(0, len(key), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
 
@@ -100,23 +162,24 @@ def _key_rows(edits: int, min_chars: int):
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (bucket, key, h): rows without repeats whose bucket (key without its lowest bit) another line has next to them."""
-    key, h, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    """From rows sorted by (bucket, key, h): rows without repeats whose bucket (key without its lowest bit) has another line."""
+    key, h, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last bucket's rows, of one line; if met, its last row
     for b in batches:
         if not b.num_rows:
             continue
         k, g = np.concatenate([key, b.column("key").to_numpy()]), np.concatenate([h, b.column("h").to_numpy()])
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])
         k, g = k[new], g[new]
-        near = ((k[1:] >> 1) == (k[:-1] >> 1)) & (g[1:] != g[:-1])
-        hit = np.concatenate([[met], near]) | np.concatenate([near, [False]])
-        met = bool(hit[-1])
-        key, h = k[-1:], g[-1:]
-        on = np.flatnonzero(hit[:-1])
+        start = np.flatnonzero(np.concatenate([[True], (k[1:] >> 1) != (k[:-1] >> 1)]))
+        many = np.minimum.reduceat(g, start) != np.maximum.reduceat(g, start)
+        many[0] |= met
+        hit = np.repeat(many, np.diff(np.append(start, len(k))))
+        hit[0] &= not met  # sent already
+        met = bool(many[-1])
+        key, h = (k[-1:], g[-1:]) if met else (k[start[-1] :], g[start[-1] :])
+        on = np.flatnonzero(hit)
         if len(on):
             yield pa.RecordBatch.from_arrays([pa.array(k[on] >> 1), pa.array(g[on]), pa.array((k[on] & 1).astype(bool))], ["bucket", "h", "index"])
-    if met:
-        yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(h), pa.array((key & 1).astype(bool))], ["bucket", "h", "index"])
 
 
 def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -160,6 +223,92 @@ def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
     return out
 
 
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether the edit distance is at most edits, however many these are: bit-parallel over whole columns."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > edits:
+        return False
+    same, high = 0, len(a)
+    while same < high:  # the longest equal start
+        mid = (same + high + 1) // 2
+        same, high = (mid, high) if a[same:mid] == b[same:mid] else (same, mid - 1)
+    a, b = a[same:], b[same:]
+    same, high = 0, len(a)
+    while same < high:
+        mid = (same + high + 1) // 2
+        same, high = (mid, high) if a[len(a) - mid : len(a) - same] == b[len(b) - mid : len(b) - same] else (same, mid - 1)
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    if not a or len(b) <= edits:
+        return len(b) <= edits
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    vp, vn = full, 0
+    for j, c in enumerate(b):
+        match = at.get(c, 0)
+        d0 = (((match & vp) + vp) ^ vp) | match | vn
+        hp, hn = vn | full & ~(d0 | vp), d0 & vp
+        score += bool(hp & top) - bool(hn & top)
+        if score - (len(b) - 1 - j) > edits:
+            return False
+        hp = hp << 1 | 1
+        vp, vn = (hn << 1 | full & ~(d0 | hp)) & full, d0 & hp & full
+    return score <= edits
+
+
+def _marks(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), 32), np.int32)
+    for i, x in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(27), minlength=32)
+    return out
+
+
+def _near_pairs(edits: int, per: int):
+    """The pairs within the edits of the shorter line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
+            most = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64), edits, per)
+            maybe = np.abs(_marks(left) - _marks(right)).sum(1) <= 2 * most
+            on = [i for i in np.flatnonzero(maybe) if within(left[i], right[i], int(most[i]))]
+            if on:
+                yield pa.RecordBatch.from_arrays([b.column("src").take(pa.array(on)), b.column("dst").take(pa.array(on))], ["src", "dst"])
+
+    return run
+
+
+def _near_blocks(edits: int, per: int):
+    """Spanning stars of the matching lines of each block pair; pairs joined already are not compared."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in whole_groups(batches, ["bucket", "lo", "hi"], 5000):
+            h, block, texts = t.column("h").to_numpy(), t.column("block").to_numpy(), t.column("line").to_pylist()
+            lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
+            size, marks = np.array([len(x) for x in texts], np.int64), _marks(texts)
+            src, dst = [], []
+            for g in range(len(start) - 1):
+                s = np.arange(start[g], start[g + 1])
+                across, label = lo[s[0]] != hi[s[0]], np.arange(len(s))
+                for i in range(len(s)):
+                    others = np.arange(i + 1, len(s))
+                    others = others[label[others] != label[i]]
+                    if across:
+                        others = others[block[s[others]] != block[s[i]]]
+                    most = allowed(np.minimum(size[s[others]], size[s[i]]), edits, per)
+                    gap = np.abs(marks[s[others]] - marks[s[i]]).sum(1)
+                    for k in np.flatnonzero(gap <= 2 * most):
+                        j = others[k]
+                        if label[j] != label[i] and within(texts[s[i]], texts[s[j]], int(most[k])):
+                            src.append(h[s[i]])
+                            dst.append(h[s[j]])
+                            label[label == label[j]] = label[i]
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return run
+
+
 def _near_lines(edits: int):
     """Spanning stars of the matching lines of each bucket (block pair)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,32 +355,60 @@ def first_places(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]
     return firsts, keep(firsts.where(F.col("n") * HOT > total).coalesce(1), "hot")
 
 
-def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(node, root): lines (by hash) with near lines, and the class of each; hot as first_places() gives it."""
-    n = partitions(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(_key_rows(edits, min_chars), "key bigint, h bigint")
-    bucket = F.shiftright("key", 1)
-    shared = keep(rows.repartition(n, bucket).sortWithinPartitions("key", "h").mapInArrow(_shared_keys, "bucket bigint, h bigint, index boolean"), "shared")
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("index").alias("any")).where("size > 1 AND any")
-    met = keep(shared.join(keep(sizes, "sizes"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
-    discard(shared)
+def _lines_of(docs: DataFrame, hot: DataFrame, met: DataFrame, min_chars: int) -> DataFrame:
+    """(h, line) of the lines in met, hot ones taken at their first place."""
     wanted = keep(met.select("h").distinct(), "wanted")
     lines = line_rows(docs, min_chars).join(F.broadcast(hot.select("h", "first")), ["h"], "left")
     once = F.col("first").isNull() | ((F.col("rid") == F.col("first.rid")) & (F.col("line_no") == F.col("first.line_no")))
     lines = lines.where(once).select("h", "line").join(wanted.hint("merge"), ["h"], "left_semi")
-    lines = keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
+    return keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
+
+
+def _blocks(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of met, with their lines, in each pair of blocks of their bucket they belong to, sorted by it."""
     met = met.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "index").join(lines, "h")
     keys = ["bucket", "lo", "hi"]
-    edges = met.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_near_lines(edits), "src bigint, dst bigint")
-    return components(edges, "near")
+    return met.repartition(partitions(met.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def _shared(docs: DataFrame, run) -> DataFrame:
+    rows, bucket = docs.select("text").mapInArrow(run, "key bigint, h bigint"), F.shiftright("key", 1)
+    return keep(rows.repartition(partitions(docs.sparkSession), bucket).sortWithinPartitions("key", "h").mapInArrow(_shared_keys, "bucket bigint, h bigint, index boolean"), "shared")
+
+
+def grown_edges(docs: DataFrame, hot: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
+    """(src, dst): stars and pairs of near lines that are long enough for more than `edits` edits."""
+    shared = _shared(docs, _key_rows(edits, min_chars, per, windows=True))
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"))
+    sizes = keep(sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket")), "sizes")  # buckets of the same lines count once
+    met = keep(shared.join(sizes.select("bucket", "size"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
+    discard(shared)
+    lines = _lines_of(docs, hot, met, max(min_chars, grown_from(edits, per)))
+    few = met.where(F.col("size") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("h")).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("at", "src")).select("src", F.explode(F.slice("all", F.col("at") + 2, FEW)).alias("dst")).distinct()
+    few = few.join(lines.select(F.col("h").alias("src"), F.col("line").alias("left")), "src").join(lines.select(F.col("h").alias("dst"), F.col("line").alias("right")), "dst")
+    pairs = few.select("src", "dst", "left", "right").mapInArrow(_near_pairs(edits, per), "src bigint, dst bigint")
+    many = _blocks(met.where(F.col("size") > FEW), lines).mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint")
+    return pairs.unionByName(many)
+
+
+def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0) -> DataFrame:
+    """(node, root): lines (by hash) with near lines, and the class of each; hot as first_places() gives it."""
+    shared = _shared(docs, _key_rows(edits, min_chars, per))
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("index").alias("any")).where("size > 1 AND any")
+    met = keep(shared.join(keep(sizes, "sizes"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
+    discard(shared)
+    edges = _blocks(met, _lines_of(docs, hot, met, min_chars)).mapInArrow(_near_lines(edits), "src bigint, dst bigint")
+    return components(edges.unionByName(grown_edges(docs, hot, edits, min_chars, per)) if per else edges, "near")
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, exact: bool = False) -> DataFrame:
     """docs with text less the removed lines (n_chars, if there, follows), and n_lines, n_removed."""
-    first, hot = first_places(docs, min_chars)
-    near = keep(line_classes(docs, hot, edits, min_chars), "classes")
-    rows = line_rows(docs, min_chars).select("rid", "line_no", "h")
+    least = 1 if exact else min_chars
+    first, hot = first_places(docs, least)
+    near = keep(line_classes(docs, hot, edits, min_chars, per), "classes")
+    rows = line_rows(docs, least).select("rid", "line_no", "h")
     repeated = first.join(near.select(F.col("node").alias("h"), "root"), ["h"], "left").where("n > 1 OR root IS NOT NULL")
     repeated = keep(repeated.withColumn("root", F.coalesce("root", "h")), "repeated")
     heads = keep(repeated.groupBy("root").agg(F.min("first").alias("first")), "heads")
@@ -257,5 +434,5 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its number of lines, the line numbers removed and a digest of the text left."""
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), per=PER, exact=True)
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.sort_array("gone"), F.array().cast("array<int>")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -172,6 +172,56 @@ def test_line_dedup_repeated_rows(spark):
     assert out == [row[1], row[1], "short"]
 
 
+def test_line_dedup_edits_grow_and_short_lines_go(spark, monkeypatch):
+    monkeypatch.setattr(lines, "FEW", 3)
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgé ") for _ in range(n)).strip() for n in (30, 69, 73, 96, 120, 200, 340, 900)]
+
+    def changed(x):
+        for _ in range(rng.choice([0, 1, len(x) // 30, len(x) // 24, len(x) // 20])):
+            i = rng.randrange(1, len(x) - 1)
+            x = x[:i] + rng.choice(["", "q", x[i] + "é"]) + x[i + 1 :]
+        return x
+
+    rows = [(i, "\n".join([changed(rng.choice(base)), rng.choice(["}", "All rights", " ", "own %d" % i])])) for i in range(90)]
+    counted = [(x.strip(lines._STRIP), i, k) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip(lines._STRIP)]
+    distinct = sorted({c[0] for c in counted})
+    label = {x: x for x in distinct}
+    for x in distinct:
+        for y in distinct:
+            most = max(2, min(len(x), len(y)) // 24)
+            if label[x] != label[y] and min(len(x), len(y)) >= 24 and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+                a, b = label[x], label[y]
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    first = {}
+    for x, i, k in counted:
+        first.setdefault(label[x], (i, k))
+    want = {i: [k for x, j, k in counted if j == i and first[label[x]] != (i, k)] for i, _ in rows}
+    for bucket in (1000, 4):
+        monkeypatch.setattr(lines, "BUCKET", bucket)
+        got = {r["doc_id"]: sorted(r["gone"] or []) for r in lines.line_dedup(frame(spark, rows), per=24, exact=True).collect()}
+        assert got == want
+
+
+def test_within():
+    rng = random.Random(8)
+    for _ in range(600):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 90)))
+        b = "".join(rng.choice(["", c, c, c, c, c, "q", c + "b"]) for c in a)
+        d = distance(a, b)
+        assert [lines.within(a, b, k) for k in (d - 1, d, d + 1)] == [False, True, True]
+
+
+def test_shared_keys_of_a_line_with_its_own_probe():
+    import pyarrow as pa
+
+    rows = sorted([(6, 1), (6, 2), (7, 2), (8, 3), (9, 3), (10, 4)])
+    for size in (1, 2, 6):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]]), pa.array([r[1] for r in rows[i : i + size]])], ["key", "h"]) for i in range(0, 6, size)]
+        got = [tuple(x.values()) for b in lines._shared_keys(iter(batches)) for x in b.to_pylist()]
+        assert got == [(3, 1, False), (3, 2, False), (3, 2, True)]
+
+
 def test_rules(spark, corpus):
     word = re.compile("[^\x20\x09-\x0d]+")
     got = rules.quality_rules(frame(spark, [(i, t, "a" if (i or 0) % 2 else None) for i, t in corpus], DOC + ", source string"), min_words=5)
