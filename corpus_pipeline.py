@@ -28,10 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near an earlier one go; so do documents that lost lines and have none left of the size that counts."""
+    """Lines near an earlier one go; so do documents that lost lines and have no word left."""
     out = lines.line_dedup(docs.select(*COLUMNS), per=lines.PER, exact=True)
-    left = F.exists(F.split("text", "\n"), lambda x: F.char_length(lines.stripped(x)) >= lines.MIN_CHARS)
-    return out.where((F.col("n_removed") == 0) | left).select(*COLUMNS)
+    return out.where((F.col("n_removed") == 0) | _has_word()).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

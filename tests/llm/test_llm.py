@@ -172,6 +172,22 @@ def test_line_dedup_repeated_rows(spark):
     assert out == [row[1], row[1], "short"]
 
 
+def lines_gone(rows):
+    counted = [(x.strip(lines._STRIP), i, k) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip(lines._STRIP)]
+    distinct = sorted({c[0] for c in counted})
+    label = {x: x for x in distinct}
+    for x in distinct:
+        for y in distinct:
+            most = max(2, min(len(x), len(y)) // 24)
+            if label[x] != label[y] and min(len(x), len(y)) >= 24 and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+                a, b = label[x], label[y]
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    first = {}
+    for x, i, k in counted:
+        first.setdefault(label[x], (i, k))
+    return {i: [k for x, j, k in counted if j == i and first[label[x]] != (i, k)] for i, _ in rows}
+
+
 def test_line_dedup_edits_grow_and_short_lines_go(spark, monkeypatch):
     monkeypatch.setattr(lines, "FEW", 3)
     rng = random.Random(5)
@@ -184,19 +200,7 @@ def test_line_dedup_edits_grow_and_short_lines_go(spark, monkeypatch):
         return x
 
     rows = [(i, "\n".join([changed(rng.choice(base)), rng.choice(["}", "All rights", " ", "own %d" % i])])) for i in range(90)]
-    counted = [(x.strip(lines._STRIP), i, k) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip(lines._STRIP)]
-    distinct = sorted({c[0] for c in counted})
-    label = {x: x for x in distinct}
-    for x in distinct:
-        for y in distinct:
-            most = max(2, min(len(x), len(y)) // 24)
-            if label[x] != label[y] and min(len(x), len(y)) >= 24 and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
-                a, b = label[x], label[y]
-                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
-    first = {}
-    for x, i, k in counted:
-        first.setdefault(label[x], (i, k))
-    want = {i: [k for x, j, k in counted if j == i and first[label[x]] != (i, k)] for i, _ in rows}
+    want = lines_gone(rows)
     for bucket in (1000, 4):
         monkeypatch.setattr(lines, "BUCKET", bucket)
         got = {r["doc_id"]: sorted(r["gone"] or []) for r in lines.line_dedup(frame(spark, rows), per=24, exact=True).collect()}
@@ -298,6 +302,63 @@ def test_pipeline_small(spark):
     assert len(out) and (out.groupby("sequence_id")["length"].sum() <= 4096).all()
 
 
+def as_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def test_pipeline_line_stage(spark):
+    import corpus_pipeline
+
+    licence = "This work is licensed under the terms given at the end of it."
+    rows = [(0, licence), (1, licence), (2, licence + "\n" + "\n".join(f"verse {k} of two" for k in range(9))), (3, " \n" + licence + "\n\t"), (4, " \n"), (5, ""), (6, licence.replace("work", "text") + "\nx = 1\nx = 1")]
+    gone, want = lines_gone(rows), []
+    for i, t in rows:
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+        if not gone[i] or left.strip(lines._STRIP):
+            want.append((i, left, "en", "web", len(left)))
+    assert [r[0] for r in want] == [0, 2, 4, 5, 6]
+    assert rows_of(corpus_pipeline.line_stage(spark, as_docs(spark, rows), None)) == sorted(want, key=str)
+
+
+def test_pipeline_near_duplicate_and_repeat_stages(spark, corpus):
+    import corpus_pipeline
+
+    rows = [(i, t) for i, t in corpus if i is not None and t is not None]
+    kept = {i for i, least, _ in jaccard_brute(rows) if least == i}
+    assert rows_of(corpus_pipeline.near_duplicate_stage(spark, as_docs(spark, rows), None)) == sorted({(i, t, "en", "web", len(t)) for i, t in rows if i in kept}, key=str)
+
+    rng = random.Random(6)
+    draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = draw(500)
+    rows = [(0, shared), (1, draw(90) + shared + draw(30)), (2, draw(700)), (3, " " + shared[:450]), (4, ""), (5, "x" + shared[20:400])]
+    seen, want = Counter(t[p : p + 400] for _, t in rows for p in range(len(t) - 399)), []
+    for i, t in rows:
+        gone = {q for p in range(len(t) - 399) if seen[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        left = "".join(c for q, c in enumerate(t) if q not in gone)
+        if not gone or left.strip(lines._STRIP):
+            want.append((i, left, "en", "web", len(left)))
+    assert rows_of(corpus_pipeline.repeat_stage(spark, as_docs(spark, rows), None)) == sorted(want, key=str)
+
+
+def test_pipeline_quality_and_packing_stages(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    score = quality.score(docs, quality.learn(docs, labels)).select("doc_id", "score").collect()
+    out = corpus_pipeline.quality_stage(spark, docs, folder)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in score if r["score"] >= 0.3)
+    few = out.orderBy("doc_id").limit(40)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = corpus_pipeline.packing_stage(spark, few, folder).toPandas()
+    lengths = Counter({r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in few.collect()})
+    assert got.groupby("doc_id")["length"].sum().to_dict() == dict(lengths)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["length"].sum() <= 4096 and list(g["offset"]) == [0, *g["length"].cumsum()[:-1]]
+
+
 def test_bounded_sample(spark):
     from lithospark.llm.common import bounded_sample
 
