@@ -1,9 +1,9 @@
 """Quality rules: figures of each text, and lines that many documents of a host share.
 
 Cross-document line frequency: normalised lines (lower case, white space collapsed) are hashed once per
-document; for each host the distinct documents with a line are counted, copies of one text counting
-once. Lines in more documents than the limit are removed, and documents with too little left are
-rejected. The limit of a host is the larger of a number and a share of its distinct documents.
+document; for each host the documents with a line are counted, copies of a text under other ids too.
+Lines in more documents than the limit are removed, and documents with too little left are
+rejected. The limit is the same for every host and size of input.
 
 Counts are made per host and line with map-side sums, so a host or a line with a third of all rows is
 no single task. Nulls: a null text has no words and fails the base rules; a null host is a host of its
@@ -73,17 +73,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), part.column("key"), *columns, pa.array([x[0] for x in lines], pa.list_(pa.int64())), pa.array([x[1] for x in lines], pa.list_(pa.int32()))], ["doc_id", "host", "key", *_FIGURES, "lines", "sizes"])
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, line_documents: int = 20, line_share: float = 0.001, depleted: float = 0.5) -> DataFrame:
-    """Adds to each document its figures, n_removed_words (in lines above the host's limit), base_failed and kept.
+def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, line_documents: int = 20, depleted: float = 0.5) -> DataFrame:
+    """Adds to each document its figures, n_removed_words (in lines of more than line_documents documents of the host), base_failed and kept.
 
     kept is false where the base rules fail, or where the lines above the limit hold more than the share
     depleted of the words or leave fewer than min_words."""
     rows = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), text_key().alias("key"), "text")
     base = keep(rows.mapInArrow(_measure, f"doc_id bigint, host string, key bigint, {_BASE}, lines array<bigint>, sizes array<int>"), "rules")
-    distinct = base.groupBy("host", "key").agg(F.first("lines").alias("lines"))
-    limits = distinct.groupBy("host").agg(F.greatest(F.lit(line_documents), F.floor(F.count(F.lit(1)) * line_share)).alias("most"))
+    distinct = base.groupBy("host", "key", "doc_id").agg(F.first("lines").alias("lines"))  # repeated rows count once
     counts = distinct.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").count().where(F.col("count") > line_documents)
-    common = keep(counts.join(limits, "host").where(F.col("count") > F.col("most")).select("host", "line"), "common")
+    common = keep(counts.select("host", "line"), "common")
     seen = base.select("host", "key", "lines", "sizes").select("host", "key", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
     seen = seen.select("host", "key", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     copies = base.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))

@@ -249,6 +249,17 @@ def test_rules_remove_common_lines(spark):
     assert not any(r["kept"] for r in rules.quality_rules(spark.createDataFrame(rows, DOC + ", source string"), min_words=3, line_documents=20, depleted=0.3).where("doc_id < 30").collect())
 
 
+def test_rules_count_documents(spark):
+    schema = DOC + ", source string"
+    copies = [(i, "the same page again", "h") for i in range(25)] + [(i, f"own text {i} of other", "h") for i in range(25, 40)]
+    repeats = [(50, "one row that is repeated", "h")] * 25 + [(50, "another text of that id", "h")]
+    out = rules.quality_rules(spark.createDataFrame(copies + repeats, schema), min_words=3).collect()
+    assert len(out) == 66 and all((r["n_removed_words"], r["kept"]) == ((4, False) if r["doc_id"] < 25 else (0, True)) for r in out)
+    many = spark.range(30000).selectExpr("id AS doc_id", "concat('own line ', id, if(id < 25, '\\nmenu home about us', '')) AS text", "'h' AS source")
+    removed = rules.quality_rules(many, min_words=3).where("n_removed_words > 0").collect()
+    assert sorted((r["doc_id"], r["n_removed_words"]) for r in removed) == [(i, 4) for i in range(25)]
+
+
 def test_language_and_quality(spark):
     rng = random.Random(1)
     make = {"xx": lambda: "".join(rng.choice("abcd ") for _ in range(200)), "yy": lambda: "".join(rng.choice("cdef ") for _ in range(200))}
