@@ -123,7 +123,8 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges(src, dst), root the smallest node of its component.
 
     Alternating large-star and small-star steps; each round's edges become a table in the shared
-    folder, so a lost executor costs one round at most. Stops when a round changes nothing."""
+    folder, so a lost executor costs one round at most. Stops when a round changes nothing; an error if none of
+    most_rounds is that one."""
     def both(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
@@ -143,6 +144,8 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
         after = keep(small.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct(), tag)
         discard(e)
         e = after
+    else:
+        raise RuntimeError(f"components of {tag} still change after {most_rounds} rounds")
     return e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root")).unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())
 
 

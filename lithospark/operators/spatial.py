@@ -40,20 +40,27 @@ def nearest(pairs: DataFrame, n: int, least: int = 0) -> DataFrame:
 
 
 def knn(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xyz", rounds: int = 8) -> DataFrame:
-    """n nearest rows of b with another row_id; targets not served within radius are asked again with twice of it."""
-    spark, found, left, r = a.sparkSession, None, a, radius
+    """n nearest rows of b with another row_id; targets not served within radius are asked again with twice of it.
+
+    After `rounds` rounds those left are asked with the diagonal of the box around all rows, so no target gets fewer rows than there are."""
+    found, left, r, k = None, a, radius, 0
     need = min(n, max(0, b.count() - 1))
-    for k in range(rounds):
+    real = [F.when(F.abs(x) < math.inf, F.col(x)) for x in axes]
+    ends = a.select(*axes).unionByName(b.select(*axes)).agg(*[f(x) for x in real for f in (F.min, F.max)]).first()
+    far = math.dist([x or 0.0 for x in ends[::2]], [x or 0.0 for x in ends[1::2]])
+    while True:
+        last = r > far
         got = nearest(within_distance(left, b, r, axes).where("row_id_a <> row_id_b"), n)
         done = got.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("row_id_a")))
-        done = done.where(F.col("_n") >= (0 if k == rounds - 1 else need)).drop("_n")
+        done = done.where(F.col("_n") >= (0 if last else need)).drop("_n")
         found = done if found is None else found.unionByName(done)
+        if last:
+            return found
         left = left.join(done.select(F.col("row_id_a").alias("row_id")).distinct(), "row_id", "left_anti")
-        if k == rounds - 1 or left.isEmpty():
-            break
-        r *= 2
-    del spark
-    return found
+        if left.isEmpty():
+            return found
+        k += 1
+        r = 2 * r if k < rounds else max(2 * r, 1.001 * far)
 
 
 def in_ellipsoid(dx: Column, dy: Column, dz: Column, ranges: tuple[float, float, float]) -> Column:

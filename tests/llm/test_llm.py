@@ -377,3 +377,12 @@ def test_bounded_sample(spark):
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     for rows in (1, 300, 4999, 6000):
         assert rows_of(bounded_sample(df, rows, order)) == rows_of(df.orderBy(*order).limit(rows))
+
+
+def test_components_converge_or_fail(spark):
+    from lithospark.llm.common import components
+
+    edges = spark.createDataFrame([(k * 5 % 12, (k + 1) * 5 % 12) for k in range(11)], "src bigint, dst bigint")
+    assert {r["root"] for r in components(edges, "path").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(edges, "path", 1)

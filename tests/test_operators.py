@@ -81,3 +81,12 @@ def test_empty_tables(spark):
     assert spatial.within_distance(p, p, 1.0).count() == 0
     assert frame.cdf_table(p, "v").count() == 0
     assert frame.drift(p, "v", 3).count() == 0 if p.count() else True
+
+
+def test_knn_serves_far_targets(spark):
+    from lithospark.operators import spatial
+
+    b = spark.createDataFrame([(k, float(k), 0.0) for k in range(5)], "row_id bigint, x double, y double")
+    a = spark.createDataFrame([(10, 500.0, 100.0), (11, 1.2, 0.0), (12, None, 0.0)], "row_id bigint, x double, y double")
+    got = {(r["row_id_a"], r["rank"]): r["row_id_b"] for r in spatial.knn(a, b, 3, 1.0, "xy", rounds=2).collect()}
+    assert got == {(10, 1): 4, (10, 2): 3, (10, 3): 2, (11, 1): 1, (11, 2): 2, (11, 3): 0}
