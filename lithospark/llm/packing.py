@@ -1,6 +1,7 @@
 """Best-fit packing of documents into token sequences of a fixed size.
 
-Bulk-synchronous best fit. Documents (pieces) and gaps (room left in sequences) are range-sorted by size;
+Best fit in rounds, in place of the bulk-synchronous one by Spark joins: each round is a loop on the driver over the
+histogram of lengths, and only ranks are found by Spark. Documents (pieces) and gaps (room left in sequences) are range-sorted by size;
 a sweep from the largest size down pushes gaps on a stack and gives each document the smallest gap not
 yet taken that holds it; where several documents want one gap, rank decides: the longer first, then the
 smaller id. Gaps are updated and the round repeats until a round places nothing, when new sequences are opened.

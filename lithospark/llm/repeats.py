@@ -1,6 +1,8 @@
 """Suffix-array dedup: removal of bytes in long strings that occur more than once.
 
-Distributed prefix doubling. A position's rank at length n names the string of n bytes that starts there;
+In place of distributed prefix doubling (its method is in the next lines; the code has no rounds at growing
+offsets and no reranking: it names 208 bytes at an anchor, then whole spans, then 400 bytes at single starts).
+In the doubling a position's rank at length n names the string of n bytes that starts there;
 Spark groups and sorts the positions by the pair of ranks (of the first n bytes, and of the n bytes at the
 growing offset n), gives each distinct pair a new rank, and drops positions whose rank is unique, until
 the length is past the threshold. Ranks are 64-bit names of strings rather than places in one global
