@@ -25,6 +25,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from lithospark.llm.repeats import row_id
 EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
 #: Characters to an edit; characters hashed together; most lines of a key that are compared as pairs.
 PER, GRAM, FEW = 24, 10, 8
+#: The keys of the windows are dealt in so many passes, so that a part of them is on disk at a time.
+PASSES = 4
 _CLASSES = np.unique((1.2 ** np.arange(1, 118)).astype(np.int64))
 _STRIP = " \t\n\r\x0b\x0c"
 
@@ -142,10 +145,11 @@ def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.
     return np.concatenate(out_line), np.concatenate(out_key).view(np.int64)
 
 
-def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
-    """Keys of the segments (of lines that have no more than `edits` edits), or of the windows (of the others)."""
+def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False, turn: int = 0):
+    """Keys of the segments (of lines that have no more than `edits` edits), or of the windows (of the others) in one of PASSES turns."""
     first = max(min_chars, grown_from(edits, per)) if windows else min_chars
     end = grown_from(edits, per) + edits if per and not windows else 1 << 40
+    passes = PASSES if windows else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,6 +159,9 @@ def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
                     texts = sorted(lines)
                     h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in texts], np.uint64).view(np.int64)
                     line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
+                    if passes > 1:
+                        mine = (key >> 1) % passes == turn
+                        line, key = line[mine], key[mine]
                     for i in range(0, len(key), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
 
@@ -377,18 +384,30 @@ def _shared(docs: DataFrame, run) -> DataFrame:
     return keep(rows.repartition(partitions(docs.sparkSession), bucket).sortWithinPartitions("key", "h").mapInArrow(_shared_keys, "bucket bigint, h bigint, index boolean"), "shared")
 
 
+def clean(spark) -> None:
+    """Spark deletes the shuffle files of plans that are done when the driver's JVM collects them."""
+    spark._jvm.System.gc()
+
+
 def grown_edges(docs: DataFrame, hot: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
     """(src, dst): stars and pairs of near lines that are long enough for more than `edits` edits."""
-    shared = _shared(docs, _key_rows(edits, min_chars, per, windows=True))
+    turns = []
+    for turn in range(PASSES):
+        turns.append(_shared(docs, _key_rows(edits, min_chars, per, True, turn)))
+        clean(docs.sparkSession)
+    shared = reduce(DataFrame.unionByName, turns)
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"))
     sizes = keep(sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket")), "sizes")  # buckets of the same lines count once
     met = keep(shared.join(sizes.select("bucket", "size"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
-    discard(shared)
+    for x in turns:
+        discard(x)
     lines = _lines_of(docs, hot, met, max(min_chars, grown_from(edits, per)))
     few = met.where(F.col("size") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("h")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("at", "src")).select("src", F.explode(F.slice("all", F.col("at") + 2, FEW)).alias("dst")).distinct()
     few = few.join(lines.select(F.col("h").alias("src"), F.col("line").alias("left")), "src").join(lines.select(F.col("h").alias("dst"), F.col("line").alias("right")), "dst")
-    pairs = few.select("src", "dst", "left", "right").mapInArrow(_near_pairs(edits, per), "src bigint, dst bigint")
+    clean(docs.sparkSession)
+    pairs = keep(few.select("src", "dst", "left", "right").mapInArrow(_near_pairs(edits, per), "src bigint, dst bigint"), "pairs")
+    clean(docs.sparkSession)
     many = _blocks(met.where(F.col("size") > FEW), lines).mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint")
     return pairs.unionByName(many)
 
