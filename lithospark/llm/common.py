@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests), one is made for the session."""
+    """The folder of spark.checkpoint.dir; where none is set in local mode (tests), one is made for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lithospark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -160,5 +163,22 @@ def bounded_sample(df: DataFrame, rows: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(rows)
 
 
+#: Most rows of 64 bits that likely() broadcasts.
+BITMAP_ROWS = 1 << 18
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key (64 bits) may be among those of wanted, so that an exact join after it shuffles few others.
+
+    A bitmap of the keys' hashes is broadcast: at most BITMAP_ROWS numbers, however many keys there are; where
+    they fill it, more rows pass, never fewer."""
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(64 * BITMAP_ROWS))
+
+    bits = wanted.select(place(key).alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, int(_at % 64))").alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    met = df.withColumn("_at", place(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(keep(bits.coalesce(1), "bitmap")), "_word")
+    return met.where(F.expr("shiftright(_bits, int(_at % 64)) & 1 = 1")).select(*df.columns)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n)

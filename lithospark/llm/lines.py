@@ -9,23 +9,22 @@ are compared: first by character histograms, then by banded bit-parallel edit di
 Keys with many lines are compared in blocks paired with each other. Only a spanning star of each block's
 matches leaves a task, and connected components over all stars make the classes of lines.
 
-With `per`, a line may differ from a longer one by its length / per edits where these are more. Such lines
-share a run of unchanged characters, and so the least hash of GRAM characters in a window of it; the index
-has these, keyed by length class and place class, each line being in the next class too where its edits
-reach it. Few lines with a key are compared as distinct pairs, many in blocks as above, without pairs that
-a block has joined already. With `exact`, lines below `min_chars` with a word go where they equal an earlier
-line; without it they are never touched. The query and the pipeline use both.
+With `per`, a line may differ from a longer one by its length / per edits where these are more. The edits
+leave a run of unchanged characters of a known length in such a line, wherever the edits are, and with it the
+least GRAM hash of a window of that run; the index has these, keyed by length class, each line being in the
+next class too where its edits reach it. Few lines with a key are compared as distinct pairs, many in blocks
+as above, without pairs that a block has joined already. With `exact`, lines below `min_chars` with a word go
+where they equal an earlier line; without it they are never touched. The query and the pipeline use both.
 
 Lines are what newlines separate, without ASCII white space at the ends; edits count code points. Of each
-class the line with the least (doc_id, row, line number) stays, wherever it is. A null text stays null; a text may lose all its lines and is then empty. Repeated rows: the
-repeats are equal lines at equal places, and share one result: what the first of them keeps. An empty table
-gives an empty result.
+class the line with the least (doc_id, row, line number) stays, wherever it is. A null text stays null; a text
+may lose all its lines and is then empty. Repeated rows: the repeats are equal lines at equal places, and share
+one result: what the first of them keeps. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import components, discard, keep, local_components, partitions, table, whole_groups
+from lithospark.llm.common import components, discard, keep, likely, local_components, partitions, table, whole_groups
 from lithospark.llm.hashing import mix, powers, range_hash
 from lithospark.llm.repeats import row_id
 
 EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
 #: Characters to an edit; characters hashed together; most lines of a key that are compared as pairs.
-PER, GRAM, FEW = 24, 10, 8
-#: The keys of the windows are dealt in so many passes, so that a part of them is on disk at a time.
-PASSES = 4
+PER, GRAM, FEW = 64, 20, 8
+#: Characters of lines whose keys are made together, and of pairs whose distances are.
+CHARACTERS = 1 << 20
 _CLASSES = np.unique((1.2 ** np.arange(1, 118)).astype(np.int64))
 _STRIP = " \t\n\r\x0b\x0c"
 
@@ -132,38 +131,41 @@ def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.
     inside = np.arange(len(low)) + run <= (begin + size)[line[: len(low)]]
     low = np.unique(low[inside])
     line = line[low]
-    place, edits = low - begin[line], size[line] // per
-    out_line, out_key = [], []
+    edits = size[line] // per
     kind, next_kind = (np.searchsorted(_CLASSES, x, "right") for x in (size[line], size[line] + edits))
-    for c, some in ((kind, slice(None)), (next_kind, next_kind != kind)):
-        c, g, p, k, on = c[some], h[low[some]], place[some], edits[some], line[some]
-        wide = 4 * (_CLASSES[c] // per + 1)
-        for step, more in ((p // wide, slice(None)), ((p + k) // wide, (p + k) // wide != p // wide)):
-            key = mix(g[more] + (c[more].astype(np.uint64) << np.uint64(40)) + step[more].astype(np.uint64) * np.uint64(0x9E3779B1))
-            out_line.append(on[more])
-            out_key.append(key | np.uint64(1))
+    out_line, out_key = [], []
+    for c, some in ((kind, np.ones(len(low), bool)), (next_kind, next_kind != kind)):
+        some[1:] &= (h[low[1:]] != h[low[:-1]]) | (line[1:] != line[:-1])  # a line that repeats itself has one key
+        out_line.append(line[some])
+        out_key.append(mix(h[low[some]] + (c[some].astype(np.uint64) << np.uint64(40))) | np.uint64(1))
     return np.concatenate(out_line), np.concatenate(out_key).view(np.int64)
 
 
-def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False, turn: int = 0):
-    """Keys of the segments (of lines that have no more than `edits` edits), or of the windows (of the others) in one of PASSES turns."""
+def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
+    """Keys of the segments (of lines that have no more than `edits` edits), or of the windows (of the others)."""
     first = max(min_chars, grown_from(edits, per)) if windows else min_chars
     end = grown_from(edits, per) + edits if per and not windows else 1 << 40
-    passes = PASSES if windows else 1
+
+    def keys(lines: set[str]) -> Iterator[pa.RecordBatch]:
+        texts = sorted(lines)
+        h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in texts], np.uint64).view(np.int64)
+        line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
+        for i in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                lines = {s for t in b.column("text").slice(at, 1000).to_pylist() if t for x in t.split("\n") if first <= len(s := x.strip(_STRIP)) < end}
-                if lines:
-                    texts = sorted(lines)
-                    h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in texts], np.uint64).view(np.int64)
-                    line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
-                    if passes > 1:
-                        mine = (key >> 1) % passes == turn
-                        line, key = line[mine], key[mine]
-                    for i in range(0, len(key), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
+            lines, held = set(), 0
+            for text in b.column("text").to_pylist():
+                for x in (text or "").split("\n"):
+                    if first <= len(x := x.strip(_STRIP)) < end and x not in lines:
+                        lines.add(x)
+                        held += len(x)
+                if held >= CHARACTERS:
+                    yield from keys(lines)
+                    lines, held = set(), 0
+            if lines:
+                yield from keys(lines)
 
     return run
 
@@ -316,6 +318,23 @@ def _near_blocks(edits: int, per: int):
     return run
 
 
+def _close(p: np.ndarray, texts: list[str], edits: int) -> np.ndarray:
+    """The pairs of texts within the edits; pairs of about the same length are compared together, long ones a few at a time."""
+    size = np.array([len(x) for x in texts])[p].max(1)
+    p, out, at = p[np.argsort(size, kind="stable")], [], 0
+    size = np.sort(size)
+    while at < len(p):
+        n = int(np.searchsorted(np.arange(1, len(p) - at + 1) * size[at:], CHARACTERS, "right"))
+        q = p[at : at + max(1, n)]
+        if n:
+            q = q[banded_distance([texts[i] for i in q[:, 0]], [texts[i] for i in q[:, 1]], edits) <= edits]
+        elif not within(texts[q[0, 0]], texts[q[0, 1]], edits):
+            q = q[:0]
+        out.append(q)
+        at += max(1, n)
+    return np.concatenate(out)
+
+
 def _near_lines(edits: int):
     """Spanning stars of the matching lines of each bucket (block pair)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +362,7 @@ def _near_lines(edits: int):
             if not pairs:
                 continue
             p = np.array(sorted(pairs))
-            close = np.concatenate([banded_distance([distinct[i] for i in q[:, 0]], [distinct[i] for i in q[:, 1]], edits) <= edits for q in np.array_split(p, -(-len(p) // 2000))])
-            p = p[close]
+            p = _close(p, distinct, edits)
             low = local_components(len(distinct), p[:, 0], p[:, 1])
             name = np.zeros(len(distinct), np.int64)
             name[where] = h
@@ -355,9 +373,9 @@ def _near_lines(edits: int):
     return run
 
 
-def first_places(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def first_places(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(h, n, first) of every line that counts, and of these the at most HOT that are more than 1 / HOT of all."""
-    firsts = keep(line_rows(docs, min_chars).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "line_no")).alias("first")), "firsts")
+    firsts = keep(places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "line_no")).alias("first")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     return firsts, keep(firsts.where(F.col("n") * HOT > total).coalesce(1), "hot")
 
@@ -365,7 +383,7 @@ def first_places(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]
 def _lines_of(docs: DataFrame, hot: DataFrame, met: DataFrame, min_chars: int) -> DataFrame:
     """(h, line) of the lines in met, hot ones taken at their first place."""
     wanted = keep(met.select("h").distinct(), "wanted")
-    lines = line_rows(docs, min_chars).join(F.broadcast(hot.select("h", "first")), ["h"], "left")
+    lines = likely(line_rows(docs, min_chars), "h", wanted).join(F.broadcast(hot.select("h", "first")), ["h"], "left")
     once = F.col("first").isNull() | ((F.col("rid") == F.col("first.rid")) & (F.col("line_no") == F.col("first.line_no")))
     lines = lines.where(once).select("h", "line").join(wanted.hint("merge"), ["h"], "left_semi")
     return keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
@@ -389,49 +407,65 @@ def clean(spark) -> None:
     spark._jvm.System.gc()
 
 
-def grown_edges(docs: DataFrame, hot: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
-    """(src, dst): stars and pairs of near lines that are long enough for more than `edits` edits."""
-    turns = []
-    for turn in range(PASSES):
-        turns.append(_shared(docs, _key_rows(edits, min_chars, per, True, turn)))
-        clean(docs.sparkSession)
-    shared = reduce(DataFrame.unionByName, turns)
+def _met_segments(docs: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
+    """(bucket, h, index, blocks): lines that share a segment key with the index entry of another line."""
+    shared = _shared(docs, _key_rows(edits, min_chars, per))
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("index").alias("any")).where("size > 1 AND any")
+    met = keep(shared.join(sizes.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
+    discard(shared)
+    return met
+
+
+def _met_windows(docs: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
+    """(bucket, h, index, size, blocks): lines that share a window key with another line; keys of the same lines count once."""
+    shared = _shared(docs, _key_rows(edits, min_chars, per, True))
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"))
-    sizes = keep(sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket")), "sizes")  # buckets of the same lines count once
-    met = keep(shared.join(sizes.select("bucket", "size"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
-    for x in turns:
-        discard(x)
-    lines = _lines_of(docs, hot, met, max(min_chars, grown_from(edits, per)))
+    sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"))
+    met = keep(shared.join(sizes.select("bucket", "size").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
+    discard(shared)
+    return met
+
+
+def _pairs(met: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
+    """(src, dst): near lines among those of keys that few lines share."""
     few = met.where(F.col("size") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("h")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("at", "src")).select("src", F.explode(F.slice("all", F.col("at") + 2, FEW)).alias("dst")).distinct()
-    few = few.join(lines.select(F.col("h").alias("src"), F.col("line").alias("left")), "src").join(lines.select(F.col("h").alias("dst"), F.col("line").alias("right")), "dst")
-    clean(docs.sparkSession)
-    pairs = keep(few.select("src", "dst", "left", "right").mapInArrow(_near_pairs(edits, per), "src bigint, dst bigint"), "pairs")
-    clean(docs.sparkSession)
-    many = _blocks(met.where(F.col("size") > FEW), lines).mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint")
-    return pairs.unionByName(many)
+    left, right = lines.select(F.col("h").alias("src"), F.col("line").alias("left")), lines.select(F.col("h").alias("dst"), F.col("line").alias("right"))
+    few = few.join(left.hint("merge"), "src").join(right.hint("merge"), "dst")
+    return few.select("src", "dst", "left", "right").mapInArrow(_near_pairs(edits, per), "src bigint, dst bigint")
 
 
 def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0) -> DataFrame:
     """(node, root): lines (by hash) with near lines, and the class of each; hot as first_places() gives it."""
-    shared = _shared(docs, _key_rows(edits, min_chars, per))
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("index").alias("any")).where("size > 1 AND any")
-    met = keep(shared.join(keep(sizes, "sizes"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
-    discard(shared)
-    edges = _blocks(met, _lines_of(docs, hot, met, min_chars)).mapInArrow(_near_lines(edits), "src bigint, dst bigint")
-    return components(edges.unionByName(grown_edges(docs, hot, edits, min_chars, per)) if per else edges, "near")
+    met = _met_segments(docs, edits, min_chars, per)
+    clean(docs.sparkSession)
+    if not per:
+        return components(_blocks(met, _lines_of(docs, hot, met, min_chars)).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "near")
+    grown = _met_windows(docs, edits, min_chars, per)
+    clean(docs.sparkSession)
+    lines = _lines_of(docs, hot, met.select("h").unionByName(grown.select("h")), min_chars)
+    edges = [
+        keep(_blocks(met, lines).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "segments"),
+        keep(_pairs(grown, lines, edits, per), "pairs"),
+        keep(_blocks(grown.where(F.col("size") > FEW), lines).mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint"), "blocks"),
+    ]
+    for x in (met, grown, lines):
+        discard(x)
+    clean(docs.sparkSession)
+    return components(edges[0].unionByName(edges[1]).unionByName(edges[2]), "near")
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, exact: bool = False) -> DataFrame:
     """docs with text less the removed lines (n_chars, if there, follows), and n_lines, n_removed."""
     least = 1 if exact else min_chars
-    first, hot = first_places(docs, least)
+    places = keep(line_rows(docs, least).select("rid", "doc_id", "line_no", "h"), "places")
+    first, hot = first_places(places)
     near = keep(line_classes(docs, hot, edits, min_chars, per), "classes")
-    rows = line_rows(docs, least).select("rid", "line_no", "h")
-    repeated = first.join(near.select(F.col("node").alias("h"), "root"), ["h"], "left").where("n > 1 OR root IS NOT NULL")
+    rows = places.select("rid", "line_no", "h")
+    repeated = first.join(near.select(F.col("node").alias("h"), "root").hint("merge"), ["h"], "left").where("n > 1 OR root IS NOT NULL")
     repeated = keep(repeated.withColumn("root", F.coalesce("root", "h")), "repeated")
     heads = keep(repeated.groupBy("root").agg(F.min("first").alias("first")), "heads")
-    repeated = keep(repeated.select("h", "root").join(heads, "root").select("h", F.col("first.rid").alias("kept_rid"), F.col("first.line_no").alias("kept_line")), "kept")
+    repeated = keep(repeated.select("h", "root").join(heads.hint("merge"), "root").select("h", F.col("first.rid").alias("kept_rid"), F.col("first.line_no").alias("kept_line")), "kept")
     often = keep(repeated.join(F.broadcast(hot.select("h")), "h", "left_semi").coalesce(1), "often")
     rows = rows.join(F.broadcast(often.select("h", F.col("kept_rid").alias("often_rid"), F.col("kept_line").alias("often_line"))), ["h"], "left")
     # places of hot lines spread over all tasks by their own hash and meet nothing there
@@ -441,6 +475,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     discard(first)
     gone = gone.where((F.col("rid") != F.col("kept_rid")) | (F.col("line_no") != F.col("kept_line")))
     gone = keep(gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone")), "gone")  # bounded by one text
+    discard(places)
     names = docs.columns
     out = docs.withColumn("_rid", row_id()).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left")
     lines = F.split("text", "\n")

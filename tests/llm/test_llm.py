@@ -172,13 +172,13 @@ def test_line_dedup_repeated_rows(spark):
     assert out == [row[1], row[1], "short"]
 
 
-def lines_gone(rows):
+def lines_gone(rows, per=lines.PER):
     counted = [(x.strip(lines._STRIP), i, k) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip(lines._STRIP)]
     distinct = sorted({c[0] for c in counted})
     label = {x: x for x in distinct}
     for x in distinct:
         for y in distinct:
-            most = max(2, min(len(x), len(y)) // 24)
+            most = max(2, min(len(x), len(y)) // per)
             if label[x] != label[y] and min(len(x), len(y)) >= 24 and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
                 a, b = label[x], label[y]
                 label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
@@ -188,22 +188,23 @@ def lines_gone(rows):
     return {i: [k for x, j, k in counted if j == i and first[label[x]] != (i, k)] for i, _ in rows}
 
 
-def test_line_dedup_edits_grow_and_short_lines_go(spark, monkeypatch):
+@pytest.mark.parametrize("per", [24, 64])
+def test_line_dedup_edits_grow_and_short_lines_go(spark, monkeypatch, per):
     monkeypatch.setattr(lines, "FEW", 3)
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdefgé ") for _ in range(n)).strip() for n in (30, 69, 73, 96, 120, 200, 340, 900)]
+    base = ["".join(rng.choice("abcdefgé ") for _ in range(n)).strip() for n in (30, 69, 73, 96, 120, 200, 340, 900, 2500)]
 
     def changed(x):
-        for _ in range(rng.choice([0, 1, len(x) // 30, len(x) // 24, len(x) // 20])):
+        for _ in range(rng.choice([0, 1, len(x) // per - 1, len(x) // per, len(x) * 6 // 5 // per])):
             i = rng.randrange(1, len(x) - 1)
             x = x[:i] + rng.choice(["", "q", x[i] + "é"]) + x[i + 1 :]
         return x
 
     rows = [(i, "\n".join([changed(rng.choice(base)), rng.choice(["}", "All rights", " ", "own %d" % i])])) for i in range(90)]
-    want = lines_gone(rows)
+    want = lines_gone(rows, per)
     for bucket in (1000, 4):
         monkeypatch.setattr(lines, "BUCKET", bucket)
-        got = {r["doc_id"]: sorted(r["gone"] or []) for r in lines.line_dedup(frame(spark, rows), per=24, exact=True).collect()}
+        got = {r["doc_id"]: sorted(r["gone"] or []) for r in lines.line_dedup(frame(spark, rows), per=per, exact=True).collect()}
         assert got == want
 
 
