@@ -142,11 +142,13 @@ def fit(labelled: DataFrame, train_rows: int = 20_000, **parameters) -> Additive
     """labelled(doc_id, text, quality): the model of at most train_rows of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("quality")], ["x", "quality"])
+            if b.num_rows:
+                x = _matrix(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(list(x), pa.list_(pa.float64())), b.column("quality")], ["doc_id", "hash", "x", "quality"])
 
-    chosen = labelled.where(F.col("quality").isin(0, 1)).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    rows = chosen.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "quality").limit(train_rows).mapInArrow(run, "x array<double>, quality int").collect()
+    chosen = labelled.where(F.col("quality").isin(0, 1)).select("doc_id", F.xxhash64("text").alias("hash"), "text", F.col("quality").cast("int").alias("quality"))
+    chosen = chosen.mapInArrow(run, "doc_id bigint, hash bigint, x array<double>, quality int")  # figures move on, texts don't
+    rows = chosen.orderBy(F.xxhash64("doc_id"), "hash", "quality").limit(train_rows).select("x", "quality").collect()
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES))
     y = np.array([r["quality"] for r in rows], np.float64)
     order = np.lexsort((*x.T, y))
@@ -154,8 +156,8 @@ def fit(labelled: DataFrame, train_rows: int = 20_000, **parameters) -> Additive
 
 
 def score(docs: DataFrame, model: AdditiveModel, without: tuple[str, ...] = ()) -> DataFrame:
-    """Adds score (double) to docs; the columns named by without don't come back from the tasks."""
-    names = [c for c in docs.columns if c not in without]
+    """Adds score (double) to docs, in place of a column of that name; the columns named by without don't come back from the tasks."""
+    names = [c for c in docs.columns if c not in (*without, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
