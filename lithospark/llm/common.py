@@ -140,9 +140,9 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
         mark = tuple(now)
         near = both(e)
         low = near.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
-        large = near.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        large = near.join(low.hint("merge"), "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low, "src").where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        small = large.join(low.hint("merge"), "src").where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         small = small.unionByName(low.select("src", F.col("low").alias("dst")))
         after = keep(small.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct(), tag)
         discard(e)

@@ -12,7 +12,9 @@ paired with each other, so that no group is one task and no row is dropped.
 Sketches that agree in more than threshold - 0.2 of the places (four standard deviations) connect two
 classes; connected components of these are small groups that hold every link found. Inside a group all
 pairs of sets are compared exactly by products of incidence matrices, in blocks for large groups; links are
-counted there, never listed: a group of g sets gives g rows for each block it meets.
+counted there, never listed: a group of g sets gives g rows for each block it meets. Only the texts of such
+sets are read again; a bounded bitmap of their row ids is broadcast before the join, so that few other texts
+are shuffled. The joins are sort-merge joins at every size.
 
 Words are runs of anything but ASCII white space; a text of 1 to 4 words has one shingle of all of them.
 Null texts and those without words are alone in their class and have no links. Repeated rows are documents
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import components, discard, keep, local_components, partitions, row_chunks, table, utf8, whole_groups
+from lithospark.llm.common import components, discard, keep, likely, local_components, partitions, row_chunks, table, utf8, whole_groups
 from lithospark.llm.hashing import mix, shingles, words
 from lithospark.llm.repeats import row_id
 
@@ -233,20 +235,20 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     for depth in range(1, DEPTH + 1):
         nodes = keep(nodes, "nodes")
         sizes = keep(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-        alive = nodes.join(sizes, "path")
+        alive = nodes.join(sizes.hint("merge"), "path")
         done = keep(alive.where((F.col("size") <= BUCKET) | F.lit(depth == DEPTH)).withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("path", "fp", "blocks"), "buckets")
         solved = done if solved is None else solved.unionByName(done)
         if depth == DEPTH or sizes.where(F.col("size") > BUCKET).isEmpty():
             break
-        nodes = alive.where(F.col("size") > BUCKET).select("path", "fp").join(signed, "fp").mapInArrow(_split(threshold), "path bigint, fp bigint")
+        nodes = alive.where(F.col("size") > BUCKET).select("path", "fp").join(signed.hint("merge"), "fp").mapInArrow(_split(threshold), "path bigint, fp bigint")
     keys = ["path", "lo", "hi"]
-    buckets = _blocked(solved.join(signed, "fp"), "blocks").select(*keys, "block", "fp", "sketch")
+    buckets = _blocked(solved.join(signed.hint("merge"), "fp"), "blocks").select(*keys, "block", "fp", "sketch")
     least = math.ceil((threshold - 0.2) * TOKENS)
     loose = buckets.repartition(shuffles, *keys).sortWithinPartitions(*keys).mapInArrow(_similar(least), "src bigint, dst bigint")
-    groups = keep(components(loose, "loose").withColumnRenamed("node", "fp"), "groups").join(reps.select("fp", "n", "copies", "one"), "fp")
+    groups = keep(components(loose, "loose").withColumnRenamed("node", "fp"), "groups").join(reps.select("fp", "n", "copies", "one").hint("merge"), "fp")
     groups = keep(groups, "grouped")
     blocks = groups.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BUCKET)).alias("blocks"))
-    active = keep(groups.join(keep(blocks, "blocks"), "root").select(F.col("one.rid").alias("rid"), "fp", "root", F.col("copies").alias("weight"), "blocks"), "active")
+    active = keep(groups.join(keep(blocks, "blocks").hint("merge"), "root").select(F.col("one.rid").alias("rid"), "fp", "root", F.col("copies").alias("weight"), "blocks"), "active")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["fp", "root", "weight", "blocks"]
@@ -256,16 +258,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, len(counts)) for c in names), of], [*names, "shingles"])
 
     keys = ["root", "lo", "hi"]
-    full = texts.select("rid", "text").join(active, ["rid"], "inner").mapInArrow(sets, "fp bigint, root bigint, weight bigint, blocks bigint, shingles array<bigint>")
+    full = likely(texts.select("rid", "text"), "rid", active.select("rid")).join(active.hint("merge"), ["rid"]).mapInArrow(sets, "fp bigint, root bigint, weight bigint, blocks bigint, shingles array<bigint>")
     full = _blocked(full, "blocks").select(*keys, "block", "fp", "weight", "shingles")
     found = keep(full.repartition(shuffles, *keys).sortWithinPartitions(*keys).mapInArrow(_links(exact), "fp bigint, links bigint, low bigint"), "links")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("fp").alias("src"), F.col("low").alias("dst")), "classes").withColumnRenamed("node", "fp")
-    linked = keep(groups.select("fp", "copies", "one").join(links, "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+    linked = keep(groups.select("fp", "copies", "one").join(links.hint("merge"), "fp").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
     heads = linked.groupBy("root").agg(F.min("one").alias("head"))
-    linked = linked.join(keep(heads, "heads"), "root").select("fp", F.col("head.doc_id").alias("class_id"), F.col("head.rid").alias("class_rid"), "copies", "links")
+    linked = linked.join(keep(heads, "heads").hint("merge"), "root").select("fp", F.col("head.doc_id").alias("class_id"), F.col("head.rid").alias("class_rid"), "copies", "links")
     alone = reps.select("fp", F.col("one.doc_id").alias("class_id"), F.col("one.rid").alias("class_rid"), "copies", F.lit(0).cast("bigint").alias("links"))
-    classes = alone.join(linked.select("fp"), "fp", "left_anti").unionByName(linked)
+    classes = alone.join(linked.select("fp").hint("merge"), "fp", "left_anti").unionByName(linked)
     return members, keep(classes, "sets")
 
 
@@ -274,7 +276,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999)
     members, classes = jaccard_classes(docs, threshold, recall)
     many = classes.where((F.col("copies") > 1) | (F.col("links") > 0))
     many = keep(many, "many")
-    out = members.join(many, ["fp"], "left")
+    # rows without words have no class: they don't meet in the null key's task
+    out = members.where("fp IS NOT NULL").join(many.hint("merge"), ["fp"], "left")
+    out = out.unionByName(members.where("fp IS NULL"), allowMissingColumns=True)
     return out.select("doc_id", "rid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_rid", "rid").alias("class_rid"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"))
 
 
