@@ -34,55 +34,62 @@ from lithospark.llm.common import keep, partitions, table
 
 
 class WordTokens(dict):
-    """Chunk of text between white space -> bytes of its ids, for a tokenizer that cuts text into words by its
-    split pattern, never joins over white space and lower-cases.
+    """Chunk of text between white space, in lower case -> bytes of its ids, for a tokenizer that cuts text into
+    words by its split pattern, never joins over white space and lower-cases.
 
     New chunks are cut into words, and only words not met before go to the tokenizer, many in one text: each
-    word's last token ends a word, which tells them apart again. Latin-1 texts are lower-cased first, where
-    Python's and the tokenizer's rules agree; other texts' chunks stay as they are."""
+    word's last token ends a word, which tells them apart again. Latin-1 chunks are lower-cased and cut here,
+    where Python's and the tokenizer's rules agree; other chunks stay as they are. Beyond CHUNKS entries those
+    met since the last time stay, so that memory is bounded and frequent words are not learnt again."""
 
-    CHUNKS = WORDS = 600_000
+    CHUNKS = 600_000
     TOGETHER = 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain, self.old = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.split = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # words are cut and lower-cased already
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(file["model"]["end_of_word_suffix"])]] = True
-        self.words: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
         # set - dict.keys() would go through all keys of the dict
         new = [c for c in chunks if c not in self]
         if len(self) + len(new) > self.CHUNKS:
+            self.old = dict(self)
             self.clear()
             new = list(chunks)
-        # a chunk beyond Latin-1 is a word of its own here: the tokenizer normalises and cuts it
-        plain = {c: [c.lower()] if c.isalpha() else self.split.findall(c.lower()) for c in new if latin(c)}
-        other = [c for c in new if c not in plain]
-        wanted = set().union(*plain.values())
-        unknown = [w for w in wanted if w not in self.words]
-        if len(self.words) + len(unknown) > self.WORDS:
-            self.words.clear()
-            unknown = list(wanted)
+        known, words, cut, other = self.old, set(), {}, []
+        for c in new:
+            if c in known:
+                self[c] = known[c]
+            elif not (c.isascii() or latin(c)):
+                other.append(c)
+            elif c.isalpha():
+                words.add(c)
+            else:  # most often a word and a mark
+                cut[c] = w = (c[:-1], c[-1]) if c[:-1].isalpha() else self.split.findall(c)
+                words.update(w)
+        unknown = [w for w in words if w not in self]
         for i in range(0, len(unknown), self.TOGETHER):
             some = unknown[i : i + self.TOGETHER]
-            ids = self.whole(" ".join(some))
-            stop = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
-            for w, start, end in zip(some, [0, *stop], stop, strict=False):
-                self.words[w] = ids[start:end]
+            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             assert len(stop) == len(some)
-        words = self.words
-        for c, w in plain.items():
-            self[c] = words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])
+            ids = ids.tobytes()
+            self.update(zip(some, [ids[a:b] for a, b in zip([0, *stop], stop)]))
+        for c, w in cut.items():
+            self[c] = b"".join([self[x] for x in w])
         for c in other:
             self[c] = self.whole(c)
 
@@ -93,7 +100,7 @@ class WordTokens(dict):
         """Ids of each text as little-endian 32-bit numbers."""
         # the tokenizer takes \x1c to \x1f for no white space, str.split() does; special tokens are cut out before splitting
         odd = [any(c in t for c in (*self.special, "\x1c", "\x1d", "\x1e", "\x1f")) for t in texts]
-        split = [() if o else (t.lower() if latin(t) else t).split() for t, o in zip(texts, odd)]
+        split = [() if o else t.lower().split() if t.isascii() or latin(t) else [x.lower() if latin(x) else x for x in t.split()] for t, o in zip(texts, odd)]
         self.learn(set().union(*split))
         for t, o, chunks in zip(texts, odd, split):
             yield self.whole(t) if o else b"".join(map(self.__getitem__, chunks))
