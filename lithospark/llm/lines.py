@@ -32,15 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import components, discard, keep, likely, local_components, partitions, table, whole_groups
+from lithospark.llm.common import components, discard, keep, likely, local_components, partitions, split_likely, table, whole_groups
 from lithospark.llm.hashing import mix, powers, range_hash
-from lithospark.llm.repeats import row_id
+from lithospark.llm.repeats import row_id, window_min
 
 EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
 #: Characters to an edit; characters hashed together; most lines of a key that are compared as pairs.
 PER, GRAM, FEW = 64, 20, 8
 #: Characters of lines whose keys are made together, and of pairs whose distances are.
-CHARACTERS = 1 << 20
+CHARACTERS = 1 << 18
 _CLASSES = np.unique((1.2 ** np.arange(1, 118)).astype(np.int64))
 _STRIP = " \t\n\r\x0b\x0c"
 
@@ -123,13 +123,13 @@ def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.
     np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x1234567)) * up[: len(codes)], out=prefix[1:])
     at = np.arange(len(codes) - gram + 1)
     h = range_hash(prefix, at, at + gram)
-    low = np.arange(len(h) - (run - gram))  # the first least hash of each window
-    for k in range(1, run - gram + 1):
-        other = np.arange(len(low)) + k
-        low = np.where(h[other] < h[low], other, low)
+    # the first least hash of each window
+    low = window_min((h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), run - gram + 1)
+    low = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     line = np.repeat(np.arange(len(texts)), size)
     inside = np.arange(len(low)) + run <= (begin + size)[line[: len(low)]]
-    low = np.unique(low[inside])
+    low = low[inside]
+    low = low[np.concatenate([[True], low[1:] != low[:-1]])] if len(low) else low
     line = line[low]
     edits = size[line] // per
     kind, next_kind = (np.searchsorted(_CLASSES, x, "right") for x in (size[line], size[line] + edits))
@@ -192,14 +192,15 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
-    """Edit distances of the pairs (a[i], b[i]); any value above edits if it is above edits.
+    """Edit distances of the pairs (a[i], b[i]), at most 31 edits; any value above edits if it is above edits.
 
     Bit-parallel over the band: the words hold the vertical differences of the rows near the diagonal, the
-    highest bit being the row `edits` below it, and move down by a row in each column."""
-    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    highest bit being the row `edits` below it, and move down by a row in each column. Pairs of which no value
+    of a column is within the edits drop out."""
+    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     out = np.full(len(a), edits + 1)
-    ok = np.abs(n - m) <= edits
-    if not ok.any():
+    live = np.flatnonzero(np.abs(n - m) <= edits)
+    if not len(live):
         return out
     width = int(max(n.max(), m.max())) + 1
     left = np.full((len(a), width + 2 * edits + 2), 0xFFFFFFFF, np.uint32)
@@ -207,24 +208,30 @@ def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
     for i, (x, y) in enumerate(zip(a, b)):
         left[i, edits : edits + len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
         right[i, : len(y)] = np.frombuffer(y.encode("utf-32-le"), np.uint32)
-    one, top = np.uint64(1), np.uint64(63)
-    vp = np.full(len(a), ~np.uint64(0) << (top - np.uint64(edits)), np.uint64)  # the first column grows by one a row
-    vn = np.zeros(len(a), np.uint64)
-    score = np.full(len(a), edits)
-    for j in range(int(m.max()) + 1):
-        for i in np.flatnonzero(m == j) if (m == j).any() else ():
+    left, right = np.ascontiguousarray(left[live].T), np.ascontiguousarray(right[live].T)
+    n, m = n[live], m[live]
+    one, top, band = np.uint64(1), np.uint64(63), np.uint64(63 - 2 * edits)
+    vp = np.full(len(live), ~np.uint64(0) << (top - np.uint64(edits)), np.uint64)  # the first column grows by one a row
+    vn = np.zeros(len(live), np.uint64)
+    score = np.full(len(live), edits)
+    for j in range(width):
+        for i in np.flatnonzero(m == j):
             # the row n[i] lies edits + m - n rows above the band's end, whose value is score
             value = int(score[i])
             for row in range(edits + int(m[i]) - int(n[i])):
                 bit = top - np.uint64(row + 1)
                 value -= int(vp[i] >> bit & one) - int(vn[i] >> bit & one)
-            if ok[i]:
-                out[i] = value
-        if j == m.max():
-            break
-        match = np.zeros(len(a), np.uint64)
+            out[live[i]] = value
+        if j % 16 == 15:
+            on = (m > j) & (score - np.bitwise_count(vp >> band) <= edits)
+            if on.sum() <= 0.8 * len(on):
+                live, n, m, vp, vn, score = (x[on] for x in (live, n, m, vp, vn, score))
+                left, right = left[:, on], right[:, on]
+            if not len(live):
+                break
+        match = np.zeros(len(live), np.uint64)
         for k in range(2 * edits + 1):
-            match |= (left[:, j + k] == right[:, j]).astype(np.uint64) << (top - np.uint64(2 * edits - k))
+            match |= (left[j + k] == right[j]).astype(np.uint64) << (top - np.uint64(2 * edits - k))
         d0 = (((match & vp) + vp) ^ vp) | match | vn
         hp, hn = vn | ~(d0 | vp), d0 & vp
         score = score + ((d0 >> top) & one ^ one).astype(np.int64)
@@ -233,7 +240,7 @@ def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
 
 
 def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance is at most edits, however many these are: bit-parallel over whole columns."""
+    """Whether the edit distance is at most edits, however many these are: bit-parallel over the band of each column."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > edits:
@@ -250,21 +257,24 @@ def within(a: str, b: str, edits: int) -> bool:
     a, b = a[: len(a) - same], b[: len(b) - same]
     if not a or len(b) <= edits:
         return len(b) <= edits
+    # the band around the diagonal, a row lower in each column; the highest bit is the row `edits` below it
     at: dict[str, int] = {}
     for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    vp, vn = full, 0
+        at[c] = at.get(c, 0) | 1 << i + edits
+    top, full, score = 2 * edits, (2 << 2 * edits) - 1, edits
+    vp, vn = full >> edits << edits, 0
     for j, c in enumerate(b):
-        match = at.get(c, 0)
-        d0 = (((match & vp) + vp) ^ vp) | match | vn
+        match = at.get(c, 0) >> j & full
+        d0 = ((((match & vp) + vp) ^ vp) | match | vn) & full
         hp, hn = vn | full & ~(d0 | vp), d0 & vp
-        score += bool(hp & top) - bool(hn & top)
-        if score - (len(b) - 1 - j) > edits:
+        score += not d0 >> top
+        d0 >>= 1
+        vp, vn = hn | full & ~(d0 | hp), d0 & hp
+        if score - vp.bit_count() > edits:  # no value of the column is less
             return False
-        hp = hp << 1 | 1
-        vp, vn = (hn << 1 | full & ~(d0 | hp)) & full, d0 & hp & full
-    return score <= edits
+    above = len(b) + edits - len(a)
+    rows = (1 << above) - 1 << top - above
+    return score - (vp & rows).bit_count() + (vn & rows).bit_count() <= edits
 
 
 def _marks(texts: list[str]) -> np.ndarray:
@@ -289,35 +299,61 @@ def _near_pairs(edits: int, per: int):
 
 
 def _near_blocks(edits: int, per: int):
-    """Spanning stars of the matching lines of each block pair; pairs joined already are not compared."""
+    """Spanning trees of the matching lines of some block pairs at a time; pairs joined already are not compared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in whole_groups(batches, ["bucket", "lo", "hi"], 5000):
-            h, block, texts = t.column("h").to_numpy(), t.column("block").to_numpy(), t.column("line").to_pylist()
+        for t, start in whole_groups(batches, ["lead", "bucket", "lo", "hi"], 5000):
+            block, texts = t.column("block").to_numpy(), t.column("line").to_pylist()
             lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
-            size, marks = np.array([len(x) for x in texts], np.int64), _marks(texts)
-            src, dst = [], []
+            h, first, of = np.unique(t.column("h").to_numpy(), return_index=True, return_inverse=True)
+            texts = [texts[i] for i in first]
+            size, marks, label = np.array([len(x) for x in texts], np.int64), _marks(texts), np.arange(len(texts))
+            pairs, src, dst = [np.zeros(0, np.int64)], [], []
             for g in range(len(start) - 1):
                 s = np.arange(start[g], start[g + 1])
-                across, label = lo[s[0]] != hi[s[0]], np.arange(len(s))
-                for i in range(len(s)):
-                    others = np.arange(i + 1, len(s))
-                    others = others[label[others] != label[i]]
-                    if across:
-                        others = others[block[s[others]] != block[s[i]]]
-                    most = allowed(np.minimum(size[s[others]], size[s[i]]), edits, per)
-                    gap = np.abs(marks[s[others]] - marks[s[i]]).sum(1)
-                    for k in np.flatnonzero(gap <= 2 * most):
-                        j = others[k]
-                        if label[j] != label[i] and within(texts[s[i]], texts[s[j]], int(most[k])):
-                            src.append(h[s[i]])
-                            dst.append(h[s[j]])
-                            label[label == label[j]] = label[i]
+                own = of[s]
+                for at in range(0, len(s), 64):
+                    i, j = np.meshgrid(np.arange(at, min(at + 64, len(s))), np.arange(len(s)), indexing="ij")
+                    on = (j > i) & ((lo[s[0]] == hi[s[0]]) | (block[s[i]] != block[s[j]]))
+                    i, j = own[i[on]], own[j[on]]
+                    on = np.abs(marks[i] - marks[j]).sum(1) <= 2 * allowed(np.minimum(size[i], size[j]), edits, per)
+                    pairs.append(np.minimum(i, j)[on] * len(texts) + np.maximum(i, j)[on])
+                if g == len(start) - 2 or sum(map(len, pairs)) > 100_000:
+                    p = np.unique(np.concatenate(pairs))  # groups share lines
+                    for i, j in _joined(np.stack([p // len(texts), p % len(texts)], 1), texts, edits, per, label):
+                        src.append(h[i])
+                        dst.append(h[j])
+                    pairs = [np.zeros(0, np.int64)]
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return run
 
 
+def _joined(p: np.ndarray, texts: list[str], edits: int, per: int, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs p within the edits of the shorter line that join two labels; label is brought up to date."""
+    size = np.array([len(x) for x in texts], np.int64)
+    most = allowed(size[p].min(1), edits, per)
+    order = np.argsort(size[p].max(1), kind="stable")
+    p, most = p[order], most[order]
+    long = size[p].max(1)
+    at = 0
+    while at < len(p):
+        n = max(1, min(2000, CHARACTERS * 8 // int(long[min(at + 2000, len(p)) - 1])))
+        q, k = p[at : at + n], most[at : at + n]
+        at += n
+        on = label[q[:, 0]] != label[q[:, 1]]
+        q, k = q[on], k[on]
+        if len(q) > 4 and k.max() <= 31:
+            k = banded_distance([texts[i] for i in q[:, 0]], [texts[j] for j in q[:, 1]], int(k.max())) <= k
+            close = q[k]
+        else:
+            close = [x for x, e in zip(q, k.tolist()) if label[x[0]] != label[x[1]] and within(texts[x[0]], texts[x[1]], e)]
+        for i, j in close:
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
 def _close(p: np.ndarray, texts: list[str], edits: int) -> np.ndarray:
     """The pairs of texts within the edits; pairs of about the same length are compared together, long ones a few at a time."""
     size = np.array([len(x) for x in texts])[p].max(1)
@@ -389,12 +425,14 @@ def _lines_of(docs: DataFrame, hot: DataFrame, met: DataFrame, min_chars: int) -
     return keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
 
 
-def _blocks(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows of met, with their lines, in each pair of blocks of their bucket they belong to, sorted by it."""
+def _blocks(met: DataFrame, lines: DataFrame, *lead: str) -> DataFrame:
+    """Rows of met, with their lines, in each pair of blocks of their bucket they belong to, sorted by it.
+
+    Buckets of one lead are dealt to one task, if their blocks are the same."""
     met = met.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    met = met.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "index").join(lines, "h")
-    keys = ["bucket", "lo", "hi"]
-    return met.repartition(partitions(met.sparkSession), *keys).sortWithinPartitions(*keys)
+    met = met.select(*lead, "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "index").join(lines.hint("merge"), "h")
+    keys = [*(lead or ["bucket"]), "lo", "hi"]
+    return met.repartition(partitions(met.sparkSession), *keys).sortWithinPartitions(*lead, "bucket", "lo", "hi")
 
 
 def _shared(docs: DataFrame, run) -> DataFrame:
@@ -417,11 +455,11 @@ def _met_segments(docs: DataFrame, edits: int, min_chars: int, per: int) -> Data
 
 
 def _met_windows(docs: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
-    """(bucket, h, index, size, blocks): lines that share a window key with another line; keys of the same lines count once."""
+    """(bucket, h, index, size, lead, blocks): lines that share a window key with another line; keys of the same lines count once."""
     shared = _shared(docs, _key_rows(edits, min_chars, per, True))
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"))
-    sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"))
-    met = keep(shared.join(sizes.select("bucket", "size").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.min("h").alias("lead"))
+    sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"), F.min("lead").alias("lead"))
+    met = keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
     discard(shared)
     return met
 
@@ -447,7 +485,7 @@ def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars:
     edges = [
         keep(_blocks(met, lines).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "segments"),
         keep(_pairs(grown, lines, edits, per), "pairs"),
-        keep(_blocks(grown.where(F.col("size") > FEW), lines).mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint"), "blocks"),
+        keep(_blocks(grown.where(F.col("size") > FEW), lines, "lead").mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint"), "blocks"),
     ]
     for x in (met, grown, lines):
         discard(x)
@@ -477,7 +515,9 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     gone = keep(gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone")), "gone")  # bounded by one text
     discard(places)
     names = docs.columns
-    out = docs.withColumn("_rid", row_id()).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left")
+    gone = gone.withColumnRenamed("rid", "_rid")
+    maybe, whole = split_likely(docs.withColumn("_rid", row_id()), "_rid", gone)
+    out = maybe.join(gone.hint("merge"), "_rid", "left").unionByName(whole, allowMissingColumns=True)
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = out.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)})
