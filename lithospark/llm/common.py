@@ -167,17 +167,23 @@ def bounded_sample(df: DataFrame, rows: int, order: list[Column]) -> DataFrame:
 BITMAP_ROWS = 1 << 18
 
 
-def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of df whose key (64 bits) may be among those of wanted, so that an exact join after it shuffles few others.
+def split_likely(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key (64 bits) may be among those of wanted, and the rows whose key is not for sure.
 
-    A bitmap of the keys' hashes is broadcast: at most BITMAP_ROWS numbers, however many keys there are; where
-    they fill it, more rows pass, never fewer."""
+    A join with wanted then shuffles few other rows. A bitmap of the keys' hashes is broadcast: at most
+    BITMAP_ROWS numbers, however many keys there are; where they fill it, more rows may be met, never fewer."""
     def place(column: str) -> Column:
         return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(64 * BITMAP_ROWS))
 
-    bits = wanted.select(place(key).alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, int(_at % 64))").alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    met = df.withColumn("_at", place(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(keep(bits.coalesce(1), "bitmap")), "_word")
-    return met.where(F.expr("shiftright(_bits, int(_at % 64)) & 1 = 1")).select(*df.columns)
+    bits = wanted.select(place(key).alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, int(_at % 64))").alias("_bits"))
+    bits = keep(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).coalesce(1), "bitmap")
+    met = df.withColumn("_at", place(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, int(_at % 64)) & 1 = 1"), F.lit(False))
+    return met.where(hit).select(*df.columns), met.where(~hit).select(*df.columns)
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    return split_likely(df, key, wanted)[0]
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -35,9 +35,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """n + 1 running sums; range_hash() takes the hash of any byte range from them."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=out[1:])
+    return prefix_sums(_BYTES[data])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """The same for any 64-bit values, such as hashes of words."""
+    up, _ = powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
@@ -47,8 +52,8 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word of rows data[offsets[i]:offsets[i+1]]; words are runs of anything but ASCII white space."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word of rows data[offsets[i]:offsets[i+1]]; words are runs of anything but ASCII white space."""
     solid = np.zeros(len(data) + 2, np.int8)
     solid[1:-1] = ~_SPACE[data]
     inner = offsets[1:-1]
@@ -59,8 +64,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         cut = at[(solid[at] == 1) & (solid[at + 1] == 1)] if len(at) else at
         if len(cut):
             start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
-    row = np.searchsorted(offsets, start, "right") - 1
-    return range_hash(prefix_hash(data), start, end), row
+    return start, end
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word of these rows."""
+    start, end = word_spans(data, offsets)
+    return range_hash(prefix_hash(data), start, end), np.searchsorted(offsets, start, "right") - 1
 
 
 def shingles(word: np.ndarray, row: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
