@@ -2,6 +2,10 @@
 
 Stages take (spark, docs, sf_dir) and work on all that the stage before kept. All but the last return the
 columns of documents.
+
+In every stage a null text counts as an empty one and stays null, an empty table gives an empty result, columns
+beyond those of documents are dropped whatever their names, and repeated rows are documents of their own: they
+stay or go together, but for the near duplicates, of which repeated rows are one kind.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithospark.llm import lines, ngram_join, packing, quality, repeats
-from lithospark.llm.common import keep, table
+from lithospark.llm.common import keep, split_likely, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents that score below this go.
@@ -36,17 +40,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the row with the least doc_id stays; of repeated rows one."""
     found = keep(ngram_join.jaccard_join(docs), "near")
-    dropped = found.where("rid <> class_rid").select(F.col("rid").alias("_rid")).distinct()
-    out = docs.select(*COLUMNS).withColumn("_rid", ngram_join.row_id()).join(dropped, "_rid", "left_anti")
-    again = keep(found.where("rid = class_rid AND n_links > 0").groupBy("rid").count().where("count > 1").select(F.col("rid").alias("_rid")), "repeated")
-    if not again.isEmpty():
-        out = out.join(again, "_rid", "left_anti").unionByName(out.join(again, "_rid", "left_semi").dropDuplicates(["_rid"]))
-    return out.select(*COLUMNS)
+    dropped = found.where("rid <> class_rid").select("rid")
+    again = found.where("rid = class_rid AND n_links > 0").groupBy("rid").count().where("count > 1").select("rid")
+    touched = keep(dropped.distinct().withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False))), "touched")
+    maybe, out = split_likely(docs.select(*COLUMNS).withColumn("_rid", ngram_join.row_id()), "_rid", touched.select(F.col("rid").alias("_rid")))
+    maybe = maybe.join(touched.select(F.col("rid").alias("_rid"), "gone").hint("merge"), "_rid", "left")
+    once = maybe.where("gone IS FALSE").dropDuplicates(["_rid"]).select(*COLUMNS)
+    return out.select(*COLUMNS).unionByName(maybe.where("gone IS NULL").select(*COLUMNS)).unionByName(once)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 bytes that start anywhere else go; so do documents of which nothing is left."""
-    out = repeats.remove_repeats(docs.select(*COLUMNS), as_text=True)
+    """Passages of 50 words or more that start anywhere else go; so do documents of which nothing is left."""
+    out = repeats.remove_repeats(docs.select(*COLUMNS), repeats.PASSAGE, repeats.PASSAGE_WINDOW, as_text=True, unit="words")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")).where((F.col("n_removed") == 0) | _has_word()).select(*COLUMNS)
 
 
