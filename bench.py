@@ -18,7 +18,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", folder).config("spark.checkpoint.dir", f"file://{folder}/shared").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from lithospark.queries import QUERIES
+    from lithospark.more_queries import QUERIES
 
     took = {}
     for name in HEADLINE:

@@ -10,18 +10,39 @@ from pyspark.sql import functions as F
 from lithospark.spec import Structure, VariogramModel
 
 
+#: Decibels of a factor of ten (fixed value).
+DECIBELS = 10.0
+
+
 def decibel(v: Column, reference: float, epsilon: float = 1e-10) -> Column:
-    return 20 * F.log10((F.abs(v) + epsilon) / reference) * F.when(v < 0, -1.0).otherwise(1.0)
+    """Of the modulus, which counts as epsilon at least."""
+    return DECIBELS * F.log10(F.greatest(F.abs(v), F.lit(epsilon)) / reference)
+
+
+def undecibel(d: Column, reference: float, negative: Column | None = None) -> Column:
+    """The amplitude at d decibels, with a minus sign where negative holds."""
+    out = F.pow(F.lit(10.0), d / DECIBELS) * reference
+    return out if negative is None else F.when(negative, -out).otherwise(out)
+
 
+def equalized(v: Column, decibels: float, reference: float, epsilon: float = 1e-5) -> Column:
+    """v with its modulus raised by so many decibels; the sign stays."""
+    return undecibel(decibel(v, reference, epsilon) + decibels, reference, v < 0)
 
-def undecibel(d: Column, reference: float, epsilon: float = 1e-10) -> Column:
-    return F.pow(F.lit(10.0), d / 20) * reference - epsilon
 
+def azimuth(x: Column, y: Column, cx: float, cy: float, half: bool = False) -> Column:
+    """Degrees clockwise from north, 0 to 360, or of the half circle the line lies in; 0 at the center."""
+    dx, dy = x - cx, y - cy
+    turn = F.lit(0.0) if half else F.when(dx < 0, 180.0).otherwise(0.0)
+    return F.when(dx == 0, F.when(dy < 0, 180.0).otherwise(0.0)).otherwise(90 - F.degrees(F.atan(F.try_divide(dy, dx))) + turn)
 
-def azimuth(x: Column, y: Column, cx: float, cy: float) -> Column:
-    """Degrees clockwise from north, 0 to 360; null at the center."""
-    a = F.degrees(F.atan2(x - cx, y - cy))
-    return F.when((x == cx) & (y == cy), None).when(a < 0, a + 360).otherwise(a)
+
+def to_polar(re: Column, im: Column) -> tuple[Column, Column]:
+    return F.hypot(re, im), F.atan2(im, re)
+
+
+def to_rectangular(magnitude: Column, phase: Column) -> tuple[Column, Column]:
+    return magnitude * F.cos(phase), magnitude * F.sin(phase)
 
 
 def linear_interpolate(x: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
@@ -43,6 +64,11 @@ def sums_to_one(a: Column, tolerance: float = 1e-6) -> Column:
     return F.abs(F.aggregate(a, F.lit(0.0), lambda s, e: s + e) - 1) <= tolerance
 
 
+def has_no_chance(a: Column) -> Column:
+    """Whether a probability is zero or negative."""
+    return F.exists(a, lambda e: e <= 0)
+
+
 def draw_index(p: Column, u: Column) -> Column:
     """0-based place of the first cumulative probability >= u; null if there is none."""
     state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("hit"))
@@ -69,8 +95,8 @@ def anisotropic_h(dx: Column, dy: Column, dz: Column, s: Structure) -> Column:
     return F.sqrt(total)
 
 
-def structure_gamma(h: Column, kind: str) -> Column:
-    """Standard structure at distance h in ranges."""
+def structure_gamma(h: Column, kind: str, range_: float = 1.0) -> Column:
+    """Standard structure at distance h in ranges; the power model takes the distance itself."""
     if kind == "spherical":
         return F.when(h >= 1, 1.0).otherwise(1.5 * h - 0.5 * h * h * h)
     if kind == "exponential":
@@ -78,7 +104,7 @@ def structure_gamma(h: Column, kind: str) -> Column:
     if kind == "gaussian":
         return 1 - F.exp(-9 * h * h)
     if kind == "power":
-        return F.pow(h, F.lit(1.5))
+        return F.pow(h * range_, F.lit(1.5))
     if kind == "hole":
         return 1 - F.cos(math.pi * h)
     raise ValueError(kind)
@@ -88,12 +114,15 @@ def gamma(dx: Column, dy: Column, dz: Column, model: VariogramModel) -> Column:
     """Semivariance of a lag vector; 0 at the zero vector."""
     total = F.lit(model.nugget)
     for s in model.structures:
-        total = total + s.sill * structure_gamma(anisotropic_h(dx, dy, dz, s), s.kind)
+        total = total + s.sill * structure_gamma(anisotropic_h(dx, dy, dz, s), s.kind, s.ranges[0])
     return F.when((dx == 0) & (dy == 0) & (dz == 0), 0.0).otherwise(total)
 
 
 def transiogram_p(kind: str, h: Column, range_: float, sill: float, auto: bool) -> Column:
-    g = structure_gamma(h / range_, kind)
+    """Probability of a transition at distance h by a model; 0 for kinds that are not known."""
+    if kind not in ("spherical", "exponential", "gaussian", "power", "hole"):
+        return F.lit(0.0)
+    g = structure_gamma(h / range_, kind, range_)
     return 1 - g * (1 - sill) if auto else g * sill
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithospark.functions.scalar import quadratic_trend
+from lithospark.sources.geoeas import range_bucket, with_row_id
+
 
 def ndv_to_null(df: DataFrame, columns: list[str], ndv: float) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) != ndv, F.col(c)) for c in columns})
@@ -32,8 +35,58 @@ def to_categorical(column: str, codes: list[int], fallback: int) -> Column:
 
 
 def names_to_codes(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    """Adds code: that of the name in names(name, code), else null. names is a category definition; Spark broadcasts it if small."""
-    return df.join(names.select(F.col("name").alias(column), "code"), column, "left")
+    """Adds code: that of the name in names(name, code), else null, and token: the code as text, or else the name as it is.
+
+    names is a category definition; Spark broadcasts it if small."""
+    out = df.join(names.select(F.col("name").alias(column), "code"), column, "left")
+    return out.withColumn("token", F.coalesce(F.col("code").cast("string"), F.col(column)))
+
+
+def unmatched_names(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """name, n: the names without a code, and how many rows have each."""
+    rows = df.where(F.col(column).isNotNull()).join(names.select(F.col("name").alias(column)), column, "left_anti")
+    return rows.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def filter_category(df: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows whose code is that of the name in names(name, code)."""
+    return df.join(names.where(F.col("name") == name).select(F.col("code").alias(column)), column, "left_semi")
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(column).count()
+
+
+def add_constant(df: DataFrame, column: str, value: float, role: str | None = None, of: str | None = None) -> DataFrame:
+    """Adds a column; with a role (weight, normal score, ...) of another column, which its metadata keep."""
+    return with_role(df.withColumn(column, F.lit(value)), column, role, of) if role else df.withColumn(column, F.lit(value))
+
+
+def with_role(df: DataFrame, column: str, role: str, of: str) -> DataFrame:
+    return df.withMetadata(column, {**df.schema[column].metadata, "role": role, "of": of})
+
+
+def drop_column(df: DataFrame, column: str) -> DataFrame:
+    """Drops the column and those with a role of it."""
+    return df.drop(column, *[f.name for f in df.schema if f.metadata.get("of") == column])
+
+
+def sort_by(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """Sorted by the column, ties by row_id."""
+    return df.orderBy(F.col(column).asc() if ascending else F.col(column).desc(), "row_id")
+
+
+def group_tables(df: DataFrame, column: str) -> DataFrame:
+    """A table for each value of the column: table, its number (by value), n and the bounds of its row ids; the rows stay in one frame."""
+    groups = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    return with_row_id(groups, ["value"]).withColumnRenamed("row_id", "table")
+
+
+def append_array(df: DataFrame, values: DataFrame, column: str, none: float = -999.0) -> DataFrame:
+    """df with the column of values(cell, column); what is not finite, or not there, is none."""
+    x = F.col(column)
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return df.join(values.select("cell", column), "cell", "left").withColumn(column, F.coalesce(finite, F.lit(none)))
 
 
 def calculate(df: DataFrame, script: dict[str, str]) -> DataFrame:
@@ -99,12 +152,12 @@ def cdf_table(df: DataFrame, column: str, weight: str | None = None) -> DataFram
     Sums run in two levels: within ranges of values, then over the ranges before."""
     w = F.col(weight) if weight else F.lit(1.0)
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.sum(w).alias("w"))
-    ranged = values.repartitionByRange("value").withColumn("_p", F.spark_partition_id())
+    ranged = values.withColumn("_p", range_bucket(values, ["value"]))
     totals = ranged.groupBy("_p").agg(F.sum("w").alias("t"))
-    before = totals.alias("a").join(totals.alias("b"), F.expr("b._p < a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.t"), F.lit(0.0)).alias("before"))  # one row a partition
+    before = totals.alias("a").join(totals.alias("b"), F.expr("b._p < a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.t"), F.lit(0.0)).alias("before"))  # one row a range
     whole = totals.agg(F.sum("t").alias("all"))
     local = F.sum("w").over(Window.partitionBy("_p").orderBy("value"))
-    out = ranged.withColumn("_c", local).join(F.broadcast(before), "_p").crossJoin(F.broadcast(whole))  # one row a partition, and one row
+    out = ranged.withColumn("_c", local).join(F.broadcast(before), "_p").crossJoin(F.broadcast(whole))  # one row a range, and one row
     return out.select("value", "w", ((F.col("before") + F.col("_c") - F.col("w") / 2) / F.col("all")).alias("p"))
 
 
@@ -154,6 +207,12 @@ def trend_sums(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).agg(*sums, *[F.sum(t * F.col(column)).alias(f"b{i}") for i, t in enumerate(terms)])
 
 
+def detrended(df: DataFrame, column: str, coefficients: tuple[float, ...]) -> DataFrame:
+    """Adds trend, the quadratic drift at x, y, z, and residual, the column less it."""
+    out = df.withColumn("trend", quadratic_trend(F.col("x"), F.col("y"), F.col("z"), coefficients))
+    return out.withColumn("residual", F.col(column) - F.col("trend"))
+
+
 def fit_trend(df: DataFrame, column: str) -> tuple[float, ...]:
     import numpy as np
 

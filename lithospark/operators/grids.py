@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +20,12 @@ def make_grid(spark: SparkSession, spec: GridSpec) -> DataFrame:
     return cells.withColumns({"x": spec.x0 + (F.col("i") + 0.5) * spec.dx, "y": spec.y0 + (F.col("j") + 0.5) * spec.dy, "z": spec.z0 + (F.col("k") + 0.5) * spec.dz if spec.nz > 1 else F.lit(0.0)})
 
 
+def around(points: DataFrame, size: float) -> GridSpec:
+    """Square cells of that size over the box around the points, from its lower left corner."""
+    b = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()  # one row
+    return GridSpec(max(1, math.ceil((b[1] - b[0]) / size + 1e-9)), max(1, math.ceil((b[3] - b[2]) / size + 1e-9)), 1, b[0], b[2], 0.0, size, size, 1.0)
+
+
 def resample(grid: DataFrame, ri: int, rj: int) -> DataFrame:
     return grid.where((F.col("i") % ri == 0) & (F.col("j") % rj == 0)).withColumns({"i": (F.col("i") / ri).cast("int"), "j": (F.col("j") / rj).cast("int")})
 

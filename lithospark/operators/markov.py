@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +40,25 @@ def _share(n: Column, *by: str) -> Column:
     return n / F.sum(n).over(Window.partitionBy(*by))
 
 
+def full_matrix(ftm: DataFrame) -> DataFrame:
+    """from, to, n of every pair of the categories in ftm, n = 0 where it has no row: as many rows as categories squared."""
+    names = ftm.select(F.col("from").alias("c")).unionByName(ftm.select(F.col("to").alias("c"))).distinct()
+    pairs = names.select(F.col("c").alias("from")).crossJoin(F.broadcast(names.select(F.col("c").alias("to"))))  # categories are few
+    return pairs.join(ftm, ["from", "to"], "left").select("from", "to", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def probabilities(ftm: DataFrame) -> DataFrame:
     return ftm.withColumns({"up": _share(F.col("n"), "from"), "down": _share(F.col("n"), "to")})
 
 
 def entropies(ftm: DataFrame, categories: int) -> DataFrame:
-    """cat, post, pre: entropies of the next and the previous category without self transitions, over log2(categories - 1)."""
-    off = ftm.where("from <> to").withColumns({"p": _share(F.col("n"), "from"), "q": _share(F.col("n"), "to")})
-    scale = F.log2(F.lit(float(categories - 1)))
-    term = lambda c: -F.sum(F.col(c) * F.log2(c)) / scale
-    post = off.groupBy(F.col("from").alias("cat")).agg(term("p").alias("post"))
-    return post.join(off.groupBy(F.col("to").alias("cat")).agg(term("q").alias("pre")), "cat", "full")
+    """cat, post, pre: entropies of the next and the previous category over log2(categories - 1).
+
+    Probabilities are shares of the whole row (column); the transition to itself only adds no term."""
+    p = probabilities(ftm)
+    term = lambda c: -F.sum(F.when((F.col("from") != F.col("to")) & (F.col(c) > 0), F.col(c) * F.log2(c)).otherwise(0.0)) / math.log2(categories - 1)
+    post = p.groupBy(F.col("from").alias("cat")).agg(term("up").alias("post"))
+    return post.join(p.groupBy(F.col("to").alias("cat")).agg(term("down").alias("pre")), "cat", "full")
 
 
 def mean_thickness(segments: DataFrame) -> DataFrame:
@@ -56,46 +66,50 @@ def mean_thickness(segments: DataFrame) -> DataFrame:
 
 
 def transition_rates(ftm: DataFrame, thickness: DataFrame) -> DataFrame:
-    """-1 / L on the diagonal, else p / L with p over the other categories."""
-    off = ftm.where("from <> to").withColumn("p", _share(F.col("n"), "from")).select("from", "to", "p")
-    diagonal = thickness.select(F.col("cat").alias("from"), F.col("cat").alias("to"), F.lit(-1.0).alias("p"))
-    return off.unionByName(diagonal).join(thickness.withColumnRenamed("cat", "from"), "from").select("from", "to", (F.col("p") / F.col("thickness")).alias("rate"))
+    """-1 / L on the diagonal, else p / L with p the share of the whole row, 0 where there is no transition."""
+    p = F.when(F.col("from") == F.col("to"), -1.0).otherwise(F.col("up"))
+    rows = probabilities(full_matrix(ftm)).select("from", "to", p.alias("p"))
+    return rows.join(thickness.withColumnRenamed("cat", "from"), "from").select("from", "to", (F.col("p") / F.col("thickness")).alias("rate"))
 
 
 def expected(ftm: DataFrame) -> DataFrame:
-    """Independent trails: column sum over (total - row sum), 0 on the diagonal; difference and expected frequency."""
+    """Of every pair: independent trail (column sum over total - row sum), difference of p and trail, expected frequency; 0 on the diagonal."""
     row, column = F.sum("n").over(Window.partitionBy("from")), F.sum("n").over(Window.partitionBy("to"))
     total = ftm.agg(F.sum("n").alias("total"))
-    out = ftm.withColumns({"row_sum": row, "column_sum": column}).crossJoin(F.broadcast(total))  # one row
-    trail = F.when(F.col("from") == F.col("to"), 0.0).otherwise(F.col("column_sum") / (F.col("total") - F.col("row_sum")))
-    out = out.withColumn("trail", trail).withColumns({"difference": F.col("n") / F.col("row_sum") - F.col("trail"), "expected": F.col("trail") * F.col("row_sum")})
+    out = full_matrix(ftm).withColumns({"row_sum": row, "column_sum": column}).crossJoin(F.broadcast(total))  # one row
+    other = F.col("from") != F.col("to")
+    out = out.withColumn("trail", F.when(other, F.try_divide(F.col("column_sum"), F.col("total") - F.col("row_sum"))).otherwise(0.0))
+    out = out.withColumns({"difference": F.when(other, F.try_divide("n", "row_sum") - F.col("trail")).otherwise(0.0), "expected": F.col("trail") * F.col("row_sum")})
     return out.drop("row_sum", "column_sum", "total")
 
 
 def chi_squared(ftm: DataFrame) -> DataFrame:
+    """Over all pairs with an expected frequency, those that never occur too."""
     e = F.col("expected")
     return expected(ftm).agg(F.sum(F.when(e > 0, (F.col("n") - e) * (F.col("n") - e) / e)).alias("chi2"))
 
 
-def stations(segments: DataFrame, h: float) -> DataFrame:
-    """hole, s, cat: the category every h along each hole; the first interval that holds the station."""
-    rows = distance_along(segments).withColumn("end", F.col("along") + F.col("z1") - F.col("z0"))
-    rows = rows.withColumn("s", F.explode(F.sequence(F.ceil(F.col("along") / h), F.greatest(F.ceil(F.col("along") / h), F.floor(F.col("end") / h)))))
-    inside = rows.where((F.col("s") * h >= F.col("along")) & (F.col("s") * h <= F.col("end")))
-    return inside.groupBy("hole", "s").agg(F.min_by("cat", F.struct("along", "row_id")).alias("cat"))
+def stations(segments: DataFrame, steps: list[float]) -> DataFrame:
+    """h, hole, s, cat: for each h of steps the category every h along each hole; the first interval that holds the station."""
+    rows = distance_along(segments).withColumn("end", F.col("along") + F.col("z1") - F.col("z0")).withColumn("h", F.explode(F.array(*[F.lit(float(h)) for h in steps])))
+    low = F.ceil(F.col("along") / F.col("h"))
+    rows = rows.withColumn("s", F.explode(F.sequence(low, F.greatest(low, F.floor(F.col("end") / F.col("h"))))))
+    inside = rows.where((F.col("s") * F.col("h") >= F.col("along")) & (F.col("s") * F.col("h") <= F.col("end")))
+    return inside.groupBy("h", "hole", "s").agg(F.min_by("cat", F.struct("along", "row_id")).alias("cat"))
 
 
-def transition_counts_at(segments: DataFrame, h: float) -> DataFrame:
-    after = F.lead("cat").over(Window.partitionBy("hole").orderBy("s"))
-    return stations(segments, h).where("cat IS NOT NULL").withColumn("to", after).where("to IS NOT NULL").groupBy(F.col("cat").alias("from"), "to").agg(F.count(F.lit(1)).alias("n"))
+def transition_counts_at(segments: DataFrame, *steps: float) -> DataFrame:
+    """h, from, to, n between stations h apart."""
+    after = F.lead("cat").over(Window.partitionBy("h", "hole").orderBy("s"))
+    return stations(segments, list(steps)).where("cat IS NOT NULL").withColumn("to", after).where("to IS NOT NULL").groupBy("h", F.col("cat").alias("from"), "to").agg(F.count(F.lit(1)).alias("n"))
 
 
 def transiogram(segments: DataFrame, steps: list[float]) -> DataFrame:
-    out = None
-    for h in steps:
-        one = probabilities(transition_counts_at(segments, h)).select(F.lit(h).alias("h"), "from", "to", "n", "up")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """h, from, to, n, up for all steps in one pass over the holes, and sill: the category's share of all transitions' ends."""
+    counts = transition_counts_at(segments, *steps)
+    ends = counts.groupBy("to").agg(F.sum("n").alias("ends"))
+    sill = ends.crossJoin(F.broadcast(ends.agg(F.sum("ends").alias("all")))).select("to", (F.col("ends") / F.col("all")).alias("sill"))  # one row
+    return counts.withColumn("up", _share(F.col("n"), "h", "from")).join(sill, "to").select("h", "from", "to", "n", "up", "sill")
 
 
 def vpc(segments: DataFrame, base: float, top: float, steps: int, window: float) -> DataFrame:
@@ -148,10 +162,9 @@ def sum_counts(matrices: list[DataFrame]) -> DataFrame:
 
 
 def drop_empty(matrices: DataFrame) -> DataFrame:
-    """matrices(h, from, to, n) less the categories that have no transition in any h."""
+    """matrices(h, from, to, n) less the rows (from) and the columns (to) that have no transition in any h."""
     seen = matrices.where("n > 0")
-    some = seen.select(F.col("from").alias("cat")).unionByName(seen.select(F.col("to").alias("cat"))).distinct()
-    return matrices.join(some.withColumnRenamed("cat", "from"), "from", "left_semi").join(some.withColumnRenamed("cat", "to"), "to", "left_semi").select(*matrices.columns)
+    return matrices.join(seen.select("from").distinct(), "from", "left_semi").join(seen.select("to").distinct(), "to", "left_semi").select(*matrices.columns)
 
 
 def inexistent_transitions(reference: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
@@ -175,7 +188,24 @@ def next_category(ftm: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def relationship_edges(ftm: DataFrame, cutoff: float) -> DataFrame:
-    return probabilities(ftm).where(F.col("up") >= cutoff).select("from", "to", "up")
+    """from, to, difference: transitions that are more frequent than in independent trails by more than cutoff."""
+    return expected(ftm).where(F.col("difference") > cutoff).select("from", "to", "difference")
+
+
+def hole_ends(segments: DataFrame) -> DataFrame:
+    """hole, head, tail: where the first and the last interval of a hole begin and end."""
+    order = F.struct("z0", "row_id")
+    return segments.groupBy("hole").agg(F.min_by("z0", order).alias("head"), F.max_by("z1", order).alias("tail"))
+
+
+def segment_measures(segments: DataFrame) -> DataFrame:
+    """Adds length, and the mid-point mid; intervals are vertical, so the length is the height too."""
+    return segments.withColumns({"length": F.abs(F.col("z1") - F.col("z0")), "mid": (F.col("z0") + F.col("z1")) / 2})
+
+
+def to_midpoints(segments: DataFrame) -> DataFrame:
+    """One point for each interval: its mid-point, with the interval's length as its weight."""
+    return segment_measures(segments).drop("z0", "z1").withColumnsRenamed({"mid": "z", "length": "weight"})
 
 
 def vpc_mean(curves: DataFrame) -> DataFrame:

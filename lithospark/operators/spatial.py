@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -88,6 +89,18 @@ def sector_neighbors(pairs: DataFrame, sectors: int, n_max: int, per_sector_min:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("row_id_a").orderBy("in_sector", "sector"))).where(F.col("rank") <= n_max)
 
 
+def in_box(points: DataFrame, boxes: DataFrame, size: float, axes: str = "xy") -> DataFrame:
+    """Pairs of points and boxes(box, low_x, high_x, ...) that hold them, ends included.
+
+    Points go to their tile of that size, boxes to the tiles they meet."""
+    left = points.withColumns({f"_{c}": _bucket(c, size) for c in axes})
+    right = boxes
+    for c in axes:
+        right = right.withColumn(f"_{c}", F.explode(F.sequence(_bucket(f"low_{c}", size), _bucket(f"high_{c}", size))))
+    inside = reduce(lambda p, c: p & F.col(c).between(F.col(f"low_{c}"), F.col(f"high_{c}")), axes, F.lit(True))
+    return left.join(right, [f"_{c}" for c in axes]).where(inside).drop(*[f"_{c}" for c in axes])
+
+
 def close_samples(points: DataFrame, r: float, axes: str = "xy") -> DataFrame:
     return within_distance(points, points, r, axes).where("row_id_a < row_id_b").select("row_id_a", "row_id_b", "d")
 
@@ -109,6 +122,26 @@ def collocate_grid_to_points(points: DataFrame, grid: DataFrame, spec: GridSpec,
     return cell_of(spec, points).join(grid.select("i", "j", "k", F.col(value).alias("cell_value")), ["i", "j", "k"], "left")
 
 
+def collocate_grid_to_grid(target: DataFrame, target_spec: GridSpec, source: DataFrame, source_spec: GridSpec, value: str) -> DataFrame:
+    """target with the source's value at the center of each of its cells; null outside the source."""
+    at = center_of(target_spec, target).withColumnsRenamed({c: f"_{c}" for c in "ijk"})
+    out = cell_of(source_spec, at).join(source.select("i", "j", "k", F.col(value).alias("source_value")), ["i", "j", "k"], "left")
+    return out.drop("i", "j", "k", "x", "y", "z").withColumnsRenamed({f"_{c}": c for c in "ijk"})
+
+
+def grid_to_points(grid: DataFrame, spec: GridSpec) -> DataFrame:
+    """Points at the cell centers."""
+    return center_of(spec, grid).drop("i", "j", "k")
+
+
+def repositioned(spec: GridSpec, cells: tuple[tuple[int, int], tuple[int, int]], places: tuple[tuple[float, float], tuple[float, float]]) -> GridSpec:
+    """spec with the origin and cell sizes that put the centers of two cells (i, j) at two places (x, y)."""
+    (i0, j0), (i1, j1) = cells
+    (xa, ya), (xb, yb) = places
+    dx, dy = (xb - xa) / (i1 - i0), (yb - ya) / (j1 - j0)
+    return replace(spec, dx=dx, dy=dy, x0=xa - (i0 + 0.5) * dx, y0=ya - (j0 + 0.5) * dy)
+
+
 def collocate_points_to_grid(points: DataFrame, grid: DataFrame, spec: GridSpec, value: str) -> DataFrame:
     """Last sample by row_id wins in a cell; cells without one have null."""
     last = cell_of(spec, points).where("i IS NOT NULL AND j IS NOT NULL AND k IS NOT NULL").groupBy("i", "j", "k").agg(F.max_by(value, "row_id").alias("point_value"))
@@ -162,7 +195,7 @@ def _gamma_np(dx: np.ndarray, dy: np.ndarray, dz: np.ndarray, model: VariogramMo
         turn = np.array([[1, 0, 0], [0, math.cos(c), math.sin(c)], [0, -math.sin(c), math.cos(c)]]) @ np.array([[math.cos(b), 0, -math.sin(b)], [0, 1, 0], [math.sin(b), 0, math.cos(b)]]) @ np.array([[math.cos(a), math.sin(a), 0], [-math.sin(a), math.cos(a), 0], [0, 0, 1]])
         v = np.stack([dx, dy, dz], -1) @ turn.T / np.array(s.ranges)
         h = np.sqrt((v * v).sum(-1))
-        total = total + s.sill * {"spherical": lambda h: np.where(h >= 1, 1.0, 1.5 * h - 0.5 * h**3), "exponential": lambda h: 1 - np.exp(-3 * h), "gaussian": lambda h: 1 - np.exp(-9 * h * h), "power": lambda h: h**1.5, "hole": lambda h: 1 - np.cos(np.pi * h)}[s.kind](h)
+        total = total + s.sill * {"spherical": lambda h: np.where(h >= 1, 1.0, 1.5 * h - 0.5 * h**3), "exponential": lambda h: 1 - np.exp(-3 * h), "gaussian": lambda h: 1 - np.exp(-9 * h * h), "power": lambda h, r=s.ranges[0]: (h * r) ** 1.5, "hole": lambda h: 1 - np.cos(np.pi * h)}[s.kind](h)
     return np.where((dx == 0) & (dy == 0) & (dz == 0), 0.0, total)
 
 
@@ -210,3 +243,9 @@ def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramMo
 
 def model_surface(grid: DataFrame, model: VariogramModel) -> DataFrame:
     return grid.withColumn("gamma", gamma(F.col("x"), F.col("y"), F.col("z"), model))
+
+
+def model_curve(model: VariogramModel, lags: DataFrame, azimuth: float = 0.0) -> DataFrame:
+    """lags(h) with gamma at the distance h in that horizontal direction."""
+    a = math.radians(azimuth)
+    return lags.withColumn("gamma", gamma(F.col("h") * math.sin(a), F.col("h") * math.cos(a), F.lit(0.0), model))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,11 @@ def _r(*columns, digits=6):
 
 
 # --- tables, predicates, summaries
-@query("P1_ndv_to_null", f"WITH g AS ({_GRID}) SELECT cell, CASE WHEN cat <> '1-URGENT' THEN v END AS v, coalesce(v, -999) AS back FROM g")
+@query("P1_ndv_to_null", f"WITH g AS ({_GRID}) SELECT cell, CASE WHEN cat <> '1-URGENT' THEN v END AS v, coalesce(CASE WHEN cat <> '1-URGENT' THEN v END, -999) AS back FROM g")
 def p1(s, d):
     g = T.grid(s, d)
-    return g.select("cell", F.when(F.col("cat") != "1-URGENT", F.col("v")).alias("v"), F.coalesce("v", F.lit(-999.0)).alias("back"))
+    lost = g.select("cell", F.when(F.col("cat") != "1-URGENT", F.col("v")).otherwise(-999.0).alias("v"))
+    return frame.null_to_ndv(frame.ndv_to_null(lost, ["v"], -999.0).withColumn("back", F.col("v")), ["back"], -999.0)
 
 
 @query("P2_filter_range", f"WITH p AS ({_PT}) SELECT row_id, v FROM p WHERE v >= 100 AND v <= 5000")
@@ -54,7 +57,7 @@ def p2(s, d):
 @query("P3_filter_category", f"WITH p AS ({_PT}) SELECT row_id, v FROM p WHERE dom = 2")
 def p3(s, d):
     names = s.createDataFrame(list(zip(T.SEGMENTS, range(1, 6))), "name string, code int")
-    return T.points(s, d).join(names.where("name = 'BUILDING'"), F.col("dom") == F.col("code"), "left_semi").select("row_id", "v")
+    return frame.filter_category(T.points(s, d), "dom", names, "BUILDING").select("row_id", "v")
 
 
 @query("P4_classify", f"WITH p AS ({_PT}) SELECT row_id, CAST(CASE WHEN v BETWEEN -1000 AND 0 THEN 1 WHEN v BETWEEN 0 AND 4000 THEN 2 WHEN v BETWEEN 3000 AND 8000 THEN 3 ELSE -1 END AS INTEGER) AS code FROM p")
@@ -68,11 +71,11 @@ def p5(s, d):
     return x.select("l_orderkey", "l_linenumber", "l_partkey", frame.to_categorical("q", [1, 2, 4], 9).alias("code"))
 
 
-@query("P6_names_to_codes", "SELECT c_custkey, r_regionkey AS code FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
+@query("P6_names_to_codes", "SELECT c_custkey, CASE WHEN r_name <> 'ASIA' THEN r_regionkey END AS code, CASE WHEN r_name <> 'ASIA' THEN CAST(r_regionkey AS VARCHAR) ELSE r_name END AS token FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def p6(s, d):
     names = T.table(s, d, "region").where("r_name <> 'ASIA'").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("code"))
     regions = T.table(s, d, "nation").join(T.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
-    return frame.names_to_codes(T.table(s, d, "customer").join(regions, F.col("c_nationkey") == F.col("n_nationkey")), "region", names).select("c_custkey", "code")
+    return frame.names_to_codes(T.table(s, d, "customer").join(regions, F.col("c_nationkey") == F.col("n_nationkey")), "region", names).select("c_custkey", "code", "token")
 
 
 @query("P8_append_column", f"WITH p AS ({_PT}), q AS ({_PS}) SELECT p.row_id, p.v, q.v AS w FROM p LEFT JOIN q USING (row_id)")
@@ -147,16 +150,16 @@ def a13(s, d):
 
 @query("A16_value_counts", f"WITH g AS ({_GRID}) SELECT cat, count(*) AS count FROM g GROUP BY cat")
 def a16(s, d):
-    return T.grid(s, d).groupBy("cat").count()
+    return frame.value_counts(T.grid(s, d), "cat")
 
 
 # --- drill holes
-@query("W1_distance_to_next", f"WITH s AS (SELECT * FROM ({_SEG}) WHERE row_id % 11 <> 0) SELECT row_id, round(coalesce(lead(z0) OVER (PARTITION BY hole ORDER BY z0, row_id) - z1, 0), 6) AS gap FROM s")
+@query("W1_distance_to_next", f"WITH s AS (SELECT * FROM ({_SEG}) WHERE z1 - z0 <= 24) SELECT row_id, round(coalesce(lead(z0) OVER (PARTITION BY hole ORDER BY z0, row_id) - z1, 0), 6) AS gap FROM s")
 def w1(s, d):
     return rounded(markov.distance_to_next(T.segments(s, d, True)), "gap").select("row_id", "gap")
 
 
-_ALONG = f"s AS (SELECT * FROM ({_SEG}) WHERE row_id % 11 <> 0), g AS (SELECT *, coalesce(lead(z0) OVER (PARTITION BY hole ORDER BY z0, row_id) - z1, 0) AS gap FROM s), a AS (SELECT *, coalesce(sum(z1 - z0 + gap) OVER (PARTITION BY hole ORDER BY z0, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS along FROM g)"
+_ALONG = f"s AS (SELECT * FROM ({_SEG}) WHERE z1 - z0 <= 24), g AS (SELECT *, coalesce(lead(z0) OVER (PARTITION BY hole ORDER BY z0, row_id) - z1, 0) AS gap FROM s), a AS (SELECT *, coalesce(sum(z1 - z0 + gap) OVER (PARTITION BY hole ORDER BY z0, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS along FROM g)"
 
 
 @query("W2_distance_along", f"WITH {_ALONG} SELECT row_id, round(along, 5) AS along FROM a")
@@ -164,7 +167,7 @@ def w2(s, d):
     return rounded(markov.distance_along(T.segments(s, d, True)), "along", digits=5).select("row_id", "along")
 
 
-_SEQ = f"s AS (SELECT * FROM ({_SEG}) WHERE row_id % 11 <> 0), b AS (SELECT *, CASE WHEN least(abs(z0 - lag(z1) OVER w), abs(z1 - lag(z0) OVER w), abs(z0 - lag(z0) OVER w), abs(z1 - lag(z1) OVER w)) > 1e-6 THEN 1 ELSE 0 END AS brk FROM s WINDOW w AS (PARTITION BY hole ORDER BY z0, row_id)), q AS (SELECT *, sum(brk) OVER (PARTITION BY hole ORDER BY z0, row_id) AS seq FROM b), t AS (SELECT cat AS \"from\", lead(cat) OVER (PARTITION BY hole, seq ORDER BY z0, row_id) AS \"to\" FROM q WHERE cat IS NOT NULL), f AS (SELECT \"from\", \"to\", count(*) AS n FROM t WHERE \"to\" IS NOT NULL GROUP BY ALL)"
+_SEQ = f"s AS (SELECT * FROM ({_SEG}) WHERE z1 - z0 <= 24), b AS (SELECT *, CASE WHEN least(abs(z0 - lag(z1) OVER w), abs(z1 - lag(z0) OVER w), abs(z0 - lag(z0) OVER w), abs(z1 - lag(z1) OVER w)) > 1e-6 THEN 1 ELSE 0 END AS brk FROM s WINDOW w AS (PARTITION BY hole ORDER BY z0, row_id)), q AS (SELECT *, sum(brk) OVER (PARTITION BY hole ORDER BY z0, row_id) AS seq FROM b), t AS (SELECT cat AS \"from\", lead(cat) OVER (PARTITION BY hole, seq ORDER BY z0, row_id) AS \"to\" FROM q WHERE cat IS NOT NULL), f AS (SELECT \"from\", \"to\", count(*) AS n FROM t WHERE \"to\" IS NOT NULL GROUP BY ALL)"
 
 
 @query("W3_gap_breaks", f"WITH {_SEQ} SELECT row_id, CAST(seq AS BIGINT) AS seq FROM q")
@@ -186,33 +189,37 @@ def c4(s, d):
     return rounded(markov.probabilities(_ftm(s, d)), "up", "down")
 
 
-@query("C5_rates", f"WITH {_SEQ}, m AS (SELECT cat, avg(z1 - z0) AS l FROM s WHERE cat IS NOT NULL GROUP BY cat), o AS (SELECT \"from\", \"to\", n / sum(n) OVER (PARTITION BY \"from\") AS p FROM f WHERE \"from\" <> \"to\" UNION ALL SELECT cat, cat, -1.0 FROM m) SELECT \"from\", \"to\", round(p / l, 6) AS rate FROM o JOIN m ON cat = \"from\"")
+_FULL = 'c AS (SELECT "from" AS c FROM f UNION SELECT "to" FROM f), w AS (SELECT a.c AS "from", b.c AS "to", coalesce(n, 0) AS n FROM c a CROSS JOIN c b LEFT JOIN f ON f."from" = a.c AND f."to" = b.c)'
+
+
+@query("C5_rates", f"WITH {_SEQ}, m AS (SELECT cat, avg(z1 - z0) AS l FROM s WHERE cat IS NOT NULL GROUP BY cat), {_FULL}, o AS (SELECT \"from\", \"to\", CASE WHEN \"from\" = \"to\" THEN -1.0 ELSE n / sum(n) OVER (PARTITION BY \"from\") END AS p FROM w) SELECT \"from\", \"to\", round(p / l, 6) AS rate FROM o JOIN m ON cat = \"from\"")
 def c5(s, d):
     seg = T.segments(s, d, True)
     return rounded(markov.transition_rates(markov.transition_counts(seg), markov.mean_thickness(seg)), "rate")
 
 
-@query("C6_entropy", f"WITH {_SEQ}, o AS (SELECT \"from\", \"to\", n / sum(n) OVER (PARTITION BY \"from\") AS p, n / sum(n) OVER (PARTITION BY \"to\") AS q FROM f WHERE \"from\" <> \"to\") SELECT a.cat, round(post, 6) AS post, round(pre, 6) AS pre FROM (SELECT \"from\" AS cat, -sum(p * log2(p)) / log2(4) AS post FROM o GROUP BY 1) a FULL JOIN (SELECT \"to\" AS cat, -sum(q * log2(q)) / log2(4) AS pre FROM o GROUP BY 1) b ON a.cat = b.cat")
+@query("C6_entropy", f'WITH {_SEQ}, {_FULL}, o AS (SELECT *, n / sum(n) OVER (PARTITION BY "from") AS p, n / sum(n) OVER (PARTITION BY "to") AS q FROM w) SELECT a.cat, round(post, 6) AS post, round(pre, 6) AS pre FROM (SELECT "from" AS cat, -sum(CASE WHEN "from" <> "to" AND p > 0 THEN p * log2(p) ELSE 0 END) / log2(4) AS post FROM o GROUP BY 1) a JOIN (SELECT "to" AS cat, -sum(CASE WHEN "from" <> "to" AND q > 0 THEN q * log2(q) ELSE 0 END) / log2(4) AS pre FROM o GROUP BY 1) b USING (cat)')
 def c6(s, d):
     return rounded(markov.entropies(_ftm(s, d), 5), "post", "pre")
 
 
-_EXP = f"{_SEQ}, r AS (SELECT *, sum(n) OVER (PARTITION BY \"from\") AS rs, sum(n) OVER (PARTITION BY \"to\") AS cs, sum(n) OVER () AS tt FROM f), x AS (SELECT *, CASE WHEN \"from\" = \"to\" THEN 0.0 ELSE cs / (tt - rs) END AS trail FROM r)"
+def _exp(f):
+    return f'{f}, {_FULL}, r AS (SELECT *, sum(n) OVER (PARTITION BY "from") AS rs, sum(n) OVER (PARTITION BY "to") AS cs, sum(n) OVER () AS tt FROM w), x AS (SELECT *, CASE WHEN "from" = "to" THEN 0.0 ELSE cs / (tt - rs) END AS trail, CASE WHEN "from" = "to" THEN 0.0 ELSE n / rs - cs / (tt - rs) END AS difference FROM r)'
 
 
-@query("C7_expected", f"WITH {_EXP} SELECT \"from\", \"to\", n, round(trail, 6) AS trail, round(n / rs - trail, 6) AS difference, round(trail * rs, 4) AS expected FROM x")
+@query("C7_expected", f'WITH {_exp(_SEQ)} SELECT "from", "to", n, round(trail, 6) AS trail, round(difference, 6) AS difference, round(trail * rs, 4) AS expected FROM x')
 def c7(s, d):
     return markov.expected(_ftm(s, d)).withColumns({"trail": F.round("trail", 6), "difference": F.round("difference", 6), "expected": F.round("expected", 4)})
 
 
-@query("C8_chi_squared", f"WITH {_EXP} SELECT round(sum(CASE WHEN trail * rs > 0 THEN (n - trail * rs) * (n - trail * rs) / (trail * rs) END), 4) AS chi2 FROM x")
+@query("C8_chi_squared", f"WITH {_exp(_SEQ)} SELECT round(sum(CASE WHEN trail * rs > 0 THEN (n - trail * rs) * (n - trail * rs) / (trail * rs) END), 4) AS chi2 FROM x")
 def c8(s, d):
     return rounded(markov.chi_squared(_ftm(s, d)), "chi2", digits=4)
 
 
 @query("C2_transition_counts_at", f"WITH {_ALONG}, st AS (SELECT hole, k, cat, along, row_id FROM a, range(0, 2000) t(k) WHERE k * 5.5 >= along AND k * 5.5 <= along + z1 - z0), m AS (SELECT hole, k, arg_min(cat, (along, row_id)) AS cat FROM st GROUP BY ALL), t AS (SELECT cat AS \"from\", lead(cat) OVER (PARTITION BY hole ORDER BY k) AS \"to\" FROM m WHERE cat IS NOT NULL) SELECT \"from\", \"to\", count(*) AS n FROM t WHERE \"to\" IS NOT NULL GROUP BY ALL")
 def c2(s, d):
-    return markov.transition_counts_at(T.segments(s, d, True), 5.5)
+    return markov.transition_counts_at(T.segments(s, d, True), 5.5).drop("h")
 
 
 @query("C11_vpc", f"WITH s AS ({_SEG}), c AS (SELECT CAST(k AS BIGINT) AS d, cat, least(z1, 100 + k * 10.0 + 12.5, 500) - greatest(z0, 100 + k * 10.0 - 12.5, 100) AS len FROM s, range(0, 41) t(k) WHERE cat IS NOT NULL), l AS (SELECT d, cat, sum(len) AS len FROM c WHERE len > 0 GROUP BY ALL) SELECT d, cat, round(len, 4) AS len, round(len / sum(len) OVER (PARTITION BY d), 6) AS p FROM l")
@@ -236,9 +243,10 @@ def g4(s, d):
     return grids.resample(T.grid(s, d), 4, 3).select("i", "j", "v")
 
 
-@query("G5_subgrid", f"WITH g AS ({_GRID}) SELECT i - 10 AS i, j - 5 AS j, v FROM g WHERE i BETWEEN 10 AND 40 AND j BETWEEN 5 AND 60")
+@query("G5_subgrid", f"WITH g AS ({_GRID}) SELECT i - 10 AS i, j - 5 AS j, v FROM g WHERE i BETWEEN 10 AND 89 AND j BETWEEN 5 AND (SELECT max(j) FROM g) - 5")
 def g5(s, d):
-    return grids.subgrid(T.grid(s, d), (10, 40), (5, 60)).select("i", "j", "v")
+    g = T.grid(s, d)
+    return grids.subgrid(g, (10, 89), (5, g.agg(F.max("j")).first()[0] - 5)).select("i", "j", "v")
 
 
 @query("G7_flip", f"WITH g AS ({_GRID}) SELECT 99 - i AS i, j, v FROM g")
@@ -293,21 +301,30 @@ def f12(s, d):
 
 
 # --- functions
-@query("F1_decibel", f"WITH p AS ({_PT}) SELECT row_id, round(20 * log10((abs(v) + 1e-10) / 50) * CASE WHEN v < 0 THEN -1 ELSE 1 END, 6) AS db FROM p")
+@query("F1_decibel", f"WITH p AS ({_PT}) SELECT row_id, round(10 * log10(greatest(abs(v), 1e-10) / 50), 6) AS db, round(v, 6) AS back, round(2 * v, 6) AS louder FROM p")
 def f1(s, d):
-    return T.points(s, d).select("row_id", F.round(S.decibel(F.col("v"), 50), 6).alias("db"))
+    v, db = F.col("v"), S.decibel(F.col("v"), 50)
+    return rounded(T.points(s, d).select("row_id", db.alias("db"), S.undecibel(db, 50, v < 0).alias("back"), S.equalized(v, 10 * math.log10(2), 50).alias("louder")), "db", "back", "louder")
+
 
+_AZ = "CASE WHEN x = 500 THEN CASE WHEN y < 500 THEN 180 ELSE 0 END ELSE 90 - degrees(atan((y - 500) / (x - 500))) + {} END"
 
-@query("F2_azimuth", f"WITH p AS ({_PT}) SELECT row_id, CASE WHEN x = 500 AND y = 500 THEN NULL ELSE round((degrees(atan2(x - 500, y - 500)) + 360) % 360, 6) END AS azimuth FROM p WHERE NOT (x = 500 AND y >= 500)")
+
+@query("F2_azimuth", f"WITH p AS ({_PT}) SELECT row_id, round({_AZ.format('CASE WHEN x < 500 THEN 180 ELSE 0 END')}, 6) AS azimuth, round({_AZ.format('0')}, 6) AS half FROM p")
 def f2(s, d):
-    return T.points(s, d).where("NOT (x = 500 AND y >= 500)").select("row_id", F.round(S.azimuth(F.col("x"), F.col("y"), 500, 500), 6).alias("azimuth"))
+    x, y = F.col("x"), F.col("y")
+    return rounded(T.points(s, d).select("row_id", S.azimuth(x, y, 500, 500).alias("azimuth"), S.azimuth(x, y, 500, 500, True).alias("half")), "azimuth", "half")
+
+
+_POS = "list_transform(embedding, lambda e: abs(e::DOUBLE) + 0.001)"
 
 
-@query("F4_unitize", "SELECT vec_id, round(embedding[1]::DOUBLE / list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.001)), 5) AS first FROM embeddings")
+@query("F4_unitize", f"WITH a AS (SELECT vec_id, {_POS} AS a FROM embeddings), b AS (SELECT vec_id, unnest(a) AS e, unnest(range(1, len(a) + 1)) AS k FROM a), c AS (SELECT *, e / sum(e) OVER w AS u, exp(e) / sum(exp(e)) OVER w AS m FROM b WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, round(sum(u * k), 6) AS unitized, round(sum(m * k), 6) AS softmax, round(max(m), 6) AS top, abs(sum(u) - 1) <= 1e-6 AS one, CAST(min(k) FILTER (c >= 0.5) - 1 AS INTEGER) AS drawn FROM (SELECT *, sum(u) OVER (PARTITION BY vec_id ORDER BY k) AS c FROM c) GROUP BY vec_id")
 def f4(s, d):
-    e = T.table(s, d, "embeddings")
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")) + 0.001)
-    return e.select("vec_id", F.round(F.col("embedding")[0].cast("double") / total, 5).alias("first"))
+    weighted = lambda a: F.aggregate(F.transform(a, lambda e, k: e * (k + 1)), F.lit(0.0), lambda t, e: t + e)
+    e = T.table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.001).alias("a"))
+    e = e.select("vec_id", S.unitize(F.col("a")).alias("u"), S.softmax(F.col("a")).alias("m"))
+    return e.select("vec_id", F.round(weighted("u"), 6).alias("unitized"), F.round(weighted("m"), 6).alias("softmax"), F.round(F.array_max("m"), 6).alias("top"), S.sums_to_one(F.col("u")).alias("one"), S.draw_index(F.col("u"), F.lit(0.5)).alias("drawn"))
 
 
 @query("F10_gamma", f"WITH p AS ({_PT}), h AS (SELECT row_id, x, y, z, sqrt(pow((x * sin(radians(30)) + y * cos(radians(30))) / 60, 2) + pow((-x * cos(radians(30)) + y * sin(radians(30))) / 30, 2) + pow(z / 20, 2)) AS h1, sqrt(pow(x / 200, 2) + pow(y / 200, 2) + pow(z / 50, 2)) AS h2 FROM p) SELECT row_id, CASE WHEN x = 0 AND y = 0 AND z = 0 THEN 0.0 ELSE round(0.1 + 0.6 * CASE WHEN h1 >= 1 THEN 1 ELSE 1.5 * h1 - 0.5 * h1 * h1 * h1 END + 0.3 * (1 - exp(-3 * h2)), 6) END AS gamma FROM h")
@@ -329,7 +346,18 @@ def d3(s, d):
     return rounded(frame.cdf_table(T.points(s, d), "v"), "p")
 
 
-@query("D1_normal_score")
+def _horner(c, x):
+    out = "0.0"
+    for k in c:
+        out = f"({out} * {x} + ({k!r}))"
+    return out
+
+
+_TAIL = f"{_horner(frame._C, 't')} / ({_horner(frame._D, 't')} * t + 1)"
+_SCORE = f"{_CDF}, m AS (SELECT value, (sum(w) OVER (ORDER BY value) - w / 2) / sum(w) OVER () AS p FROM u), n AS (SELECT *, p - 0.5 AS q, (p - 0.5) * (p - 0.5) AS r, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM m), z AS (SELECT value, CASE WHEN p < 0.02425 THEN {_TAIL} WHEN p > 1 - 0.02425 THEN -({_TAIL}) ELSE {_horner(frame._A, 'r')} * q / ({_horner(frame._B, 'r')} * r + 1) END AS score FROM n)"
+
+
+@query("D1_normal_score", f"WITH {_SCORE} SELECT row_id, v, round(score, 6) AS score FROM p LEFT JOIN z ON v = value")
 def d1(s, d):
     return rounded(frame.normal_score(T.points(s, d), "v"), "score").select("row_id", "v", "score")
 
@@ -339,10 +367,16 @@ def d7(s, d):
     return rounded(frame.bivariate(T.points(s, d), "x", "v", 200, 2000), "p")
 
 
-@query("E11_trend_sums", f"WITH p AS ({_PT}) SELECT round(sum(x * x * v) / 1e6, 2) AS b0, round(sum(x * y * v) / 1e6, 2) AS b3, round(sum(z * v), 2) AS b8, round(sum(x * x * x * x) / 1e6, 2) AS a00, round(sum(x * y * y * z) / 1e6, 2) AS a35 FROM p WHERE v IS NOT NULL")
+_TERMS = ("x * x", "y * y", "z * z", "x * y", "x * z", "y * z", "x", "y", "z")
+_SUMS = {f"a{i}{j}": f"sum({_TERMS[i]} * {_TERMS[j]})" for i in range(9) for j in range(i, 9)} | {f"b{i}": f"sum({t} * v)" for i, t in enumerate(_TERMS)}
+
+
+# sums of all magnitudes: compared in units of their leading digit
+@query("E11_trend_sums", f"WITH p AS ({_PT}), t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _SUMS.items())} FROM p WHERE v IS NOT NULL), r AS (UNPIVOT t ON COLUMNS(*) INTO NAME name VALUE value) SELECT name, round(value / pow(10, floor(log10(abs(value)))), 6) AS leading, CAST(floor(log10(abs(value))) AS BIGINT) AS power FROM r")
 def e11(s, d):
-    out = frame.trend_sums(T.points(s, d), "v")
-    return out.select(*[F.round(F.col(c) / k, 2).alias(c) for c, k in (("b0", 1e6), ("b3", 1e6), ("b8", 1), ("a00", 1e6), ("a35", 1e6))])
+    power = F.floor(F.log10(F.abs("value")))
+    out = frame.trend_sums(T.points(s, d), "v").unpivot([], list(_SUMS), "name", "value")
+    return out.select("name", F.round(F.col("value") / F.pow(F.lit(10.0), power), 6).alias("leading"), power.alias("power"))
 
 
 # --- joins by place
@@ -466,16 +500,19 @@ def u1(s, d):
     return markov.sum_counts([_counts(s, d, "hole % 2 = 0"), _counts(s, d, "hole % 2 = 1")])
 
 
-@query("U2_drop_empty", f'WITH {_STEP} SELECT hole % 3 AS h, f AS "from", t AS "to", sum(CASE WHEN f <> 2 AND t <> 2 THEN 1 ELSE 0 END) AS n FROM t WHERE t <> 2 AND f <> 2 GROUP BY ALL')
+@query("U2_drop_empty", f'WITH {_STEP} SELECT hole % 3 AS h, f AS "from", t AS "to", sum(CASE WHEN f <> 2 AND t <> 3 THEN 1 ELSE 0 END) AS n FROM t WHERE f <> 2 AND t <> 3 GROUP BY ALL')
 def u2(s, d):
-    n = F.when((F.col("from") != 2) & (F.col("to") != 2), F.col("n")).otherwise(0)
+    n = F.when((F.col("from") != 2) & (F.col("to") != 3), F.col("n")).otherwise(0)
     parts = [_counts(s, d, f"hole % 3 = {h}").select(F.lit(h).alias("h"), "from", "to", n.alias("n")) for h in range(3)]
     return markov.drop_empty(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query("U3_inexistent", f'WITH {_STEP}, r AS (SELECT DISTINCT f, t FROM t WHERE hole = 1 AND t IS NOT NULL), q AS (SELECT f, t, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL) SELECT f AS "from", t AS "to", round(up, 6) AS up FROM (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS up FROM q) WHERE up > 0.01 AND (f, t) NOT IN (SELECT (f, t) FROM r)')
+# finer categories, by length too: with five, nothing is missing in half of the holes
+@query("U3_inexistent", f'WITH s AS ({_SEG}), t AS (SELECT hole, c AS f, lead(c) OVER (PARTITION BY hole ORDER BY z0, row_id) AS t FROM (SELECT *, cat * 10 + least(CAST(floor((z1 - z0) / 6) AS BIGINT), 9) AS c FROM s) WHERE c IS NOT NULL), r AS (SELECT DISTINCT f, t FROM t WHERE hole % 2 = 0 AND t IS NOT NULL), q AS (SELECT f, t, count(*) AS n FROM t WHERE hole % 2 = 1 AND t IS NOT NULL GROUP BY ALL) SELECT f AS "from", t AS "to", round(up, 6) AS up FROM (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS up FROM q) WHERE up > 0.01 AND (f, t) NOT IN (SELECT (f, t) FROM r)')
 def u3(s, d):
-    return rounded(markov.inexistent_transitions(_counts(s, d, "hole = 1"), _counts(s, d), 0.01), "up")
+    fine = T.segments(s, d).withColumn("cat", F.col("cat") * 10 + F.least(F.floor((F.col("z1") - F.col("z0")) / 6), F.lit(9)))
+    counts = lambda h: markov.transition_counts(fine.where(f"hole % 2 = {h}"), ignore_gaps=True)
+    return rounded(markov.inexistent_transitions(counts(0), counts(1), 0.01), "up")
 
 
 @query("C9_embedded", f"WITH {_STEP} SELECT count(*) FILTER (f = t) = 0 AS embedded FROM t WHERE t IS NOT NULL")
@@ -489,9 +526,12 @@ def c10(s, d):
     return markov.next_category(_counts(s, d), draws).select("row_id", "next")
 
 
-@query("C16_edges", f'WITH {_STEP}, q AS (SELECT f, t, count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL) SELECT f AS "from", t AS "to", round(up, 6) AS up FROM (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS up FROM q) WHERE up >= 0.15')
+_ALL = f'{_STEP}, f AS (SELECT f AS "from", t AS "to", count(*) AS n FROM t WHERE t IS NOT NULL GROUP BY ALL)'
+
+
+@query("C16_edges", f'WITH {_exp(_ALL)} SELECT "from", "to", round(difference, 6) AS difference FROM x WHERE difference > -0.07')
 def c16(s, d):
-    return rounded(markov.relationship_edges(_counts(s, d), 0.15), "up")
+    return rounded(markov.relationship_edges(_counts(s, d), -0.07), "difference")
 
 
 def _curve_sql(name, where):
@@ -547,11 +587,12 @@ def d4(s, d):
     return rounded(lookup.qq_table(T.points(s, d), T.few_points(s, d), "v", "v", 50), "a", "b", digits=4)
 
 
-@query("D2_back_transform")
+@query("D2_back_transform", f"WITH {_SCORE} SELECT row_id, v, round(score, 6) AS score, round(v, 4) AS back FROM p JOIN z ON v = value")
 def d2(s, d):
     p = T.points(s, d)
     transform = frame.cdf_table(p, "v").select("value", frame.inverse_normal(F.col("p")).alias("score"))
-    return lookup.back_transform(frame.normal_score(p, "v").select("row_id", "v", "score"), "score", transform, "back")
+    out = lookup.back_transform(frame.normal_score(p, "v").select("row_id", "v", "score"), "score", transform, "back")
+    return out.withColumns({"score": F.round("score", 6), "back": F.round("back", 4)})
 
 
 @query("F8_chi2_pdf", "SELECT l_orderkey, l_linenumber, l_partkey, round(exp(1.5 * ln(l_quantity) - l_quantity / 2 - (2.5 * ln(2) + lgamma(2.5))), 8) AS pdf FROM lineitem")
@@ -587,14 +628,14 @@ def _horizons(s, d):
     return g.select(i.alias("i"), j.alias("j"), (i + 0.5).alias("x"), (j + 0.5).alias("y"), top.alias("top"), (top - 5 - k % 3).alias("base"))
 
 
-@query("G13_vertices", f"WITH {_HOR} SELECT i, j, CAST(k AS INTEGER) AS k, round(base + k / 4 * (top - base), 9) AS z FROM h, range(0, 5) t(k)")
+@query("G13_vertices", f"WITH {_HOR} SELECT i, j, CAST(k AS INTEGER) AS k, i + 0.5::DOUBLE AS x, j + 0.5::DOUBLE AS y, round(base + k / 4 * (top - base), 9) AS z FROM h, range(0, 5) t(k)")
 def g13(s, d):
-    return rounded(mesh.vertices(_horizons(s, d), 4), "z", digits=9).select("i", "j", "k", "z")
+    return rounded(mesh.vertices(_horizons(s, d), 4), "z", digits=9).select("i", "j", "k", "x", "y", "z")
 
 
-@query("G15_mesh_centers", f"WITH {_HOR}, v AS (SELECT i, j, CAST(k AS INTEGER) AS k, base + k / 4 * (top - base) AS z FROM h, range(0, 5) t(k)) SELECT c.i, c.j, c.k, round(avg(v.z), 12) AS cz, round(min(v.z), 12) AS min_z, round(max(v.z), 12) AS max_z FROM v c JOIN v ON v.i BETWEEN c.i AND c.i + 1 AND v.j BETWEEN c.j AND c.j + 1 AND v.k BETWEEN c.k AND c.k + 1 GROUP BY c.i, c.j, c.k HAVING count(*) = 8")
+@query("G15_mesh_centers", f"WITH {_HOR}, v AS (SELECT i, j, CAST(k AS INTEGER) AS k, base + k / 4 * (top - base) AS z FROM h, range(0, 5) t(k)) SELECT c.i, c.j, c.k, c.i + 1.0::DOUBLE AS cx, c.j + 1.0::DOUBLE AS cy, c.i + 0.5::DOUBLE AS min_x, c.j + 1.5::DOUBLE AS max_y, round(avg(v.z), 12) AS cz, round(min(v.z), 12) AS min_z, round(max(v.z), 12) AS max_z FROM v c JOIN v ON v.i BETWEEN c.i AND c.i + 1 AND v.j BETWEEN c.j AND c.j + 1 AND v.k BETWEEN c.k AND c.k + 1 GROUP BY c.i, c.j, c.k HAVING count(*) = 8")
 def g15(s, d):
-    return rounded(mesh.centers(mesh.cells(mesh.vertices(_horizons(s, d), 4))), "cz", "min_z", "max_z", digits=12).select("i", "j", "k", "cz", "min_z", "max_z")
+    return rounded(mesh.centers(mesh.cells(mesh.vertices(_horizons(s, d), 4))), "cz", "min_z", "max_z", digits=12).select("i", "j", "k", "cx", "cy", "min_x", "max_y", "cz", "min_z", "max_z")
 
 
 @query("G14_mesh_zones", f"WITH {_HOR} SELECT a.i, a.j, CAST(k AS INTEGER) AS k, CASE WHEN k < 2 THEN 0 ELSE 1 END AS zone FROM h a JOIN h b ON b.i = a.i + 1 AND b.j = a.j JOIN h c ON c.i = a.i AND c.j = a.j + 1 JOIN h e ON e.i = a.i + 1 AND e.j = a.j + 1, range(0, 5) t(k)")
@@ -604,9 +645,24 @@ def g14(s, d):
     return mesh.stack_zones([(mesh.cells(mesh.vertices(below, 2)), 2), (mesh.cells(mesh.vertices(h, 3)), 3)]).select("i", "j", "k", "zone")
 
 
-@query("G16_cell_volumes")
+def _volume_sql():
+    at = {n: (f"{a}", f"{b}", f"z{n}") for n, (a, b, _) in enumerate(mesh.CORNERS)}
+
+    def part(*n):
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = [[f"({u} - {v})" for u, v in zip(at[k], at[3])] for k in n]
+        return f"abs({ax} * ({by} * {cz} - {bz} * {cy}) - {ay} * ({bx} * {cz} - {bz} * {cx}) + {az} * ({bx} * {cy} - {by} * {cx})) / 6"
+
+    total = " + ".join(part(a, b, c) + " + " + part(a, c, e) for a, b, c, e in ((1, 2, 6, 5), (4, 5, 6, 7), (0, 1, 5, 4)))
+    corners = ", ".join(f"({n}, {a}, {b}, {c})" for n, (a, b, c) in enumerate(mesh.CORNERS))
+    vertex = f"v AS (SELECT i - a AS i, j - b AS j, CAST(k - c AS INTEGER) AS k, n, base + k / 4 * (top - base) AS z FROM h, range(0, 5) t(k), (VALUES {corners}) o(n, a, b, c))"
+    cell = f"c AS (SELECT i, j, k, {', '.join(f'max(CASE WHEN n = {n} THEN z END) AS z{n}' for n in range(8))} FROM v GROUP BY i, j, k HAVING count(*) = 8)"
+    return f"WITH {_HOR}, {vertex}, {cell} SELECT i, j, k, round({total} + 1.7e-8, 5) AS volume FROM c"
+
+
+@query("G16_cell_volumes", _volume_sql())
 def g16(s, d):
-    return mesh.volumes(mesh.cells(mesh.vertices(_horizons(s, d), 4))).select("i", "j", "k", "volume")
+    volume = F.round(F.col("volume") + 1.7e-8, 5)
+    return mesh.volumes(mesh.cells(mesh.vertices(_horizons(s, d), 4))).select("i", "j", "k", volume.alias("volume"))
 
 
 @query("U5_stack_realizations", f"WITH g AS ({_GRID}) SELECT cell, v, 1 AS real FROM g UNION ALL SELECT cell, -v, 2 FROM g")
@@ -615,10 +671,11 @@ def u5(s, d):
     return mesh.stack_realizations([g, g.withColumn("v", -F.col("v"))])
 
 
-@query("G8_project", f"WITH g AS ({_GRID}), n AS (SELECT max(j) + 1 AS nj FROM g) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, coalesce(v, 0) AS v FROM n, range(0, 130) a(i) CROSS JOIN range(0, 12) b(j) LEFT JOIN g ON g.i = a.i - 15 AND g.j = b.j - CAST(floor((12 - (SELECT nj FROM n)) / 2) AS BIGINT)")
+@query("G8_project", f"WITH g AS ({_GRID}), n AS (SELECT max(j) + 1 AS nj FROM g) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, coalesce(v, 0) AS v FROM n, range(0, 130) a(i) CROSS JOIN range(0, (SELECT max(j) + 31 FROM g)) b(j) LEFT JOIN g ON g.i = a.i - 15 AND g.j = b.j - 15")
 def g8(s, d):
     g = T.grid(s, d)
-    return mesh.project(g, "v", (100, g.agg(F.max("j")).first()[0] + 1), (130, 12))
+    nj = g.agg(F.max("j")).first()[0] + 1
+    return mesh.project(g, "v", (100, nj), (130, nj + 30))
 
 
 @query("V5_varmap", f"WITH g AS ({_GRID}) SELECT CAST(x.di AS INTEGER) AS di, CAST(y.dj AS INTEGER) AS dj, count(*) AS n, round(avg((a.v - b.v) * (a.v - b.v) / 2) / 1e6, 2) AS gamma FROM range(-3, 4) x(di), range(-2, 3) y(dj), g a, g b WHERE b.i = a.i + x.di AND b.j = a.j + y.dj AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL")
@@ -638,7 +695,7 @@ def v3(s, d):
     return spatial.variogram_points(p, "v", "u", 10.0, 5).select("lag", "n", F.round("gamma", 2).alias("gamma"))
 
 
-@query("K6_spectrogram", f"WITH g AS ({_GRID}), b AS (SELECT cell, v, sqrt((i - 50.0) * (i - 50.0) + (j - 5.0) * (j - 5.0)) AS d, abs((i - 50) * sin(radians(70)) + (j - 5) * cos(radians(70))) AS a FROM g WHERE v IS NOT NULL) SELECT cell, round(d, 6) AS distance, round(20 * log10((abs(v) + 1e-10) / 100), 4) AS db FROM b WHERE a >= d * cos(radians(20.3))")
+@query("K6_spectrogram", f"WITH g AS ({_GRID}), b AS (SELECT cell, v, sqrt((i - 50.0) * (i - 50.0) + (j - 5.0) * (j - 5.0)) AS d, abs((i - 50) * sin(radians(70)) + (j - 5) * cos(radians(70))) AS a FROM g WHERE v IS NOT NULL) SELECT cell, round(d, 6) AS distance, round(10 * log10(greatest(abs(v), 1e-10) / 100), 4) AS db FROM b WHERE a >= d * cos(radians(20.3))")
 def k6(s, d):
     rows = lookup.band(T.grid(s, d), (50.0, 5.0), 70.0, 20.3)
     return rows.select("cell", F.round("distance", 6).alias("distance"), F.round(S.decibel(F.col("v"), 100.0), 4).alias("db"))

@@ -23,7 +23,7 @@ def read_geoeas(spark: SparkSession, path: str, ndv: float | None = None) -> tup
     head = {r["row"]: r["line"] for r in rows.where(F.col("row") < 2).collect()}
     n = int(head[1].split()[0])
     names = [r["line"].strip() for r in rows.where((F.col("row") >= 2) & (F.col("row") < 2 + n)).orderBy("row").collect()]
-    tokens = F.filter(F.split("line", r"[^0-9eE+\-.]+"), lambda t: t != "")
+    tokens = F.regexp_extract_all("line", F.lit(r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"), 1)
     body = rows.where((F.col("row") >= 2 + n) & (F.trim("line") != "")).withColumn("tokens", tokens)
     good = body.where(F.size("tokens") == n)
     values = [F.expr(f"try_cast(tokens[{i}] AS double)") for i in range(n)]
@@ -74,14 +74,24 @@ def long_to_matrix(df: DataFrame, categories: list, row: str = "from") -> DataFr
     return df.groupBy(row).pivot("to", categories).agg(F.sum("n")).na.fill(0)
 
 
+def range_bucket(df: DataFrame, order: list[str], rows: int = 20) -> F.Column:
+    """Number of the range that holds a row, in the order of these columns; about as many ranges as there are shuffle partitions.
+
+    The bounds are literals, found from the rows of the lowest hashes (`rows` a range), so that every job and
+    every attempt puts a row into the same range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = df.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(rows * n).orderBy(*order).collect()  # rows * n at most
+    bounds = [F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for r in sample[rows::rows]]
+    key = F.struct(*order)
+    return F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
+
+
 def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
     """Row numbers from 0 by a unique order, without one task for all: numbers in ranges plus the counts before."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*order)
-    local = ranged.withColumn("_r", F.row_number().over(w) - 1)
-    counts = sorted((r["_p"], r["count"]) for r in local.groupBy("_p").count().collect())  # one row a partition
+    local = df.withColumn("_p", range_bucket(df, order)).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    counts = sorted((r["_p"], r["count"]) for r in local.groupBy("_p").count().collect())  # one row a range
     base, total = [], 0
     for p, n in counts:
-        base += [F.lit(p), F.lit(total)]
+        base += [F.lit(p), F.lit(total).cast("bigint")]
         total += n
-    return local.withColumn("row_id", F.col("_r") + F.create_map(*base)[F.col("_p")] if base else F.lit(0)).drop("_p", "_r")
+    return local.withColumn("row_id", F.col("_r") + F.create_map(*base)[F.col("_p")] if base else F.lit(0).cast("bigint")).drop("_p", "_r")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+#: Hours between two events of a user after which nothing is known.
+GAP = 24.0
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -39,12 +41,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
-    """row_id, hole, z0, z1, cat, grade: intervals between events of a user; cat null at each 17th, with gaps each 11th is gone."""
+    """row_id, hole, z0, z1, cat, grade: intervals between events of a user; cat null at each 17th; with gaps nothing was logged in intervals of over GAP hours."""
     hours = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200) / 3600
     by = Window.partitionBy("hole").orderBy("z0")
     out = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("hole"), hours.alias("z0"), code_of("event_type", EVENT_TYPES).alias("cat"), F.col("value").alias("grade"))
     out = out.withColumn("z1", F.lead("z0").over(by)).where("z1 IS NOT NULL").withColumn("cat", F.when(F.col("row_id") % 17 != 0, F.col("cat")))
-    return out.where(F.col("row_id") % 11 != 0) if gaps else out
+    return out.where(F.col("z1") - F.col("z0") <= GAP) if gaps else out
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,48 @@ def test_back_transform_and_bootstrap(spark):
     assert len(back) and np.allclose(back["v"], back["back"])
     drawn = queries.QUERIES["S7_bootstrap"](spark, "/root/testdata/sf0.001").toPandas()
     assert sorted(drawn["draw"]) == list(range(len(back))) and drawn["row_id"].nunique() < len(back)
+
+
+def test_sparse_transition_matrix(spark):
+    """A facies without a way back, and pairs that never occur."""
+    from lithospark.operators import markov
+
+    counts = {(1, 1): 4, (1, 2): 6, (2, 3): 5, (3, 2): 3, (3, 3): 2}
+    ftm = spark.createDataFrame([(a, b, n) for (a, b), n in counts.items()], "from int, to int, n bigint")
+    n = np.zeros((3, 3))
+    for (a, b), x in counts.items():
+        n[a - 1, b - 1] = x
+    row, column, total, off = n.sum(1, keepdims=True), n.sum(0, keepdims=True), n.sum(), 1 - np.eye(3)
+    trail = off * column / (total - row)
+    want = {"trail": trail, "difference": off * (n / row - trail), "expected": trail * row}
+    got = markov.expected(ftm).collect()
+    assert len(got) == 9
+    for r in got:
+        at = r["from"] - 1, r["to"] - 1
+        assert all(np.isclose(r[k], w[at]) for k, w in want.items())
+    e = want["expected"]
+    assert np.isclose(markov.chi_squared(ftm).first()["chi2"], ((n - e) ** 2 / np.where(e > 0, e, 1))[e > 0].sum())
+    p, q = n / row, n / column
+    term = lambda x: np.where((x > 0) & (off > 0), x * np.log2(np.where(x > 0, x, 1)), 0)
+    for r in markov.entropies(ftm, 3).collect():
+        assert np.isclose(r["post"], -term(p).sum(1)[r["cat"] - 1]) and np.isclose(r["pre"], -term(q).sum(0)[r["cat"] - 1])
+    thick = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, 5.0)], "cat int, thickness double")
+    rates = {(r["from"], r["to"]): r["rate"] for r in markov.transition_rates(ftm, thick).collect()}
+    assert len(rates) == 9 and np.isclose(rates[1, 2], 0.6 / 2) and rates[2, 2] == -0.25 and rates[2, 1] == 0
+    sets = ftm.selectExpr("1 AS h", "`from`", "`to`", "n").unionByName(spark.createDataFrame([(1, 4, 2, 0), (2, 2, 4, 1), (2, 4, 4, 0)], "h int, from int, to int, n bigint"))
+    assert {(r["from"], r["to"]) for r in markov.drop_empty(sets).collect()} == {*counts, (2, 4)}
+
+
+def test_row_numbers_and_cumulative_tables_in_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from lithospark.operators import frame
+    from lithospark.sources.geoeas import with_row_id
+
+    df = spark.range(300_000).select(F.xxhash64("id").alias("a"), (F.col("id") % 1000 / 7).alias("v"))
+    rows = with_row_id(df, ["a"])
+    assert rows.agg(F.countDistinct("row_id"), F.min("row_id"), F.max("row_id")).first() == (300_000, 0, 299_999)
+    back = rows.alias("x").join(rows.alias("y"), F.expr("y.row_id = x.row_id + 1")).where("y.a <= x.a").count()
+    assert back == 0
+    table = frame.cdf_table(df, "v").orderBy("value").toPandas()
+    assert len(table) == 1000 and np.allclose(table["p"], (np.arange(1000) + 0.5) / 1000)
