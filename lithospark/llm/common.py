@@ -167,21 +167,34 @@ def bounded_sample(df: DataFrame, rows: int, order: list[Column]) -> DataFrame:
 BITMAP_ROWS = 1 << 18
 
 
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(64 * BITMAP_ROWS))
+
+
+def _bitmap(wanted: DataFrame, key: str) -> DataFrame:
+    bits = wanted.select(_bit(key).alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, int(_at % 64))").alias("_bits"))
+    return keep(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).coalesce(1), "bitmap")
+
+
 def split_likely(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose key (64 bits) may be among those of wanted, and the rows whose key is not for sure.
 
     A join with wanted then shuffles few other rows. A bitmap of the keys' hashes is broadcast: at most
     BITMAP_ROWS numbers, however many keys there are; where they fill it, more rows may be met, never fewer."""
-    def place(column: str) -> Column:
-        return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(64 * BITMAP_ROWS))
-
-    bits = wanted.select(place(key).alias("_at")).select(F.shiftright("_at", 6).alias("_word"), F.expr("shiftleft(1L, int(_at % 64))").alias("_bits"))
-    bits = keep(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).coalesce(1), "bitmap")
-    met = df.withColumn("_at", place(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bits), "_word", "left")
+    met = df.withColumn("_at", _bit(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(_bitmap(wanted, key)), "_word", "left")
     hit = F.coalesce(F.expr("shiftright(_bits, int(_at % 64)) & 1 = 1"), F.lit(False))
     return met.where(hit).select(*df.columns), met.where(~hit).select(*df.columns)
 
 
+def low_bits(wanted: DataFrame, key: str) -> np.ndarray:
+    """Such a bitmap for tasks in Python, by the low bits of keys that are hashes themselves: 64 * BITMAP_ROWS flags as bytes, packed."""
+    bit = F.pmod(F.col(key), F.lit(64 * BITMAP_ROWS))
+    rows = wanted.select(F.shiftright(bit, 3).alias("byte"), F.expr(f"shiftleft(1, int(pmod({key}, 8)))").alias("bits")).groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()  # 8 * BITMAP_ROWS rows at most
+    out = np.zeros(8 * BITMAP_ROWS, np.uint8)
+    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
 def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return split_likely(df, key, wanted)[0]
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.llm.common import components, discard, keep, likely, local_components, partitions, split_likely, table, whole_groups
+from lithospark.llm.common import components, discard, keep, local_components, low_bits, partitions, split_likely, table, whole_groups
 from lithospark.llm.hashing import mix, powers, range_hash
 from lithospark.llm.repeats import row_id, window_min
 
@@ -41,19 +41,35 @@ EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
 PER, GRAM, FEW = 64, 20, 8
 #: Characters of lines whose keys are made together, and of pairs whose distances are.
 CHARACTERS = 1 << 18
-_CLASSES = np.unique((1.2 ** np.arange(1, 118)).astype(np.int64))
+_CLASSES = np.unique((1.1 ** np.arange(1, 226)).astype(np.int64))
 _STRIP = " \t\n\r\x0b\x0c"
 
 
-def stripped(line: F.Column) -> F.Column:
-    return F.btrim(line, F.lit(_STRIP))
+def _hash(line: str) -> int:
+    h = xxhash.xxh64_intdigest(line.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """rid, doc_id, line_no, h (hash of the stripped line), line, for the lines that count."""
-    lines = docs.where("text IS NOT NULL").select(row_id().alias("rid"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", stripped(F.col("line"))).where(F.char_length("line") >= min_chars)
-    return lines.select("rid", "doc_id", "line_no", F.xxhash64("line").alias("h"), "line")
+def _line_rows(min_chars: int):
+    """rid, doc_id, line_no, h (hash of the stripped line) of the lines that count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, number, h = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                for k, x in enumerate((text or "").split("\n")):
+                    if len(x := x.strip(_STRIP)) >= min_chars:
+                        row.append(i)
+                        number.append(k)
+                        h.append(_hash(x))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("doc_id").take(at), pa.array(number, pa.int32()), pa.array(h, pa.int64())], ["rid", "doc_id", "line_no", "h"])
+
+    return run
+
+
+def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.where("text IS NOT NULL").select(row_id().alias("rid"), "doc_id", "text").mapInArrow(_line_rows(min_chars), f"rid bigint, doc_id {kind}, line_no int, h bigint")
 
 
 def segments(length: np.ndarray, parts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,24 +157,28 @@ def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.
     return np.concatenate(out_line), np.concatenate(out_key).view(np.int64)
 
 
-def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
-    """Keys of the segments (of lines that have no more than `edits` edits), or of the windows (of the others)."""
-    first = max(min_chars, grown_from(edits, per)) if windows else min_chars
-    end = grown_from(edits, per) + edits if per and not windows else 1 << 40
+def _key_rows(edits: int, min_chars: int, per: int = 0):
+    """Keys of the segments of lines that have no more than `edits` edits, and of the windows of the others; bit 1 is set for windows."""
+    end, long = (grown_from(edits, per) + edits, max(min_chars, grown_from(edits, per))) if per else (1 << 40, 1 << 40)
 
     def keys(lines: set[str]) -> Iterator[pa.RecordBatch]:
         texts = sorted(lines)
-        h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in texts], np.uint64).view(np.int64)
-        line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
-        for i in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
+        h = np.array([_hash(x) for x in texts], np.int64)
+        size = np.array([len(x) for x in texts])
+        for kind, on in enumerate((np.flatnonzero(size < end), np.flatnonzero(size >= long))):
+            if len(on):
+                some = [texts[i] for i in on]
+                line, key = window_keys(some, per, long) if kind else keys_of(some, edits)
+                line, key = on[line], key & ~np.int64(2) | np.int64(2 * kind)
+                for i in range(0, len(key), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines, held = set(), 0
             for text in b.column("text").to_pylist():
                 for x in (text or "").split("\n"):
-                    if first <= len(x := x.strip(_STRIP)) < end and x not in lines:
+                    if len(x := x.strip(_STRIP)) >= min_chars and x not in lines:
                         lines.add(x)
                         held += len(x)
                 if held >= CHARACTERS:
@@ -278,9 +298,10 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 def _marks(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), 32), np.int32)
+    """Counts of the characters of each text in 32 classes, 32,767 at most."""
+    out = np.zeros((len(texts), 32), np.int16)
     for i, x in enumerate(texts):
-        out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(27), minlength=32)
+        out[i] = np.minimum(np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(27), minlength=32), 32767)
     return out
 
 
@@ -290,7 +311,7 @@ def _near_pairs(edits: int, per: int):
         for b in batches:
             left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
             most = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64), edits, per)
-            maybe = np.abs(_marks(left) - _marks(right)).sum(1) <= 2 * most
+            maybe = np.abs(_marks(left) - _marks(right)).sum(1, dtype=np.int64) <= 2 * most
             on = [i for i in np.flatnonzero(maybe) if within(left[i], right[i], int(most[i]))]
             if on:
                 yield pa.RecordBatch.from_arrays([b.column("src").take(pa.array(on)), b.column("dst").take(pa.array(on))], ["src", "dst"])
@@ -299,30 +320,42 @@ def _near_pairs(edits: int, per: int):
 
 
 def _near_blocks(edits: int, per: int):
-    """Spanning trees of the matching lines of some block pairs at a time; pairs joined already are not compared."""
+    """Spanning trees of the matching lines of some block pairs at a time; pairs joined or compared already are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start in whole_groups(batches, ["lead", "bucket", "lo", "hi"], 5000):
             block, texts = t.column("block").to_numpy(), t.column("line").to_pylist()
             lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
             h, first, of = np.unique(t.column("h").to_numpy(), return_index=True, return_inverse=True)
             texts = [texts[i] for i in first]
-            size, marks, label = np.array([len(x) for x in texts], np.int64), _marks(texts), np.arange(len(texts))
-            pairs, src, dst = [np.zeros(0, np.int64)], [], []
+            size, marks, label, n = np.array([len(x) for x in texts], np.int64), _marks(texts), np.arange(len(texts)), len(texts)
+            seen, pending, src, dst = np.zeros(0, np.int64), [], [], []
             for g in range(len(start) - 1):
                 s = np.arange(start[g], start[g + 1])
-                own = of[s]
-                for at in range(0, len(s), 64):
-                    i, j = np.meshgrid(np.arange(at, min(at + 64, len(s))), np.arange(len(s)), indexing="ij")
-                    on = (j > i) & ((lo[s[0]] == hi[s[0]]) | (block[s[i]] != block[s[j]]))
-                    i, j = own[i[on]], own[j[on]]
-                    on = np.abs(marks[i] - marks[j]).sum(1) <= 2 * allowed(np.minimum(size[i], size[j]), edits, per)
-                    pairs.append(np.minimum(i, j)[on] * len(texts) + np.maximum(i, j)[on])
-                if g == len(start) - 2 or sum(map(len, pairs)) > 100_000:
-                    p = np.unique(np.concatenate(pairs))  # groups share lines
-                    for i, j in _joined(np.stack([p // len(texts), p % len(texts)], 1), texts, edits, per, label):
-                        src.append(h[i])
-                        dst.append(h[j])
-                    pairs = [np.zeros(0, np.int64)]
+                s = s[np.argsort(size[of[s]], kind="stable")]
+                length = size[of[s]]
+                more = np.searchsorted(length, length + allowed(length, edits, per), "right") - np.arange(1, len(s) + 1)  # longer lines in reach
+                upto, at = np.cumsum(more), 0
+                while at < len(s):
+                    end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 100_000, "right")))
+                    i = np.repeat(np.arange(at, end), more[at:end])
+                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[at:end]) - more[at:end], more[at:end])
+                    at = end
+                    if lo[s[0]] != hi[s[0]]:
+                        i, j = i[on := block[s[i]] != block[s[j]]], j[on]
+                    i, j = of[s[i]], of[s[j]]
+                    on = label[i] != label[j]
+                    code = np.minimum(i, j)[on] * n + np.maximum(i, j)[on]
+                    if len(seen):
+                        code = code[seen[np.minimum(np.searchsorted(seen, code), len(seen) - 1)] != code]
+                    i, j = code // n, code % n
+                    near = np.abs(marks[i] - marks[j]).sum(1, dtype=np.int64) <= 2 * allowed(np.minimum(size[i], size[j]), edits, per)
+                    pending.append(code[near])
+                    if sum(map(len, pending)) > 10_000 or g == len(start) - 2 and at >= len(s):
+                        p = np.unique(np.concatenate(pending))
+                        for a, b in _joined(np.stack([p // n, p % n], 1), texts, edits, per, label):
+                            src.append(h[a])
+                            dst.append(h[b])
+                        seen, pending = np.union1d(seen if len(seen) < 1_000_000 else seen[:0], p), []
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
@@ -417,11 +450,27 @@ def first_places(places: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _lines_of(docs: DataFrame, hot: DataFrame, met: DataFrame, min_chars: int) -> DataFrame:
-    """(h, line) of the lines in met, hot ones taken at their first place."""
+    """(h, line) of the lines in met, hot ones taken at their first place; only lines that a bitmap lets through are shuffled."""
     wanted = keep(met.select("h").distinct(), "wanted")
-    lines = likely(line_rows(docs, min_chars), "h", wanted).join(F.broadcast(hot.select("h", "first")), ["h"], "left")
-    once = F.col("first").isNull() | ((F.col("rid") == F.col("first.rid")) & (F.col("line_no") == F.col("first.line_no")))
-    lines = lines.where(once).select("h", "line").join(wanted.hint("merge"), ["h"], "left_semi")
+    bits, once = low_bits(wanted, "h"), {r["h"]: (r["first"]["rid"], r["first"]["line_no"]) for r in hot.select("h", "first").collect()}  # HOT rows at most
+    size = np.int64(8 * len(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part, lines, h = b.slice(at, 1000), [], []
+                for rid, text in zip(part.column("rid").to_pylist(), part.column("text").to_pylist()):
+                    for k, x in enumerate((text or "").split("\n")):
+                        if len(x := x.strip(_STRIP)) >= min_chars and once.get(own := _hash(x), (rid, k)) == (rid, k):
+                            lines.append(x)
+                            h.append(own)
+                h = np.array(h, np.int64)
+                bit = h % size
+                on = pa.array(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1)
+                yield pa.RecordBatch.from_arrays([pa.array(h).filter(on), pa.array(lines, pa.string()).filter(on)], ["h", "line"])
+
+    lines = docs.where("text IS NOT NULL").select(row_id().alias("rid"), "text").mapInArrow(run, "h bigint, line string")
+    lines = lines.join(wanted.hint("merge"), ["h"], "left_semi")
     return keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
 
 
@@ -445,23 +494,17 @@ def clean(spark) -> None:
     spark._jvm.System.gc()
 
 
-def _met_segments(docs: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
+def _met_segments(shared: DataFrame) -> DataFrame:
     """(bucket, h, index, blocks): lines that share a segment key with the index entry of another line."""
-    shared = _shared(docs, _key_rows(edits, min_chars, per))
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("index").alias("any")).where("size > 1 AND any")
-    met = keep(shared.join(sizes.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
-    discard(shared)
-    return met
+    return keep(shared.join(sizes.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
 
 
-def _met_windows(docs: DataFrame, edits: int, min_chars: int, per: int) -> DataFrame:
+def _met_windows(shared: DataFrame) -> DataFrame:
     """(bucket, h, index, size, lead, blocks): lines that share a window key with another line; keys of the same lines count once."""
-    shared = _shared(docs, _key_rows(edits, min_chars, per, True))
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.min("h").alias("lead"))
     sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"), F.min("lead").alias("lead"))
-    met = keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
-    discard(shared)
-    return met
+    return keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
 
 
 def _pairs(met: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
@@ -475,12 +518,13 @@ def _pairs(met: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
 
 def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0) -> DataFrame:
     """(node, root): lines (by hash) with near lines, and the class of each; hot as first_places() gives it."""
-    met = _met_segments(docs, edits, min_chars, per)
+    shared = _shared(docs, _key_rows(edits, min_chars, per))
     clean(docs.sparkSession)
+    met = _met_segments(shared.where("bucket & 1 = 0"))
     if not per:
         return components(_blocks(met, _lines_of(docs, hot, met, min_chars)).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "near")
-    grown = _met_windows(docs, edits, min_chars, per)
-    clean(docs.sparkSession)
+    grown = _met_windows(shared.where("bucket & 1 = 1"))
+    discard(shared)
     lines = _lines_of(docs, hot, met.select("h").unionByName(grown.select("h")), min_chars)
     edges = [
         keep(_blocks(met, lines).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "segments"),
@@ -496,7 +540,7 @@ def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars:
 def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, exact: bool = False) -> DataFrame:
     """docs with text less the removed lines (n_chars, if there, follows), and n_lines, n_removed."""
     least = 1 if exact else min_chars
-    places = keep(line_rows(docs, least).select("rid", "doc_id", "line_no", "h"), "places")
+    places = keep(line_places(docs, least), "places")
     first, hot = first_places(places)
     near = keep(line_classes(docs, hot, edits, min_chars, per), "classes")
     rows = places.select("rid", "line_no", "h")
