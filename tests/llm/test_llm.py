@@ -327,6 +327,23 @@ def test_top_k(spark):
     assert got == sorted(want, key=str)
 
 
+def test_top_k_repeats_lengths_and_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(220)]
+    rows += [rows[50]] * 9 + [rows[7]] * 3 + [(100, rows[3][1]), (50, rows[9][1])] + [(i, [float(x) for x in range(i % 3)]) for i in range(300, 360)] + [(None, [1.0] * 4), (400, None), (450, [])]
+    schema = "vec_id bigint, embedding array<float>"
+    df = spark.createDataFrame(rows, schema).withColumns({"id": F.lit("x"), "v": F.lit(1), "cell": F.lit(2)})
+    for most in (1024, 3):
+        got = rows_of(topk.top_k(df, "vec_id % 50 = 0", 5, most_pivots=most).select("query_id", "rank", "id", "score"))
+        df.select("vec_id", "embedding").write.mode("overwrite").parquet(str(tmp_path / "e"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+        assert got == sorted(con.execute(topk.SQL["op10_topk"]).fetchall(), key=str) and len(got) >= 40
+    assert topk.top_k(spark.createDataFrame([], schema), "vec_id % 50 = 0").count() == 0
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
