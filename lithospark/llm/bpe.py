@@ -18,6 +18,7 @@ that token, as in the library. Repeated rows get the same result; an empty table
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -98,6 +99,8 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the pair of the lowest rank first, from the left."""
+        if len(word) > 200:
+            return self.merge_long(word)
         size, rank_of, made, never = self.size, self.rank_of, self.made_by, len(self.made_by)
         ids = [self.base[b] for b in word]
         ranks = [rank_of.get(a * size + b, never) for a, b in zip(ids, ids[1:])]
@@ -112,6 +115,25 @@ class Vocabulary:
                 ranks[i] = rank_of.get(new * size + ids[i + 1], never)
         return ids
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap of pairs by (rank, place), for words of any length."""
+        size, rank_of, made, n = self.size, self.rank_of, self.made_by, len(word)
+        ids, before, after = [self.base[b] for b in word], list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank_of.get(a * size + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] * size + ids[j]) != rank:
+                continue  # one of the two has been merged
+            ids[i], ids[j], after[i] = made[rank], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := rank_of.get(ids[k] * size + ids[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [x for x in ids if x >= 0]
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = np.ones(len(a), bool)
         for i in range(self.right.shape[1]):
