@@ -182,3 +182,49 @@ def e1two(s, d):
     model = VariogramModel(0.0, (Structure("spherical", 1.0, (100.0, 100.0, 100.0)),))
     out = spatial.krige(T.points(s, d).drop("v", "dom", "z"), T.few_points(s, d).drop("z"), "v", model, 150.5, n_max=2, n_min=2)
     return out.select("row_id", F.round("estimate", 4).alias("estimate"), F.round("variance", 6).alias("variance"))
+
+
+_TWO = "1.5 * {h} - 0.5 * {h} * {h} * {h}"
+
+
+@query("E4_indicator_krige", f"WITH p AS ({_PT}), q AS ({_PS}), n AS (SELECT p.row_id, q.row_id AS s, q.x - p.x AS dx, q.y - p.y AS dy, q.v, sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) AS d FROM p JOIN q ON sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) < 150.5), k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, s) AS r FROM n), w AS (SELECT a.row_id, a.v AS v1, b.v AS v2, least(a.d / 100, 1) AS h1, least(b.d / 100, 1) AS h2, least(sqrt(pow(a.dx - b.dx, 2) + pow(a.dy - b.dy, 2)) / 100, 1) AS h3 FROM k a JOIN k b USING (row_id) WHERE a.r = 1 AND b.r = 2), l AS (SELECT row_id, v1, v2, 0.5 + ({_TWO.format(h='h2')} - ({_TWO.format(h='h1')})) / (2 * ({_TWO.format(h='h3')})) AS w1 FROM w), e AS (SELECT row_id, " + ", ".join(f"greatest(0, least(1, w1 * CASE WHEN v1 <= {t} THEN 1 ELSE 0 END + (1 - w1) * CASE WHEN v2 <= {t} THEN 1 ELSE 0 END)) AS e{i}" for i, t in enumerate((0, 2500, 6000))) + " FROM l) SELECT row_id, round(e0, 6) AS p0, round(greatest(e0, e1), 6) AS p1, round(greatest(e0, e1, e2), 6) AS p2 FROM e")
+def e4(s, d):
+    model = VariogramModel(0.0, (Structure("spherical", 1.0, (100.0, 100.0, 100.0)),))
+    out = spatial.indicator_krige(T.points(s, d).drop("v", "dom", "z"), T.few_points(s, d).drop("z"), "v", [0, 2500, 6000], model, 150.5, n_max=2, n_min=2)
+    return rounded(out, "p0", "p1", "p2")
+
+
+@query("E7_fill_nulls", f"WITH g AS ({_GRID}), n AS (SELECT a.cell, b.cell AS s, b.i - a.i AS dx, b.j - a.j AS dy, b.v, sqrt((b.i - a.i) * (b.i - a.i) + (b.j - a.j) * (b.j - a.j)) AS d FROM g a, range(-2, 3) x(di), range(-2, 3) y(dj), g b WHERE a.v IS NULL AND b.v IS NOT NULL AND b.i = a.i + di AND b.j = a.j + dj), k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d, s) AS r FROM n WHERE d < 2.5), w AS (SELECT a.cell, a.v AS v1, b.v AS v2, a.d / 10 AS h1, b.d / 10 AS h2, sqrt(pow(a.dx - b.dx, 2) + pow(a.dy - b.dy, 2)) / 10 AS h3 FROM k a JOIN k b USING (cell) WHERE a.r = 1 AND b.r = 2), l AS (SELECT cell, v1, v2, 0.5 + ({_TWO.format(h='h2')} - ({_TWO.format(h='h1')})) / (2 * ({_TWO.format(h='h3')})) AS w1 FROM w) SELECT cell, round(coalesce(g.v, w1 * v1 + (1 - w1) * v2, -1) + 1.7e-5, 3) AS filled FROM g LEFT JOIN l USING (cell)")
+def e7(s, d):
+    model = VariogramModel(0.0, (Structure("spherical", 1.0, (10.0, 10.0, 10.0)),))
+    out = spatial.fill_nulls_kriging(T.grid(s, d), "v", model, 2.5, n_max=2, n_min=2, default=-1.0)
+    return out.select("cell", F.round(F.col("filled") + 1.7e-5, 3).alias("filled"))
+
+
+@query("J5_neighborhoods", f"WITH p AS ({_PT}), q AS (SELECT *, CAST(row_id % 50 AS DOUBLE) AS z FROM ({_PS})), n AS (SELECT q.row_id AS row_id_a, p.row_id AS row_id_b, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz FROM q JOIN p ON abs(p.x - q.x) < 41 AND abs(p.y - q.y) < 41) SELECT *  EXCLUDE (dx, dy, dz) FROM (SELECT *, dx * dx + dy * dy > 100.5 AND dx * dx + dy * dy <= 900.5 AND abs(dz) <= 6 AS washer, dx * dx + dy * dy <= 625.5 AND abs(dz) <= 12 AS dumbbell, pow((dx * sin(radians(30)) + dy * cos(radians(30))) / 40, 2) + pow((-dx * cos(radians(30)) + dy * sin(radians(30))) / 15, 2) + pow(dz / 20, 2) <= 1 AS ellipsoid, dx * dx + dy * dy > 100.5 AND dx * dx + dy * dy <= 900.5 AND floor((dz + 0) / 1) = 0 AS layer FROM n) WHERE washer OR dumbbell OR ellipsoid OR layer")
+def j5n(s, d):
+    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d), 58.0, "xy")
+    dx, dy, dz = (F.col(f"{c}_b") - F.col(f"{c}_a") for c in "xyz")
+    near = pairs.where((F.abs(dx) < 41) & (F.abs(dy) < 41))
+    kinds = {
+        "washer": spatial.in_washer(dx, dy, dz, 100.5**0.5, 900.5**0.5, 12.0), "dumbbell": spatial.in_vertical_dumbbell(dx, dy, dz, 625.5**0.5, 7.0, 10.0),
+        "ellipsoid": spatial.in_rotated_ellipsoid(dx, dy, dz, Structure("spherical", 1.0, (40.0, 15.0, 20.0), 30.0)), "layer": spatial.in_stratigraphic_annulus(dx, dy, F.col("z_a"), F.col("z_b"), 100.5**0.5, 900.5**0.5),
+    }
+    return near.select("row_id_a", "row_id_b", *[v.alias(k) for k, v in kinds.items()]).where("washer OR dumbbell OR ellipsoid OR layer")
+
+
+@query("K4_ridges_valleys", f"WITH g AS ({_GRID}), c AS (SELECT a.cell, a.v, d, side, avg(b.v) AS m FROM g a, (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) o(d, x, y), (VALUES (1), (-1)) t(side), range(-1, 2) u(p), range(-1, 2) w(q), g b WHERE b.i = a.i + side * x * 2 + p AND b.j = a.j + side * y * 2 + q GROUP BY ALL HAVING avg(b.v) IS NOT NULL), n AS (SELECT cell, any_value(v) AS v, d, max(m) AS top, min(m) AS low FROM c GROUP BY cell, d HAVING count(*) = 2), r AS (SELECT cell, count(*) FILTER (v > top AND abs(v) >= 9000) AS ridge, count(*) FILTER (v < low AND abs(v) >= 9000) AS valley FROM n GROUP BY cell) SELECT cell, coalesce(ridge, 0) AS ridge, coalesce(valley, 0) AS valley FROM g LEFT JOIN r USING (cell)")
+def k4(s, d):
+    g = T.grid(s, d)
+    return grids.ridges_valleys(g, "v", 1, (100, g.agg(F.max("j")).first()[0] + 1), 9000.0).select("cell", "ridge", "valley")
+
+
+@query("S1_percentiles", 'WITH e AS (SELECT l_linenumber, l_orderkey AS cell, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL) SELECT cell, round(quantile_cont(v, 0.1) + 1.7e-7, 4) AS q0, round(quantile_cont(v, 0.9) + 1.7e-7, 4) AS q1, round(quantile_cont(v, 0.2) + 1.7e-7, 4) AS low, round(quantile_cont(v, 0.8) + 1.7e-7, 4) AS high FROM e GROUP BY cell')
+def s1p(s, d):
+    out = grids.percentiles(T.ensemble(s, d), [0.1, 0.9], 0.6)
+    return out.withColumns({c: F.round(F.col(c) + 1.7e-7, 4) for c in ("q0", "q1", "low", "high")})
+
+
+@query("A12_best_size", f"WITH p AS ({_PT}), s AS (SELECT row_id, v, size, o, floor((x + o * size / 5.0) / size) AS cx, floor((y + o * size / 5.0) / size) AS cy FROM p, (SELECT 10.0::DOUBLE + 8 * k AS size FROM range(24) t(k)), range(5) t(o) WHERE v IS NOT NULL), c AS (SELECT size, o, cx, cy, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT size, o, count(*) AS occ, sum(n) AS total FROM c GROUP BY ALL), w AS (SELECT row_id, any_value(v) AS v, size, avg(total / (n * occ)) AS weight FROM s JOIN c USING (size, o, cx, cy) JOIN k USING (size, o) GROUP BY row_id, size), m AS (SELECT size, sum(v * weight) / sum(weight) AS mean FROM w GROUP BY size ORDER BY mean, size LIMIT 1) SELECT row_id, size, round(weight, 6) AS weight FROM w JOIN m USING (size)")
+def a12b(s, d):
+    return rounded(frame.decluster_best(T.points(s, d), "v", [10.0 + 8 * k for k in range(24)]), "weight")

@@ -146,6 +146,14 @@ def decluster(df: DataFrame, sizes: list[float], offsets: int = 5) -> DataFrame:
     return weighted.groupBy("row_id", "size").agg(F.avg(F.col("rows") / (F.col("n") * F.col("occupied"))).alias("weight"))
 
 
+def decluster_best(df: DataFrame, column: str, sizes: list[float], offsets: int = 5, lowest: bool = True) -> DataFrame:
+    """row_id, size, weight of the cell size with the lowest (highest) weighted mean; ties to the smaller size."""
+    weights = decluster(df.where(F.col(column).isNotNull()), sizes, offsets)
+    means = weights.join(df.select("row_id", column), "row_id").groupBy("size").agg((F.sum(F.col(column) * F.col("weight")) / F.sum("weight")).alias("mean"))
+    best = means.orderBy(F.col("mean").asc() if lowest else F.col("mean").desc(), "size").limit(1).select("size")
+    return weights.join(F.broadcast(best), "size", "left_semi")  # one row
+
+
 def cdf_table(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
     """value, w, p: mid-rank cumulative probability of each distinct value; equal values share it.
 

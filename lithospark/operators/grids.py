@@ -62,6 +62,23 @@ def extrema(grid: DataFrame, value: str, r: int) -> DataFrame:
     return out.withColumns({"is_max": F.coalesce(F.col(value) >= F.col("_h"), F.lit(False)), "is_min": F.coalesce(F.col(value) <= F.col("_l"), F.lit(False))}).drop("_h", "_l")
 
 
+def ridges_valleys(grid: DataFrame, value: str, half: int, size: tuple[int, int], least: float = 0.0) -> DataFrame:
+    """Adds ridge, valley: in how many of four directions the cell is above (below) the means of both windows beside it.
+
+    A window reaches half cells to each side and may lie partly outside the grid of `size` cells."""
+    s, n = half + 1, (size[0] + 2 * (half + 1), size[1] + 2 * (half + 1))
+    wide = grid.sparkSession.range(n[0] * n[1]).select((F.col("id") % n[0] - s).cast("int").alias("i"), (F.floor(F.col("id") / n[0]) - s).cast("int").alias("j"))
+    means = window_mean(wide.join(grid.select("i", "j", value), ["i", "j"], "left"), value, half).where("mean IS NOT NULL").select("i", "j", "mean")
+    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(side * a * s).alias("a"), F.lit(side * b * s).alias("b")) for d, (a, b) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))) for side in (1, -1)])
+    sent = means.withColumn("o", F.explode(steps)).select((F.col("i") - F.col("o.a")).alias("i"), (F.col("j") - F.col("o.b")).alias("j"), "o.d", "mean")
+    beside = sent.groupBy("i", "j", "d").agg(F.max("mean").alias("top"), F.min("mean").alias("low"), F.count(F.lit(1)).alias("n")).where("n = 2")
+    beside = beside.groupBy("i", "j").agg(F.collect_list(F.struct("top", "low")).alias("_b"))  # four at most
+    v, big = F.col(value), F.abs(F.col(value)) >= least
+    count = lambda f: F.coalesce(F.when(v.isNotNull() & big, F.size(F.filter("_b", f))), F.lit(0))
+    out = grid.join(beside, ["i", "j"], "left")
+    return out.withColumns({"ridge": F.greatest(count(lambda b: v > b["top"]), F.lit(0)), "valley": F.greatest(count(lambda b: v < b["low"]), F.lit(0))}).drop("_b")
+
+
 def window_median(grid: DataFrame, value: str, r: int) -> DataFrame:
     """i, j, median of the values at most r away; each value is sent to the cells that see it."""
     offsets = F.sequence(F.lit(-r), F.lit(r))
@@ -78,6 +95,13 @@ def post_sim(ensemble: DataFrame, threshold: float) -> DataFrame:
     return out.select("cell", "n", "mean", "variance", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "above", "mean_above")
 
 
+def percentiles(ensemble: DataFrame, shares: list[float], interval: float = 0.5) -> DataFrame:
+    """By cell over the realizations: the percentiles at these shares, and the bounds of the symmetric interval of that probability."""
+    q = F.percentile("v", F.array(*[F.lit(s) for s in (*shares, (1 - interval) / 2, (1 + interval) / 2)]))
+    out = ensemble.groupBy("cell").agg(q.alias("q"))
+    return out.select("cell", *[F.col("q")[i].alias(f"q{i}") for i in range(len(shares))], F.col("q")[len(shares)].alias("low"), F.col("q")[len(shares) + 1].alias("high"))
+
+
 def facies(probabilities: dict[int, Column]) -> Column:
     """Category of the largest probability; -1 if none is over -0.0001; the first wins ties."""
     top, out = F.greatest(*probabilities.values()), F.lit(-1)

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithospark.functions.scalar import gamma
-from lithospark.spec import GridSpec, VariogramModel
+from lithospark.functions.scalar import anisotropic_h, gamma
+from lithospark.spec import GridSpec, Structure, VariogramModel
 
 
 def _bucket(axis: str, size: float) -> Column:
@@ -77,6 +77,25 @@ def in_annulus(dx: Column, dy: Column, inner: float, outer: float) -> Column:
     return in_shell(dx, dy, F.lit(0.0), inner, outer)
 
 
+def in_washer(dx: Column, dy: Column, dz: Column, inner: float, outer: float, thickness: float) -> Column:
+    return in_annulus(dx, dy, inner, outer) & (F.abs(dz) <= thickness / 2)
+
+
+def in_vertical_dumbbell(dx: Column, dy: Column, dz: Column, radius: float, height: float, separation: float) -> Column:
+    """Both cylinders and the space between them."""
+    return (dx * dx + dy * dy <= radius * radius) & (F.abs(dz) <= height + separation / 2)
+
+
+def in_rotated_ellipsoid(dx: Column, dy: Column, dz: Column, shape: Structure) -> Column:
+    """The ellipsoid with the ranges and angles of a structure."""
+    return anisotropic_h(dx, dy, dz, shape) <= 1
+
+
+def in_stratigraphic_annulus(dx: Column, dy: Column, k_a: Column, k_b: Column, inner: float, outer: float) -> Column:
+    """In the annulus and in the same layer."""
+    return in_annulus(dx, dy, inner, outer) & (k_a == k_b)
+
+
 def sector_neighbors(pairs: DataFrame, sectors: int, n_max: int, per_sector_min: int = 0, per_sector_max: int = 1 << 30) -> DataFrame:
     """Round robin by azimuth sector: nearest of each first; a sector below its minimum empties the target."""
     a = F.degrees(F.atan2(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a")))
@@ -199,25 +218,30 @@ def _gamma_np(dx: np.ndarray, dy: np.ndarray, dz: np.ndarray, model: VariogramMo
     return np.where((dx == 0) & (dy == 0) & (dz == 0), 0.0, total)
 
 
-def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramModel, radius: float, n_max: int = 8, n_min: int = 1, mean: float | None = None, leave_out_self: bool = False, axes: str = "xy") -> DataFrame:
+def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramModel, radius: float, n_max: int = 8, n_min: int = 1, mean: float | None = None, leave_out_self: bool = False, axes: str = "xy", drift: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
     """row_id, estimate, variance, n: ordinary kriging, or simple kriging with that mean, from the n_max nearest samples.
 
+    With drift, columns of both tables (a trend's terms, an external drift), their weighted sums over the samples
+    are those at the target. With also, other columns of the samples get estimates by the same weights, in the array `also`.
+
     Neighbors come from the bucket join; each target's few neighbors are one row, and rows with equally many
     are solved together."""
     cols = [c for c in "xyz" if c in targets.columns]
-    pairs = within_distance(targets.select("row_id", *cols), samples.where(F.col(value).isNotNull()).select("row_id", *cols, value), radius, axes)
+    pairs = within_distance(targets.select("row_id", *cols, *drift), samples.where(F.col(value).isNotNull()).select("row_id", *cols, value, *drift, *also), radius, axes)
     pairs = nearest(pairs.where("row_id_a <> row_id_b") if leave_out_self else pairs, n_max, n_min)
     zero = F.lit(0.0)
     of = lambda c, s: F.col(f"{c}_{s}") if c in cols else zero
-    rows = pairs.groupBy(F.col("row_id_a").alias("row_id")).agg(F.sort_array(F.collect_list(F.struct("rank", *[(of(c, "b") - of(c, "a")).alias(f"d{c}") for c in "xyz"], F.col(f"{value}_b").alias("v")))).alias("s"))  # n_max at most
+    rows = pairs.groupBy(F.col("row_id_a").alias("row_id")).agg(F.sort_array(F.collect_list(F.struct("rank", *[(of(c, "b") - of(c, "a")).alias(f"d{c}") for c in "xyz"], F.array(*[F.col(f"{c}_b").cast("double") for c in (value, *also)]).alias("v"), F.array(*[F.col(f"{c}_b").cast("double") for c in drift]).cast("array<double>").alias("f")))).alias("s"), F.first(F.array(*[F.col(f"{c}_a").cast("double") for c in drift]).cast("array<double>")).alias("at"))  # n_max at most
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, s = b.column("row_id").to_numpy(), b.column("s")
             flat, to = s.flatten(), s.offsets.to_numpy() - s.offsets[0].as_py()
             d = np.stack([flat.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2, 3)], -1)
-            v, n = flat.field(4).to_numpy(zero_copy_only=False).astype(float), np.diff(to)
-            estimate, variance = np.empty(len(n)), np.empty(len(n))
+            many = lambda x, width: x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            v, n = many(flat.field(4), 1 + len(also)), np.diff(to)
+            f, at = (many(flat.field(5), len(drift)), many(b.column("at"), len(drift))) if drift else (np.zeros((len(v), 0)), np.zeros((len(n), 0)))
+            estimate, variance = np.empty((len(n), 1 + len(also))), np.empty(len(n))
             for m in np.unique(n):
                 t = np.flatnonzero(n == m)
                 p, u = d[to[t][:, None] + np.arange(m)], v[to[t][:, None] + np.arange(m)]
@@ -225,20 +249,53 @@ def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramMo
                 c = model.sill - _gamma_np(q[..., 0], q[..., 1], q[..., 2], model)
                 c0 = model.sill - _gamma_np(p[..., 0], p[..., 1], p[..., 2], model)
                 if mean is None:
-                    a = np.zeros((len(t), m + 1, m + 1))
+                    g = f[to[t][:, None] + np.arange(m)]
+                    a = np.zeros((len(t), m + 1 + len(drift), m + 1 + len(drift)))
                     a[:, :m, :m], a[:, :m, m], a[:, m, :m] = c, 1, 1
-                    r = np.concatenate([c0, np.ones((len(t), 1))], 1)
+                    a[:, :m, m + 1 :], a[:, m + 1 :, :m] = g, g.transpose(0, 2, 1)
+                    r = np.concatenate([c0, np.ones((len(t), 1)), at[t]], 1)
                 else:
                     a, r = c, c0
                 try:
                     w = np.linalg.solve(a, r[..., None])[..., 0]
                 except np.linalg.LinAlgError:  # coincident samples
                     w = np.stack([np.linalg.lstsq(x, y, rcond=None)[0] for x, y in zip(a, r)])
-                estimate[t] = (w[:, :m] * u).sum(1) if mean is None else mean + (w * (u - mean)).sum(1)
+                estimate[t] = (w[:, :m, None] * u).sum(1) if mean is None else mean + (w[:, :, None] * (u - mean)).sum(1)
                 variance[t] = model.sill - (w * r).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(estimate), pa.array(variance), pa.array(n.astype(np.int32))], ["row_id", "estimate", "variance", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(estimate[:, 0]), pa.array(variance), pa.array(n.astype(np.int32)), pa.array(list(estimate[:, 1:]), pa.list_(pa.float64()))][: 4 + bool(also)], ["row_id", "estimate", "variance", "n", "also"][: 4 + bool(also)])
+
+    return rows.mapInArrow(solve, "row_id bigint, estimate double, variance double, n int" + ", also array<double>" * bool(also))
+
+
+def indicator_krige(targets: DataFrame, samples: DataFrame, value: str, thresholds: list[float], model: VariogramModel, radius: float, n_max: int = 8, n_min: int = 1, axes: str = "xy") -> DataFrame:
+    """row_id, p0, p1, ...: probabilities that the value is at most each threshold, between 0 and 1 and never falling.
+
+    All thresholds share the neighbors and the model, so one solve serves them; order relations are mended by running maxima."""
+    names = [f"p{i}" for i in range(len(thresholds))]
+    rows = samples.where(F.col(value).isNotNull()).withColumns({c: F.when(F.col(value) <= t, 1.0).otherwise(0.0) for c, t in zip(names, thresholds)})
+    out = krige(targets, rows, names[0], model, radius, n_max, n_min, axes=axes, also=tuple(names[1:]))
+    top, mended = F.lit(0.0), []
+    for i, c in enumerate(names):
+        top = F.greatest(top, F.least(F.col("also")[i - 1] if i else F.col("estimate"), F.lit(1.0)))
+        mended.append(top.alias(c))
+    return out.select("row_id", *mended)
+
+
+def fill_nulls_kriging(grid: DataFrame, value: str, model: VariogramModel, radius: float, n_max: int = 8, n_min: int = 1, default: float | None = None) -> DataFrame:
+    """Adds filled: the value, or in null cells the estimate from the nearest cells within radius (in cells), or the default."""
+    cells = grid.select(F.col("cell").alias("row_id"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), value)
+    made = krige(cells.where(F.col(value).isNull()).drop(value), cells, value, model, radius, n_max, n_min, axes="xy")
+    return grid.join(made.select(F.col("row_id").alias("cell"), "estimate"), "cell", "left").withColumn("filled", F.coalesce(value, "estimate", F.lit(default))).drop("estimate")
+
 
-    return rows.mapInArrow(solve, "row_id bigint, estimate double, variance double, n int")
+def is_lmc(first: VariogramModel, second: VariogramModel, cross: VariogramModel) -> bool:
+    """Whether three models may stand together as a linear model of coregionalization."""
+    models = (first, second, cross)
+    if any(s.kind == "power" for m in models for s in m.structures):
+        return False
+    shape = [[(s.kind, s.azimuth, s.dip, s.roll, s.ranges) for s in m.structures] for m in models]
+    parts = [[m.nugget, *(s.sill for s in m.structures)] for m in models]
+    return shape[0] == shape[1] == shape[2] and min(parts[0] + parts[1]) > 0 and all(a * b > c * c for a, b, c in zip(*parts))
 
 
 def model_surface(grid: DataFrame, model: VariogramModel) -> DataFrame:

@@ -46,6 +46,29 @@ def test_kriging_reproduces_data_and_matches_a_dense_solve(spark):
     assert np.isclose(got["estimate"], w[:7] @ v)
 
 
+def test_kriging_with_a_drift_and_more_variables(spark):
+    rng = np.random.default_rng(3)
+    xy, at = rng.uniform(0, 60, (9, 2)), np.array([25.0, 31.0])
+    v, u = 3 + 2 * xy[:, 0] - xy[:, 1], rng.normal(size=9)
+    samples = spark.createDataFrame(pd.DataFrame({"row_id": range(9), "x": xy[:, 0], "y": xy[:, 1], "v": v, "u": u, "a": xy[:, 0], "b": xy[:, 1]}))
+    target = spark.createDataFrame([(99, *map(float, at), *map(float, at))], "row_id long, x double, y double, a double, b double")
+    got = spatial.krige(target, samples, "v", MODEL, 200.0, 9, drift=("a", "b"), also=("u",)).first()
+    assert np.isclose(got["estimate"], 3 + 2 * at[0] - at[1])  # a trend of the drift's form is met exactly
+    cov = lambda h: np.where(h >= 50, 0, 1 - 1.5 * h / 50 + 0.5 * (h / 50) ** 3)
+    f = np.column_stack([np.ones(9), xy])
+    a = np.block([[cov(np.linalg.norm(xy[:, None] - xy[None], axis=-1)), f], [f.T, np.zeros((3, 3))]])
+    w = np.linalg.solve(a, np.concatenate([cov(np.linalg.norm(xy - at, axis=1)), [1], at]))
+    assert np.isclose(got["also"][0], w[:9] @ u)
+
+
+def test_linear_model_of_coregionalization():
+    model = lambda nugget, sill, kind="spherical": VariogramModel(nugget, (Structure(kind, sill, (50.0, 50.0, 50.0)),))
+    assert spatial.is_lmc(model(0.2, 1.0), model(0.3, 2.0), model(-0.1, 1.2))
+    assert not spatial.is_lmc(model(0.2, 1.0), model(0.3, 2.0), model(0.1, 1.5))
+    assert not spatial.is_lmc(model(0.2, 1.0), model(0.3, 2.0), model(0.1, 1.0, "gaussian"))
+    assert not spatial.is_lmc(model(0.0, 1.0), model(0.3, 2.0), model(0.0, 1.0))
+
+
 def test_fft_and_back(spark):
     z = np.random.default_rng(1).normal(size=(4, 6))
     g = spark.createDataFrame(pd.DataFrame([(1, i, j, float(z[i, j]), 0.0) for i in range(4) for j in range(6)], columns=["real", "i", "j", "re", "im"]))
