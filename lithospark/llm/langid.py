@@ -103,9 +103,12 @@ def _leader(z: np.ndarray, n: np.ndarray, l1: float, l2: float, alpha: float, be
     return np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def fit(learn: DataFrame, train: DataFrame, calibrate: DataFrame, passes: int = 3, train_rows: int = 6000, calibrate_rows: int = 2000, l1: float = 1e-4, l2: float = 1e-4, alpha: float = 2.0) -> Model | None:
-    """learn, train, calibrate: (doc_id, text, lang) rows; frequencies come from all of learn, the rest from bounded samples."""
-    langs = sorted(r[0] for r in train.select("lang").distinct().collect())
+def fit(learn: DataFrame, train: DataFrame, calibrate: DataFrame, passes: int = 3, train_rows: int = 6000, calibrate_rows: int = 2000, l1: float = 1e-4, l2: float = 1e-4, alpha: float = 2.0, most_langs: int = 200) -> Model | None:
+    """learn, train, calibrate: (doc_id, text, lang) rows; frequencies come from all of learn, the rest from bounded samples.
+
+    Languages beyond the most_langs most frequent ones are not learnt."""
+    langs = sorted(r[0] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect())
+    train, calibrate = train.where(F.col("lang").isin(langs)), calibrate.where(F.col("lang").isin(langs))
     if not langs:
         return None
     df, total = _document_frequencies(learn)

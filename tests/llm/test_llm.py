@@ -106,6 +106,20 @@ def test_ngram_join(spark, corpus):
     assert ngram_join.jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_ngram_join_with_a_hub(spark):
+    """Thousands of near copies of one text, all linked to each other, beside a third of the rows that are one text."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        t[rng.randrange(150)] = f"own{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(i, "this same short text is here again and again") for i in range(3000, 4500)] + [(i, f"alone{i} has no other text like it{i}") for i in range(4500, 4600)]
+    got = ngram_join.jaccard_join(frame(spark, rows)).select("doc_id", "class_id", "n_links").collect()
+    assert {tuple(r) for r in got} == {(i, 0, 2999) if i < 3000 else (i, 3000, 1499) if i < 4500 else (i, i, 0) for i, _ in rows}
+
+
 @pytest.mark.parametrize(("length", "window"), [(60, 20), (100, 40)])
 def test_repeats(spark, corpus, length, window):
     data = [(i, (t or "").encode()) for i, t in corpus]
