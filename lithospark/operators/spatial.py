@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,21 @@ def within_distance(a: DataFrame, b: DataFrame, r: float, axes: str = "xyz") ->
     return pairs.withColumn("d", F.sqrt(d2)).where(F.col("d") < r)
 
 
+def self_pairs(df: DataFrame, r: float, axes: str = "xyz") -> DataFrame:
+    """Each two rows of df closer than r once, one with the suffix _a and the other with _b (which is which is open), and d.
+
+    A row meets its own bucket and the half of the buckets around it that come later, so no pair is made twice."""
+    ahead = [o for o in product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
+    offsets = F.array(*[F.struct(*[F.lit(d).alias(x) for x, d in zip(axes, o)], F.lit(not any(o)).alias("own")) for o in ahead])
+    keys = [f"_{x}" for x in axes]
+    left = df.select(*[F.col(c).alias(f"{c}_a") for c in df.columns], *[_bucket(x, r).alias(f"_{x}") for x in axes])
+    right = df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns], *[_bucket(x, r).alias(f"_{x}") for x in axes], F.explode(offsets).alias("_o"))
+    right = right.withColumns({f"_{x}": F.col(f"_{x}") - F.col(f"_o.{x}") for x in axes}).withColumn("_own", F.col("_o.own")).drop("_o")
+    pairs = left.join(right, keys).where(~F.col("_own") | (F.col("row_id_a") < F.col("row_id_b"))).drop(*keys, "_own")
+    d2 = reduce(lambda s, x: s + (F.col(f"{x}_a") - F.col(f"{x}_b")) * (F.col(f"{x}_a") - F.col(f"{x}_b")), axes, F.lit(0.0))
+    return pairs.withColumn("d", F.sqrt(d2)).where(F.col("d") < r)
+
+
 def nearest(pairs: DataFrame, n: int, least: int = 0) -> DataFrame:
     """The n nearest of each row_id_a, ties to the smaller row_id_b; none for those with fewer than least."""
     w = Window.partitionBy("row_id_a")
@@ -40,6 +56,11 @@ def nearest(pairs: DataFrame, n: int, least: int = 0) -> DataFrame:
     return out.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_n") if least else out
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint, where the session names a folder for these, so that no round plans those before it again."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def knn(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xyz", rounds: int = 8) -> DataFrame:
     """n nearest rows of b with another row_id; targets not served within radius are asked again with twice of it.
 
@@ -53,11 +74,11 @@ def knn(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xyz", ro
         last = r > far
         got = nearest(within_distance(left, b, r, axes).where("row_id_a <> row_id_b"), n)
         done = got.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("row_id_a")))
-        done = done.where(F.col("_n") >= (0 if last else need)).drop("_n")
+        done = cut(done.where(F.col("_n") >= (0 if last else need)).drop("_n"))
         found = done if found is None else found.unionByName(done)
         if last:
             return found
-        left = left.join(done.select(F.col("row_id_a").alias("row_id")).distinct(), "row_id", "left_anti")
+        left = cut(left.join(done.select(F.col("row_id_a").alias("row_id")).distinct(), "row_id", "left_anti"))
         if left.isEmpty():
             return found
         k += 1
@@ -121,7 +142,7 @@ def in_box(points: DataFrame, boxes: DataFrame, size: float, axes: str = "xy") -
 
 
 def close_samples(points: DataFrame, r: float, axes: str = "xy") -> DataFrame:
-    return within_distance(points, points, r, axes).where("row_id_a < row_id_b").select("row_id_a", "row_id_b", "d")
+    return self_pairs(points, r, axes).select(F.least("row_id_a", "row_id_b").alias("row_id_a"), F.greatest("row_id_a", "row_id_b").alias("row_id_b"), "d")
 
 
 def cell_of(spec: GridSpec, df: DataFrame) -> DataFrame:
@@ -169,7 +190,8 @@ def collocate_points_to_grid(points: DataFrame, grid: DataFrame, spec: GridSpec,
 
 def variogram_points(df: DataFrame, head: str, tail: str, lag: float, lags: int, azimuth: float | None = None, tolerance: float = 22.5, axes: str = "xy") -> DataFrame:
     """lag, n, h, gamma, head, tail: experimental (cross) semivariogram; lag b holds distances in [b lag, (b + 1) lag)."""
-    pairs = within_distance(df, df, lag * lags, axes).where(f"row_id_a < row_id_b AND {head}_a IS NOT NULL AND {head}_b IS NOT NULL AND {tail}_a IS NOT NULL AND {tail}_b IS NOT NULL AND d > 0")
+    known = df.where(F.col(head).isNotNull() & F.col(tail).isNotNull()).select("row_id", *axes, *dict.fromkeys((head, tail)))
+    pairs = self_pairs(known, lag * lags, axes).where("d > 0")
     if azimuth is not None:
         dx, dy = F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a")
         along = F.abs(dx * math.sin(math.radians(azimuth)) + dy * math.cos(math.radians(azimuth)))
@@ -179,24 +201,30 @@ def variogram_points(df: DataFrame, head: str, tail: str, lag: float, lags: int,
 
 
 def variogram_grid(grid: DataFrame, value: str, steps: list[tuple[int, int]], lags: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """dir, lag, n, gamma: pairs of cells at lag times each step; one join on the shifted cell for all."""
-    offsets = F.array(*[F.struct(F.lit(s).alias("dir"), F.lit(k).alias("lag"), F.lit(a * k).alias("di"), F.lit(b * k).alias("dj")) for s, (a, b) in enumerate(steps) for k in range(1, lags + 1)])
-    rows = grid.where(F.col(value).isNotNull()).select(*by, "i", "j", F.col(value).alias("u"))
-    heads = rows.select(*by, "i", "j", "u", F.explode(offsets).alias("o")).select(*by, (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), "u", "o.dir", "o.lag")
-    pairs = heads.join(rows.withColumnRenamed("u", "w"), [*by, "i", "j"])
-    d = F.col("u") - F.col("w")
-    return pairs.groupBy(*by, "dir", "lag").agg(F.count(F.lit(1)).alias("n"), F.avg(d * d / 2).alias("gamma"))
+    """dir, lag, n, gamma: pairs of cells at lag times each step.
+
+    The cells that a step links form lines; each direction is one shuffle by its lines, and all lags are frames of one window."""
+    rows, out = grid.where(F.col(value).isNotNull()).select(*by, "i", "j", F.col(value).alias("u")), []
+    for number, (a, b) in enumerate(steps):
+        a, b = (a, b) if (a, b) > (0, 0) else (-a, -b)  # the opposite step has the same pairs
+        along, size = ("i", a) if a else ("j", b)
+        lines = rows.withColumns({"_l": F.lit(b) * F.col("i") - F.lit(a) * F.col("j"), "_m": F.pmod(F.col(along), F.lit(size)), "_p": F.floor(F.col(along) / size)})
+        w = Window.partitionBy(*by, "_l", "_m").orderBy("_p")
+        met = lines.select(*by, *[((F.max("u").over(w.rangeBetween(k, k)) - F.col("u")) ** 2 / 2).alias(f"_{k}") for k in range(1, lags + 1)])
+        sums = met.groupBy(*by).agg(*[f(f"_{k}").alias(f"_{n}{k}") for k in range(1, lags + 1) for n, f in (("n", F.count), ("g", F.avg))])
+        each = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_n{k}").alias("n"), F.col(f"_g{k}").alias("gamma")) for k in range(1, lags + 1)])
+        out.append(sums.select(*by, F.lit(number).alias("dir"), F.explode(each).alias("_s")).select(*by, "dir", "_s.*").where("n > 0"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def contact_analysis(df: DataFrame, domain: str, grade: str, d1: int, d2: int, lag: float, lags: int, axes: str = "xyz") -> DataFrame:
     """side, lag, n, mean: mean grade by the distance to the nearest sample of the other domain; lag k holds ((k - 1) lag, k lag]."""
     reach = lag * lags * (1 + 1e-9)
     one, two = df.where(F.col(domain) == d1), df.where(F.col(domain) == d2)
-    out = []
-    for side, (a, b) in enumerate(((one, two), (two, one))):
-        near = within_distance(a.select("row_id", *axes, grade), b.select("row_id", *axes), reach, axes).where("d > 0").groupBy("row_id_a").agg(F.min("d").alias("d"), F.first(f"{grade}_a").alias("g"))
-        out.append(near.groupBy(F.lit(side).alias("side"), F.ceil(F.col("d") / lag).cast("int").alias("lag")).agg(F.count("g").alias("n"), F.avg("g").alias("mean")))
-    return out[0].unionByName(out[1])
+    pairs = within_distance(one.select("row_id", *axes, grade), two.select("row_id", *axes, grade), reach, axes).where("d > 0")
+    ends = F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"row_id_{x}").alias("row_id"), F.col(f"{grade}_{x}").alias("g")) for n, x in enumerate("ab")])
+    near = pairs.select("d", F.explode(ends).alias("e")).groupBy("e.side", "e.row_id").agg(F.min("d").alias("d"), F.first("e.g").alias("g"))
+    return near.groupBy("side", F.ceil(F.col("d") / lag).cast("int").alias("lag")).agg(F.count("g").alias("n"), F.avg("g").alias("mean"))
 
 
 def shepard(targets: DataFrame, samples: DataFrame, value: str, r: float, power: float = 2.0, axes: str = "xy") -> DataFrame:

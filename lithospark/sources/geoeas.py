@@ -12,9 +12,12 @@ from lithospark.spec import GridSpec
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """row, line of a text file, rows numbered from 0 in file order: (file, block offset) order by Spark's own reader."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex()  # the order of lines needs their place, which text sources don't give
-    return lines.map(lambda x: (x[1], x[0])).toDF("row bigint, line string")
+    """row, line of text files, rows numbered from 0 in file order: places in a split plus the rows of the splits before."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"), F.col("value").alias("line"))
+    splits = lines.groupBy("_f", "_s").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1))  # one row a split
+    splits = splits.select("_f", "_s", "_first", F.coalesce(before, F.lit(0)).alias("_base"))
+    return lines.join(F.broadcast(splits), ["_f", "_s"]).select((F.col("_m") - F.col("_first") + F.col("_base")).alias("row"), "line")
 
 
 def read_geoeas(spark: SparkSession, path: str, ndv: float | None = None) -> tuple[DataFrame, DataFrame]:
