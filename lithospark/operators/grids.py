@@ -44,22 +44,32 @@ def neigh(grid: DataFrame, value: str, di: int, dj: int, name: str = "neigh") ->
     return grid.join(other, ["i", "j"], "left")
 
 
-def _line(axis: str, other: str, r: int) -> Window:
-    return Window.partitionBy(other).orderBy(axis).rangeBetween(-r, r)
+#: Cells of a grid line in one tile.
+TILE = 4096
+
+
+def _along(grid: DataFrame, axis: str, other: str, r: int, exprs: dict) -> DataFrame:
+    """Adds aggregates over the cells at most r away along an axis: exprs has functions of the window.
+
+    Lines are cut into tiles of TILE cells that also get the r cells beside them, so a long line is many groups."""
+    at = F.col(axis)
+    tiles = grid.withColumn("_t", F.explode(F.sequence(F.floor((at - r) / TILE), F.floor((at + r) / TILE))))
+    w = Window.partitionBy(other, "_t").orderBy(axis).rangeBetween(-r, r)
+    return tiles.withColumns({k: f(w) for k, f in exprs.items()}).where(F.floor(at / TILE) == F.col("_t")).drop("_t")
 
 
 def window_mean(grid: DataFrame, value: str, r: int) -> DataFrame:
     """Mean of the cells at most r away along i and j, of those there are; sums first along i, then along j."""
-    out = grid.withColumns({"_s": F.sum(value).over(_line("i", "j", r)), "_n": F.count(value).over(_line("i", "j", r))})
-    out = out.withColumns({"_s": F.sum("_s").over(_line("j", "i", r)), "_n": F.sum("_n").over(_line("j", "i", r))})
-    return out.withColumn("mean", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_s", "_n")
+    out = _along(grid, "i", "j", r, {"_s": F.sum(value).over, "_n": F.count(value).over})
+    out = _along(out, "j", "i", r, {"_s2": F.sum("_s").over, "_n2": F.sum("_n").over})
+    return out.withColumn("mean", F.when(F.col("_n2") > 0, F.col("_s2") / F.col("_n2"))).drop("_s", "_n", "_s2", "_n2")
 
 
 def extrema(grid: DataFrame, value: str, r: int) -> DataFrame:
     """Adds is_max, is_min: the cell is at least (at most) every value in its window."""
-    out = grid.withColumns({"_h": F.max(value).over(_line("i", "j", r)), "_l": F.min(value).over(_line("i", "j", r))})
-    out = out.withColumns({"_h": F.max("_h").over(_line("j", "i", r)), "_l": F.min("_l").over(_line("j", "i", r))})
-    return out.withColumns({"is_max": F.coalesce(F.col(value) >= F.col("_h"), F.lit(False)), "is_min": F.coalesce(F.col(value) <= F.col("_l"), F.lit(False))}).drop("_h", "_l")
+    out = _along(grid, "i", "j", r, {"_h": F.max(value).over, "_l": F.min(value).over})
+    out = _along(out, "j", "i", r, {"_h2": F.max("_h").over, "_l2": F.min("_l").over})
+    return out.withColumns({"is_max": F.coalesce(F.col(value) >= F.col("_h2"), F.lit(False)), "is_min": F.coalesce(F.col(value) <= F.col("_l2"), F.lit(False))}).drop("_h", "_l", "_h2", "_l2")
 
 
 def ridges_valleys(grid: DataFrame, value: str, half: int, size: tuple[int, int], least: float = 0.0) -> DataFrame:

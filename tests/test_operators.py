@@ -113,3 +113,18 @@ def test_knn_serves_far_targets(spark):
     a = spark.createDataFrame([(10, 500.0, 100.0), (11, 1.2, 0.0), (12, None, 0.0)], "row_id bigint, x double, y double")
     got = {(r["row_id_a"], r["rank"]): r["row_id_b"] for r in spatial.knn(a, b, 3, 1.0, "xy", rounds=2).collect()}
     assert got == {(10, 1): 4, (10, 2): 3, (10, 3): 2, (11, 1): 1, (11, 2): 2, (11, 3): 0}
+
+
+def test_windows_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(grids, "TILE", 5)
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(23, 17))
+    z[rng.uniform(size=z.shape) < 0.2] = np.nan
+    g = spark.createDataFrame([(i, j, None if np.isnan(z[i, j]) else float(z[i, j])) for i in range(23) for j in range(17)], "i int, j int, v double")
+    for r in (1, 3, 7):
+        out = grids.extrema(grids.window_mean(g, "v", r), "v", r).collect()
+        assert len(out) == z.size
+        for row in out:
+            i, j = row["i"], row["j"]
+            w = z[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1]
+            assert np.isclose(row["mean"], np.nanmean(w)) and row["is_max"] == (z[i, j] >= np.nanmax(w)) and row["is_min"] == (z[i, j] <= np.nanmin(w))
