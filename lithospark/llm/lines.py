@@ -37,6 +37,8 @@ from lithospark.llm.hashing import mix, powers, range_hash
 from lithospark.llm.repeats import row_id, window_min
 
 EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
+#: Lines of a window key in one block: all lines of a block, or of two, may be compared in one task.
+BLOCK = 250
 #: Characters to an edit; characters hashed together; most lines of a key that are compared as pairs.
 PER, GRAM, FEW = 64, 20, 8
 #: Characters of lines whose keys are made together, and of pairs whose distances are.
@@ -157,28 +159,24 @@ def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.
     return np.concatenate(out_line), np.concatenate(out_key).view(np.int64)
 
 
-def _key_rows(edits: int, min_chars: int, per: int = 0):
-    """Keys of the segments of lines that have no more than `edits` edits, and of the windows of the others; bit 1 is set for windows."""
-    end, long = (grown_from(edits, per) + edits, max(min_chars, grown_from(edits, per))) if per else (1 << 40, 1 << 40)
+def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
+    """Keys of the segments of lines that have no more than `edits` edits, or of the windows of the others."""
+    first = max(min_chars, grown_from(edits, per)) if windows else min_chars
+    end = grown_from(edits, per) + edits if per and not windows else 1 << 40
 
     def keys(lines: set[str]) -> Iterator[pa.RecordBatch]:
         texts = sorted(lines)
         h = np.array([_hash(x) for x in texts], np.int64)
-        size = np.array([len(x) for x in texts])
-        for kind, on in enumerate((np.flatnonzero(size < end), np.flatnonzero(size >= long))):
-            if len(on):
-                some = [texts[i] for i in on]
-                line, key = window_keys(some, per, long) if kind else keys_of(some, edits)
-                line, key = on[line], key & ~np.int64(2) | np.int64(2 * kind)
-                for i in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
+        line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
+        for i in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines, held = set(), 0
             for text in b.column("text").to_pylist():
                 for x in (text or "").split("\n"):
-                    if len(x := x.strip(_STRIP)) >= min_chars and x not in lines:
+                    if first <= len(x := x.strip(_STRIP)) < end and x not in lines:
                         lines.add(x)
                         held += len(x)
                 if held >= CHARACTERS:
@@ -212,24 +210,37 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
-    """Edit distances of the pairs (a[i], b[i]), at most 31 edits; any value above edits if it is above edits.
+    """Edit distances of the pairs (a[i], b[i]), at most 31 edits; any value above edits if it is above edits."""
+    codes, size = code_rows([*a, *b])
+    return code_distance(codes, size, np.arange(len(a)), len(a) + np.arange(len(b)), edits)
+
+
+def code_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, a row each, and their numbers."""
+    size = np.array([len(x) for x in texts], np.int64)
+    codes = np.full((len(texts), int(size.max(initial=0)) + 1), 0xFFFFFFFE, np.uint32)
+    for i, x in enumerate(texts):
+        codes[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+    return codes, size
+
+
+def code_distance(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Edit distances of the pairs of rows (a[i], b[i]).
 
     Bit-parallel over the band: the words hold the vertical differences of the rows near the diagonal, the
     highest bit being the row `edits` below it, and move down by a row in each column. Pairs of which no value
     of a column is within the edits drop out."""
-    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    n, m = size[a], size[b]
     out = np.full(len(a), edits + 1)
     live = np.flatnonzero(np.abs(n - m) <= edits)
     if not len(live):
         return out
+    n, m, a, b = n[live], m[live], a[live], b[live]
     width = int(max(n.max(), m.max())) + 1
-    left = np.full((len(a), width + 2 * edits + 2), 0xFFFFFFFF, np.uint32)
-    right = np.full((len(b), width), 0xFFFFFFFE, np.uint32)
-    for i, (x, y) in enumerate(zip(a, b)):
-        left[i, edits : edits + len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-        right[i, : len(y)] = np.frombuffer(y.encode("utf-32-le"), np.uint32)
-    left, right = np.ascontiguousarray(left[live].T), np.ascontiguousarray(right[live].T)
-    n, m = n[live], m[live]
+    left = np.full((width + 2 * edits + 2, len(live)), 0xFFFFFFFF, np.uint32)
+    left[edits : edits + width - 1] = codes[a, : width - 1].T
+    left[edits : edits + width - 1][np.arange(width - 1)[:, None] >= n] = 0xFFFFFFFF
+    right = np.ascontiguousarray(codes[b, :width].T)
     one, top, band = np.uint64(1), np.uint64(63), np.uint64(63 - 2 * edits)
     vp = np.full(len(live), ~np.uint64(0) << (top - np.uint64(edits)), np.uint64)  # the first column grows by one a row
     vn = np.zeros(len(live), np.uint64)
@@ -371,14 +382,16 @@ def _joined(p: np.ndarray, texts: list[str], edits: int, per: int, label: np.nda
     long = size[p].max(1)
     at = 0
     while at < len(p):
-        n = max(1, min(2000, CHARACTERS * 8 // int(long[min(at + 2000, len(p)) - 1])))
+        n = max(1, min(4000, CHARACTERS * 8 // int(long[min(at + 4000, len(p)) - 1])))
         q, k = p[at : at + n], most[at : at + n]
         at += n
         on = label[q[:, 0]] != label[q[:, 1]]
         q, k = q[on], k[on]
         if len(q) > 4 and k.max() <= 31:
-            k = banded_distance([texts[i] for i in q[:, 0]], [texts[j] for j in q[:, 1]], int(k.max())) <= k
-            close = q[k]
+            rows, at_rows = np.unique(q, return_inverse=True)
+            codes, lengths = code_rows([texts[i] for i in rows])
+            i, j = at_rows.reshape(q.shape).T
+            close = q[code_distance(codes, lengths, i, j, int(k.max())) <= k]
         else:
             close = [x for x, e in zip(q, k.tolist()) if label[x[0]] != label[x[1]] and within(texts[x[0]], texts[x[1]], e)]
         for i, j in close:
@@ -504,7 +517,7 @@ def _met_windows(shared: DataFrame) -> DataFrame:
     """(bucket, h, index, size, lead, blocks): lines that share a window key with another line; keys of the same lines count once."""
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.min("h").alias("lead"))
     sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"), F.min("lead").alias("lead"))
-    return keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)), "met")
+    return keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "met")
 
 
 def _pairs(met: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
@@ -518,12 +531,13 @@ def _pairs(met: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
 
 def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0) -> DataFrame:
     """(node, root): lines (by hash) with near lines, and the class of each; hot as first_places() gives it."""
-    shared = _shared(docs, _key_rows(edits, min_chars, per))
+    met = _met_segments(_shared(docs, _key_rows(edits, min_chars, per)))
     clean(docs.sparkSession)
-    met = _met_segments(shared.where("bucket & 1 = 0"))
     if not per:
         return components(_blocks(met, _lines_of(docs, hot, met, min_chars)).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "near")
-    grown = _met_windows(shared.where("bucket & 1 = 1"))
+    shared = _shared(docs, _key_rows(edits, min_chars, per, True))
+    clean(docs.sparkSession)
+    grown = _met_windows(shared)
     discard(shared)
     lines = _lines_of(docs, hot, met.select("h").unionByName(grown.select("h")), min_chars)
     edges = [
