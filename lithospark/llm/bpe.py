@@ -42,6 +42,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Bytes of a word up to which tokens are proposed.
+LONG_WORD = 2000
+
+
 class Vocabulary:
     """Tables made once from a tokenizer file and sent to the tasks (their size is that of the vocabulary)."""
 
@@ -181,7 +185,10 @@ class Vocabulary:
         return tokens[order], of[order]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit numbers."""
+        """Ids of each word as little-endian 32-bit numbers; very long words are merged without a proposal, one token at a time takes as many steps."""
+        if any(len(w) > LONG_WORD for w in words):
+            short = iter(self.encode_words([w for w in words if len(w) <= LONG_WORD]))
+            return [np.array(self.merge(w), "<u4").tobytes() if len(w) > LONG_WORD else next(short) for w in words]
         tokens, of = self.greedy(words)
         inner = np.flatnonzero(of[1:] == of[:-1])
         pairs, back = np.unique(tokens[inner] << 32 | tokens[inner + 1], return_inverse=True)
