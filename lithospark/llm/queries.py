@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL, where SQL can express them."""
 
-from lithospark.llm import bpe, langid, lines, ngram_join, packing, quality, repeats, rules, topk, urls
+from lithospark.llm import bpe, langid, lexical, lines, manifest, ngram_join, packing, quality, repeats, rules, topk, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_topk": topk.op10_topk,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
-SQL = {**urls.SQL, **topk.SQL}
+SQL = {**urls.SQL, **topk.SQL, **lexical.SQL, **manifest.SQL}
