@@ -55,8 +55,13 @@ def gram_buckets(text: str | None) -> Iterator[np.ndarray]:
 def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares of its runs."""
     n = np.zeros(DIM, np.int64)
+    held: list[np.ndarray] = []
     for x in gram_buckets(text):
-        n += np.bincount(x, minlength=DIM)
+        held.append(x)
+        if len(held) == 4 * len(SIZES):
+            n, held = n + np.bincount(np.concatenate(held), minlength=DIM), []
+    if held:
+        n = n + np.bincount(np.concatenate(held), minlength=DIM)
     at = np.flatnonzero(n)
     return at, n[at] / max(1, n.sum())
 
@@ -99,7 +104,7 @@ def _descend(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, w: np.ndarra
         w[at] -= rate * g / (1e-8 + np.sqrt(n[at]))
 
 
-def fit(labelled: DataFrame, sure: float = 2.0, passes: int = 8, rate: float = 0.2, l2: float = 1e-4) -> Model:
+def fit(labelled: DataFrame, sure: float = 3.5, passes: int = 8, rate: float = 0.2, l2: float = 1e-4) -> Model:
     """labelled(doc_id, text, toxic), a bounded table: the model of it."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = np.zeros((2, 2 * DIM)), np.zeros(2)
@@ -134,29 +139,31 @@ def fit(labelled: DataFrame, sure: float = 2.0, passes: int = 8, rate: float = 0
                     v.append((figures[known] * r[places[known]]).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(x, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float32()))], ["doc_id", "toxic", "x", "v"])
 
-    features = labelled.select("doc_id", "toxic", "text").mapInArrow(project, "doc_id bigint, toxic int, x array<int>, v array<float>")
-    features = keep(features.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))), "features")
+    # one task a shard, as labelled has them; nothing moves between the passes
+    features = keep(labelled.select("doc_id", "toxic", "text").mapInArrow(project, "doc_id bigint, toxic int, x array<int>, v array<float>"), "features")
     w, g2 = np.full(2 * DIM + 1, 0.1), np.full(2 * DIM + 1, 1e-3)
     w[-1] = np.log(rows[1] / rows[0])
     for _ in range(passes):
         start = w.astype(np.float32), g2.astype(np.float32)
 
-        def run(t: pa.Table) -> pa.Table:
-            order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-            order = order[np.random.default_rng(len(order)).permutation(len(order))]
-            x = [(np.asarray(g, np.int64), np.asarray(v, float)) for g, v in zip(t.column("x").to_pylist(), t.column("v").to_pylist())]
-            w1, n1 = start[0].astype(float), start[1].astype(float)
-            _descend([x[i] for i in order], t.column("toxic").to_numpy()[order], w1, n1, rate, l2)
-            return pa.table({"rows": [len(x)], "w": [w1.astype("<f4").tobytes()], "n": [n1.astype("<f4").tobytes()]})
-
-        states = features.groupBy("shard").applyInArrow(run, "rows bigint, w binary, n binary").collect()  # one row a shard
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w1, n1, rows = start[0].astype(float), start[1].astype(float), 0
+            for b in batches:
+                order = np.random.default_rng(b.num_rows).permutation(b.num_rows)
+                x = [(np.asarray(g, np.int64), np.asarray(v, float)) for g, v in zip(b.column("x").to_pylist(), b.column("v").to_pylist())]
+                _descend([x[i] for i in order], b.column("toxic").to_numpy()[order], w1, n1, rate, l2)
+                rows += b.num_rows
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([w1.astype("<f4").tobytes()]), pa.array([n1.astype("<f4").tobytes()])], ["rows", "w", "n"])
+
+        states = features.select("toxic", "x", "v").coalesce(SHARDS).mapInArrow(run, "rows bigint, w binary, n binary").collect()  # one row a task, SHARDS at most
         total = sum(s["rows"] for s in states)
         w = sum(np.frombuffer(s["w"], "<f4").astype(float) * (s["rows"] / total) for s in states)
         g2 = sum(np.frombuffer(s["n"], "<f4").astype(float) * (s["rows"] / total) for s in states)
     return Model((w[:-1] * r).astype(np.float32), float(w[-1]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000) -> DataFrame:
     """doc_id, text, toxic of at most train_rows labelled documents outside the held-out fold, dealt to SHARDS tasks."""
     marks = labels.where((id_crc() % 5 != 0) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = bounded_sample(marks, train_rows, [F.xxhash64("doc_id"), F.col("doc_id")])
