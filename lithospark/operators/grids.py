@@ -120,45 +120,59 @@ def facies(probabilities: dict[int, Column]) -> Column:
     return out
 
 
-def fft(grid: DataFrame, inverse: bool = False) -> DataFrame:
-    """(real, i, j, re, im) -> the same, transformed along i and then along j: one shuffle and one grid line at a time each."""
-    def along(df: DataFrame, axis: str, key: str) -> DataFrame:
+def fft(grid: DataFrame, inverse: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
+    """(real, i, j, re, im) -> the same, transformed along i and then along j: one shuffle and one grid line at a time each.
+
+    With size, cells that are not there are zeros, and the result has all size[0] x size[1] cells."""
+    def along(df: DataFrame, axis: str, key: str, n: int | None) -> DataFrame:
         def line(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values(axis)
-            z = g["re"].to_numpy() + 1j * g["im"].to_numpy()
+            at = g[axis].to_numpy() if n else np.arange(len(g))
+            z = np.zeros(n or len(g), complex)
+            z[at] = g["re"].to_numpy() + 1j * g["im"].to_numpy()
             z = np.fft.ifft(z) if inverse else np.fft.fft(z)
-            return g.assign(re=z.real, im=z.imag)
+            place = np.arange(n) if n else g[axis].to_numpy()
+            return pd.DataFrame({"real": g["real"].iloc[0], axis: place, key: g[key].iloc[0], "re": z.real, "im": z.imag})[list(g.columns)]
 
         return df.groupBy("real", key).applyInPandas(line, df.schema)
 
-    return along(along(grid.select("real", "i", "j", "re", "im"), "i", "j"), "j", "i")
-
-
-def sequential_gaussian(targets: DataFrame, realizations: int, model, seed: int, n_max: int = 12) -> DataFrame:
-    """real, row_id, value: unconditional sequential Gaussian simulation, one task a realization.
-
-    Inside a realization cells are visited one after another, so its grid (rows of x, y) must fit one task."""
-    from lithospark.operators.spatial import _gamma_np
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        real = int(g["real"].iloc[0])
-        rng = np.random.default_rng([seed, real])
-        g = g.sort_values("row_id").reset_index(drop=True)
-        xy, value, done = g[["x", "y"]].to_numpy(float), np.full(len(g), np.nan), np.zeros(0, int)
-        for t in rng.permutation(len(g)):
-            d = ((xy[done] - xy[t]) ** 2).sum(1)
-            near = done[np.argsort(d, kind="stable")[:n_max]]
-            m, v = 0.0, model.sill
-            if len(near):
-                p = xy[near]
-                q = p[:, None] - p[None]
-                c = model.sill - _gamma_np(q[..., 0], q[..., 1], np.zeros(q.shape[:2]), model)
-                c0 = model.sill - _gamma_np(p[:, 0] - xy[t, 0], p[:, 1] - xy[t, 1], np.zeros(len(p)), model)
-                w = np.linalg.solve(c + 1e-10 * np.eye(len(p)), c0)
-                m, v = w @ value[near], max(0.0, model.sill - w @ c0)
-            value[t] = rng.normal(m, np.sqrt(v))
-            done = np.append(done, t)
-        return pd.DataFrame({"real": real, "row_id": g["row_id"], "value": value})
-
-    copies = targets.select("row_id", "x", "y", F.explode(F.sequence(F.lit(1), F.lit(realizations))).alias("real"))
-    return copies.groupBy("real").applyInPandas(run, "real int, row_id bigint, value double")
+    ni, nj = size or (None, None)
+    return along(along(grid.select("real", "i", "j", "re", "im"), "i", "j", ni), "j", "i", nj)
+
+
+def _centered(c: str, n: int, whole: int) -> F.Column:
+    """Lag of a place in a periodic transform of `whole` cells; null outside a map of n cells around lag 0."""
+    lag = F.when(F.col(c) < (whole + 1) // 2, F.col(c)).otherwise(F.col(c) - whole)
+    return F.when(lag.between(-(n // 2), n - n // 2 - 1), lag)
+
+
+def varmap_fast(grid: DataFrame, value: str, ni: int, nj: int) -> DataFrame:
+    """di, dj, n, gamma on ni x nj lags around 0: largest covariance of the map less the lag's, by products of transforms.
+
+    The covariance of a lag is the mean product of the n pairs of known cells at it less the product of the means of
+    their tails and of their heads. The grid is padded to twice its size, so that no pair is formed across its borders.
+    Lags without a pair have no row. Lost cells may be nulls or absent."""
+    known = grid.where(F.col(value).isNotNull())
+    two = F.array(F.struct(F.lit(0).alias("real"), F.col(value).cast("double").alias("re")), F.struct(F.lit(1).alias("real"), F.lit(1.0).alias("re")))
+    rows = known.select("i", "j", F.explode(two).alias("_e")).select("_e.real", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "_e.re", F.lit(0.0).alias("im"))
+    size = 2 * ni, 2 * nj
+    both = fft(rows, size=size).groupBy("i", "j").agg(*[F.max(F.when(F.col("real") == n, F.struct("re", "im"))).alias(c) for n, c in ((0, "a"), (1, "m"))])
+    a, m = (lambda p: F.col(f"a.{p}")), (lambda p: F.col(f"m.{p}"))
+    zero = F.lit(0.0)
+    products = [(a("re") * a("re") + a("im") * a("im"), zero), (m("re") * m("re") + m("im") * m("im"), zero), (m("re") * a("re") + m("im") * a("im"), m("im") * a("re") - m("re") * a("im")), (m("re") * a("re") + m("im") * a("im"), m("re") * a("im") - m("im") * a("re"))]
+    four = F.array(*[F.struct(F.lit(n).alias("real"), re.alias("re"), im.alias("im")) for n, (re, im) in enumerate(products)])
+    back = fft(both.select("i", "j", F.explode(four).alias("_e")).select("_e.real", "i", "j", "_e.re", "_e.im"), inverse=True, size=size)
+    lags = back.withColumns({"di": _centered("i", ni, size[0]), "dj": _centered("j", nj, size[1])}).where("di IS NOT NULL AND dj IS NOT NULL")
+    sums = lags.groupBy("di", "dj").agg(*[F.max(F.when(F.col("real") == n, F.col("re"))).alias(c) for n, c in enumerate(("c", "n", "tails", "heads"))]).withColumn("n", F.round("n").cast("bigint")).where("n > 0")
+    cov = sums.select("di", "dj", "n", (F.col("c") / F.col("n") - F.col("tails") / F.col("n") * (F.col("heads") / F.col("n"))).alias("cov"))
+    return cov.join(F.broadcast(cov.agg(F.max("cov").alias("_top")))).select("di", "dj", "n", (F.col("_top") - F.col("cov")).alias("gamma"))  # one row
+
+
+def varmap_fim(grid: DataFrame, value: str, ni: int, nj: int) -> DataFrame:
+    """di, dj, gamma of a periodic grid: its squared amplitudes without phases, transformed back, taken from their largest value.
+
+    Lost and absent cells count as 0."""
+    rows = grid.where(F.col(value).isNotNull()).select(F.lit(0).alias("real"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col(value).cast("double").alias("re"), F.lit(0.0).alias("im"))
+    density = fft(rows, size=(ni, nj)).withColumns({"re": (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (ni * nj), "im": F.lit(0.0)})
+    cov = fft(density, inverse=True, size=(ni, nj)).select(_centered("i", ni, ni).alias("di"), _centered("j", nj, nj).alias("dj"), F.col("re").alias("cov"))
+    return cov.join(F.broadcast(cov.agg(F.max("cov").alias("_top")))).select("di", "dj", (F.col("_top") - F.col("cov")).alias("gamma"))  # one row

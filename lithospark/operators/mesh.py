@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,87 @@ def volumes(mesh: DataFrame) -> DataFrame:
     return mesh.withColumn("volume", total)
 
 
+def _side(p: list[Column], *corners: list[Column]) -> Column:
+    """Six times the signed volume of p and a triangle."""
+    u, v, w = [[c - x for c, x in zip(corner, p)] for corner in corners]
+    return u[0] * (v[1] * w[2] - v[2] * w[1]) - u[1] * (v[0] * w[2] - v[2] * w[0]) + u[2] * (v[0] * w[1] - v[1] * w[0])
+
+
+def inside(p: list[Column], slack: float = 1e-12) -> Column:
+    """Whether the point is in one of the tetrahedra of a cell (as in volumes): on the inner side of all of their faces.
+
+    slack: how far outside, as a part of the tetrahedron's volume, still counts as on a face."""
+    faces = [t for a, b, c, d in ((1, 2, 6, 5), (4, 5, 6, 7), (0, 1, 5, 4)) for t in ((a, b, c), (a, c, d))]
+    tetrahedra = F.array(*[F.struct(*[F.col(f"v{n}").alias(x) for x, n in zip("abc", t)]) for t in faces])
+    apex = [F.col(f"v3.{x}") for x in "xyz"]
+
+    def holds(t: Column) -> Column:
+        a, b, c = [[t[n][x] for x in "xyz"] for n in "abc"]
+        whole = _side(apex, a, b, c)
+        parts = [_side(p, a, b, c), -_side(p, apex, b, c), _side(p, apex, a, c), -_side(p, apex, a, b)]
+        return reduce(Column.__and__, [x * F.signum(whole) >= -slack * F.abs(whole) for x in parts], whole != 0)
+
+    return F.exists(tetrahedra, holds)
+
+
+def locate(points: DataFrame, mesh: DataFrame, size: float, key: str = "row_id", nearest: bool = False) -> DataFrame:
+    """The points(key, x, y, z) in a cell with its i, j, k and v0 to v7; the smallest (k, j, i) of several; others are dropped.
+
+    Cells are copied to the squares of edge `size` under their boxes, which should be about a cell's width. nearest: only
+    where the cell's center is also the nearest of all centers among the cells whose box is within `size` of the point's square."""
+    boxes = centers(mesh)
+    reach = 1 if nearest else 0
+    for c in "xy":
+        boxes = boxes.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"min_{c}") / size) - reach, F.floor(F.col(f"max_{c}") / size) + reach)))
+    asked = points.select(key, "x", "y", "z", *[F.floor(F.col(c) / size).alias(f"_{c}") for c in "xy"])
+    met = asked.join(boxes, ["_x", "_y"])
+    at = [F.col(c) for c in "xyz"]
+    held = reduce(Column.__and__, [F.col(c).between(F.col(f"min_{c}"), F.col(f"max_{c}")) for c in "xyz"]) & inside(at)
+    cell = F.struct("k", "j", "i", *[f"v{n}" for n in range(8)])
+    if nearest:
+        far = sum(((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+        best = met.groupBy(key).agg(F.min_by(F.struct(held.alias("held"), cell.alias("cell")), F.struct(far, "k", "j", "i")).alias("_b")).where("_b.held").select(key, F.col("_b.cell").alias("_c"))
+    else:
+        best = met.where(held).groupBy(key).agg(F.min_by(cell, F.struct("k", "j", "i")).alias("_c"))
+    return points.join(best.select(key, "_c.*"), key)
+
+
+def _plane_distance(p: list[Column], corners: Column) -> Column:
+    """Distance of p to the plane of the first three of these vertices."""
+    a, b, c = [[corners[n][x] for x in "xyz"] for n in range(3)]
+    u, v = [y - x for x, y in zip(a, b)], [y - x for x, y in zip(a, c)]
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    along = reduce(Column.__add__, [x * (q - r) for x, q, r in zip(n, p, a)])
+    return F.abs(along) / F.sqrt(reduce(Column.__add__, [x * x for x in n]))
+
+
+#: Faces of a cell by axis: three vertices of the lower and of the upper one (fixed values).
+FACES = (((0, 3, 7), (1, 5, 6)), ((0, 4, 5), (3, 2, 6)), ((0, 1, 2), (4, 7, 6)))
+
+
+def unfold(points: DataFrame, mesh: DataFrame, shape: tuple[int, int, int], size: float, key: str = "row_id", nearest: bool = False) -> DataFrame:
+    """The points in a cell of the mesh of `shape` cells with u, v, w from 0 to 1: the place between opposite faces of the cell.
+
+    A face's plane is that of its first three vertices; points outside, and of cells with flat faces, are dropped."""
+    found = locate(points, mesh, size, key, nearest)
+    at = [F.col(c) for c in "xyz"]
+    axes = F.array(*[F.struct(F.col(axis).alias("cell"), F.lit(n).alias("n"), *[F.array(*[F.col(f"v{k}") for k in face]).alias(name) for name, face in zip(("low", "high"), faces)]) for axis, n, faces in zip("ijk", shape, FACES)])
+    far = F.transform(axes, lambda t: F.struct(t["cell"].alias("cell"), t["n"].alias("n"), _plane_distance(at, t["low"]).alias("a"), _plane_distance(at, t["high"]).alias("b")))
+    place = F.transform(far, lambda t: (t["cell"] + F.when(t["a"] + t["b"] > 0, t["a"] / (t["a"] + t["b"]))) / t["n"])
+    out = found.withColumn("_uvw", place).where(F.forall("_uvw", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return out.withColumns({c: F.col("_uvw")[n] for n, c in enumerate("uvw")}).drop("_uvw", *[f"v{n}" for n in range(8)])
+
+
+def unfold_lines(lines: DataFrame, mesh: DataFrame, shape: tuple[int, int, int], size: float, key: str = "row_id", nearest: bool = False) -> DataFrame:
+    """lines(key, x0 to z1) of which both ends are in cells, with u0 to w1."""
+    out = lines
+    for n in (0, 1):
+        ends = lines.select(key, *[F.col(f"{c}{n}").alias(c) for c in "xyz"])
+        got = unfold(ends, mesh, shape, size, key, nearest).select(key, *[F.col(c).alias(f"{c}{n}") for c in "uvw"])
+        out = out.join(got, key)
+    return out
+
+
 def stack_zones(zones: list[tuple[DataFrame, int]]) -> DataFrame:
     """Zones (mesh, layers) from the bottom up as one mesh: k goes on from zone to zone; adds zone."""
     out, base = None, 0

@@ -85,6 +85,32 @@ def knn(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xyz", ro
         r = 2 * r if k < rounds else max(2 * r, 1.001 * far)
 
 
+def thin_min_distance(pairs: DataFrame, least: float, axes: str = "xyz") -> DataFrame:
+    """Of each row_id_a's rows those that a walk from the nearest on keeps: none nearer than `least` to one kept before.
+
+    Ties in d go to the smaller row_id_b. Rounds in place of a walk: rows that no earlier row in reach can still block
+    are settled together, and drop the later rows in their reach; as many rounds as the longest chain of blocks has links.
+    Rows meet in buckets of edge `least` around a target, so only conflicts are made, not all pairs of a target."""
+    place = [F.col(f"{x}_b") for x in axes]
+    rows = pairs.select("row_id_a", "row_id_b", "d", *[p.alias(x) for p, x in zip(place, axes)])
+    found = reduce(lambda df, x: df.withColumn(f"_{x}", F.explode(F.sequence(_bucket(x, least) - 1, _bucket(x, least) + 1))), axes, rows)
+    late = found.select(F.col("row_id_a"), F.col("row_id_b").alias("q"), F.col("d").alias("dq"), *[F.col(x).alias(f"q{x}") for x in axes], *[f"_{x}" for x in axes])
+    early = rows.select(F.col("row_id_a"), F.col("row_id_b").alias("p"), F.col("d").alias("dp"), *[F.col(x).alias(f"p{x}") for x in axes], *[_bucket(x, least).alias(f"_{x}") for x in axes])
+    apart = sum(((F.col(f"p{x}") - F.col(f"q{x}")) ** 2 for x in axes), F.lit(0.0))
+    met = early.join(late, ["row_id_a", *[f"_{x}" for x in axes]]).where((F.sqrt(apart) < least) & ((F.col("dp") < F.col("dq")) | ((F.col("dp") == F.col("dq")) & (F.col("p") < F.col("q")))))
+    conflicts, dropped = cut(met.select("row_id_a", "p", "q")), []
+    while not conflicts.isEmpty():
+        blocked = conflicts.select("row_id_a", F.col("q").alias("p")).distinct()
+        gone = cut(conflicts.join(blocked, ["row_id_a", "p"], "left_anti").select("row_id_a", "q").distinct())
+        dropped.append(gone)
+        conflicts = conflicts.join(gone, ["row_id_a", "q"], "left_anti").join(gone.withColumnRenamed("q", "p"), ["row_id_a", "p"], "left_anti")
+        conflicts = cut(conflicts.select("row_id_a", "p", "q"))
+    if not dropped:
+        return pairs
+    gone = reduce(DataFrame.unionByName, dropped).withColumnRenamed("q", "row_id_b")
+    return pairs.join(gone, ["row_id_a", "row_id_b"], "left_anti").select(*pairs.columns)
+
+
 def in_ellipsoid(dx: Column, dy: Column, dz: Column, ranges: tuple[float, float, float]) -> Column:
     return (dx / ranges[0]) ** 2 + (dy / ranges[1]) ** 2 + (dz / ranges[2]) ** 2 <= 1
 

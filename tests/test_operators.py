@@ -92,13 +92,6 @@ def test_normal_scores_and_trend(spark):
     assert np.allclose(frame.fit_trend(t, "t"), c, atol=1e-6)
 
 
-def test_simulation_is_seeded(spark):
-    cells = grids.make_grid(spark, GridSpec(6, 6)).withColumnRenamed("cell", "row_id")
-    a = grids.sequential_gaussian(cells, 2, MODEL, 7).orderBy("real", "row_id").toPandas()
-    b = grids.sequential_gaussian(cells.repartition(3), 2, MODEL, 7).orderBy("real", "row_id").toPandas()
-    assert len(a) == 72 and np.allclose(a["value"], b["value"])
-
-
 def test_empty_tables(spark):
     p = spark.createDataFrame([], "row_id long, x double, y double, z double, v double")
     assert spatial.within_distance(p, p, 1.0).count() == 0

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lithospark import more_queries as queries
+from lithospark import geometry_queries as queries
 
 DATA = "/root/testdata/sf0.001"
 
