@@ -1,14 +1,15 @@
-"""Queries of surfaces, meshes, thinned neighbors, fast variogram maps and imputation; in the same registry."""
+"""Queries of surfaces, meshes, thinned neighbors, variogram maps and their models, imputation, cokriging, wavelets and forests; in the same registry."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lithospark.more_queries import QUERIES, SQL
-from lithospark.operators import grids, horizons, imputation, markov, mesh, spatial
+from lithospark.operators import cokriging, fitting, forests, grids, horizons, imputation, markov, mesh, spatial, wavelets
 from lithospark.queries import _GRID, _PS, _PT, _SEG, query, rounded
 from lithospark.sources import tables as T
-from lithospark.spec import GridSpec
+from lithospark.spec import GridSpec, Structure, VariogramModel
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -185,3 +186,107 @@ def s5l(s, d):
     out = out.withColumn("_break", F.coalesce((F.abs(F.col("z0") - F.lag("z1").over(by)) > 1e-9).cast("int"), F.lit(0)))
     same = out.groupBy("real", "row_id", "imputed").agg(F.max(F.when(F.col("imputed") == 0, F.col("cat"))).alias("known"), F.round(F.sum(F.col("z1") - F.col("z0")) + 1.7e-8, 6).alias("length"), F.sum("_break").cast("int").alias("breaks"))
     return same.select(F.col("real").cast("bigint").alias("real"), "row_id", "imputed", "known", "length", "breaks")
+
+
+# --- fitting, cokriging, wavelets, trees
+_CANDIDATES = [(2.0, 0.5, 0.0, 9.0), (3.0, 1.0, 30.0, 6.0), (2.5, 0.4, 90.0, 12.0)]
+
+
+def _misfit_sql() -> str:
+    map_sql = f"WITH g AS ({_GRID}), m AS (SELECT di, dj, CAST(round(avg((b.v - a.v) * (b.v - a.v) / 2) / 1e9, 6) AS DOUBLE) AS gamma FROM g a, range(-3, 4) s(di), range(-2, 3) t(dj), g b WHERE b.i = a.i + di AND b.j = a.j + dj AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY di, dj)"
+    rows = ", ".join(f"({n}, {a}, {r}, {z}, {s})" for n, (a, r, z, s) in enumerate(_CANDIDATES))
+    h = "sqrt(((di * sin(radians(z)) + dj * cos(radians(z))) / a) ** 2 + ((di * cos(radians(z)) - dj * sin(radians(z))) / (a * r)) ** 2)"
+    return f"{map_sql}, c AS (SELECT *, sqrt(di * di + dj * dj) AS d, {h} AS h FROM m, (VALUES {rows}) k(candidate, a, r, z, s)) SELECT candidate, round(sum(CASE WHEN d > 0 THEN 1 / d / (6.28 * d) * (CASE WHEN h >= 1 THEN s ELSE s * (1.5 * h - 0.5 * h * h * h) END - gamma) ** 2 END), 4) AS misfit FROM c GROUP BY candidate"
+
+
+def _small_map(s, d):
+    return mesh.varmap(T.grid(s, d), "v", 3, 2).select("di", "dj", F.round(F.col("gamma") / 1e9, 6).alias("gamma"))
+
+
+@query("V9_misfits", _misfit_sql())
+def v9(s, d):
+    return rounded(fitting.misfits(_small_map(s, d), np.array(_CANDIDATES), ["spherical"]), "misfit", digits=4)
+
+
+@query("V9_fit_variogram")
+def v9f(s, d):
+    rows = []
+    for method in fitting.METHODS:
+        model, misfit = fitting.fit_variogram(_small_map(s, d), ["spherical"], method, population=16, generations=8)
+        (t,) = model.structures
+        rows.append((method, t.ranges[0], t.ranges[1], t.azimuth, t.sill, misfit))
+    return s.createDataFrame(rows, "method string, major double, minor double, azimuth double, sill double, misfit double")
+
+
+@query("E6_cokrige_collocated", f"""WITH p AS ({_PT}), q AS ({_PS}), n AS (SELECT p.row_id, p.v AS v2, q.v AS v1, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d, q.row_id AS s FROM p JOIN q ON sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) < 150.5),
+k AS (SELECT *, CASE WHEN d >= 100 THEN 0 ELSE 1 - 1.5 * d / 100 + 0.5 * (d / 100) ** 3 END AS c FROM n QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d, s) = 1),
+w AS (SELECT row_id, v1, v2, c, c * (1 - 0.36) / (1 - 0.36 * c * c) AS w1, 0.6 * (1 - c * c) / (1 - 0.36 * c * c) AS w2 FROM k)
+SELECT row_id, round(w1 * (v1 - 4000) + w2 * (v2 - 4500) + 4000, 4) AS estimate, round(1 - w1 * c - w2 * 0.6, 6) AS variance FROM w""")
+def e6(s, d):
+    one = VariogramModel(0.0, (Structure("spherical", 1.0, (100.0, 100.0, 100.0)),))
+    models = {(0, 0): one, (0, 1): cokriging.markov_model(one, 0.6, 1.0), (1, 1): one}
+    targets = T.points(s, d).select("row_id", "x", "y", F.col("v").alias("v2"))
+    out = cokriging.cokrige(targets, [(T.few_points(s, d).drop("z"), "v", 1)], models, 150.5, [4000.0, 4500.0], collocated="v2")
+    return out.select("row_id", F.round("estimate", 4).alias("estimate"), F.round("variance", 6).alias("variance"))
+
+
+@query("E6_cokrige_full")
+def e6f(s, d):
+    model = lambda sill: VariogramModel(0.05 * sill, (Structure("spherical", sill, (120.0, 120.0, 120.0)),))
+    models = {(0, 0): model(1.0), (0, 1): model(0.5), (1, 1): model(0.8)}
+    targets = T.parts(s, d).select("row_id", "x", "y")
+    return cokriging.cokrige(targets, [(T.few_points(s, d).drop("z"), "v", 6), (T.points(s, d).select("row_id", "x", "y", "v"), "v", 6)], models, 150.5)
+
+
+_SQUARE = f"g AS (SELECT i, j, v FROM ({_GRID})), n AS (SELECT CAST(max(o_orderkey // 100) + 1 AS BIGINT) AS nj FROM orders), e AS (SELECT nj, CAST(2 ** ceil(log2(greatest(100, nj))) AS BIGINT) AS n FROM n)"
+
+
+@query("K8_haar_level", f"""WITH {_SQUARE}, a AS (SELECT *, unnest(range(n)) AS i FROM e), b AS (SELECT *, unnest(range(n)) AS j FROM a),
+s AS (SELECT i, j, n, least(i % 200, 199 - i % 200) AS si, ((j - (n - nj)) % (2 * nj) + 2 * nj) % (2 * nj) AS r, nj FROM b),
+q AS (SELECT s.i, s.j, n, coalesce(v, 0) AS v FROM s LEFT JOIN g ON g.i = si AND g.j = least(r, 2 * nj - 1 - r)),
+h AS (SELECT i // 2 AS a, j // 2 AS b, n, sum(v) / 2 AS ll, sum(CASE WHEN i % 2 = 0 THEN v ELSE -v END) / 2 AS hl, sum(CASE WHEN j % 2 = 0 THEN v ELSE -v END) / 2 AS lh, sum(CASE WHEN (i + j) % 2 = 0 THEN v ELSE -v END) / 2 AS hh FROM q GROUP BY ALL)
+SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, round(ll + 1.7e-5, 3) AS c FROM h UNION ALL SELECT CAST(a + n // 2 AS INTEGER), CAST(b AS INTEGER), round(hl + 1.7e-5, 3) FROM h
+UNION ALL SELECT CAST(a AS INTEGER), CAST(b + n // 2 AS INTEGER), round(lh + 1.7e-5, 3) FROM h UNION ALL SELECT CAST(a + n // 2 AS INTEGER), CAST(b + n // 2 AS INTEGER), round(hh + 1.7e-5, 3) FROM h""")
+def k8(s, d):
+    g = T.grid(s, d)
+    size = 100, g.agg(F.max("j")).first()[0] + 1
+    edge = 1 << (max(size) - 1).bit_length()
+    out = wavelets.dwt(wavelets.mirror_pad(g, "v", size), "v", edge, 2, levels=1, interleaved=True)
+    return out.select("i", "j", F.round(F.col("v") + 1.7e-5, 3).alias("c"))
+
+
+@query("K8_daubechies_back", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(coalesce(v, 0) + 1.7e-5, 3) AS v FROM ({_GRID})")
+def k8b(s, d):
+    g = T.grid(s, d)
+    size = 100, g.agg(F.max("j")).first()[0] + 1
+    edge = 1 << (max(size) - 1).bit_length()
+    made = wavelets.dwt(wavelets.mirror_pad(g, "v", size), "v", edge, 8)
+    back = wavelets.crop(wavelets.dwt(made, "v", edge, 8, inverse=True), "v", edge, size)
+    return back.join(g.select("i", "j"), ["i", "j"], "left_semi").select("i", F.col("j").cast("int").alias("j"), F.round(F.col("v") + 1.7e-5, 3).alias("v"))
+
+
+def _sold(s, d):
+    return T.table(s, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_extendedprice").cast("double").alias("price"))
+
+
+@query("K12_regression_stump", """WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS c, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+a AS (SELECT count(*) AS n, sum(y) AS s FROM r), h AS (SELECT 0 AS f, q AS x, count(*) AS n, sum(y) AS s FROM r GROUP BY q UNION ALL SELECT 1, c, count(*), sum(y) FROM r GROUP BY c),
+k AS (SELECT f, x, sum(n) OVER w AS n, sum(s) OVER w AS s FROM h WINDOW w AS (PARTITION BY f ORDER BY x)),
+b AS (SELECT f, x, k.n, k.s, a.n - k.n AS m, a.s - k.s AS t FROM k, a WHERE k.n < a.n ORDER BY k.s * k.s / k.n + (a.s - k.s) ** 2 / (a.n - k.n) DESC, f, x LIMIT 1)
+SELECT row_id, round(CASE WHEN CASE WHEN f = 0 THEN q ELSE c END <= x THEN b.s / b.n ELSE t / m END, 4) AS mean, CAST(0 AS DOUBLE) AS variance FROM r, b""")
+def k12(s, d):
+    sold = _sold(s, d)
+    forest = forests.grow(sold, ["quantity", "discount"], "price", False, depth=1, bins=128, bootstrap=False)
+    return rounded(forests.predict(sold, forest), "mean", digits=4)
+
+
+@query("K12_regression_forest")
+def k12f(s, d):
+    sold = _sold(s, d)
+    return forests.predict(sold, forests.grow(sold, ["quantity", "discount"], "price", False, trees=5, depth=4, bins=16))
+
+
+@query("K11_classification_forest")
+def k11(s, d):
+    points = T.points(s, d)
+    return forests.predict(points, forests.grow(points, ["x", "y", "v"], "dom", True, trees=7, depth=4, bins=16))
