@@ -98,7 +98,8 @@ def calculate(df: DataFrame, script: dict[str, str]) -> DataFrame:
 
 
 def append_column_from(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    return df.join(other.select("row_id", column), "row_id", "left")
+    """df with the column of other by row_id; rows that only other has are there with nulls."""
+    return df.join(other.select("row_id", column), "row_id", "full")
 
 
 def summary(df: DataFrame, column: str, *by: str) -> DataFrame:
@@ -162,7 +163,7 @@ def cdf_table(df: DataFrame, column: str, weight: str | None = None) -> DataFram
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.sum(w).alias("w"))
     ranged = values.withColumn("_p", range_bucket(values, ["value"]))
     totals = ranged.groupBy("_p").agg(F.sum("w").alias("t"))
-    before = totals.alias("a").join(totals.alias("b"), F.expr("b._p < a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.t"), F.lit(0.0)).alias("before"))  # one row a range
+    before = totals.select("_p", F.coalesce(F.sum("t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))  # one row a range
     whole = totals.agg(F.sum("t").alias("all"))
     local = F.sum("w").over(Window.partitionBy("_p").orderBy("value"))
     out = ranged.withColumn("_c", local).join(F.broadcast(before), "_p").crossJoin(F.broadcast(whole))  # one row a range, and one row

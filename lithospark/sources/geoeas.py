@@ -50,9 +50,12 @@ def write_geoeas(df: DataFrame, path: str, order: str = "row_id", ndv: float = -
     first.unionByName(body).repartitionByRange("_o").sortWithinPartitions("_o").select("value").write.text(path)
 
 
-def read_grid(spark: SparkSession, path: str, spec: GridSpec, ndv: float | None = None) -> DataFrame:
-    """real, i, j, k and the values: realizations are stacked blocks of rows."""
+def read_grid(spark: SparkSession, path: str, spec: GridSpec, ndv: float | None = None, realizations: list[int] | None = None) -> DataFrame:
+    """real, i, j, k and the values: realizations are stacked blocks of rows, numbered from 0; all of them or those asked for."""
     table, _ = read_geoeas(spark, path, ndv)
+    if realizations is not None:
+        block = F.floor(F.col("row_id") / spec.cells)
+        table = table.where(block.isin(realizations))
     return index_rows(table, spec)
 
 
@@ -83,10 +86,24 @@ def range_bucket(df: DataFrame, order: list[str], rows: int = 20) -> F.Column:
     The bounds are literals, found from the rows of the lowest hashes (`rows` a range), so that every job and
     every attempt puts a row into the same range."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = df.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(rows * n).orderBy(*order).collect()  # rows * n at most
+    keys, h = df.select(*order), F.xxhash64(*order)
+    different = keys.agg(F.approx_count_distinct(h)).first()[0]
+    if different > 4 * rows * n:  # hashes above a bound go before anything is sent
+        keys = keys.where(h < int(-(1 << 63) + 2 * rows * n / different * (1 << 64)))
+    sample = keys.distinct().orderBy(h, *order).limit(rows * n).orderBy(*order).collect()  # rows * n at most
     bounds = [F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for r in sample[rows::rows]]
-    key = F.struct(*order)
-    return F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
+    if not bounds:
+        return F.lit(0)
+    table, key = F.array(*bounds), F.struct(*order)
+    # bounds at most the key, by halving: lo of them are, from the hi-th on none is
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(s: F.Column, _: F.Column) -> F.Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        under = (s["lo"] < s["hi"]) & (F.element_at(table, F.least(mid + 1, F.lit(len(bounds)))) <= key)
+        return F.struct(F.when(under, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(F.when(s["lo"] < s["hi"], mid).otherwise(s["hi"])).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve)["lo"]
 
 
 def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
