@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lithospark.more_queries import QUERIES, SQL
-from lithospark.operators import cokriging, fitting, forests, grids, horizons, imputation, markov, mesh, spatial, wavelets
+from lithospark.operators import cokriging, filters, fitting, forests, grids, horizons, imputation, markov, mesh, spatial, wavelets
 from lithospark.queries import _GRID, _PS, _PT, _SEG, query, rounded
 from lithospark.sources import tables as T
 from lithospark.spec import GridSpec, Structure, VariogramModel
@@ -290,3 +290,28 @@ def k12f(s, d):
 def k11(s, d):
     points = T.points(s, d)
     return forests.predict(points, forests.grow(points, ["x", "y", "v"], "dom", True, trees=7, depth=4, bins=16))
+
+
+# --- responses and splines
+@query("K9_gabor", f"""WITH g AS (SELECT i, j, v FROM ({_GRID})),
+o AS (SELECT a, b, a * sin(radians(30)) + b * cos(radians(30)) AS u, a * cos(radians(30)) - b * sin(radians(30)) AS w FROM range(-4, 5) s(a), range(-4, 5) t(b)),
+k AS (SELECT a, b, u, exp(-0.5 * ((u / 2.0) ** 2 + (w / 1.5) ** 2)) AS e FROM o), n AS (SELECT a, b, e / sum(e) OVER () * cos(2 * pi() * 0.2 * u) AS re, e / sum(e) OVER () * sin(2 * pi() * 0.2 * u) AS im FROM k),
+e AS (SELECT max(j) AS nj FROM g), c AS (SELECT x AS i, y AS j FROM e, range(0, 100) s(x), (SELECT unnest(range(nj + 1)) AS y FROM e) t),
+r AS (SELECT c.i, c.j, sum(coalesce(v, 0) * re) AS re, sum(coalesce(v, 0) * im) AS im FROM c, n, g WHERE g.i = c.i - a AND g.j = c.j - b GROUP BY ALL)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(re + 1.7e-5, 3) AS re, round(im + 1.7e-5, 3) AS im, round(sqrt(re * re + im * im) + 1.7e-5, 3) AS amplitude FROM r""")
+def k9(s, d):
+    g = T.grid(s, d)
+    out = filters.gabor(g, "v", 100, g.agg(F.max("j")).first()[0] + 1, 0.2, 30.0, (2.0, 1.5), 4)
+    return out.select("i", "j", *[F.round(F.col(c) + 1.7e-5, 3).alias(c) for c in ("re", "im", "amplitude")])
+
+
+@query("E10_spline")
+def e10(s, d):
+    return filters.fill_nulls_spline(T.grid(s, d), "v", 0.0, 20, 6)
+
+
+@query("E10_spline_known", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v, 2) AS spline FROM ({_GRID}) WHERE v IS NOT NULL")
+def e10k(s, d):
+    g = T.grid(s, d)
+    out = filters.fill_nulls_spline(g, "v", 0.0, 20, 6).join(g.where("v IS NOT NULL").select("i", "j"), ["i", "j"], "left_semi")
+    return out.select("i", F.col("j").cast("int").alias("j"), F.round("spline", 2).alias("spline"))

@@ -182,3 +182,62 @@ def test_forests_vote(spark):
     mean = sum(a * s for a, s in parts) / sum(s for _, s in parts)
     assert np.isclose(out["mean"][7], mean) and np.isclose(out["variance"][7], np.mean([(a - mean) ** 2 for a, _ in parts]))
     assert forests.predict(table, forests.grow(table.limit(0), ["a"], "k", True)).count() == 0 and forests.predict(table.limit(0), forest).count() == 0
+
+
+def test_gabor_responses(spark):
+    from lithospark.operators import filters
+
+    z = np.random.default_rng(3).normal(size=(9, 7))
+    z[2, 3] = np.nan
+    grid = spark.createDataFrame([(i, j, None if np.isnan(z[i, j]) else float(z[i, j])) for i in range(9) for j in range(7)], "i int, j int, v double")
+    kernel = filters.gabor_kernel(0.3, 70.0, (1.5, 2.5), 2)
+    assert len(kernel) == 25 and math.isclose(sum(math.hypot(re, im) for *_, re, im in kernel), 1)
+    full = np.nan_to_num(z)
+    for r in filters.gabor(grid, "v", 9, 7, 0.3, 70.0, (1.5, 2.5), 2).collect():
+        want = sum(full[r["i"] - a, r["j"] - b] * complex(re, im) for a, b, re, im in kernel if 0 <= r["i"] - a < 9 and 0 <= r["j"] - b < 7)
+        assert abs(complex(r["re"], r["im"]) - want) < 1e-9 and abs(r["amplitude"] - abs(want)) < 1e-9
+
+
+def test_splines(spark):
+    from lithospark.operators import filters
+
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(14, 11))
+    known = rng.random(z.shape) < 0.6
+    grid = spark.createDataFrame([(i, j, float(z[i, j]) if known[i, j] else None) for i in range(14) for j in range(11)], "i int, j int, v double")
+    one = {(r["i"], r["j"]): r for r in filters.fill_nulls_spline(grid, "v", 0.0, 64, 0).collect()}  # one tile: the dense solution
+    p = np.argwhere(known).astype(float)
+    k = lambda a, b: np.array([[0.0 if (x == y).all() else ((x - y) ** 2).sum() * math.log(math.dist(x, y)) for y in b] for x in a])
+    for stiffness in (0.0, 0.3):
+        a = np.block([[k(p, p), np.c_[np.ones(len(p)), p]], [np.r_[np.ones((1, len(p))), p.T], np.zeros((3, 3))]])
+        mean = sum(math.dist(x, y) for x in p for y in p) / len(p) ** 2
+        a[: len(p), : len(p)] += stiffness * mean**2 * np.eye(len(p))
+        w = np.linalg.solve(a, np.r_[z[known], 0, 0, 0])
+        cells = np.array([(i, j) for i in range(14) for j in range(11)], float)
+        want = k(cells, p) @ w[: len(p)] + np.c_[np.ones(len(cells)), cells] @ w[len(p) :]
+        got = one if not stiffness else {(r["i"], r["j"]): r for r in filters.fill_nulls_spline(grid, "v", stiffness, 64, 0).collect()}
+        assert np.allclose([got[int(i), int(j)]["spline"] for i, j in cells], want, atol=1e-6)
+    tiles = filters.fill_nulls_spline(grid, "v", 0.0, 5, 3).collect()
+    assert all(abs(r["spline"] - z[r["i"], r["j"]]) < 1e-6 for r in tiles if known[r["i"], r["j"]]) and all(r["filled"] is not None for r in tiles)
+    flat = spark.createDataFrame([(i, j, 2.0 * i - j if (i + j) % 3 else None) for i in range(40) for j in range(30)], "i int, j int, v double")
+    assert all(abs(r["filled"] - (2.0 * r["i"] - r["j"])) < 1e-6 for r in filters.fill_nulls_spline(flat, "v", 0.5, 10, 4).collect())  # a plane stays one
+    lost = spark.createDataFrame([(0, 0, 1.0), (1, 0, None), (90, 90, None)], "i int, j int, v double")
+    assert {r["i"]: r["filled"] for r in filters.fill_nulls_spline(lost, "v", 0.0, 8, 2).collect()}[90] is None
+
+
+def test_leaving_a_sample_out(spark):
+    """Cross-validation: each sample from the others, against kriging of a table without it."""
+    from lithospark.operators import spatial
+
+    rng = np.random.default_rng(8)
+    xy, v = rng.uniform(0, 60, (9, 2)), rng.normal(size=9)
+    samples = spark.createDataFrame(pd.DataFrame({"row_id": range(9), "x": xy[:, 0], "y": xy[:, 1], "v": v}))
+    out = {r["row_id"]: r for r in spatial.krige(samples.drop("v"), samples, "v", spherical(1.0), 200.0, 5, leave_out_self=True).collect()}
+    for n in range(9):
+        near = sorted((i for i in range(9) if i != n), key=lambda i: math.dist(xy[i], xy[n]))[:5]
+        a = np.ones((6, 6))
+        a[5, 5] = 0
+        a[:5, :5] = cov(np.linalg.norm(xy[near][:, None] - xy[near][None], axis=-1), 1.0)
+        r = np.append(cov(np.linalg.norm(xy[near] - xy[n], axis=1), 1.0), 1)
+        w = np.linalg.solve(a, r)
+        assert np.isclose(out[n]["estimate"], w[:5] @ v[near]) and np.isclose(out[n]["variance"], 1 - w @ r) and out[n]["n"] == 5
