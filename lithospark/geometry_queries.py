@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from lithospark.more_queries import QUERIES, SQL
-from lithospark.operators import cokriging, filters, fitting, forests, grids, horizons, imputation, markov, mesh, spatial, wavelets
-from lithospark.queries import _GRID, _PS, _PT, _SEG, query, rounded
+from lithospark.operators import cokriging, filters, fitting, forests, grids, horizons, imputation, markov, mesh, sections, spatial, wavelets
+from lithospark.queries import _GRID, _PS, _PT, _SEG, _horizons, query, rounded
 from lithospark.sources import tables as T
 from lithospark.spec import GridSpec, Structure, VariogramModel
 
@@ -315,3 +317,52 @@ def e10k(s, d):
     g = T.grid(s, d)
     out = filters.fill_nulls_spline(g, "v", 0.0, 20, 6).join(g.where("v IS NOT NULL").select("i", "j"), ["i", "j"], "left_semi")
     return out.select("i", F.col("j").cast("int").alias("j"), F.round("spline", 2).alias("spline"))
+
+
+# --- factors, sections, grid values in meshes and sections, phases
+@query("E8_factors_two", f"""WITH p AS ({_PT}), q AS ({_PS}), n AS (SELECT p.row_id, q.row_id AS s, q.x, q.y, q.v, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS d FROM p JOIN q ON sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) < 150.5),
+k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, s) AS r, CASE WHEN d >= 100 THEN 0 ELSE 1 - 1.5 * d / 100 + 0.5 * (d / 100) ** 3 END AS c FROM n),
+w AS (SELECT a.row_id, a.v AS v1, b.v AS v2, a.c AS c1, b.c AS c2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h FROM k a JOIN k b ON b.row_id = a.row_id AND a.r = 1 AND b.r = 2),
+f AS (SELECT *, (c1 - c2) / (2 * (1 - CASE WHEN h >= 100 THEN 0 ELSE 1 - 1.5 * h / 100 + 0.5 * (h / 100) ** 3 END)) AS w FROM w)
+SELECT row_id, round((v1 + v2) / 2 + 1.7e-6, 4) AS mean, round(w * (v1 - v2) + 1.7e-6, 4) AS factor FROM f""")
+def e8(s, d):
+    model = VariogramModel(0.0, (Structure("spherical", 1.0, (100.0, 100.0, 100.0)),))
+    targets, samples = T.points(s, d).drop("v", "dom", "z"), T.few_points(s, d).drop("z")
+    mean, factor = (spatial.factorial_krige(targets, samples, "v", model, n, 150.5, 2, 2).select("row_id", F.round(F.col("estimate") + 1.7e-6, 4).alias(c)) for n, c in ((-1, "mean"), (1, "factor")))
+    return mean.join(factor, "row_id")
+
+
+_PATH = "p AS (SELECT s_suppkey AS n, CAST(s_suppkey * 3 % 90 AS DOUBLE) AS x, CAST(s_suppkey * 7 % 13 AS DOUBLE) AS y, CAST(s_suppkey % 4 AS DOUBLE) + 9 AS top, CAST(s_suppkey % 3 AS DOUBLE) AS base, s_suppkey * 4 AS col FROM supplier), q AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(top) OVER w AS top2, lead(base) OVER w AS base2, lead(col) OVER w - CASE WHEN lead(col, 2) OVER w IS NULL THEN 0 ELSE 1 END AS fin FROM p WINDOW w AS (ORDER BY col)), c AS (SELECT *, fin - col + 1 AS m FROM q WHERE fin IS NOT NULL), e AS (SELECT *, unnest(range(col, fin + 1)) AS i FROM c), l AS (SELECT *, unnest(range(0, 5)) AS k, (i - col) / m AS t0, (i - col + 1) / m AS t1 FROM e), z AS (SELECT *, (base + (base2 - base) * t0) AS b0, (base + (base2 - base) * t1) AS b1, (top + (top2 - top) * t0) AS p0, (top + (top2 - top) * t1) AS p1 FROM l), s AS (SELECT i, k, x + (x2 - x) * (t0 + t1) / 2 AS x, y + (y2 - y) * (t0 + t1) / 2 AS y, (b0 + (p0 - b0) * k / 6 + b1 + (p1 - b1) * k / 6 + b0 + (p0 - b0) * (k + 1) / 6 + b1 + (p1 - b1) * (k + 1) / 6) / 4 AS z, ((p0 - b0) / 6 + (p1 - b1) / 6) / 2 * sqrt((x2 - x) ** 2 + (y2 - y) ** 2) / m AS area FROM z)"
+
+
+def _path(s, d):
+    k = F.col("s_suppkey")
+    return T.table(s, d, "supplier").select((k * 3 % 90).cast("double").alias("x"), (k * 7 % 13).cast("double").alias("y"), ((k % 4).cast("double") + 9).alias("top"), (k % 3).cast("double").alias("base"), (k * 4).alias("col"))
+
+
+@query("G18_section_cells", f"WITH {_PATH} SELECT CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(area, 6) AS area FROM s")
+def g18(s, d):
+    return rounded(sections.section_cells(_path(s, d), 5), "x", "y", "z", "area")
+
+
+@query("J12_grid_to_section", f"WITH {_PATH}, g AS (SELECT i AS gi, j AS gj, v FROM ({_GRID})) SELECT CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, v AS cell_value FROM s LEFT JOIN g ON gi = floor(x + 0.01) AND gj = floor(y + 0.01) AND floor(z / 100) = 0")
+def j12s(s, d):
+    g = T.grid(s, d).withColumn("k", F.lit(0))
+    spec = GridSpec(100, g.agg(F.max("j")).first()[0] + 1, 1, x0=-0.01, y0=-0.01, dz=100.0)
+    return sections.collocate_grid_to_section(_path(s, d), 5, g, spec, "v").select("i", "k", "cell_value")
+
+
+@query("J12_grid_to_mesh", f"WITH h AS (SELECT DISTINCT o_orderkey % 100 AS i, o_orderkey // 100 AS j FROM orders), g AS (SELECT i AS gi, j AS gj, v FROM ({_GRID})), c AS (SELECT a.i, a.j FROM h a JOIN h b ON b.i = a.i + 1 AND b.j = a.j JOIN h e ON e.i = a.i AND e.j = a.j + 1 JOIN h f ON f.i = a.i + 1 AND f.j = a.j + 1) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, v AS cell_value FROM c LEFT JOIN g ON gi = i + 1 AND gj = j + 1, range(0, 2) t(k)")
+def j12m(s, d):
+    g = T.grid(s, d).withColumn("k", F.lit(0))
+    spec = GridSpec(100, g.agg(F.max("j")).first()[0] + 1, 1, z0=-100.0, dz=200.0)
+    return sections.collocate_grid_to_mesh(mesh.cells(mesh.vertices(_horizons(s, d), 2)), g, spec, "v").select("i", "j", "k", "cell_value")
+
+
+@query("S6_phase_symmetry", "WITH n AS (SELECT max(o_orderkey // 100) + 1 AS nj FROM orders), c AS (SELECT i, y AS j, nj FROM n, range(0, 100) s(i), (SELECT unnest(range(nj)) AS y FROM n) t) SELECT CAST(count(*) AS BIGINT) AS cells, CAST(count(*) FILTER (WHERE 100 - i < 100 AND 2 * (nj // 2) - j BETWEEN 0 AND nj - 1) AS BIGINT) AS paired, CAST(0 AS BIGINT) AS unlike, true AS spread FROM c")
+def s6(s, d):
+    nj = T.grid(s, d).agg(F.max("j")).first()[0] + 1
+    f = sections.random_phase_field(s, 100, nj, 11)
+    other = f.select((100 - F.col("i")).alias("i"), (2 * (nj // 2) - F.col("j")).alias("j"), F.col("phase").alias("_p"))
+    both = f.join(other, ["i", "j"], "left")
+    return both.agg(F.count(F.lit(1)).alias("cells"), F.count("_p").alias("paired"), F.coalesce(F.sum((F.abs(F.col("phase") + F.col("_p")) > 1e-12).cast("bigint")), F.lit(0)).alias("unlike"), ((F.stddev("phase") > 1.6) & (F.max(F.abs("phase")) <= math.pi)).alias("spread"))

@@ -272,15 +272,16 @@ def _gamma_np(dx: np.ndarray, dy: np.ndarray, dz: np.ndarray, model: VariogramMo
     return np.where((dx == 0) & (dy == 0) & (dz == 0), 0.0, total)
 
 
-def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramModel, radius: float, n_max: int = 8, n_min: int = 1, mean: float | None = None, leave_out_self: bool = False, axes: str = "xy", drift: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramModel, radius: float, n_max: int = 8, n_min: int = 1, mean: float | None = None, leave_out_self: bool = False, axes: str = "xy", drift: tuple[str, ...] = (), also: tuple[str, ...] = (), part: VariogramModel | None = None, total: float = 1.0) -> DataFrame:
     """row_id, estimate, variance, n: ordinary kriging, or simple kriging with that mean, from the n_max nearest samples.
 
     With drift, columns of both tables (a trend's terms, an external drift), their weighted sums over the samples
     are those at the target. With also, other columns of the samples get estimates by the same weights, in the array `also`.
+    With part, ordinary kriging of a part of the model: covariances with the target are those of part, weights add up to total.
 
     Neighbors come from the bucket join; each target's few neighbors are one row, and rows with equally many
     are solved together."""
-    cols = [c for c in "xyz" if c in targets.columns]
+    cols, asked = [c for c in "xyz" if c in targets.columns], part or model
     pairs = within_distance(targets.select("row_id", *cols, *drift), samples.where(F.col(value).isNotNull()).select("row_id", *cols, value, *drift, *also), radius, axes)
     pairs = nearest(pairs.where("row_id_a <> row_id_b") if leave_out_self else pairs, n_max, n_min)
     zero = F.lit(0.0)
@@ -301,13 +302,13 @@ def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramMo
                 p, u = d[to[t][:, None] + np.arange(m)], v[to[t][:, None] + np.arange(m)]
                 q = p[:, :, None] - p[:, None]
                 c = model.sill - _gamma_np(q[..., 0], q[..., 1], q[..., 2], model)
-                c0 = model.sill - _gamma_np(p[..., 0], p[..., 1], p[..., 2], model)
+                c0 = asked.sill - _gamma_np(p[..., 0], p[..., 1], p[..., 2], asked)
                 if mean is None:
                     g = f[to[t][:, None] + np.arange(m)]
                     a = np.zeros((len(t), m + 1 + len(drift), m + 1 + len(drift)))
                     a[:, :m, :m], a[:, :m, m], a[:, m, :m] = c, 1, 1
                     a[:, :m, m + 1 :], a[:, m + 1 :, :m] = g, g.transpose(0, 2, 1)
-                    r = np.concatenate([c0, np.ones((len(t), 1)), at[t]], 1)
+                    r = np.concatenate([c0, np.full((len(t), 1), total), at[t]], 1)
                 else:
                     a, r = c, c0
                 try:
@@ -315,12 +316,23 @@ def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramMo
                 except np.linalg.LinAlgError:  # coincident samples
                     w = np.stack([np.linalg.lstsq(x, y, rcond=None)[0] for x, y in zip(a, r)])
                 estimate[t] = (w[:, :m, None] * u).sum(1) if mean is None else mean + (w[:, :, None] * (u - mean)).sum(1)
-                variance[t] = model.sill - (w * r).sum(1)
+                variance[t] = asked.sill - (w * r).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(estimate[:, 0]), pa.array(variance), pa.array(n.astype(np.int32)), pa.array(list(estimate[:, 1:]), pa.list_(pa.float64()))][: 4 + bool(also)], ["row_id", "estimate", "variance", "n", "also"][: 4 + bool(also)])
 
     return rows.mapInArrow(solve, "row_id bigint, estimate double, variance double, n int" + ", also array<double>" * bool(also))
 
 
+def factorial_krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramModel, factor: int, radius: float, n_max: int = 8, n_min: int = 1, axes: str = "xy") -> DataFrame:
+    """row_id, estimate, variance, n of a factor: 0 is the nugget, k the k-th structure, -1 the local mean.
+
+    All factors and the local mean add up to the ordinary kriging estimate."""
+    if factor < 0:
+        part, total = VariogramModel(0.0, ()), 1.0
+    else:
+        part, total = (VariogramModel(model.nugget, ()) if factor == 0 else VariogramModel(0.0, (model.structures[factor - 1],))), 0.0
+    return krige(targets, samples, value, model, radius, n_max, n_min, axes=axes, part=part, total=total)
+
+
 def indicator_krige(targets: DataFrame, samples: DataFrame, value: str, thresholds: list[float], model: VariogramModel, radius: float, n_max: int = 8, n_min: int = 1, axes: str = "xy") -> DataFrame:
     """row_id, p0, p1, ...: probabilities that the value is at most each threshold, between 0 and 1 and never falling.
 

@@ -241,3 +241,31 @@ def test_leaving_a_sample_out(spark):
         r = np.append(cov(np.linalg.norm(xy[near] - xy[n], axis=1), 1.0), 1)
         w = np.linalg.solve(a, r)
         assert np.isclose(out[n]["estimate"], w[:5] @ v[near]) and np.isclose(out[n]["variance"], 1 - w @ r) and out[n]["n"] == 5
+
+
+def test_factors_and_the_local_mean_add_up(spark):
+    from lithospark.operators import spatial
+
+    rng = np.random.default_rng(4)
+    samples = spark.createDataFrame(pd.DataFrame({"row_id": range(12), "x": rng.uniform(0, 40, 12), "y": rng.uniform(0, 40, 12), "v": rng.normal(5, 1, 12)}))
+    targets = spark.createDataFrame([(100, 11.0, 9.0), (101, 30.0, 22.0)], "row_id long, x double, y double").unionByName(samples.where("row_id = 3").select("row_id", "x", "y"))
+    model = VariogramModel(0.2, (Structure("spherical", 0.5, (15.0, 15.0, 15.0)), Structure("spherical", 0.8, (60.0, 60.0, 60.0))))
+    whole = {r["row_id"]: r["estimate"] for r in spatial.krige(targets, samples, "v", model, 100.0, 8).collect()}
+    parts = [{r["row_id"]: r["estimate"] for r in spatial.factorial_krige(targets, samples, "v", model, f, 100.0, 8).collect()} for f in (-1, 0, 1, 2)]
+    assert all(np.isclose(sum(p[k] for p in parts), v) for k, v in whole.items()) and len(whole) == 3
+    assert abs(parts[1][100]) < 1e-9 and abs(parts[1][3]) > 1e-6  # the nugget is at samples only
+
+
+def test_sections_and_phases(spark):
+    from lithospark.operators import sections
+
+    path = spark.createDataFrame([(0.0, 0.0, 6.0, 0.0, 0), (4.0, 3.0, 6.0, 0.0, 2), (4.0, 9.0, 9.0, 3.0, 3)], "x double, y double, top double, base double, col int")
+    got = {(r["i"], r["k"]): [round(r[c], 9) for c in ("x", "y", "z", "area")] for r in sections.section_cells(path, 2).collect()}
+    assert len(got) == 8 and got[0, 0] == [1.0, 0.75, 1.0, 5.0] and got[1, 1] == [3.0, 2.25, 3.0, 5.0] and got[3, 0] == [4.0, 7.5, 3.25, 6.0]
+    assert sections.section_cells(path.limit(1), 2).count() == 0
+    two = sections.section_cells(path.withColumn("name", F.lit("a")).unionByName(path.withColumn("name", F.lit("b"))), 2, "name")
+    assert two.count() == 16 and two.columns[0] == "name"
+    a, b = sections.random_phase_field(spark, 6, 5, 1).collect(), sections.random_phase_field(spark.newSession(), 6, 5, 1).collect()
+    assert sorted(a) == sorted(b) != sorted(sections.random_phase_field(spark, 6, 5, 2).collect())
+    at = {(r["i"], r["j"]): r["phase"] for r in a}
+    assert at[3, 2] == 0 and all(abs(v + at[6 - i, 4 - j]) < 1e-12 for (i, j), v in at.items() if i > 0) and len(set(at.values())) > 25
