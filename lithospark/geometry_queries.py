@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lithospark.more_queries import QUERIES, SQL
 from lithospark.operators import cokriging, filters, fitting, forests, grids, horizons, imputation, markov, mesh, sections, spatial, wavelets
-from lithospark.queries import _GRID, _PS, _PT, _SEG, _horizons, query, rounded
+from lithospark.queries import _GRID, _PS, _PT, _SEG, _SEQ, _exp, _ftm, _horizons, query, rounded
 from lithospark.sources import tables as T
 from lithospark.spec import GridSpec, Structure, VariogramModel
 
@@ -366,3 +366,28 @@ def s6(s, d):
     other = f.select((100 - F.col("i")).alias("i"), (2 * (nj // 2) - F.col("j")).alias("j"), F.col("phase").alias("_p"))
     both = f.join(other, ["i", "j"], "left")
     return both.agg(F.count(F.lit(1)).alias("cells"), F.count("_p").alias("paired"), F.coalesce(F.sum((F.abs(F.col("phase") + F.col("_p")) > 1e-12).cast("bigint")), F.lit(0)).alias("unlike"), ((F.stddev("phase") > 1.6) & (F.max(F.abs("phase")) <= math.pi)).alias("spread"))
+
+
+# --- intervals of bent holes, and the test of independence
+def _bent(s, d):
+    return _wells(s, d).withColumn("row_id", F.col("seq"))
+
+
+@query("F14_bent_intervals", f"WITH {_WELL} SELECT hole, CAST(seq AS INTEGER) AS seq, round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2 + (z1 - z0) ** 2), 8) AS length, round(abs(z1 - z0), 8) AS height, round((x0 + x1) / 2, 8) AS mid_x, round((y0 + y1) / 2, 8) AS mid_y, round((z0 + z1) / 2, 8) AS mid FROM g")
+def f14b(s, d):
+    return rounded(markov.segment_measures(_wells(s, d)).select("hole", "seq", "length", "height", "mid_x", "mid_y", "mid"), "length", "height", "mid_x", "mid_y", "mid", digits=8)
+
+
+@query("G11_bent_midpoints", f"WITH {_WELL} SELECT hole, CAST(seq AS INTEGER) AS seq, cat, round((x0 + x1) / 2, 8) AS x, round((y0 + y1) / 2, 8) AS y, round((z0 + z1) / 2, 8) AS z, round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2 + (z1 - z0) ** 2), 8) AS weight FROM g")
+def g11b(s, d):
+    return rounded(markov.to_midpoints(_wells(s, d)), "x", "y", "z", "weight", digits=8).select("hole", "seq", "cat", "x", "y", "z", "weight")
+
+
+@query("T4_bent_ends", f"WITH {_WELL} SELECT hole, round(arg_min(x0, seq), 8) AS head_x, round(arg_min(y0, seq), 8) AS head_y, round(arg_min(z0, seq), 8) AS head_z, round(arg_max(x1, seq), 8) AS tail_x, round(arg_max(y1, seq), 8) AS tail_y, round(arg_max(z1, seq), 8) AS tail_z FROM g GROUP BY hole")
+def t4b(s, d):
+    return rounded(markov.hole_ends(_bent(s, d)), *[f"{e}_{c}" for e in ("head", "tail") for c in "xyz"], digits=8)
+
+
+@query("C8_independence_test", f"WITH {_exp(_SEQ)} SELECT round(sum(CASE WHEN trail * rs > 0 THEN (n - trail * rs) * (n - trail * rs) / (trail * rs) END), 4) AS chi2, CAST(5 AS BIGINT) AS categories, CAST(15 AS BIGINT) AS freedom FROM x")
+def c8t(s, d):
+    return rounded(markov.independence_test(_ftm(s, d)), "chi2", digits=4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,23 @@ def chi_squared(ftm: DataFrame) -> DataFrame:
     return expected(ftm).agg(F.sum(F.when(e > 0, (F.col("n") - e) * (F.col("n") - e) / e)).alias("chi2"))
 
 
+def independence_test(ftm: DataFrame) -> DataFrame:
+    """chi2, categories, freedom (categories squared less twice their number) of transition counts, one row."""
+    n = ftm.where("n > 0").select(F.explode(F.array("from", "to")).alias("cat")).agg(F.count_distinct("cat").alias("categories"))
+    return chi_squared(ftm).join(F.broadcast(n)).withColumn("freedom", F.col("categories") * F.col("categories") - 2 * F.col("categories"))  # one row each
+
+
+def matrix_rank(ftm: DataFrame, tolerance: float = 1e-9) -> int:
+    """Rank of the matrix of counts: its singular values above tolerance times the largest; categories squared numbers reach the driver."""
+    rows = ftm.groupBy("from", "to").agg(F.sum("n").alias("n")).collect()
+    names = sorted({r[c] for r in rows for c in ("from", "to")})
+    m = np.zeros((len(names), len(names)))
+    for r in rows:
+        m[names.index(r["from"]), names.index(r["to"])] = r["n"]
+    s = np.linalg.svd(m, compute_uv=False) if names else np.zeros(1)
+    return int((s > tolerance * max(s[0], 1e-300)).sum())
+
+
 def stations(segments: DataFrame, steps: list[float]) -> DataFrame:
     """h, hole, s, cat: for each h of steps the category every h along each hole; the first interval that holds the station."""
     rows = distance_along(segments).withColumn("end", F.col("along") + F.col("z1") - F.col("z0")).withColumn("h", F.explode(F.array(*[F.lit(float(h)) for h in steps])))
@@ -192,20 +210,36 @@ def relationship_edges(ftm: DataFrame, cutoff: float) -> DataFrame:
     return expected(ftm).where(F.col("difference") > cutoff).select("from", "to", "difference")
 
 
+def _axes(segments: DataFrame) -> list[str]:
+    """The axes along which intervals have two ends; z always."""
+    return [c for c in "xyz" if {f"{c}0", f"{c}1"} <= set(segments.columns)]
+
+
 def hole_ends(segments: DataFrame) -> DataFrame:
-    """hole, head, tail: where the first and the last interval of a hole begin and end."""
-    order = F.struct("z0", "row_id")
-    return segments.groupBy("hole").agg(F.min_by("z0", order).alias("head"), F.max_by("z1", order).alias("tail"))
+    """hole, head, tail: where the first and the last interval of a hole begin and end; with x and y too, head_x to tail_z."""
+    order, axes = F.struct("z0", "row_id"), _axes(segments)
+    if axes == ["z"]:
+        return segments.groupBy("hole").agg(F.min_by("z0", order).alias("head"), F.max_by("z1", order).alias("tail"))
+    return segments.groupBy("hole").agg(*[F.min_by(f"{c}0", F.col("row_id")).alias(f"head_{c}") for c in axes], *[F.max_by(f"{c}1", F.col("row_id")).alias(f"tail_{c}") for c in axes])
 
 
 def segment_measures(segments: DataFrame) -> DataFrame:
-    """Adds length, and the mid-point mid; intervals are vertical, so the length is the height too."""
-    return segments.withColumns({"length": F.abs(F.col("z1") - F.col("z0")), "mid": (F.col("z0") + F.col("z1")) / 2})
+    """Adds length, height and the mid-point: mid along z, and mid_x and mid_y where intervals have ends in x and y.
+
+    Intervals with ends in z alone are vertical."""
+    axes = _axes(segments)
+    squares = [(F.col(f"{c}1") - F.col(f"{c}0")) ** 2 for c in axes]
+    height = F.abs(F.col("z1") - F.col("z0"))
+    length = F.sqrt(sum(squares[1:], squares[0])) if len(axes) > 1 else height
+    middle = {"mid" if c == "z" else f"mid_{c}": (F.col(f"{c}0") + F.col(f"{c}1")) / 2 for c in axes}
+    return segments.withColumns({"length": length, "height": height, **middle})
 
 
 def to_midpoints(segments: DataFrame) -> DataFrame:
     """One point for each interval: its mid-point, with the interval's length as its weight."""
-    return segment_measures(segments).drop("z0", "z1").withColumnsRenamed({"mid": "z", "length": "weight"})
+    axes = _axes(segments)
+    names = {"mid" if c == "z" else f"mid_{c}": c for c in axes}
+    return segment_measures(segments).drop("height", *[f"{c}{n}" for c in axes for n in (0, 1)]).withColumnsRenamed({**names, "length": "weight"})
 
 
 def vpc_mean(curves: DataFrame) -> DataFrame:

@@ -269,3 +269,14 @@ def test_sections_and_phases(spark):
     assert sorted(a) == sorted(b) != sorted(sections.random_phase_field(spark, 6, 5, 2).collect())
     at = {(r["i"], r["j"]): r["phase"] for r in a}
     assert at[3, 2] == 0 and all(abs(v + at[6 - i, 4 - j]) < 1e-12 for (i, j), v in at.items() if i > 0) and len(set(at.values())) > 25
+
+
+def test_rank_and_freedom(spark):
+    from lithospark.operators import markov
+
+    ftm = spark.createDataFrame([("a", "b", 2), ("b", "a", 4), ("a", "c", 1), ("b", "c", 0), ("c", "a", 2)], "from string, to string, n long")
+    r = markov.independence_test(ftm).first()
+    assert (r["categories"], r["freedom"]) == (3, 3) and markov.matrix_rank(ftm) == 2 and markov.matrix_rank(ftm.limit(0)) == 0
+    bent = spark.createDataFrame([(1, 7, 0.0, 0.0, 0.0, 3.0, 4.0, 12.0)], "row_id int, hole int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    m = markov.segment_measures(bent).first()
+    assert (m["length"], m["height"], m["mid"], m["mid_x"], m["mid_y"]) == (13.0, 12.0, 6.0, 1.5, 2.0)
