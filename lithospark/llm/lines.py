@@ -11,8 +11,8 @@ matches leaves a task, and connected components over all stars make the classes
 
 With `per`, a line may differ from a longer one by its length / per edits where these are more. The edits
 leave a run of unchanged characters of a known length in such a line, wherever the edits are, and with it the
-least GRAM hash of a window of that run; the index has these, keyed by length class, each line being in the
-next class too where its edits reach it. Few lines with a key are compared as distinct pairs, many in blocks
+least GRAM hash of a window of that run; the index has these, keyed by length class and place, each line being in
+the next class and step of places too where its edits reach them. Few lines with a key are compared as distinct pairs, many in blocks
 as above, without pairs that a block has joined already. With `exact`, lines below `min_chars` with a word go
 where they equal an earlier line; without it they are never touched. The query and the pipeline use both.
 
@@ -24,6 +24,7 @@ one result: what the first of them keeps. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,39 +124,63 @@ def grown_from(edits: int, per: int) -> int:
     return (edits + 1) * per
 
 
+@functools.cache
+def _tiers(per: int, least: int) -> list[tuple[int, int]]:
+    """(first length class, window) of the tiers of lines of `least` characters and more.
+
+    A line of n characters changed by k = n // per edits keeps a run of (n - k) / (k + 1) characters, which
+    grows with k; a tier's window is the shortest such run of the lines that may meet others in its classes."""
+    out = []
+    for size in (least, 2 * least, 4 * least):
+        first = int(np.searchsorted(_CLASSES, size, "right"))
+        low = max(least, int(_CLASSES[first - 1]) * per // (per + 1))
+        n = np.arange(low, low + 2 * per)
+        out.append((first, int((-(-(n - n // per) // (n // per + 1))).min())))
+    return out
+
+
 def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the least hashes of the windows of each text of at least `least` characters.
+    """(line, key) of the least hashes of the windows of each text; texts of at least `least` characters, by length.
 
-    A line of n characters changed by k = n // per edits keeps a run of (n - k) / (k + 1) characters; the
-    window is the shortest such run of all lengths."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    A key holds the hash, the length class and the place in the line in steps of 8 times the most edits of the
+    class; what the edits may move into the next step has that step's key too."""
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
-    n = np.arange(least, max(least, per * per) + 2 * per)
-    run = int((-(-(n - n // per) // (n // per + 1))).min())
-    gram = min(GRAM, run)
-    if len(codes) < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = mix(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(0x1234567))
     up, _ = powers(len(codes) + 1)
-    prefix = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x1234567)) * up[: len(codes)], out=prefix[1:])
-    at = np.arange(len(codes) - gram + 1)
-    h = range_hash(prefix, at, at + gram)
-    # the first least hash of each window
-    low = window_min((h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), run - gram + 1)
-    low = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    line = np.repeat(np.arange(len(texts)), size)
-    inside = np.arange(len(low)) + run <= (begin + size)[line[: len(low)]]
-    low = low[inside]
-    low = low[np.concatenate([[True], low[1:] != low[:-1]])] if len(low) else low
-    line = line[low]
-    edits = size[line] // per
-    kind, next_kind = (np.searchsorted(_CLASSES, x, "right") for x in (size[line], size[line] + edits))
-    out_line, out_key = [], []
-    for c, some in ((kind, np.ones(len(low), bool)), (next_kind, next_kind != kind)):
-        some[1:] &= (h[low[1:]] != h[low[:-1]]) | (line[1:] != line[:-1])  # a line that repeats itself has one key
-        out_line.append(line[some])
-        out_key.append(mix(h[low[some]] + (c[some].astype(np.uint64) << np.uint64(40))) | np.uint64(1))
+    kind, next_kind = (np.searchsorted(_CLASSES, x, "right") for x in (size, size + size // per))
+    step = 8 * np.maximum(1, (_CLASSES - 1) // per)
+    tiers, out_line, out_key = _tiers(per, least), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for (first, run), end in zip(tiers, [*(x for x, _ in tiers[1:]), len(_CLASSES) + 1]):
+        owns, meets = (kind >= first) & (kind < end), (next_kind != kind) & (next_kind >= first) & (next_kind < end)
+        on = np.flatnonzero(owns | meets)  # lengths in a row
+        if not len(on):
+            continue
+        gram, origin, stop = min(GRAM, run), begin[on[0]], begin[on[-1]] + size[on[-1]]
+        if stop - origin < run:
+            continue
+        prefix = np.zeros(stop - origin + 1, np.uint64)
+        np.cumsum(codes[origin:stop] * up[: stop - origin], out=prefix[1:])
+        at = np.arange(stop - origin - gram + 1)
+        h = range_hash(prefix, at, at + gram)
+        # the first least hash of each window
+        low = window_min((h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), run - gram + 1)
+        low = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        inside = np.arange(len(low)) + run <= np.repeat(begin[on] + size[on] - origin, size[on])[: len(low)]
+        low = low[inside]
+        low = low[np.concatenate([[True], low[1:] != low[:-1]])] if len(low) else low
+        line = on[np.searchsorted(begin[on] - origin, low, "right") - 1]
+        place, h = low + origin - begin[line], h[low]
+        for classes, some in ((kind, owns), (next_kind, meets)):
+            some = np.flatnonzero(some[line])
+            x, c = line[some], classes[line[some]]
+            now, later = place[some] // step[c], (place[some] + size[x] // per) // step[c]
+            for p, k in ((now, slice(None)), (later, np.flatnonzero(later != now))):
+                key = mix(h[some][k] + ((c[k] << 40) + p[k]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                new = np.ones(len(key), bool)  # a line that repeats itself has one key
+                new[1:] = (key[1:] != key[:-1]) | (x[k][1:] != x[k][:-1])
+                out_line.append(x[k][new])
+                out_key.append(key[new] | np.uint64(1))
     return np.concatenate(out_line), np.concatenate(out_key).view(np.int64)
 
 
@@ -165,7 +190,7 @@ def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
     end = grown_from(edits, per) + edits if per and not windows else 1 << 40
 
     def keys(lines: set[str]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(lines)
+        texts = sorted(lines, key=len)
         h = np.array([_hash(x) for x in texts], np.int64)
         line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
         for i in range(0, len(key), 100_000):
