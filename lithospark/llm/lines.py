@@ -40,6 +40,8 @@ from lithospark.llm.repeats import row_id, window_min
 EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
 #: Lines of a window key in one block: all lines of a block, or of two, may be compared in one task.
 BLOCK = 250
+#: The same where lines are told apart by counts of their characters only.
+MARKED = 2000
 #: Characters to an edit; characters hashed together; most lines of a key that are compared as pairs.
 PER, GRAM, FEW = 64, 20, 8
 #: Characters of lines whose keys are made together, and of pairs whose distances are.
@@ -146,8 +148,9 @@ def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.
     class; what the edits may move into the next step has that step's key too."""
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
-    codes = mix(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(0x1234567))
-    up, _ = powers(len(codes) + 1)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    codes ^= codes >> np.uint64(31)
+    up, down = powers(len(codes) + 1)
     kind, next_kind = (np.searchsorted(_CLASSES, x, "right") for x in (size, size + size // per))
     step = 8 * np.maximum(1, (_CLASSES - 1) // per)
     tiers, out_line, out_key = _tiers(per, least), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -161,10 +164,10 @@ def window_keys(texts: list[str], per: int, least: int) -> tuple[np.ndarray, np.
             continue
         prefix = np.zeros(stop - origin + 1, np.uint64)
         np.cumsum(codes[origin:stop] * up[: stop - origin], out=prefix[1:])
-        at = np.arange(stop - origin - gram + 1)
-        h = range_hash(prefix, at, at + gram)
+        h = (prefix[gram:] - prefix[:-gram]) * down[: stop - origin - gram + 1]  # of each run of gram characters
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         # the first least hash of each window
-        low = window_min((h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), run - gram + 1)
+        low = window_min((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), run - gram + 1)
         low = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         inside = np.arange(len(low)) + run <= np.repeat(begin[on] + size[on] - origin, size[on])[: len(low)]
         low = low[inside]
@@ -341,14 +344,68 @@ def _marks(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Characters, counted by class, that one of two texts has more than the other."""
+    return np.abs(a - b).sum(1, dtype=np.int64)
+
+
+def _unpacked(marks: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(marks.to_pylist()), np.int16).reshape(-1, 32)
+
+
+def _likely_pairs(edits: int, per: int):
+    """The pairs whose lengths and characters allow for the edits of the shorter line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+            most = allowed(np.minimum(n, m), edits, per)
+            on = pa.array((np.abs(n - m) <= most) & (_gap(_unpacked(b.column("left")), _unpacked(b.column("right"))) <= 2 * most))
+            yield pa.RecordBatch.from_arrays([b.column("src").filter(on), b.column("dst").filter(on)], ["src", "dst"])
+
+    return run
+
+
+def _likely_rows(edits: int, per: int):
+    """(bucket, h): the lines of each bucket that some line of it, by lengths and characters, may be near to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start in whole_groups(batches, ["lead", "bucket", "lo", "hi"], 5000):
+            block, size, h, bucket = (t.column(c).to_numpy() for c in ("block", "n", "h", "bucket"))
+            lo, hi, marks = t.column("lo").to_numpy(), t.column("hi").to_numpy(), _unpacked(t.column("marks"))
+            hit = np.zeros(t.num_rows, bool)
+            for g in range(len(start) - 1):
+                s = np.arange(start[g], start[g + 1])
+                s = s[np.argsort(size[s], kind="stable")]
+                for i, j in _in_reach(size[s], edits, per):
+                    i, j = s[i], s[j]
+                    if lo[s[0]] != hi[s[0]]:
+                        i, j = i[on := block[i] != block[j]], j[on]
+                    if not (some := ~(hit[i] & hit[j])).all():
+                        i, j = i[some], j[some]
+                    near = _gap(marks[i], marks[j]) <= 2 * allowed(np.minimum(size[i], size[j]), edits, per)
+                    hit[i[near]] = hit[j[near]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[hit]), pa.array(h[hit])], ["bucket", "h"])
+
+    return run
+
+
+def _in_reach(length: np.ndarray, edits: int, per: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in ascending lengths, the longer of which is in reach of the shorter; some 100,000 at a time."""
+    more = np.searchsorted(length, length + allowed(length, edits, per), "right") - np.arange(1, len(length) + 1)
+    upto, at = np.cumsum(more), 0
+    while at < len(length):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 100_000, "right")))
+        i = np.repeat(np.arange(at, end), more[at:end])
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[at:end]) - more[at:end], more[at:end])
+        at = end
+
+
 def _near_pairs(edits: int, per: int):
     """The pairs within the edits of the shorter line."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
             most = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64), edits, per)
-            maybe = np.abs(_marks(left) - _marks(right)).sum(1, dtype=np.int64) <= 2 * most
-            on = [i for i in np.flatnonzero(maybe) if within(left[i], right[i], int(most[i]))]
+            on = [i for i in range(len(left)) if within(left[i], right[i], int(most[i]))]
             if on:
                 yield pa.RecordBatch.from_arrays([b.column("src").take(pa.array(on)), b.column("dst").take(pa.array(on))], ["src", "dst"])
 
@@ -365,17 +422,18 @@ def _near_blocks(edits: int, per: int):
             texts = [texts[i] for i in first]
             size, marks, label, n = np.array([len(x) for x in texts], np.int64), _marks(texts), np.arange(len(texts)), len(texts)
             seen, pending, src, dst = np.zeros(0, np.int64), [], [], []
+
+            def join(pending: list[np.ndarray], seen: np.ndarray) -> np.ndarray:
+                p = np.unique(np.concatenate(pending)) if pending else seen[:0]
+                for a, b in _joined(np.stack([p // n, p % n], 1), texts, edits, per, label):
+                    src.append(h[a])
+                    dst.append(h[b])
+                return np.union1d(seen if len(seen) < 1_000_000 else seen[:0], p)
+
             for g in range(len(start) - 1):
                 s = np.arange(start[g], start[g + 1])
                 s = s[np.argsort(size[of[s]], kind="stable")]
-                length = size[of[s]]
-                more = np.searchsorted(length, length + allowed(length, edits, per), "right") - np.arange(1, len(s) + 1)  # longer lines in reach
-                upto, at = np.cumsum(more), 0
-                while at < len(s):
-                    end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 100_000, "right")))
-                    i = np.repeat(np.arange(at, end), more[at:end])
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[at:end]) - more[at:end], more[at:end])
-                    at = end
+                for i, j in _in_reach(size[of[s]], edits, per):
                     if lo[s[0]] != hi[s[0]]:
                         i, j = i[on := block[s[i]] != block[s[j]]], j[on]
                     i, j = of[s[i]], of[s[j]]
@@ -386,12 +444,9 @@ def _near_blocks(edits: int, per: int):
                     i, j = code // n, code % n
                     near = np.abs(marks[i] - marks[j]).sum(1, dtype=np.int64) <= 2 * allowed(np.minimum(size[i], size[j]), edits, per)
                     pending.append(code[near])
-                    if sum(map(len, pending)) > 10_000 or g == len(start) - 2 and at >= len(s):
-                        p = np.unique(np.concatenate(pending))
-                        for a, b in _joined(np.stack([p // n, p % n], 1), texts, edits, per, label):
-                            src.append(h[a])
-                            dst.append(h[b])
-                        seen, pending = np.union1d(seen if len(seen) < 1_000_000 else seen[:0], p), []
+                    if sum(map(len, pending)) > 10_000:
+                        seen, pending = join(pending, seen), []
+            join(pending, seen)
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
@@ -488,7 +543,7 @@ def first_places(places: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _lines_of(docs: DataFrame, hot: DataFrame, met: DataFrame, min_chars: int) -> DataFrame:
-    """(h, line) of the lines in met, hot ones taken at their first place; only lines that a bitmap lets through are shuffled."""
+    """(h, line, n, marks) of the lines in met, their lengths and counts of characters; hot ones taken at their first place; only lines that a bitmap lets through are shuffled."""
     wanted = keep(met.select("h").distinct(), "wanted")
     bits, once = low_bits(wanted, "h"), {r["h"]: (r["first"]["rid"], r["first"]["line_no"]) for r in hot.select("h", "first").collect()}  # HOT rows at most
     size = np.int64(8 * len(bits))
@@ -505,11 +560,13 @@ def _lines_of(docs: DataFrame, hot: DataFrame, met: DataFrame, min_chars: int) -
                 h = np.array(h, np.int64)
                 bit = h % size
                 on = pa.array(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h).filter(on), pa.array(lines, pa.string()).filter(on)], ["h", "line"])
+                lines = [x for x, some in zip(lines, on.to_pylist()) if some]
+                marks = _marks(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(h).filter(on), pa.array(lines, pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array([x.tobytes() for x in marks], pa.binary())], ["h", "line", "n", "marks"])
 
-    lines = docs.where("text IS NOT NULL").select(row_id().alias("rid"), "text").mapInArrow(run, "h bigint, line string")
+    lines = docs.where("text IS NOT NULL").select(row_id().alias("rid"), "text").mapInArrow(run, "h bigint, line string, n bigint, marks binary")
     lines = lines.join(wanted.hint("merge"), ["h"], "left_semi")
-    return keep(lines.groupBy("h").agg(F.first("line").alias("line")), "lines")
+    return keep(lines.dropDuplicates(["h"]), "lines")
 
 
 def _blocks(met: DataFrame, lines: DataFrame, *lead: str) -> DataFrame:
@@ -538,17 +595,27 @@ def _met_segments(shared: DataFrame) -> DataFrame:
     return keep(shared.join(sizes.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET)).select("bucket", "h", "index", "blocks"), "met")
 
 
-def _met_windows(shared: DataFrame) -> DataFrame:
+def _met_windows(shared: DataFrame, block: int) -> DataFrame:
     """(bucket, h, index, size, lead, blocks): lines that share a window key with another line; keys of the same lines count once."""
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.min("h").alias("lead"))
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.min("h").alias("lead")).where("size > 1")
     sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"), F.min("lead").alias("lead"))
-    return keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "met")
+    return keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / block)), "met")
+
+
+def _likely(grown: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
+    """Of the keys that many lines share, the lines that may have a near one, told without their texts."""
+    marks = lines.select("h", "n", "marks")
+    rows = _blocks(grown.where(F.col("size") > FEW), marks, "lead").mapInArrow(_likely_rows(edits, per), "bucket bigint, h bigint")
+    return keep(rows.distinct().withColumn("index", F.lit(True)), "likely")
 
 
 def _pairs(met: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
-    """(src, dst): near lines among those of keys that few lines share."""
+    """(src, dst): near lines among those of keys that few lines share; texts of likely pairs only meet."""
     few = met.where(F.col("size") <= FEW).groupBy("bucket").agg(F.sort_array(F.collect_list("h")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("at", "src")).select("src", F.explode(F.slice("all", F.col("at") + 2, FEW)).alias("dst")).distinct()
+    left, right = lines.select(F.col("h").alias("src"), "n", F.col("marks").alias("left")), lines.select(F.col("h").alias("dst"), F.col("n").alias("m"), F.col("marks").alias("right"))
+    few = few.join(left.hint("merge"), "src").join(right.hint("merge"), "dst").select("src", "dst", "n", "m", "left", "right")
+    few = keep(few.mapInArrow(_likely_pairs(edits, per), "src bigint, dst bigint"), "few")
     left, right = lines.select(F.col("h").alias("src"), F.col("line").alias("left")), lines.select(F.col("h").alias("dst"), F.col("line").alias("right"))
     few = few.join(left.hint("merge"), "src").join(right.hint("merge"), "dst")
     return few.select("src", "dst", "left", "right").mapInArrow(_near_pairs(edits, per), "src bigint, dst bigint")
@@ -559,18 +626,21 @@ def line_classes(docs: DataFrame, hot: DataFrame, edits: int = EDITS, min_chars:
     met = _met_segments(_shared(docs, _key_rows(edits, min_chars, per)))
     clean(docs.sparkSession)
     if not per:
-        return components(_blocks(met, _lines_of(docs, hot, met, min_chars)).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "near")
+        return components(_blocks(met, _lines_of(docs, hot, met, min_chars).select("h", "line")).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "near")
     shared = _shared(docs, _key_rows(edits, min_chars, per, True))
     clean(docs.sparkSession)
-    grown = _met_windows(shared)
+    grown = _met_windows(shared, MARKED)
     discard(shared)
     lines = _lines_of(docs, hot, met.select("h").unionByName(grown.select("h")), min_chars)
+    likely = _likely(grown, lines, edits, per)
+    many = _met_windows(likely, BLOCK)
+    texts = lines.select("h", "line")
     edges = [
-        keep(_blocks(met, lines).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "segments"),
-        keep(_pairs(grown, lines, edits, per), "pairs"),
-        keep(_blocks(grown.where(F.col("size") > FEW), lines, "lead").mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint"), "blocks"),
+        keep(_blocks(met, texts).mapInArrow(_near_lines(edits), "src bigint, dst bigint"), "segments"),
+        keep(_pairs(grown.where(F.col("size") <= FEW).select("bucket", "h", "size").unionByName(many.select("bucket", "h", "size")), lines, edits, per), "pairs"),
+        keep(_blocks(many.where(F.col("size") > FEW), texts, "lead").mapInArrow(_near_blocks(edits, per), "src bigint, dst bigint"), "blocks"),
     ]
-    for x in (met, grown, lines):
+    for x in (met, grown, likely, many, lines):
         discard(x)
     clean(docs.sparkSession)
     return components(edges[0].unionByName(edges[1]).unionByName(edges[2]), "near")
