@@ -46,6 +46,8 @@ MARKED = 2000
 PER, GRAM, FEW = 64, 20, 8
 #: Characters of lines whose keys are made together, and of pairs whose distances are.
 CHARACTERS = 1 << 18
+#: Keys that a task packs at a time.
+PACKED = 1 << 19
 _CLASSES = np.unique((1.1 ** np.arange(1, 226)).astype(np.int64))
 _STRIP = " \t\n\r\x0b\x0c"
 
@@ -216,25 +218,62 @@ def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
     return run
 
 
+def _packed(run, ranges: int):
+    """(range, keys): the (key, h) rows that run makes, put together by ranges of buckets, as pairs of 64-bit numbers."""
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        to = ((rows[:, 0].view(np.uint64) >> np.uint64(1)) % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        rows, to = np.ascontiguousarray(rows[order]), to[order]
+        start = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(to[start]), pa.array([x.tobytes() for x in np.split(rows, start[1:])], pa.binary())], ["range", "keys"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in run(batches):
+            if b.num_rows:
+                held.append(np.stack([b.column("key").to_numpy(), b.column("h").to_numpy()], 1))
+                n += b.num_rows
+            if n >= PACKED:
+                yield send(held)
+                held, n = [], 0
+        if held:
+            yield send(held)
+
+    return pack
+
+
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (bucket, key, h): rows without repeats whose bucket (key without its lowest bit) has another line."""
-    key, h, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last bucket's rows, of one line; if met, its last row
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k, g = np.concatenate([key, b.column("key").to_numpy()]), np.concatenate([h, b.column("h").to_numpy()])
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])
-        k, g = k[new], g[new]
+    """From packed keys, range after range: rows whose bucket (key without its lowest bit) has another line.
+
+    Of a long range, the rows of buckets known to be shared leave at once, and may leave again if they come again;
+    what stays is a line a bucket."""
+    held, n, met, now = [], 0, np.zeros(0, np.int64), None
+
+    def settle() -> pa.RecordBatch:
+        nonlocal held, n, met
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        k, g = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])].T
         start = np.flatnonzero(np.concatenate([[True], (k[1:] >> 1) != (k[:-1] >> 1)]))
-        many = np.minimum.reduceat(g, start) != np.maximum.reduceat(g, start)
-        many[0] |= met
+        many = (np.minimum.reduceat(g, start) != np.maximum.reduceat(g, start)) | np.isin(k[start] >> 1, met)
+        met = np.union1d(met, k[start][many] >> 1)
         hit = np.repeat(many, np.diff(np.append(start, len(k))))
-        hit[0] &= not met  # sent already
-        met = bool(many[-1])
-        key, h = (k[-1:], g[-1:]) if met else (k[start[-1] :], g[start[-1] :])
-        on = np.flatnonzero(hit)
-        if len(on):
-            yield pa.RecordBatch.from_arrays([pa.array(k[on] >> 1), pa.array(g[on]), pa.array((k[on] & 1).astype(bool))], ["bucket", "h", "index"])
+        held, n = [np.stack([k[~hit], g[~hit]], 1)], 0
+        return pa.RecordBatch.from_arrays([pa.array(k[hit] >> 1), pa.array(g[hit]), pa.array((k[hit] & 1).astype(bool))], ["bucket", "h", "index"])
+
+    for b in batches:
+        for to, keys in zip(b.column("range").to_pylist(), b.column("keys").to_pylist()):
+            if to != now:
+                if n:
+                    yield settle()
+                held, n, met, now = [], 0, met[:0], to
+            held.append(np.frombuffer(keys, np.int64).reshape(-1, 2))
+            n += len(held[-1])
+            if n >= 2 * PACKED:
+                yield settle()
+    if n:
+        yield settle()
 
 
 def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
@@ -580,8 +619,10 @@ def _blocks(met: DataFrame, lines: DataFrame, *lead: str) -> DataFrame:
 
 
 def _shared(docs: DataFrame, run) -> DataFrame:
-    rows, bucket = docs.select("text").mapInArrow(run, "key bigint, h bigint"), F.shiftright("key", 1)
-    return keep(rows.repartition(partitions(docs.sparkSession), bucket).sortWithinPartitions("key", "h").mapInArrow(_shared_keys, "bucket bigint, h bigint, index boolean"), "shared")
+    """(bucket, h, index): the keys that run makes of texts, where lines share them. Keys are shuffled many to a row."""
+    n = partitions(docs.sparkSession)
+    rows = docs.select("text").mapInArrow(_packed(run, 8 * n), "range int, keys binary").repartition(n, "range").sortWithinPartitions("range")
+    return keep(rows.mapInArrow(_shared_keys, "bucket bigint, h bigint, index boolean").distinct(), "shared")
 
 
 def clean(spark) -> None:

@@ -261,14 +261,46 @@ def test_within():
         assert [lines.within(a, b, k) for k in (d - 1, d, d + 1)] == [False, True, True]
 
 
-def test_shared_keys_of_a_line_with_its_own_probe():
+@pytest.mark.parametrize("packed", [1, 2, 100])
+def test_shared_keys_of_a_line_with_its_own_probe(monkeypatch, packed):
     import pyarrow as pa
 
-    rows = sorted([(6, 1), (6, 2), (7, 2), (8, 3), (9, 3), (10, 4)])
-    for size in (1, 2, 6):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]]), pa.array([r[1] for r in rows[i : i + size]])], ["key", "h"]) for i in range(0, 6, size)]
-        got = [tuple(x.values()) for b in lines._shared_keys(iter(batches)) for x in b.to_pylist()]
-        assert got == [(3, 1, False), (3, 2, False), (3, 2, True)]
+    monkeypatch.setattr(lines, "PACKED", packed)
+    rows = [(6, 1), (6, 2), (7, 2), (8, 3), (9, 3), (10, 4), (6, 1), (12, 5), (13, 6), (12, 5)]
+
+    def keys(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("h")], ["key", "h"])
+
+    for size in (1, 2, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]]), pa.array([r[1] for r in rows[i : i + size]])], ["key", "h"]) for i in range(0, 10, size)]
+        for ranges in (1, 3):
+            sent = pa.Table.from_batches(list(lines._packed(keys, ranges)(iter(batches)))).sort_by("range").to_batches()
+            got = {tuple(x.values()) for b in lines._shared_keys(iter(sent)) for x in b.to_pylist()}
+            assert got == {(3, 1, False), (3, 2, False), (3, 2, True), (6, 5, False), (6, 6, True)}
+
+
+def test_window_keys_of_lines_within_the_edits():
+    """Lines within their edits share a key, wherever the edits are: spread evenly, all in one place, or at random."""
+    rng = random.Random(5)
+    for per in (12, 64):
+        least = lines.grown_from(lines.EDITS, per)
+        for trial in range(150):
+            a = "".join(rng.choice("abcd ") for _ in range(int(least * 2 ** rng.uniform(0, 3.5))))
+            k = len(a) // per
+            if trial % 3 == 0:
+                at = {int(j * len(a) / (k + 1)) for j in range(1, k + 1)}
+                b = "".join(("Z" if trial % 2 else "") if i in at else c for i, c in enumerate(a))
+            elif trial % 3 == 1:
+                b = a[: len(a) // 2] + "q" * k + a[len(a) // 2 :]
+            else:
+                at = set(rng.sample(range(len(a)), k))
+                b = "".join(rng.choice(["", "x", c + "y"]) if i in at else c for i, c in enumerate(a))
+            if min(len(a), len(b)) < least or not lines.within(a, b, min(len(a), len(b)) // per):
+                continue
+            texts = sorted([a, b], key=len)
+            line, key = lines.window_keys(texts, per, least)
+            assert set(key[line == 0]) & set(key[line == 1])
 
 
 def test_rules(spark, corpus):
