@@ -121,3 +121,20 @@ def test_windows_in_tiles(spark, monkeypatch):
             i, j = row["i"], row["j"]
             w = z[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1]
             assert np.isclose(row["mean"], np.nanmean(w)) and row["is_max"] == (z[i, j] >= np.nanmax(w)) and row["is_min"] == (z[i, j] <= np.nanmin(w))
+
+
+def test_places_of_large_keys(spark):
+    from lithospark.sources.tables import _xyz
+
+    keys = [0, 1, 1008, 14_999, 899_999, 5_399_999, 3_000_000_000]
+    got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", *_xyz(F.col("k"))).collect()
+    assert {r.k: (r.x, r.y, r.z) for r in got} == {k: ((k * k * 31 + k * 7919) % 1009, (k**3 * 17 + k * 104729) % 997, k % 50) for k in keys}
+
+
+def test_asked_places_of_large_keys(spark, tmp_path):
+    from lithospark.geometry_queries import _asked
+
+    keys = [3, 14_999, 899_999, 5_399_999]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.row_id: (r.x, r.y) for r in _asked(spark, str(tmp_path)).collect()}
+    assert got == {k: ((k * k * 31 + k * 7919) % 1009 / 10 + 0.03, (k**3 * 17 + k * 104729) % 157 / 10 + 0.01) for k in keys}
