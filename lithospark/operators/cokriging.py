@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithospark.operators.spatial import _gamma_np, nearest, within_distance
+from lithospark.operators.spatial import _gamma_np, nearest_lists
 from lithospark.spec import VariogramModel
 
 
@@ -31,23 +32,24 @@ def cokrige(
     collocated names a column of targets: the value there of one more variable, the last one of models; where it is
     null the variable is left out. Targets with fewer than n_min primary samples in the radius get no row.
 
-    Neighbors come from one bucket join for each variable; a target's few neighbors are one row, and rows with the
+    Neighbors come from nearest_lists for each variable; a target's few neighbors are one row, and rows with the
     same numbers of neighbors are solved together."""
     cols = [c for c in "xyz" if c in targets.columns]
-    zero = F.lit(0.0)
-    parts = []
+    zero, parts = F.lit(0.0), []
+
+    def sample(n: int, value: str) -> Callable[[Column, Column], Column]:
+        move = lambda e: [((e[c] - F.col(c)) if c in cols else zero).cast("double").alias(f"d{c}") for c in "xyz"]
+        return lambda e, place: F.struct(F.lit(n).alias("var"), (place + 1).cast("int").alias("rank"), *move(e), e[value].cast("double").alias("v"))
+
     for n, (table, value, most) in enumerate(samples):
-        pairs = nearest(within_distance(targets.select("row_id", *cols), table.where(F.col(value).isNotNull()).select("row_id", *cols, value), radius, axes), most, n_min if n == 0 else 0)
-        move = [((F.col(f"{c}_b") - F.col(f"{c}_a")) if c in cols else zero).cast("double").alias(f"d{c}") for c in "xyz"]
-        parts.append(pairs.select(F.col("row_id_a").alias("row_id"), F.struct(F.lit(n).alias("var"), "rank", *move, F.col(f"{value}_b").cast("double").alias("v")).alias("s")))
+        lists = nearest_lists(targets.select("row_id", *cols), table.where(F.col(value).isNotNull()).select("row_id", *cols, value), most, radius, axes)
+        parts.append(lists.where(F.size("near") >= (n_min if n == 0 else 0)).select("row_id", F.transform("near", sample(n, value)).alias("s")))
     n_vars = len(samples) + bool(collocated)
     if collocated:
         here = targets.where(F.col(collocated).isNotNull())
-        parts.append(here.select("row_id", F.struct(F.lit(len(samples)).alias("var"), F.lit(1).alias("rank"), *[zero.alias(f"d{c}") for c in "xyz"], F.col(collocated).cast("double").alias("v")).alias("s")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.groupBy("row_id").agg(F.sort_array(F.collect_list("s")).alias("s")).where(F.exists("s", lambda s: s["var"] == 0))
+        parts.append(here.select("row_id", F.array(F.struct(F.lit(len(samples)).alias("var"), F.lit(1).alias("rank"), *[zero.alias(f"d{c}") for c in "xyz"], F.col(collocated).cast("double").alias("v"))).alias("s")))
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = rows.groupBy("row_id").agg(F.sort_array(F.flatten(F.collect_list("s"))).alias("s")).where(F.exists("s", lambda s: s["var"] == 0))  # a list of each variable
     model = lambda i, j: models[min(i, j), max(i, j)]
 
     def covariance(i: int, j: int, d: np.ndarray) -> np.ndarray:

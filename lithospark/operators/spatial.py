@@ -56,6 +56,57 @@ def nearest(pairs: DataFrame, n: int, least: int = 0) -> DataFrame:
     return out.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_n") if least else out
 
 
+def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xy", skip_own: bool = False, chunk: int = 1000) -> DataFrame:
+    """a's columns and near: the n nearest rows of b closer than radius as an array of structs (d, row_id, b's other columns).
+
+    Ties go to the smaller row_id; skip_own leaves out rows of b with the target's row_id; targets without a row have none.
+    Buckets halve from the radius on: a target asks around its smallest bucket that holds n rows, as these show that its
+    n nearest are no farther than that bucket's diagonal; so what it meets grows with n and not with the density of b.
+    The rows around a bucket are lists of at most `chunk`, which targets meet one by one."""
+    keys, need, edge = [f"_{x}" for x in axes], n + skip_own, radius / math.sqrt(len(axes)) * (1 + 1e-9)
+    finite = reduce(lambda p, x: p & (F.abs(x) < math.inf), axes, F.lit(True))
+    a, b = a.where(finite), b.where(finite)
+    once = Window.partitionBy(*axes).orderBy("row_id")  # of rows at one place only those with the least row_ids can be among the nearest
+    b = b.withColumn("_r", F.row_number().over(once)).where(F.col("_r") <= need).drop("_r")
+    box = b.agg(F.count(F.lit(1)), *[F.max(x) - F.min(x) for x in axes]).first()  # one row
+    sides = [x or 0.0 for x in box[1:]]
+    filled = lambda k: box[0] / math.prod(max(1.0, side * 2.0**k / edge) for side in sides)  # rows in a bucket, if spread evenly
+    first = next((k for k in range(1, 40) if edge / 2**k < max(sides)), 1)
+    deep = next((k for k in range(first, 40) if filled(k) < need), first) + 2
+    levels = [0, *range(first, deep + 1)]
+    fine = lambda df: df.withColumns({f"_{x}": F.floor(F.col(x) / edge * 2.0**deep).cast("bigint") for x in axes})
+    coarse = {k: F.expr(f"shiftright({k}, {deep} - _level)") for k in keys}
+    at_levels = lambda df, which: df.withColumn("_level", F.explode(F.array(*map(F.lit, which))))
+
+    full = at_levels(fine(b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), levels[1:]).withColumns(coarse).groupBy("_level", *keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= need).drop("_n")
+    homes = fine(a).select(*keys).distinct()
+    own = at_levels(homes, levels[1:]).select("_level", *keys, *[F.col(k).alias(f"_f{k}") for k in keys]).withColumns(coarse)
+    served = own.join(full, ["_level", *keys], "left_semi").groupBy(*[F.col(f"_f{k}").alias(k) for k in keys]).agg(F.max("_level").alias("_level"))
+    settled = lambda df: df.join(served, keys, "left").withColumn("_level", F.coalesce("_level", F.lit(0))).withColumns(coarse)
+
+    reach = math.ceil(math.sqrt(len(axes)))
+    around = settled(homes).select("_level", *keys).distinct().select("_level", *[F.col(k).alias(f"_h{k}") for k in keys])
+    for k in keys:
+        around = around.withColumn(k, F.explode(F.sequence(F.col(f"_h{k}") - reach, F.col(f"_h{k}") + reach)))
+    home = ["_level", *[f"_h{k}" for k in keys]]
+    others = [c for c in b.columns if c != "row_id"]
+    met = at_levels(fine(b), levels).withColumns(coarse).join(around, ["_level", *keys]).select(*home, F.struct("row_id", *others).alias("_e"))
+    met = met.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(*home).orderBy("_e.row_id")) - 1) / chunk))
+    lists = met.groupBy(*home, "_chunk").agg(F.collect_list("_e").alias("_list")).drop("_chunk").withColumnsRenamed({f"_h{k}": k for k in keys})  # chunk at most
+
+    def with_distance(e: Column) -> Column:
+        d2 = reduce(lambda t, x: t + (F.col(x) - e[x]) * (F.col(x) - e[x]), axes, F.lit(0.0))
+        return F.struct(F.sqrt(d2).alias("d"), e["row_id"].alias("row_id"), *[e[c].alias(c) for c in others])
+
+    diagonal = F.when(F.col("_level") > 0, radius * (1 + 1e-6) / F.pow(F.lit(2.0), "_level")).otherwise(radius)
+    right = lambda e: (e["d"] < radius) & (e["d"] <= F.col("_most")) & ((e["row_id"] != F.col("row_id")) if skip_own else F.lit(True))
+    asked = settled(fine(a)).withColumn("_most", diagonal)
+    found = asked.join(lists.hint("merge"), ["_level", *keys])  # never a broadcast: the shuffle deals the targets out
+    found = found.withColumn("near", F.slice(F.sort_array(F.filter(F.transform("_list", with_distance), right)), 1, n)).where(F.size("near") > 0)
+    merged = found.groupBy("row_id").agg(*[F.first(c).alias(c) for c in a.columns if c != "row_id"], F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, n).alias("near"))  # n of each list
+    return merged.select(*a.columns, "near")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint, where the session names a folder for these, so that no round plans those before it again."""
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
@@ -244,12 +295,13 @@ def variogram_grid(grid: DataFrame, value: str, steps: list[tuple[int, int]], la
 
 
 def contact_analysis(df: DataFrame, domain: str, grade: str, d1: int, d2: int, lag: float, lags: int, axes: str = "xyz") -> DataFrame:
-    """side, lag, n, mean: mean grade by the distance to the nearest sample of the other domain; lag k holds ((k - 1) lag, k lag]."""
+    """side, lag, n, mean: mean grade by the distance to the nearest sample of the other domain; lag k holds ((k - 1) lag, k lag].
+
+    A sample at the place of one of the other domain has distance 0, which no lag holds."""
     reach = lag * lags * (1 + 1e-9)
-    one, two = df.where(F.col(domain) == d1), df.where(F.col(domain) == d2)
-    pairs = within_distance(one.select("row_id", *axes, grade), two.select("row_id", *axes, grade), reach, axes).where("d > 0")
-    ends = F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"row_id_{x}").alias("row_id"), F.col(f"{grade}_{x}").alias("g")) for n, x in enumerate("ab")])
-    near = pairs.select("d", F.explode(ends).alias("e")).groupBy("e.side", "e.row_id").agg(F.min("d").alias("d"), F.first("e.g").alias("g"))
+    one, two = (df.where(F.col(domain) == d).select("row_id", *axes, grade) for d in (d1, d2))
+    sides = [nearest_lists(a, b.select("row_id", *axes), 1, reach, axes).select(F.lit(n).alias("side"), F.col("near")[0]["d"].alias("d"), F.col(grade).alias("g")) for n, (a, b) in enumerate(((one, two), (two, one)))]
+    near = sides[0].unionByName(sides[1]).where((F.col("d") > 0) & (F.col("d") <= lag * lags))
     return near.groupBy("side", F.ceil(F.col("d") / lag).cast("int").alias("lag")).agg(F.count("g").alias("n"), F.avg("g").alias("mean"))
 
 
@@ -279,14 +331,18 @@ def krige(targets: DataFrame, samples: DataFrame, value: str, model: VariogramMo
     are those at the target. With also, other columns of the samples get estimates by the same weights, in the array `also`.
     With part, ordinary kriging of a part of the model: covariances with the target are those of part, weights add up to total.
 
-    Neighbors come from the bucket join; each target's few neighbors are one row, and rows with equally many
+    Neighbors come from nearest_lists; each target's few neighbors are one row, and rows with equally many
     are solved together."""
     cols, asked = [c for c in "xyz" if c in targets.columns], part or model
-    pairs = within_distance(targets.select("row_id", *cols, *drift), samples.where(F.col(value).isNotNull()).select("row_id", *cols, value, *drift, *also), radius, axes)
-    pairs = nearest(pairs.where("row_id_a <> row_id_b") if leave_out_self else pairs, n_max, n_min)
-    zero = F.lit(0.0)
-    of = lambda c, s: F.col(f"{c}_{s}") if c in cols else zero
-    rows = pairs.groupBy(F.col("row_id_a").alias("row_id")).agg(F.sort_array(F.collect_list(F.struct("rank", *[(of(c, "b") - of(c, "a")).alias(f"d{c}") for c in "xyz"], F.array(*[F.col(f"{c}_b").cast("double") for c in (value, *also)]).alias("v"), F.array(*[F.col(f"{c}_b").cast("double") for c in drift]).cast("array<double>").alias("f")))).alias("s"), F.first(F.array(*[F.col(f"{c}_a").cast("double") for c in drift]).cast("array<double>")).alias("at"))  # n_max at most
+    known = samples.where(F.col(value).isNotNull()).select("row_id", *cols, *dict.fromkeys((value, *drift, *also)))
+    lists = nearest_lists(targets.select("row_id", *cols, *drift), known, n_max, radius, axes, leave_out_self).where(F.size("near") >= n_min)
+    doubles = lambda values: F.array(*[v.cast("double") for v in values]).cast("array<double>")
+
+    def sample(e: Column, place: Column) -> Column:
+        move = [(e[c] - F.col(c) if c in cols else F.lit(0.0)).alias(f"d{c}") for c in "xyz"]
+        return F.struct((place + 1).alias("rank"), *move, doubles(e[c] for c in (value, *also)).alias("v"), doubles(e[c] for c in drift).alias("f"))
+
+    rows = lists.select("row_id", F.transform("near", sample).alias("s"), doubles(F.col(c) for c in drift).alias("at"))  # n_max at most
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

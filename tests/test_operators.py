@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lithospark.operators import frame, grids, spatial
@@ -138,3 +139,25 @@ def test_asked_places_of_large_keys(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
     got = {r.row_id: (r.x, r.y) for r in _asked(spark, str(tmp_path)).collect()}
     assert got == {k: ((k * k * 31 + k * 7919) % 1009 / 10 + 0.03, (k**3 * 17 + k * 104729) % 157 / 10 + 0.01) for k in keys}
+
+
+@pytest.mark.parametrize("axes, skip", [("xy", False), ("xy", True), ("xyz", False)])
+def test_nearest_lists_equal_all_pairs(spark, axes, skip):
+    rng = np.random.default_rng(5)
+    dense = np.concatenate([rng.integers(0, 400, (150, 3)) * 1.0, rng.normal(70, 0.5, (300, 3)), np.full((40, 3), 71.0)])  # a cluster, and many at one place
+    b = pd.DataFrame(dense, columns=list("xyz")).assign(row_id=range(len(dense)), v=1.0)
+    a = pd.DataFrame(np.concatenate([dense[::3], rng.integers(-50, 500, (60, 3))]), columns=list("xyz"))
+    a["row_id"] = [*range(0, len(dense), 3), *range(1000, 1060)]
+    got = spatial.nearest_lists(spark.createDataFrame(a), spark.createDataFrame(b), 5, 90.0, axes, skip, chunk=16).collect()
+    d = np.sqrt(sum((a[x].to_numpy()[:, None] - b[x].to_numpy()) ** 2 for x in axes))
+    if skip:
+        d[a.row_id.to_numpy()[:, None] == b.row_id.to_numpy()] = np.inf
+    want = {int(r): [int(k) for k in np.lexsort((b.row_id, row))[:5] if row[k] < 90] for r, row in zip(a.row_id, d)}
+    assert {r.row_id: [e.row_id for e in r.near] for r in got} == {r: k for r, k in want.items() if k}
+
+
+def test_contact_at_one_place_is_in_no_lag(spark):
+    rows = [(1, 0.0, 0.0, 0.0, 1, 5.0), (2, 0.0, 0.0, 0.0, 2, 7.0), (3, 3.0, 0.0, 0.0, 2, 9.0)]
+    df = spark.createDataFrame(rows, "row_id bigint, x double, y double, z double, dom int, v double")
+    got = spatial.contact_analysis(df, "dom", "v", 1, 2, 2.0, 5).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 1, 9.0)]  # the first two meet at distance 0
