@@ -185,8 +185,8 @@ def in_vertical_dumbbell(dx: Column, dy: Column, dz: Column, radius: float, heig
 
 
 def in_rotated_ellipsoid(dx: Column, dy: Column, dz: Column, shape: Structure) -> Column:
-    """The ellipsoid with the ranges and angles of a structure."""
-    return anisotropic_h(dx, dy, dz, shape) <= 1
+    """The ellipsoid with the ranges and angles of a structure; its border is inside, also where turning rounds up."""
+    return anisotropic_h(dx, dy, dz, shape) <= 1 + 1e-12
 
 
 def in_stratigraphic_annulus(dx: Column, dy: Column, k_a: Column, k_b: Column, inner: float, outer: float) -> Column:

@@ -161,3 +161,9 @@ def test_contact_at_one_place_is_in_no_lag(spark):
     df = spark.createDataFrame(rows, "row_id bigint, x double, y double, z double, dom int, v double")
     got = spatial.contact_analysis(df, "dom", "v", 1, 2, 2.0, 5).collect()
     assert [tuple(r) for r in got] == [(1, 2, 1, 9.0)]  # the first two meet at distance 0
+
+
+def test_border_of_a_turned_ellipsoid(spark):
+    d = spark.createDataFrame([(0.0, 24.0, 6.0), (0.0, -24.0, 6.0), (0.0, 24.1, 6.0)], "x double, y double, z double")
+    inside = spatial.in_rotated_ellipsoid(F.col("x"), F.col("y"), F.col("z"), Structure("spherical", 1.0, (40.0, 15.0, 20.0), 30.0))
+    assert [r[0] for r in d.select(inside).collect()] == [True, True, False]
