@@ -134,13 +134,18 @@ def drift(df: DataFrame, column: str, slices: int) -> DataFrame:
     return df.select(column, F.explode(F.array(*axes)).alias("s")).groupBy("s.axis", "s.slice").agg(F.avg(column).alias("mean"), F.count(column).alias("n"))
 
 
-def decluster(df: DataFrame, sizes: list[float], offsets: int = 5) -> DataFrame:
-    """row_id, size, weight: cell declustering weights of mean 1 for every cell size, averaged over grid offsets."""
-    cells = df.select("row_id", "x", "y", F.explode(F.array(*map(F.lit, sizes))).alias("size"), )
+def _in_cells(df: DataFrame, sizes: list[float], offsets: int) -> DataFrame:
+    """df for every size and offset, with its cell cx, cy."""
+    cells = df.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(offsets - 1))).alias("offset"))
     shift = F.col("offset") * F.col("size") / offsets
+    return cells.withColumns({"cx": F.floor((F.col("x") + shift) / F.col("size")), "cy": F.floor((F.col("y") + shift) / F.col("size"))})
+
+
+def decluster(df: DataFrame, sizes: list[float], offsets: int = 5) -> DataFrame:
+    """row_id, size, weight: cell declustering weights of mean 1 for every cell size, averaged over grid offsets."""
     keys = ["size", "offset", "cx", "cy"]
-    cells = cells.withColumns({"cx": F.floor((F.col("x") + shift) / F.col("size")), "cy": F.floor((F.col("y") + shift) / F.col("size"))})
+    cells = _in_cells(df.select("row_id", "x", "y"), sizes, offsets)
     counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     occupied = counts.groupBy("size", "offset").agg(F.count(F.lit(1)).alias("occupied"), F.sum("n").alias("rows"))
     weighted = cells.join(counts, keys).join(occupied, ["size", "offset"])
@@ -148,11 +153,17 @@ def decluster(df: DataFrame, sizes: list[float], offsets: int = 5) -> DataFrame:
 
 
 def decluster_best(df: DataFrame, column: str, sizes: list[float], offsets: int = 5, lowest: bool = True) -> DataFrame:
-    """row_id, size, weight of the cell size with the lowest (highest) weighted mean; ties to the smaller size."""
-    weights = decluster(df.where(F.col(column).isNotNull()), sizes, offsets)
-    means = weights.join(df.select("row_id", column), "row_id").groupBy("size").agg((F.sum(F.col(column) * F.col("weight")) / F.sum("weight")).alias("mean"))
-    best = means.orderBy(F.col("mean").asc() if lowest else F.col("mean").desc(), "size").limit(1).select("size")
-    return weights.join(F.broadcast(best), "size", "left_semi")  # one row
+    """row_id, size, weight of the cell size with the lowest (highest) weighted mean; ties to the smaller size.
+
+    The sizes are judged by counts and sums of cells; only the best one's weights are made row by row."""
+    known = df.where(F.col(column).isNotNull())
+    keys = ["size", "offset", "cx", "cy"]
+    counts = _in_cells(known.select("row_id", "x", "y", column), sizes, offsets).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("total"))
+    grids = counts.groupBy("size", "offset").agg(F.count(F.lit(1)).alias("occupied"), F.sum("n").alias("rows"), F.sum(F.col("total") / F.col("n")).alias("means"))
+    # a row's weight in a grid is rows / (n * occupied), so the cells' own means and counts give the sums of weights and weighted values
+    means = grids.groupBy("size").agg((F.sum(F.col("means") * F.col("rows") / F.col("occupied")) / F.sum("rows")).alias("mean"))
+    best = means.orderBy(F.col("mean").asc() if lowest else F.col("mean").desc(), "size").select("size").first()  # one number
+    return decluster(known, [best["size"]] if best else sizes[:1], offsets)
 
 
 def cdf_table(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:

@@ -167,3 +167,16 @@ def test_border_of_a_turned_ellipsoid(spark):
     d = spark.createDataFrame([(0.0, 24.0, 6.0), (0.0, -24.0, 6.0), (0.0, 24.1, 6.0)], "x double, y double, z double")
     inside = spatial.in_rotated_ellipsoid(F.col("x"), F.col("y"), F.col("z"), Structure("spherical", 1.0, (40.0, 15.0, 20.0), 30.0))
     assert [r[0] for r in d.select(inside).collect()] == [True, True, False]
+
+
+def test_best_cell_size_makes_no_weights_of_the_others(spark, monkeypatch):
+    rows = [(k, k * 7.0 % 40, k * 3.0 % 25, float(k * k % 11)) for k in range(60)]
+    df = spark.createDataFrame(rows, "row_id bigint, x double, y double, v double")
+    sizes, whole, asked = [4.0, 9.0, 15.0], frame.decluster(df, [4.0, 9.0, 15.0], 5).join(df, "row_id").toPandas(), []
+    means = whole.assign(vw=whole.v * whole.weight).groupby("size")[["vw", "weight"]].sum()
+    best = (means.vw / means.weight).idxmin()
+    made = frame.decluster
+    monkeypatch.setattr(frame, "decluster", lambda rows, sizes, offsets: asked.extend(sizes) or made(rows, sizes, offsets))
+    got = frame.decluster_best(df, "v", sizes, 5).toPandas().set_index("row_id").sort_index()
+    assert asked == [best] and set(got["size"]) == {best}
+    assert np.allclose(got.weight, whole[whole["size"] == best].set_index("row_id").sort_index().weight)
