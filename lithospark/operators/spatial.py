@@ -56,7 +56,7 @@ def nearest(pairs: DataFrame, n: int, least: int = 0) -> DataFrame:
     return out.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_n") if least else out
 
 
-def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xy", skip_own: bool = False, chunk: int = 1000) -> DataFrame:
+def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xy", skip_own: bool = False, chunk: int = 1000, crowded: int = 2000) -> DataFrame:
     """a's columns and near: the n nearest rows of b closer than radius as an array of structs (d, row_id, b's other columns).
 
     Ties go to the smaller row_id; skip_own leaves out rows of b with the target's row_id; targets without a row have none.
@@ -79,20 +79,23 @@ def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str =
     at_levels = lambda df, which: df.withColumn("_level", F.explode(F.array(*map(F.lit, which))))
 
     full = at_levels(fine(b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), levels[1:]).withColumns(coarse).groupBy("_level", *keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= need).drop("_n")
-    homes = fine(a).select(*keys).distinct()
+    homes = fine(a).groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
     own = at_levels(homes, levels[1:]).select("_level", *keys, *[F.col(k).alias(f"_f{k}") for k in keys]).withColumns(coarse)
     served = own.join(full, ["_level", *keys], "left_semi").groupBy(*[F.col(f"_f{k}").alias(k) for k in keys]).agg(F.max("_level").alias("_level"))
-    settled = lambda df: df.join(served, keys, "left").withColumn("_level", F.coalesce("_level", F.lit(0))).withColumns(coarse)
+    placed = homes.join(served, keys, "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
+    crowd = F.sum("_t").over(Window.partitionBy("_level", *coarse.values()))  # a bucket with many targets is dealt out with copies of its lists
+    placed = placed.select(*keys, "_level", F.ceil(crowd / crowded).cast("int").alias("_salts"))
 
     reach = math.ceil(math.sqrt(len(axes)))
-    around = settled(homes).select("_level", *keys).distinct().select("_level", *[F.col(k).alias(f"_h{k}") for k in keys])
+    around = placed.withColumns(coarse).select("_level", "_salts", *keys).distinct().select("_level", "_salts", *[F.col(k).alias(f"_h{k}") for k in keys])
     for k in keys:
         around = around.withColumn(k, F.explode(F.sequence(F.col(f"_h{k}") - reach, F.col(f"_h{k}") + reach)))
     home = ["_level", *[f"_h{k}" for k in keys]]
     others = [c for c in b.columns if c != "row_id"]
-    met = at_levels(fine(b), levels).withColumns(coarse).join(around, ["_level", *keys]).select(*home, F.struct("row_id", *others).alias("_e"))
+    met = at_levels(fine(b), levels).withColumns(coarse).join(around, ["_level", *keys]).select(*home, "_salts", F.struct("row_id", *others).alias("_e"))
     met = met.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(*home).orderBy("_e.row_id")) - 1) / chunk))
-    lists = met.groupBy(*home, "_chunk").agg(F.collect_list("_e").alias("_list")).drop("_chunk").withColumnsRenamed({f"_h{k}": k for k in keys})  # chunk at most
+    lists = met.groupBy(*home, "_salts", "_chunk").agg(F.collect_list("_e").alias("_list")).withColumnsRenamed({f"_h{k}": k for k in keys})  # chunk at most
+    lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_chunk", "_salts")
 
     def with_distance(e: Column) -> Column:
         d2 = reduce(lambda t, x: t + (F.col(x) - e[x]) * (F.col(x) - e[x]), axes, F.lit(0.0))
@@ -100,8 +103,8 @@ def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str =
 
     diagonal = F.when(F.col("_level") > 0, radius * (1 + 1e-6) / F.pow(F.lit(2.0), "_level")).otherwise(radius)
     right = lambda e: (e["d"] < radius) & (e["d"] <= F.col("_most")) & ((e["row_id"] != F.col("row_id")) if skip_own else F.lit(True))
-    asked = settled(fine(a)).withColumn("_most", diagonal)
-    found = asked.join(lists.hint("merge"), ["_level", *keys])  # never a broadcast: the shuffle deals the targets out
+    asked = fine(a).join(placed, keys).withColumns(coarse).withColumns({"_most": diagonal, "_salt": F.pmod(F.xxhash64("row_id"), F.col("_salts")).cast("int")})
+    found = asked.join(lists.hint("merge"), ["_level", *keys, "_salt"])  # never a broadcast: the shuffle deals the targets out
     found = found.withColumn("near", F.slice(F.sort_array(F.filter(F.transform("_list", with_distance), right)), 1, n)).where(F.size("near") > 0)
     merged = found.groupBy("row_id").agg(*[F.first(c).alias(c) for c in a.columns if c != "row_id"], F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, n).alias("near"))  # n of each list
     return merged.select(*a.columns, "near")

@@ -148,7 +148,7 @@ def test_nearest_lists_equal_all_pairs(spark, axes, skip):
     b = pd.DataFrame(dense, columns=list("xyz")).assign(row_id=range(len(dense)), v=1.0)
     a = pd.DataFrame(np.concatenate([dense[::3], rng.integers(-50, 500, (60, 3))]), columns=list("xyz"))
     a["row_id"] = [*range(0, len(dense), 3), *range(1000, 1060)]
-    got = spatial.nearest_lists(spark.createDataFrame(a), spark.createDataFrame(b), 5, 90.0, axes, skip, chunk=16).collect()
+    got = spatial.nearest_lists(spark.createDataFrame(a), spark.createDataFrame(b), 5, 90.0, axes, skip, chunk=16, crowded=7).collect()
     d = np.sqrt(sum((a[x].to_numpy()[:, None] - b[x].to_numpy()) ** 2 for x in axes))
     if skip:
         d[a.row_id.to_numpy()[:, None] == b.row_id.to_numpy()] = np.inf
