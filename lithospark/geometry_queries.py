@@ -138,8 +138,7 @@ l AS (SELECT a, list({{'b': b, 'x': x, 'y': y}} ORDER BY d, b) AS l FROM n WHERE
 k AS (SELECT a, list_reduce(list_transform(l, lambda e: [e]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda f: sqrt((f.x - e[1].x) ** 2 + (f.y - e[1].y) ** 2) < 20)) = 0 THEN list_concat(acc, e) ELSE acc END) AS k FROM l)
 SELECT a AS row_id_a, unnest(list_transform(k, lambda e: e.b)) AS row_id_b FROM k""")
 def j7(s, d):
-    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d), 60.0, "xy")
-    return spatial.thin_min_distance(pairs, 20.0, "xy").select("row_id_a", "row_id_b")
+    return spatial.thin_neighbors(T.few_points(s, d), T.points(s, d), 60.0, 20.0, "xy")
 
 
 # --- variogram maps by transforms, against sums over all pairs of cells

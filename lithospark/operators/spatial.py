@@ -165,6 +165,35 @@ def thin_min_distance(pairs: DataFrame, least: float, axes: str = "xyz") -> Data
     return pairs.join(gone, ["row_id_a", "row_id_b"], "left_anti").select(*pairs.columns)
 
 
+def thin_neighbors(targets: DataFrame, samples: DataFrame, radius: float, least: float, axes: str = "xy") -> DataFrame:
+    """row_id_a, row_id_b: what thin_min_distance keeps of the samples closer than radius to each target, without making the pairs.
+
+    least is above 0, so of samples at one place only that with the least row_id can be kept, and the others go first.
+    Targets meet in tiles of edge radius; a group holds its tile's targets and the places of the samples in the tiles around."""
+    keys = [f"_{x}" for x in axes]
+    finite = reduce(lambda p, x: p & (F.abs(x) < math.inf), axes, F.lit(True))
+    places = samples.where(finite).groupBy(*axes).agg(F.min("row_id").alias("row_id")).select("row_id", *axes)
+    tiled = targets.where(finite).select("row_id", *axes).withColumns({f"_{x}": _bucket(x, radius) for x in axes})
+    around = reduce(lambda df, x: df.withColumn(f"_{x}", F.explode(F.sequence(_bucket(x, radius) - 1, _bucket(x, radius) + 1))), axes, places)
+
+    def walk(asked: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("row_id")  # so that a stable sort by distance has ties by row_id
+        ids, at = known.column("row_id").to_numpy(), [known.column(x).to_numpy() for x in axes]
+        far = lambda rows, place: np.sqrt(sum((a[rows] - p) ** 2 for a, p in zip(at, place)))
+        one, two = [], []
+        for target, *place in zip(asked.column("row_id").to_pylist(), *(asked.column(x).to_pylist() for x in axes)):
+            d = far(slice(None), place)
+            left = np.flatnonzero(d < radius)
+            left = left[np.argsort(d[left], kind="stable")]
+            while len(left):
+                one.append(target)
+                two.append(ids[left[0]])
+                left = left[far(left, [a[left[0]] for a in at]) >= least]
+        return pa.table({"row_id_a": pa.array(one, pa.int64()), "row_id_b": pa.array(two, pa.int64())})
+
+    return tiled.groupBy(*keys).cogroup(around.groupBy(*keys)).applyInArrow(walk, "row_id_a bigint, row_id_b bigint")
+
+
 def in_ellipsoid(dx: Column, dy: Column, dz: Column, ranges: tuple[float, float, float]) -> Column:
     return (dx / ranges[0]) ** 2 + (dy / ranges[1]) ** 2 + (dz / ranges[2]) ** 2 <= 1
 

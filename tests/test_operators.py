@@ -180,3 +180,12 @@ def test_best_cell_size_makes_no_weights_of_the_others(spark, monkeypatch):
     got = frame.decluster_best(df, "v", sizes, 5).toPandas().set_index("row_id").sort_index()
     assert asked == [best] and set(got["size"]) == {best}
     assert np.allclose(got.weight, whole[whole["size"] == best].set_index("row_id").sort_index().weight)
+
+
+def test_thinning_without_pairs_equals_the_walk_over_pairs(spark):
+    rng = np.random.default_rng(2)
+    samples = spark.createDataFrame(pd.DataFrame(rng.integers(-40, 40, (200, 2)) * 1.0, columns=["x", "y"]).assign(row_id=range(200)).iloc[::-1])
+    targets = spark.createDataFrame(pd.DataFrame(rng.integers(-60, 60, (15, 2)) * 1.0, columns=["x", "y"]).assign(row_id=range(15)))
+    got = spatial.thin_neighbors(targets, samples, 25.0, 8.0, "xy").collect()
+    want = spatial.thin_min_distance(spatial.within_distance(targets, samples, 25.0, "xy"), 8.0, "xy").select("row_id_a", "row_id_b").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
