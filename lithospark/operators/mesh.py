@@ -167,12 +167,29 @@ def project(grid: DataFrame, value: str, size: tuple[int, int], into: tuple[int,
 
 
 def varmap(grid: DataFrame, value: str, hi: int, hj: int) -> DataFrame:
-    """di, dj, n, gamma for all offsets up to hi, hj cells: one join on the shifted cell."""
-    rows = grid.where(F.col(value).isNotNull()).select("i", "j", F.col(value).alias("u"))
-    sent = rows.withColumn("di", F.explode(F.sequence(F.lit(-hi), F.lit(hi)))).withColumn("dj", F.explode(F.sequence(F.lit(-hj), F.lit(hj))))
-    sent = sent.select((F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), F.col("u").alias("w"), "di", "dj")
-    d = F.col("u") - F.col("w")
-    return sent.join(rows, ["i", "j"]).groupBy("di", "dj").agg(F.count(F.lit(1)).alias("n"), F.avg(d * d / 2).alias("gamma"))
+    """di, dj, n, gamma for all offsets up to hi, hj cells of a grid with one row a cell.
+
+    Each cell goes once to its tile and to those it is in the halo of; a tile sums all offsets of its own cells."""
+    edge = max(256, 4 * max(hi, hj))
+    rows = grid.where(F.col(value).isNotNull()).select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col(value).cast("double").alias("u"))
+    tiles = lambda c, h: F.explode(F.sequence(F.floor((F.col(c) - h) / edge), F.floor((F.col(c) + h) / edge)))
+    tiled = rows.withColumn("_ti", tiles("i", hi)).withColumn("_tj", tiles("j", hj))
+
+    def sums(key: tuple[pa.Scalar, ...], cells: pa.Table) -> pa.Table:
+        at = tuple(cells.column(c).to_numpy() - k.as_py() * edge + h for c, k, h in zip("ij", key, (hi, hj)))
+        u, known = np.zeros((edge + 2 * hi, edge + 2 * hj)), np.zeros((edge + 2 * hi, edge + 2 * hj), bool)
+        u[at], known[at] = cells.column("u").to_numpy(), True
+        own, out = np.s_[hi : hi + edge, hj : hj + edge], []
+        for di in range(-hi, hi + 1):
+            for dj in range(-hj, hj + 1):
+                there = np.s_[hi + di : hi + di + edge, hj + dj : hj + dj + edge]
+                d = (u[own] - u[there])[known[own] & known[there]]
+                if len(d):
+                    out.append((di, dj, len(d), float((d * d / 2).sum())))
+        return pa.table(list(zip(*out)) or [[]] * 4, schema=pa.schema([("di", pa.int32()), ("dj", pa.int32()), ("n", pa.int64()), ("s", pa.float64())]))
+
+    part = tiled.groupBy("_ti", "_tj").applyInArrow(sums, "di int, dj int, n bigint, s double")
+    return part.groupBy("di", "dj").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("di", "dj", "n", (F.col("s") / F.col("n")).alias("gamma"))
 
 
 def singular_values(df: DataFrame, vector: str, width: int) -> DataFrame:

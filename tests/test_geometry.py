@@ -208,3 +208,18 @@ def test_imputation_equals_the_walk_and_rejects(spark):
     assert bad.columns == ["real", "from", "to", "up"]
     with pytest.raises(Exception, match="no fallback"):
         imputation.impute_categories(seg.where("row_id < 25").withColumn("cat", F.lit(None).cast("int")), spark.createDataFrame(ftm, "from int, to int, n bigint"), spark.createDataFrame(thick, "cat int, value double, cum double"), 1, 5).count()
+
+
+def test_variogram_maps_send_cells_once_and_cross_tiles(spark):
+    rng = np.random.default_rng(3)
+    cells = [(int(i), int(j), float(rng.integers(0, 9))) for i in range(250, 262) for j in range(-5, 9) if rng.random() < 0.7]
+    df = spark.createDataFrame(cells, "i int, j int, v double")
+    plan = mesh.varmap(df, "v", 3, 2)
+    got = {(r.di, r.dj): (r.n, round(r.gamma, 9)) for r in plan.collect()}
+    value, want = {(i, j): v for i, j, v in cells}, {}
+    for a in range(-3, 4):
+        for b in range(-2, 3):
+            halves = [(v - value[i + a, j + b]) ** 2 / 2 for (i, j), v in value.items() if (i + a, j + b) in value]
+            want[a, b] = (len(halves), round(sum(halves) / len(halves), 9))
+    assert got == want
+    assert "Join" not in plan._jdf.queryExecution().toString()  # a row for each cell and tile, none for each offset
