@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lithospark.more_queries import QUERIES, SQL
-from lithospark.operators import cokriging, filters, fitting, forests, grids, horizons, imputation, markov, mesh, sections, spatial, wavelets
+from lithospark.operators import cokriging, filters, fitting, forests, frame, grids, horizons, imputation, markov, mesh, sections, spatial, wavelets
 from lithospark.queries import _GRID, _PS, _PT, _SEG, _SEQ, _exp, _ftm, _horizons, query, rounded
 from lithospark.sources import tables as T
 from lithospark.spec import GridSpec, Structure, VariogramModel
@@ -168,7 +168,7 @@ def _filled(s, d, realizations):
     known = seg.where("cat IS NOT NULL")
     ftm = markov.transition_counts(seg)
     q = [k / 10 for k in range(11)]
-    thick = known.where("z1 > z0").groupBy("cat").agg(F.percentile(F.col("z1") - F.col("z0"), F.array(*map(F.lit, q))).alias("q"))
+    thick = frame.percentiles_by(known.where("z1 > z0").withColumn("length", F.col("z1") - F.col("z0")), "cat", "length", q)
     thick = thick.select("cat", F.posexplode("q").alias("k", "value")).select("cat", F.greatest("value", F.lit(1e-3)).alias("value"), (F.col("k") / 10).alias("cum"))
     lines = seg.select("row_id", "hole", (F.col("hole") % 100 + F.col("z0") / 1000).alias("x0"), (F.col("hole") % 77).cast("double").alias("y0"), "z0", (F.col("hole") % 100 + F.col("z1") / 1000).alias("x1"), (F.col("hole") % 77).cast("double").alias("y1"), "z1", "cat")
     return imputation.impute_categories(lines, ftm, thick, realizations, 7, markov.proportion_by_length(seg), ftm, 0.0, tolerance=1e-3)

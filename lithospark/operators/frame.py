@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +183,26 @@ def cdf_table(df: DataFrame, column: str, weight: str | None = None) -> DataFram
     return out.select("value", "w", ((F.col("before") + F.col("_c") - F.col("w") / 2) / F.col("all")).alias("p"))
 
 
+def percentiles_by(df: DataFrame, by: str, column: str, shares: list[float]) -> DataFrame:
+    """by, q: for each value of by the percentiles of column at these shares, linear between two of its values, as F.percentile has them.
+
+    Places are counted in two levels, within ranges of values and over the ranges before, so no task holds all values of
+    a group. Lost values, and rows without by, take no part."""
+    values = df.where(F.col(column).isNotNull() & F.col(by).isNotNull()).groupBy(by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = values.withColumn("_p", range_bucket(values, [by, "_v"]))
+    w = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_t").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy(by, "_p").agg(F.sum("_n").alias("_t")).select(by, "_p", before.alias("_before"), (F.sum("_t").over(w) - 1).alias("_most"))
+    local = ranged.withColumn("_c", F.sum("_n").over(Window.partitionBy(by, "_p").orderBy("_v"))).join(F.broadcast(totals), [by, "_p"])  # a row a range and group
+    last = F.col("_before") + F.col("_c") - 1
+    at = [F.col("_most") * F.lit(float(p)) for p in shares]
+    holds = lambda place: (place <= last) & (place > last - F.col("_n"))
+    ends = [holds(f(p)) for p in at for f in (F.floor, F.ceil)]
+    found = local.where(reduce(Column.__or__, ends)).groupBy(by, "_most").agg(*[F.max(F.when(e, F.col("_v"))).alias(f"_{n}") for n, e in enumerate(ends)])
+    between = lambda p, a, b: F.when((F.ceil(p) == F.floor(p)) | (a == b), a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
+    return found.select(by, F.array(*[between(p, F.col(f"_{2 * n}"), F.col(f"_{2 * n + 1}")) for n, p in enumerate(at)]).alias("q"))
+
+
 #: Coefficients of Acklam's rational approximation of the inverse normal (fixed values).
 _A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
 _B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)

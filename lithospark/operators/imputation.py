@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +51,8 @@ def impute_categories(
     lie on the interval's line. Lost intervals in a row go on from each other.
     forbid(from, to, n): a realization that has transitions with a probability above threshold that are not in it is drawn
     again, in rounds of all that were rejected; an error after most_attempts. Numbers depend on seed, realization, attempt
-    and row only. Runs of lost intervals are drawn independently of each other, so a long hole is many groups.
+    and row only. Runs of lost intervals are drawn independently of each other and are not split over tasks; a task has many
+    of them, one after another.
     A category without thickness or transitions, or no fallback where it is needed, is an error."""
     spark = segments.sparkSession
     chain: dict = {}
@@ -68,31 +69,35 @@ def impute_categories(
         p = np.array([r["p"] for r in rows], float)
         first = np.array([r["cat"] for r in rows]), np.cumsum(p) / p.sum()
     schema = "real int, row_id bigint, piece int, hole bigint, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, cat int, imputed int"
-
-    def fill(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        g = g.sort_values(["base_z", "row_id"])
-        last = g["before"].iloc[0]
-        last = None if pd.isna(last) else int(last)
-        for r in g.itertuples():
-            u = draws(seed, int(r.real), int(r.attempt), int(r.row_id))
-            a, b = np.array([r.base_x, r.base_y, r.base_z]), np.array([r.top_x, r.top_y, r.top_z])
-            at, left, piece = a, b[2] - a[2], 0
-            while True:
-                if last is not None and last not in chain:
-                    raise ValueError(f"no transition from category {last}")
-                if last is None and first is None:
-                    raise ValueError(f"nothing is known below interval {r.row_id} and there is no fallback")
-                last = _pick(*(chain[last] if last is not None else first), next(u))
-                thick = float(np.interp(next(u), *curves[last])) if last in curves else np.nan
-                if not thick > 0 and left > 0:
-                    raise ValueError(f"no thickness above 0 for category {last}")
-                end = b if thick > left or left <= 0 else a + (b - a) * ((at[2] + thick - a[2]) / (b[2] - a[2]))
-                out.append((r.real, r.row_id, piece, r.hole, *at, *end, last, 1))
-                if thick > left or left <= 0:
-                    break
-                at, left, piece = end, left - thick, piece + 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+    names, types = zip(*[(c.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in schema.split(", ")])
+    asked = ["real", "attempt", "hole", "run", "row_id", "before", *[f"{e}_{c}" for e in ("base", "top") for c in "xyz"]]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = last = None
+        for b in batches:
+            out = []
+            for real, attempt, hole, number, row_id, before, *ends in zip(*(b.column(c).to_pylist() for c in asked)):
+                if run != (real, hole, number):  # a run goes on over batches
+                    run, last = (real, hole, number), before
+                u = draws(seed, real, attempt, row_id)
+                a, top = np.array(ends[:3]), np.array(ends[3:])
+                at, left, piece = a, top[2] - a[2], 0
+                while True:
+                    if last is not None and last not in chain:
+                        raise ValueError(f"no transition from category {last}")
+                    if last is None and first is None:
+                        raise ValueError(f"nothing is known below interval {row_id} and there is no fallback")
+                    last = _pick(*(chain[last] if last is not None else first), next(u))
+                    thick = float(np.interp(next(u), *curves[last])) if last in curves else np.nan
+                    if not thick > 0 and left > 0:
+                        raise ValueError(f"no thickness above 0 for category {last}")
+                    end = top if thick > left or left <= 0 else a + (top - a) * ((at[2] + thick - a[2]) / (top[2] - a[2]))
+                    out.append((real, row_id, piece, hole, *at.tolist(), *end.tolist(), last, 1))
+                    if thick > left or left <= 0:
+                        break
+                    at, left, piece = end, left - thick, piece + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
 
     runs = _runs(segments, tolerance)
     known = segments.where("cat IS NOT NULL")
@@ -102,7 +107,8 @@ def impute_categories(
         if attempt == most_attempts:
             raise RuntimeError(f"realizations {reals} still have forbidden transitions after {most_attempts} attempts")
         numbers = F.array(*[F.lit(r) for r in reals])
-        drawn = lost.withColumns({"real": F.explode(numbers), "attempt": F.lit(attempt)}).groupBy("real", "hole", "run").applyInPandas(fill, schema)
+        each = lost.withColumns({"real": F.explode(numbers), "attempt": F.lit(attempt)}).select(asked)
+        drawn = each.repartition("real", "hole", "run").sortWithinPartitions("real", "hole", "run", "base_z", "row_id").mapInArrow(fill, schema)
         same = known.select(F.explode(numbers).alias("real"), "row_id", F.lit(0).alias("piece"), F.col("hole").cast("bigint").alias("hole"), *[F.col(c).cast("double").alias(c) for c in ENDS], F.col("cat").cast("int").alias("cat"), F.lit(0).alias("imputed"))
         done = drawn.unionByName(same)
         if forbid is None:

@@ -223,3 +223,35 @@ def test_variogram_maps_send_cells_once_and_cross_tiles(spark):
             want[a, b] = (len(halves), round(sum(halves) / len(halves), 9))
     assert got == want
     assert "Join" not in plan._jdf.queryExecution().toString()  # a row for each cell and tile, none for each offset
+
+
+def test_runs_of_lost_intervals_cross_batches(spark):
+    """Many short runs share a task, and a run goes on where a batch ends."""
+    types = "row_id bigint, hole bigint, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, cat int"
+    rows = [{"row_id": 40 * h + n, "hole": h, "x0": 0.0, "y0": 0.0, "z0": float(n), "x1": 0.0, "y1": 0.0, "z1": n + 1.0, "cat": None if n % 13 else 1 + h % 2} for h in range(5) for n in range(40)]
+    seg = spark.createDataFrame([tuple(r.values()) for r in rows], types)
+    ftm, share = [(1, 2, 3), (1, 1, 1), (2, 1, 2)], [(1, 0.4), (2, 0.6)]
+    thick = [(c, v, p) for c in (1, 2) for p, v in ((0.0, 0.2 * c), (1.0, 0.7 * c))]
+    curves = {c: np.array([(p, v) for k, v, p in thick if k == c]).T for c in (1, 2)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = imputation.impute_categories(seg, spark.createDataFrame(ftm, "from int, to int, n bigint"), spark.createDataFrame(thick, "cat int, value double, cum double"), 2, 5, spark.createDataFrame(share, "cat int, p double"))
+        out = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(x for real in (1, 2) for x in fill_by_walk(rows, {1: ([1, 2], [1, 3]), 2: ([1], [2])}, curves, ([1, 2], [0.4, 0.6]), 5, real, 0))
+    got = sorted((r["real"], r["row_id"], r["piece"], r["cat"], r["imputed"], round(r["z0"], 9), round(r["z1"], 9)) for r in out)
+    assert got == want
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()  # no group, and so no frame, for each run
+
+
+def test_percentiles_in_ranges(spark):
+    from lithospark.operators import frame
+
+    rng = np.random.default_rng(4)
+    rows = [(int(c), float(v)) for c in (1, 2, 3) for v in (rng.integers(0, 40, 301) if c < 3 else [2.5])] + [(1, None), (None, 4.0)]
+    df, q = spark.createDataFrame(rows, "cat int, v double"), [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    plan = frame.percentiles_by(df, "cat", "v", q)
+    want = {r[0]: r[1] for r in df.where("cat IS NOT NULL").groupBy("cat").agg(F.percentile("v", F.array(*map(F.lit, q)))).collect()}
+    assert {r["cat"]: r["q"] for r in plan.collect()} == want
+    assert "percentile" not in plan._jdf.queryExecution().optimizedPlan().toString()  # no task holds all values of a category
