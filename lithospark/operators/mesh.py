@@ -21,15 +21,25 @@ def vertices(horizons: DataFrame, layers: int) -> DataFrame:
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
 
 
+#: Cells of a tile's edge.
+TILE = 64
+
+
 def cells(points: DataFrame) -> DataFrame:
     """i, j, k, v0 to v7 (structs x, y, z) of the cells all of whose vertices are there.
 
-    Each vertex goes to the at most eight cells around it, and a cell gathers its eight."""
+    Each vertex is sent once, and at borders also to the tiles before; a cell gathers its eight in its tile."""
+    tiles = points.select("i", "j", "k", "x", "y", "z")
+    for c in "ijk":
+        tiles = tiles.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / TILE), F.floor(F.col(c) / TILE)))))
+    tile = ["_i", "_j", "_k"]
     corners = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for n, (a, b, c) in enumerate(CORNERS)])
-    sent = points.select("i", "j", "k", F.struct("x", "y", "z").alias("v"), F.explode(corners).alias("o"))
-    sent = sent.select((F.col("i") - F.col("o.a")).alias("i"), (F.col("j") - F.col("o.b")).alias("j"), (F.col("k") - F.col("o.c")).alias("k"), "v", "o.n")
-    out = sent.groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("n") == n, F.col("v"))).alias(f"v{n}") for n in range(8)])
-    return out.where("_n = 8").drop("_n")
+    sent = tiles.repartition(*tile).withColumn("o", F.explode(corners))
+    sent = sent.select(*tile, *[(F.col(c) - F.col(f"o.{o}")).alias(c) for c, o in zip("ijk", "abc")], "x", "y", "z", "o.n")
+    sent = sent.where(" AND ".join(f"floor({c} / {TILE}) = _{c}" for c in "ijk"))
+    one = {f"{c}{n}": F.max(F.when(F.col("n") == n, F.col(c))).alias(f"_{c}{n}") for n in range(8) for c in "xyz"}
+    out = sent.groupBy(*tile, "i", "j", "k").agg(F.count(F.lit(1)).alias("_n"), *one.values()).where("_n = 8")
+    return out.select("i", "j", "k", *[F.struct(*[F.col(f"_{c}{n}").alias(c) for c in "xyz"]).alias(f"v{n}") for n in range(8)])
 
 
 def vertex_ids(mesh: DataFrame, ni: int, nj: int) -> DataFrame:

@@ -86,3 +86,20 @@ def test_row_numbers_and_cumulative_tables_in_ranges(spark):
     assert back == 0
     table = frame.cdf_table(df, "v").orderBy("value").toPandas()
     assert len(table) == 1000 and np.allclose(table["p"], (np.arange(1000) + 0.5) / 1000)
+
+
+def test_cells_across_tiles_send_vertices_about_once(spark):
+    from pyspark.sql import functions as F
+
+    from lithospark.operators import mesh
+
+    points = spark.range(70 * 68 * 3).select((F.col("id") % 70 - 3).cast("int").alias("i"), (F.floor(F.col("id") / 70) % 68).cast("int").alias("j"), F.floor(F.col("id") / 4760).cast("int").alias("k"))
+    points = points.where("NOT (i = 63 AND j = 5 AND k = 1)").select("*", (F.col("i") * 1.0).alias("x"), (F.col("j") * 2.0).alias("y"), (F.col("k") - 0.5).alias("z"))
+    made = mesh.cells(points)
+    got = {(r["i"], r["j"], r["k"]): r for r in made.collect()}
+    want = {(i, j, k) for i in range(-3, 66) for j in range(67) for k in range(2)} - {(a, b, k) for a in (62, 63) for b in (4, 5) for k in (0, 1)}
+    assert got.keys() == want
+    for at in ((63, 63, 0), (-1, 10, 1), (62, 62, 1), (64, 64, 0)):
+        assert [tuple(got[at][f"v{n}"]) for n in range(8)] == [(at[0] + a, (at[1] + b) * 2.0, at[2] + c - 0.5) for a, b, c in mesh.CORNERS]
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan  # the eight corners of a vertex are made after the shuffle
