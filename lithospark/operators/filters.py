@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +41,26 @@ def gabor(grid: DataFrame, value: str, ni: int, nj: int, frequency: float, azimu
     return out.select("i", "j", "re", "im", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amplitude"))
 
 
-def thin_plate(xy: np.ndarray, v: np.ndarray, at: np.ndarray, stiffness: float) -> np.ndarray:
-    """Values at `at` of the spline r^2 ln r with a plane through the values v at xy; stiffness x (mean distance)^2 on the diagonal."""
-    def basis(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        r2 = ((p[:, None] - q[None]) ** 2).sum(-1)
-        return np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0)), 0.0)
+@lru_cache(maxsize=16)
+def spline_weights(known: bytes, wide: int, asked: bytes, stiffness: float) -> np.ndarray:
+    """m x n: what the n known cells weigh in the values at the m asked ones, for the spline r^2 ln r with a plane.
 
-    n = len(xy)
-    plane = lambda p: np.c_[np.ones(len(p)), p]
-    k = basis(xy, xy)
+    known and asked are the cells' places i * wide + j, as bytes of ascending int32, so that tiles with the same pattern
+    of known cells share one solution. stiffness x (mean distance)^2 is on the diagonal."""
+    at, on = (np.stack(np.divmod(np.frombuffer(x, np.int32), wide), 1) for x in (asked, known))
+    n, middle = len(on), at.mean(0)
+    r2 = np.arange(2 * wide * wide, dtype=float)
+    radial = 0.5 * r2 * np.log(np.maximum(r2, 1.0))  # by the square of the distance, a whole number
+    square = lambda p: ((p[:, :1] - on[:, 0]) ** 2 + (p[:, 1:] - on[:, 1]) ** 2)
+    plane = lambda p: np.c_[np.ones(len(p)), p - middle]
+    k = radial[square(on)]
     if stiffness:
-        mean = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)).sum() / (n * n)
+        mean = np.sqrt(square(on)).sum() / (n * n)
         k = k + stiffness * mean * mean * np.eye(n)
-    a = np.block([[k, plane(xy)], [plane(xy).T, np.zeros((3, 3))]])
-    w = np.linalg.lstsq(a, np.r_[v, np.zeros(3)], rcond=None)[0] if n < 3 or np.linalg.matrix_rank(plane(xy)) < 3 else np.linalg.solve(a, np.r_[v, np.zeros(3)])
-    return basis(at, xy) @ w[:n] + plane(at) @ w[n:]
+    a, right = np.block([[k, plane(on)], [plane(on).T, np.zeros((3, 3))]]), np.c_[radial[square(at)], plane(at)]
+    if n < 3 or np.linalg.matrix_rank(plane(on)) < 3:
+        return right @ np.linalg.lstsq(a, np.eye(n + 3)[:, :n], rcond=None)[0]
+    return np.ascontiguousarray(np.linalg.solve(a, right.T)[:n].T)  # a is symmetric
 
 
 def fill_nulls_spline(grid: DataFrame, value: str, stiffness: float = 0.0, tile: int = 24, halo: int = 8) -> DataFrame:
@@ -62,25 +68,28 @@ def fill_nulls_spline(grid: DataFrame, value: str, stiffness: float = 0.0, tile:
 
     The splines of square tiles, each through the known cells of the tile and `halo` cells around it, are blended with
     weights that fall to nothing at the halo's border; a spline without stiffness meets the known cells exactly. A tile of
-    the grid's size is one spline through all. A tile holds (tile + 2 halo)^2 cells at most, whatever the grid. Cells that
-    no tile with a known cell reaches stay null."""
+    the grid's size is one spline through all. A tile holds (tile + 2 halo)^2 cells at most, whatever the grid, and tiles
+    with the same pattern of known cells are solved once in a worker. Cells that no tile with a known cell reaches stay null."""
     cell = grid.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col(value).cast("double").alias("v"))
     spans = {f"_{c}": F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)).cast("array<int>")) for c in "ij"}
     sent = cell
     for name, span in spans.items():
         sent = sent.withColumn(name, span)
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        known = g["v"].notna().to_numpy()
+    def solve(key: tuple[pa.Scalar, ...], cells: pa.Table) -> pa.Table:
+        edge, corner = tile + 2 * halo, [k.as_py() * tile for k in key]
+        at = np.stack([cells.column(c).to_numpy() - k + halo for c, k in zip("ij", corner)], 1)
+        place = (at[:, 0] * edge + at[:, 1]).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        place, v = place[order], cells.column("v").to_numpy().astype(float)[order]
+        known = ~np.isnan(v)
         if not known.any():
-            return pd.DataFrame({"i": [], "j": [], "h": [], "w": []}).astype({"i": "int32", "j": "int32"})
-        xy = g[["i", "j"]].to_numpy(float)
-        corner = np.array([g["_i"].iloc[0], g["_j"].iloc[0]], float) * tile
-        middle = xy.mean(0)
-        h = thin_plate(xy[known] - middle, g["v"].to_numpy(float)[known], xy - middle, stiffness)
-        w = np.prod(np.maximum(0.0, 1 - np.abs(xy - corner - (tile - 1) / 2) / (tile / 2 + halo + 0.5)), axis=1)
-        return pd.DataFrame({"i": g["i"], "j": g["j"], "h": h, "w": w})
-
-    parts = sent.groupBy("_i", "_j").applyInPandas(solve, "i int, j int, h double, w double")
+            return pa.table([[]] * 4, schema=made_of)
+        h = spline_weights(place[known].tobytes(), edge, place.tobytes(), stiffness) @ v[known]
+        w = np.prod(np.maximum(0.0, 1 - np.abs(at[order] - halo - (tile - 1) / 2) / (tile / 2 + halo + 0.5)), axis=1)
+        return pa.table([*(at[order, n] + (k - halo) for n, k in enumerate(corner)), h, w], schema=made_of)
+
+    made_of = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("h", pa.float64()), ("w", pa.float64())])
+    parts = sent.groupBy("_i", "_j").applyInArrow(solve, "i int, j int, h double, w double")
     made = parts.groupBy("i", "j").agg((F.sum(F.col("h") * F.col("w")) / F.sum("w")).alias("spline"))
     return cell.join(made, ["i", "j"], "left").select("i", "j", "spline", F.coalesce("v", "spline").alias("filled"))

@@ -280,3 +280,16 @@ def test_rank_and_freedom(spark):
     bent = spark.createDataFrame([(1, 7, 0.0, 0.0, 0.0, 3.0, 4.0, 12.0)], "row_id int, hole int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
     m = markov.segment_measures(bent).first()
     assert (m["length"], m["height"], m["mid"], m["mid_x"], m["mid_y"]) == (13.0, 12.0, 6.0, 1.5, 2.0)
+
+
+def test_tiles_with_one_pattern_share_their_spline(spark):
+    from lithospark.operators import filters
+
+    z = np.random.default_rng(2).normal(size=32 * 32)
+    i, j = np.divmod(np.arange(32 * 32), 32)
+    known = (2 * j + i) % 7 != 0
+    place = (i * 32 + j).astype(np.int32)
+    filters.spline_weights.cache_clear()
+    weights = [filters.spline_weights(place[known].tobytes(), 32, place.tobytes(), 0.0) for _ in range(3)]
+    assert filters.spline_weights.cache_info().misses == 1 and np.abs((weights[2] @ z[known])[known] - z[known]).max() < 1e-9
+    assert np.allclose(weights[0].sum(1), 1, atol=1e-9) and np.allclose(weights[0] @ (3.0 * i - j)[known], 3.0 * i - j, atol=1e-7)
