@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ def neigh(grid: DataFrame, value: str, di: int, dj: int, name: str = "neigh") ->
 
 #: Cells of a grid line in one tile.
 TILE = 4096
+#: Cells of the lines that a group of transforms holds, if a line is shorter.
+BLOCK = 1 << 16
 
 
 def _along(grid: DataFrame, axis: str, other: str, r: int, exprs: dict) -> DataFrame:
@@ -152,19 +155,51 @@ def varmap_fast(grid: DataFrame, value: str, ni: int, nj: int) -> DataFrame:
     The covariance of a lag is the mean product of the n pairs of known cells at it less the product of the means of
     their tails and of their heads. The grid is padded to twice its size, so that no pair is formed across its borders.
     Lags without a pair have no row. Lost cells may be nulls or absent."""
-    known = grid.where(F.col(value).isNotNull())
-    two = F.array(F.struct(F.lit(0).alias("real"), F.col(value).cast("double").alias("re")), F.struct(F.lit(1).alias("real"), F.lit(1.0).alias("re")))
-    rows = known.select("i", "j", F.explode(two).alias("_e")).select("_e.real", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "_e.re", F.lit(0.0).alias("im"))
-    size = 2 * ni, 2 * nj
-    both = fft(rows, size=size).groupBy("i", "j").agg(*[F.max(F.when(F.col("real") == n, F.struct("re", "im"))).alias(c) for n, c in ((0, "a"), (1, "m"))])
-    a, m = (lambda p: F.col(f"a.{p}")), (lambda p: F.col(f"m.{p}"))
-    zero = F.lit(0.0)
-    products = [(a("re") * a("re") + a("im") * a("im"), zero), (m("re") * m("re") + m("im") * m("im"), zero), (m("re") * a("re") + m("im") * a("im"), m("im") * a("re") - m("re") * a("im")), (m("re") * a("re") + m("im") * a("im"), m("re") * a("im") - m("im") * a("re"))]
-    four = F.array(*[F.struct(F.lit(n).alias("real"), re.alias("re"), im.alias("im")) for n, (re, im) in enumerate(products)])
-    back = fft(both.select("i", "j", F.explode(four).alias("_e")).select("_e.real", "i", "j", "_e.re", "_e.im"), inverse=True, size=size)
-    lags = back.withColumns({"di": _centered("i", ni, size[0]), "dj": _centered("j", nj, size[1])}).where("di IS NOT NULL AND dj IS NOT NULL")
-    sums = lags.groupBy("di", "dj").agg(*[F.max(F.when(F.col("real") == n, F.col("re"))).alias(c) for n, c in enumerate(("c", "n", "tails", "heads"))]).withColumn("n", F.round("n").cast("bigint")).where("n > 0")
-    cov = sums.select("di", "dj", "n", (F.col("c") / F.col("n") - F.col("tails") / F.col("n") * (F.col("heads") / F.col("n"))).alias("cov"))
+    # real fields along i, so half of the frequencies; then a line along j forth, multiplied and back at once, cut to the lags
+    rows = grid.where(F.col(value).isNotNull()).select("i", F.col("j").cast("bigint").alias("j"), F.col(value).cast("double").alias("v"))
+    names = ["a_re", "a_im", "m_re", "m_im"]
+    lags = [np.arange(n) - n // 2 for n in (ni, nj)]
+    split = lambda z: [x.ravel() for c in z for x in (c.real, c.imag)]
+    sums = ("c", "n", "tails", "heads")
+
+    def lines(n: int, c: str) -> Column:
+        return F.floor(F.col(c) / max(1, BLOCK // n)).cast("bigint").alias("_line")  # some lines of n cells
+
+    def placed(t: pa.Table, columns: list[str], key: str, at: str, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, where = np.unique(t.column(key).to_numpy(), return_inverse=True)
+        out = []
+        for c in columns:
+            z = np.zeros((len(keys), n))
+            z[where, t.column(at).to_numpy()] = t.column(c).to_numpy()
+            out.append(z)
+        return keys, out
+
+    def table(schema: str, *columns: np.ndarray) -> pa.Table:
+        return pa.table(dict(zip([c.split()[0] for c in schema.split(", ")], columns)))
+
+    def forth(t: pa.Table) -> pa.Table:
+        j, (v, m) = placed(t.append_column("m", pa.array(np.ones(len(t)))), ["v", "m"], "j", "i", ni)
+        z = [np.fft.rfft(x, 2 * ni, axis=1) for x in (v, m)]
+        return table(first, np.tile(np.arange(ni + 1), len(j)), np.repeat(j, ni + 1), *split(z))
+
+    def multiplied(t: pa.Table) -> pa.Table:
+        i, (a_re, a_im, m_re, m_im) = placed(t, names, "i", "j", nj)
+        a, m = (np.fft.fft(x, 2 * nj, axis=1) for x in (a_re + 1j * a_im, m_re + 1j * m_im))
+        z = [np.fft.ifft(x, axis=1)[:, lags[1]] for x in (a * a.conj(), m * m.conj(), m.conj() * a, m * a.conj())]
+        return table(second, np.repeat(i, nj), np.tile(lags[1], len(i)), *split(z))
+
+    def back(t: pa.Table) -> pa.Table:
+        j, parts = placed(t, [f"{c}_{p}" for c in sums for p in ("re", "im")], "dj", "i", ni + 1)
+        c, n, tails, heads = (np.fft.irfft(re + 1j * im, 2 * ni, axis=1)[:, lags[0]].ravel() for re, im in zip(parts[::2], parts[1::2]))
+        n = np.rint(n).astype(np.int64)
+        on = n > 0
+        d = np.where(on, n, 1)
+        return table(third, *(x[on] for x in (np.tile(lags[0], len(j)), np.repeat(j, ni), n, c / d - tails / d * (heads / d))))
+
+    first = "i bigint, j bigint, " + ", ".join(f"{c} double" for c in names)
+    second = "i bigint, dj bigint, " + ", ".join(f"{c}_{p} double" for c in sums for p in ("re", "im"))
+    third = "di bigint, dj bigint, n bigint, cov double"
+    cov = rows.groupBy(lines(ni, "j")).applyInArrow(forth, first).groupBy(lines(nj, "i")).applyInArrow(multiplied, second).groupBy(lines(ni, "dj")).applyInArrow(back, third)
     return cov.join(F.broadcast(cov.agg(F.max("cov").alias("_top")))).select("di", "dj", "n", (F.col("_top") - F.col("cov")).alias("gamma"))  # one row
 
 

@@ -255,3 +255,20 @@ def test_percentiles_in_ranges(spark):
     want = {r[0]: r[1] for r in df.where("cat IS NOT NULL").groupBy("cat").agg(F.percentile("v", F.array(*map(F.lit, q)))).collect()}
     assert {r["cat"]: r["q"] for r in plan.collect()} == want
     assert "percentile" not in plan._jdf.queryExecution().optimizedPlan().toString()  # no task holds all values of a category
+
+
+def test_fast_variogram_maps_go_by_blocks_of_lines(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cells = [(int(i), int(j), float(rng.integers(0, 50))) for i in range(6) for j in range(11) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "i int, j int, v double")
+    plan = grids.varmap_fast(df, "v", 6, 11)
+    whole = {(r.di, r.dj): (r.n, r.gamma) for r in plan.collect()}
+    monkeypatch.setattr(grids, "BLOCK", 7)
+    assert {k: n for k, (n, _) in whole.items()} == {(r.di, r.dj): r.n for r in grids.varmap_fast(df, "v", 6, 11).collect()}
+    again = {(r.di, r.dj): r.gamma for r in grids.varmap_fast(df, "v", 6, 11).collect()}
+    assert all(abs(again[k] - g) < 1e-8 for k, (_, g) in whole.items())
+    value = {(i, j): v for i, j, v in cells}
+    for (di, dj), (n, _) in whole.items():
+        assert n == sum((i + di, j + dj) in value for i, j in value)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [di" not in text and "explode" not in text  # fields and products stay in one row, none is met again by its place
