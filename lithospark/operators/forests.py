@@ -33,12 +33,14 @@ class Forest:
         return np.stack([np.searchsorted(e, v, "left") for e, v in zip(self.edges, x)], 1) if x else np.zeros((b.num_rows, 0), np.int64)
 
     def nodes(self, bins: np.ndarray, t: int, depth: int) -> np.ndarray:
-        node = np.ones(len(bins), np.int64)
+        node, inner = np.ones(len(bins), np.int64), np.array(sorted(self.splits[t]), np.int64)
+        if not len(inner):
+            return node
+        feature, top = np.array([self.splits[t][int(n)] for n in inner], np.int64).T
         for _ in range(depth):
-            inner, where = np.unique(node, return_inverse=True)
-            cut = np.array([self.splits[t].get(int(n), (-1, 0)) for n in inner], np.int64).reshape(-1, 2)[where]
-            on = cut[:, 0] >= 0
-            node[on] = 2 * node[on] + (bins[on, cut[on, 0]] > cut[on, 1])
+            at = np.minimum(np.searchsorted(inner, node), len(inner) - 1)
+            on = np.flatnonzero(inner[at] == node)
+            node[on] = 2 * node[on] + (bins[on, feature[at[on]]] > top[at[on]])
         return node
 
 
@@ -65,17 +67,34 @@ def grow(train: DataFrame, features: list[str], label: str, classes: bool, trees
 
     def histograms(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            most = max(map(len, forest.edges), default=0) + 1
+            sums: dict = {}  # by tree, feature, node and label: n, s and q of the bins
+
+            def rows_of() -> pa.RecordBatch:
+                keys, table = np.array([(t, node, f) for t, f, node, _ in sums]), np.stack(list(sums.values()))
+                g, bin_ = np.nonzero(table[:, 0])
+                columns = [keys[g, 0].astype(np.int32), keys[g, 1], keys[g, 2].astype(np.int32), bin_, np.array([y for *_, y in sums], float)[g], table[g, 0, bin_].astype(np.int64), table[g, 1, bin_], table[g, 2, bin_]]
+                return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["tree", "node", "feature", "bin", "y", "n", "s", "q"])
+
             for b in batches:
                 code, y, keys = forest.bins(b), b.column("_y").to_numpy(), b.column("_key").to_numpy()
-                parts = []
+                kinds, kind = np.unique(y, return_inverse=True) if classes else (np.zeros(1), np.zeros(len(y), np.int64))
                 for t in range(trees):
                     n = _copies(keys, t, seed) if bootstrap else np.ones(len(y), np.int64)
                     node = forest.nodes(code, t, level)
-                    on = (n > 0) & (node >= 1 << level)
+                    on = np.flatnonzero((n > 0) & (node >= 1 << level))
+                    groups, group = np.unique(node[on] * len(kinds) + kind[on], return_inverse=True)
+                    weights = [n[on] * y[on] ** p for p in range(3)]
                     for f in range(len(features)):
-                        parts.append(pd.DataFrame({"tree": t, "node": node[on], "feature": f, "bin": code[on, f], "y": y[on] if classes else 0.0, "n": n[on], "s": (n * y)[on], "q": (n * y * y)[on]}).groupby(["tree", "node", "feature", "bin", "y"], as_index=False).sum())
-                if parts:
-                    yield pa.RecordBatch.from_pandas(pd.concat(parts).astype({"tree": "int32", "node": "int64", "feature": "int32", "bin": "int64", "n": "int64"}), preserve_index=False)
+                        table = np.stack([np.bincount(group * most + code[on, f], w, len(groups) * most).reshape(-1, most) for w in weights], 1)
+                        for g, x in zip(groups.tolist(), table):
+                            k = t, f, g // len(kinds), float(kinds[g % len(kinds)])
+                            sums[k] = sums[k] + x if k in sums else x
+                if len(sums) > 50_000:  # deep trees: what a task holds is bounded
+                    yield rows_of()
+                    sums.clear()
+            if sums:
+                yield rows_of()
 
         return rows.mapInArrow(run, "tree int, node long, feature int, bin long, y double, n long, s double, q double").groupBy("tree", "node", "feature", "bin", "y").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 

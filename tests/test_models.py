@@ -293,3 +293,18 @@ def test_tiles_with_one_pattern_share_their_spline(spark):
     weights = [filters.spline_weights(place[known].tobytes(), 32, place.tobytes(), 0.0) for _ in range(3)]
     assert filters.spline_weights.cache_info().misses == 1 and np.abs((weights[2] @ z[known])[known] - z[known]).max() < 1e-9
     assert np.allclose(weights[0].sum(1), 1, atol=1e-9) and np.allclose(weights[0] @ (3.0 * i - j)[known], 3.0 * i - j, atol=1e-7)
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_histograms_of_a_task_are_few_rows(spark, monkeypatch, classes):
+    """A task sums its histograms up over its batches."""
+    frame, made = type(spark.range(1)), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: made.append((f, self)) or plain(self, f, *a, **k))
+    table = spark.createDataFrame([(n, float(n % 7), float(n % 3)) for n in range(200)], "row_id bigint, a double, y double")
+    forests.grow(table, ["a"], "y", classes, trees=2, depth=2, bins=8, bootstrap=False)
+    run, rows = made[0]
+    whole = rows.toArrow()
+    out = [b.to_pandas() for b in run(iter(whole.to_batches(max_chunksize=10)))]
+    assert sum(map(len, out)) == 2 * 7 * (3 if classes else 1)
+    assert sum(o["n"].sum() for o in out) == 400 and np.isclose(sum(o["s"].sum() for o in out), 2 * sum(n % 3 for n in range(200)))
