@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lithospark.spec import GridSpec
 
@@ -49,6 +50,8 @@ def neigh(grid: DataFrame, value: str, di: int, dj: int, name: str = "neigh") ->
 TILE = 4096
 #: Cells of the lines that a group of transforms holds, if a line is shorter.
 BLOCK = 1 << 16
+#: Cells of the edge of a square tile.
+EDGE = 256
 
 
 def _along(grid: DataFrame, axis: str, other: str, r: int, exprs: dict) -> DataFrame:
@@ -78,18 +81,37 @@ def extrema(grid: DataFrame, value: str, r: int) -> DataFrame:
 def ridges_valleys(grid: DataFrame, value: str, half: int, size: tuple[int, int], least: float = 0.0) -> DataFrame:
     """Adds ridge, valley: in how many of four directions the cell is above (below) the means of both windows beside it.
 
-    A window reaches half cells to each side and may lie partly outside the grid of `size` cells."""
-    s, n = half + 1, (size[0] + 2 * (half + 1), size[1] + 2 * (half + 1))
-    wide = grid.sparkSession.range(n[0] * n[1]).select((F.col("id") % n[0] - s).cast("int").alias("i"), (F.floor(F.col("id") / n[0]) - s).cast("int").alias("j"))
-    means = window_mean(wide.join(grid.select("i", "j", value), ["i", "j"], "left"), value, half).where("mean IS NOT NULL").select("i", "j", "mean")
-    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(side * a * s).alias("a"), F.lit(side * b * s).alias("b")) for d, (a, b) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))) for side in (1, -1)])
-    sent = means.withColumn("o", F.explode(steps)).select((F.col("i") - F.col("o.a")).alias("i"), (F.col("j") - F.col("o.b")).alias("j"), "o.d", "mean")
-    beside = sent.groupBy("i", "j", "d").agg(F.max("mean").alias("top"), F.min("mean").alias("low"), F.count(F.lit(1)).alias("n")).where("n = 2")
-    beside = beside.groupBy("i", "j").agg(F.collect_list(F.struct("top", "low")).alias("_b"))  # four at most
-    v, big = F.col(value), F.abs(F.col(value)) >= least
-    count = lambda f: F.coalesce(F.when(v.isNotNull() & big, F.size(F.filter("_b", f))), F.lit(0))
-    out = grid.join(beside, ["i", "j"], "left")
-    return out.withColumns({"ridge": F.greatest(count(lambda b: v > b["top"]), F.lit(0)), "valley": F.greatest(count(lambda b: v < b["low"]), F.lit(0))}).drop("_b")
+    A window reaches half cells to each side and may lie partly outside the grid of `size` cells. Each cell goes once to its
+    tile and to those it is in the halo of."""
+    s, tiles = half + 1, grid
+    reach, edge, kept = s + half, max(EDGE, 4 * (s + half)), grid.columns
+    for c in "ij":
+        at = F.col(c).cast("bigint")
+        tiles = tiles.withColumn(f"_{c}", F.explode(F.sequence(F.floor((at - reach) / edge), F.floor((at + reach) / edge))))
+    made_of = StructType([*grid.schema.fields, StructField("ridge", IntegerType()), StructField("valley", IntegerType())])
+
+    def count(key: tuple[pa.Scalar, ...], cells: pa.Table) -> pa.Table:
+        wide = edge + 2 * reach
+        i, j = (cells.column(c).to_numpy().astype(np.int64) for c in "ij")
+        a, b = (x - k.as_py() * edge + reach for x, k in zip((i, j), key))
+        v = cells.column(value).to_numpy().astype(float)
+        known, total, number = ~np.isnan(v), np.zeros((wide, wide)), np.zeros((wide, wide))
+        np.add.at(total, (a[known], b[known]), v[known])
+        np.add.at(number, (a[known], b[known]), 1.0)
+        for axis in (0, 1):  # sums over the window, along i and then along j
+            total, number = (sum(np.roll(x, -d, axis) for d in range(-half, half + 1)) for x in (total, number))
+        mean = np.where(number > 0, total / np.maximum(number, 1), np.nan)
+        own = np.flatnonzero((reach <= a) & (a < reach + edge) & (reach <= b) & (b < reach + edge))
+        a, b, v = a[own], b[own], v[own]
+        sides = [[mean[a + side * x * s, b + side * y * s] for side in (1, -1)] for x, y in ((0, 1), (1, 1), (1, 0), (1, -1))]
+        big = np.abs(v) >= least
+        counts = [sum((big & one(v, p) & one(v, q)).astype(np.int32) for p, q in sides) for one in (np.greater, np.less)]  # a lost mean is neither
+        out = cells.select(kept).take(pa.array(own))
+        for name, x in zip(("ridge", "valley"), counts):
+            out = out.append_column(name, pa.array(x, pa.int32()))
+        return out
+
+    return tiles.groupBy("_i", "_j").applyInArrow(count, made_of)
 
 
 def window_median(grid: DataFrame, value: str, r: int) -> DataFrame:

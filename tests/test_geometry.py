@@ -272,3 +272,24 @@ def test_fast_variogram_maps_go_by_blocks_of_lines(spark, monkeypatch):
         assert n == sum((i + di, j + dj) in value for i, j in value)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [di" not in text and "explode" not in text  # fields and products stay in one row, none is met again by its place
+
+
+def test_ridges_across_tiles_equal_windows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(grids, "EDGE", 4, raising=False)
+    size, half = (21, 35), 2
+    v = np.where(rng.random(size) < 0.15, np.nan, rng.normal(size=size))
+    df = spark.createDataFrame([(f"c{i}", i, j, None if np.isnan(v[i, j]) else float(v[i, j])) for i in range(size[0]) for j in range(size[1])], "name string, i int, j int, v double")
+
+    def mean(i, j):
+        w = [v[a, b] for a in range(i - half, i + half + 1) for b in range(j - half, j + half + 1) if 0 <= a < size[0] and 0 <= b < size[1] and not np.isnan(v[a, b])]
+        return np.mean(w) if w else np.nan
+
+    plan, s = grids.ridges_valleys(df, "v", half, size, 0.3), half + 1
+    rows = plan.collect()
+    assert len(rows) == size[0] * size[1] and plan.columns == ["name", "i", "j", "v", "ridge", "valley"]
+    for r in rows:
+        pairs = [(mean(r.i + a * s, r.j + b * s), mean(r.i - a * s, r.j - b * s)) for a, b in ((0, 1), (1, 1), (1, 0), (1, -1))]
+        big = r.v is not None and abs(r.v) >= 0.3
+        assert (r.ridge, r.valley) == tuple(sum(big and f(r.v, p) and f(r.v, q) for p, q in pairs) for f in (np.greater, np.less)) and r.name == f"c{r.i}"
+    assert "Join" not in plan._jdf.queryExecution().toString()
