@@ -18,14 +18,23 @@ SAME = 1e-9
 ENDS = ("x0", "y0", "z0", "x1", "y1", "z1")
 
 
+#: Squares of a tile's edge.
+TILE = 128
+
+
 def squares(surface: DataFrame) -> DataFrame:
-    """a, b, z00, z10, z01, z11 of the squares of four centers, from surface(i, j, z): a vertex goes to its at most four squares."""
+    """a, b, z00, z10, z01, z11 of the squares of four centers, from surface(i, j, z).
+
+    A vertex is sent once, and at borders also to the tiles before; its at most four squares are made there."""
+    tiles = surface.where("z IS NOT NULL").select("i", "j", "z")
+    for c in "ij":
+        tiles = tiles.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / TILE), F.floor(F.col(c) / TILE)))))
     corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    sent = surface.where("z IS NOT NULL").select("i", "j", "z", F.explode(corners).alias("o"))
-    sent = sent.select((F.col("i") - F.col("o.a")).alias("a"), (F.col("j") - F.col("o.b")).alias("b"), "o", "z")
+    sent = tiles.repartition("_i", "_j").withColumn("o", F.explode(corners))
+    sent = sent.select("_i", "_j", (F.col("i") - F.col("o.a")).alias("a"), (F.col("j") - F.col("o.b")).alias("b"), "o", "z").where(f"floor(a / {TILE}) = _i AND floor(b / {TILE}) = _j")
     at = lambda a, b: F.max(F.when((F.col("o.a") == a) & (F.col("o.b") == b), F.col("z"))).alias(f"z{a}{b}")
-    out = sent.groupBy("a", "b").agg(at(0, 0), at(1, 0), at(0, 1), at(1, 1), F.count(F.lit(1)).alias("_n"))
-    return out.where("_n = 4").drop("_n")
+    out = sent.groupBy("_i", "_j", "a", "b").agg(at(0, 0), at(1, 0), at(0, 1), at(1, 1), F.count(F.lit(1)).alias("_n"))
+    return out.where("_n = 4").drop("_n", "_i", "_j")
 
 
 def crossed_squares(lines: DataFrame, spec: GridSpec) -> DataFrame:
@@ -60,15 +69,19 @@ def intersect_horizon(lines: DataFrame, surface: DataFrame, spec: GridSpec, key:
     if spec.nx < 2 or spec.ny < 2:
         return lines.select(*key, F.lit(0.0).alias("t"), *[F.lit(0.0).alias(c) for c in "xyz"]).where(F.lit(False))
     met = crossed_squares(lines.select(*key, *ENDS), spec).join(squares(surface), ["a", "b"])
-    local = [F.col(c) - F.col(s) for c, s in (("u0", "a"), ("v0", "b"), ("u1", "a"), ("v1", "b"))]
+    # step by step, so that each number is worked out once a row
+    met = met.withColumns({f"_{c}": F.col(c) - F.col(s) for c, s in (("u0", "a"), ("v0", "b"), ("u1", "a"), ("v1", "b"))})
+    sides = ((0, True), (1, False))
+    met = met.withColumns({f"_f{n}{end}": F.col(f"z{end}") - _plane(lower, F.col(f"_u{end}"), F.col(f"_v{end}")) for n, lower in sides for end in (0, 1)})
+    met = met.withColumns({f"_t{n}": F.when(F.col(f"_f{n}0") != F.col(f"_f{n}1"), F.col(f"_f{n}0") / (F.col(f"_f{n}0") - F.col(f"_f{n}1"))) for n, _ in sides})
+    met = met.where("_t0 BETWEEN 0 AND 1 OR _t1 BETWEEN 0 AND 1")
+    met = met.withColumns({f"_{c}{n}t": F.col(f"_{c}0") + F.col(f"_t{n}") * (F.col(f"_{c}1") - F.col(f"_{c}0")) for n, _ in sides for c in "uv"})
     tests = []
-    for lower in (True, False):
-        f0, f1 = F.col("z0") - _plane(lower, local[0], local[1]), F.col("z1") - _plane(lower, local[2], local[3])
-        t = F.when(f0 != f1, f0 / (f0 - f1))
-        u, v = local[0] + t * (local[2] - local[0]), local[1] + t * (local[3] - local[1])
+    for n, lower in sides:
+        t, u, v = F.col(f"_t{n}"), F.col(f"_u{n}t"), F.col(f"_v{n}t")
         inside = (F.least(u, v) >= -SAME) & (F.greatest(u, v) <= 1 + SAME) & ((u - v >= -SAME) if lower else (v - u >= -SAME))
         tests.append(F.when(inside & (t >= 0) & (t <= 1), t))
-    hits = met.select(*key, *ENDS, F.explode(F.array_compact(F.array(*tests))).alias("t"))
+    hits = met.select(*key, *ENDS, F.explode(F.array(*tests)).alias("t")).where("t IS NOT NULL")
     before = F.lag("t").over(Window.partitionBy(*key).orderBy("t"))
     hits = hits.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("t") - F.col("_before") > SAME))
     return hits.select(*key, "t", *[(F.col(f"{c}0") + F.col("t") * (F.col(f"{c}1") - F.col(f"{c}0"))).alias(c) for c in "xyz"])
@@ -76,12 +89,12 @@ def intersect_horizon(lines: DataFrame, surface: DataFrame, spec: GridSpec, key:
 
 def connect_gaps(segments: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """hole, seq, gap and the ends: the segments, and a line over each gap from the tail of one to the head of the next of its hole."""
-    rows = segments.select("hole", "seq", F.lit(False).alias("gap"), *ENDS)
     by = Window.partitionBy("hole").orderBy("seq")
-    tail = {f"{c}0": F.lag(f"{c}1").over(by) for c in "xyz"}
-    gaps = rows.select("hole", "seq", F.lit(True).alias("gap"), *[v.alias(k) for k, v in tail.items()], *[F.col(f"{c}0").alias(f"{c}1") for c in "xyz"])
-    length = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}0")) ** 2 for c in "xyz"), F.lit(0.0)))
-    return rows.unionByName(gaps.where(length > tolerance))
+    rows = segments.select("hole", "seq", *ENDS, *[F.lag(f"{c}1").over(by).alias(f"_{c}") for c in "xyz"])
+    length = F.sqrt(sum(((F.col(f"{c}0") - F.col(f"_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    piece = F.struct(F.lit(False).alias("gap"), *ENDS)
+    over = F.struct(F.lit(True).alias("gap"), *[F.col(f"_{c}").alias(f"{c}0") for c in "xyz"], *[F.col(f"{c}0").alias(f"{c}1") for c in "xyz"])
+    return rows.select("hole", "seq", F.explode(F.array(piece, F.when(length > tolerance, over))).alias("_p")).where("_p IS NOT NULL").select("hole", "seq", "_p.*")
 
 
 def hole_crossings(segments: DataFrame, surface: DataFrame, spec: GridSpec) -> DataFrame:

@@ -293,3 +293,20 @@ def test_ridges_across_tiles_equal_windows(spark, monkeypatch):
         big = r.v is not None and abs(r.v) >= 0.3
         assert (r.ridge, r.valley) == tuple(sum(big and f(r.v, p) and f(r.v, q) for p, q in pairs) for f in (np.greater, np.less)) and r.name == f"c{r.i}"
     assert "Join" not in plan._jdf.queryExecution().toString()
+
+
+def test_squares_across_tiles_send_vertices_about_once(spark):
+    surface = spark.range(140 * 130).select((F.col("id") % 140 - 5).cast("int").alias("i"), F.floor(F.col("id") / 140).cast("int").alias("j"), F.when(F.col("id") != 0, F.col("id") * 1.0).alias("z"))
+    plan = horizons.squares(surface)
+    got = {(r.a, r.b): (r.z00, r.z10, r.z01, r.z11) for r in plan.collect()}
+    at = lambda i, j: 140.0 * j + i + 5
+    assert got == {(i, j): (at(i, j), at(i + 1, j), at(i, j + 1), at(i + 1, j + 1)) for i in range(-5, 134) for j in range(129) if (i, j) != (-5, 0)}
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.index("Generate") < text.index("Exchange")  # corners are made after the shuffle
+    lines = spark.createDataFrame([(1, 3.2, 4.1, 500.0, 3.4, 4.2, 900.0)], "n int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    hits = horizons.intersect_horizon(lines, surface.where("i >= 0"), GridSpec(135, 130), ["n"])
+    assert len(hits.collect()) == 1 and "lambda" not in hits._jdf.queryExecution().optimizedPlan().toString()  # no function of arrays for each line and square
+    holes = spark.createDataFrame([(1, 0, *[0.0] * 3, *[1.0] * 3), (1, 1, *[1.0] * 3, *[2.0] * 3), (1, 2, *[3.0] * 3, *[4.0] * 3), (2, 0, *[9.0] * 3, *[8.0] * 3)], f"hole bigint, seq int, {ENDS}")
+    pieces = horizons.connect_gaps(holes)
+    assert sorted((r.hole, r.seq, r.gap, r.x0, r.z1) for r in pieces.collect()) == [(1, 0, False, 0.0, 1.0), (1, 1, False, 1.0, 2.0), (1, 2, False, 3.0, 4.0), (1, 2, True, 2.0, 3.0), (2, 0, False, 9.0, 8.0)]
+    assert "Union" not in pieces._jdf.queryExecution().optimizedPlan().toString()  # pieces are dealt out by hole, not as the file has them
