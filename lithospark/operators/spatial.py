@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lithospark.functions.scalar import anisotropic_h, gamma
 from lithospark.spec import GridSpec, Structure, VariogramModel
@@ -56,13 +57,74 @@ def nearest(pairs: DataFrame, n: int, least: int = 0) -> DataFrame:
     return out.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_n") if least else out
 
 
-def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xy", skip_own: bool = False, chunk: int = 1000, crowded: int = 2000) -> DataFrame:
+def _met_by_group(n: int, radius: float, axes: str, group: list[str], skip_own: bool, chunk: int, names: list[str], fields: list[str]):
+    """Rows of targets with their n nearest, from rows sorted by group (its targets, then its samples by row_id), `chunk` at a time.
+
+    Of a group that goes on, its targets and those samples that are among the nearest of some target so far are held."""
+    def tops(t: pa.Table, more: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+        at = [t.column(f"_at_{x}").to_numpy() for x in axes]
+        ids, sample, level = t.column("_id").to_numpy(), t.column("_sample").to_numpy(), t.column("_level").to_numpy()
+        new = np.ones(t.num_rows, bool)
+        new[1:] = reduce(np.logical_or, [(v[1:] != v[:-1]) for v in (t.column(k).to_numpy() for k in group)])
+        start = np.append(np.flatnonzero(new), t.num_rows)
+        one, two, far, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        for low, high in zip(start[:-1].tolist(), start[1:].tolist()):
+            first, last = low + int(np.searchsorted(sample[low:high], 1)), len(one)
+            most = radius * (1 + 1e-6) / 2.0 ** int(level[low]) if level[low] else radius
+            step = max(1, (1 << 20) // max(1, high - first))
+            for i in range(low, first if high > first else low, step):
+                rows = slice(i, min(i + step, first))
+                d = np.sqrt(reduce(lambda s, x: s + (x[rows, None] - x[None, first:high]) ** 2, at, 0.0))
+                on = (d < radius) & (d <= most)
+                if skip_own:
+                    on &= ids[rows, None] != ids[None, first:high]
+                if high - first > n:
+                    d[~on] = np.inf
+                    on &= d <= np.partition(d, n - 1, 1)[:, n - 1 : n]
+                r, c = np.nonzero(on)
+                order = np.lexsort((d[r, c], r))  # stable, so ties are by row_id
+                order = order[np.arange(len(r)) - np.searchsorted(r, r) < n]
+                one.append(i + r[order])
+                two.append(first + c[order])
+                far.append(d[r[order], c[order]])
+        held = t.slice(0, 0)
+        if more:
+            low = int(start[-2])
+            first = low + int(np.searchsorted(sample[low:], 1))
+            held = t.take(np.concatenate([np.arange(low, first), np.unique(np.concatenate([np.zeros(0, np.int64), *two[last:]]))]))
+            one, two, far = one[:last], two[:last], far[:last]
+        one, two, far = np.concatenate(one), np.concatenate(two), np.concatenate(far)
+        if not len(one):
+            return None, held
+        begin = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+        whole = lambda c: pa.concat_arrays(t.column(c).chunks)
+        near = pa.StructArray.from_arrays([pa.array(far), *whole("_b").take(pa.array(two)).flatten()], fields)
+        near = pa.ListArray.from_arrays(pa.array(np.append(begin, len(one)), pa.int32()), near)
+        return pa.RecordBatch.from_arrays([*whole("_a").take(pa.array(one[begin])).flatten(), near], names), held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            for i in range(0, b.num_rows, chunk):
+                part = pa.Table.from_batches([b.slice(i, chunk)])
+                out, held = tops(pa.concat_tables([held, part]) if held is not None else part, True)
+                if out is not None:
+                    yield out
+        if held is not None:
+            out, _ = tops(held, False)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str = "xy", skip_own: bool = False, chunk: int = 10_000, crowded: int = 2000) -> DataFrame:
     """a's columns and near: the n nearest rows of b closer than radius as an array of structs (d, row_id, b's other columns).
 
     Ties go to the smaller row_id; skip_own leaves out rows of b with the target's row_id; targets without a row have none.
     Buckets halve from the radius on: a target asks around its smallest bucket that holds n rows, as these show that its
     n nearest are no farther than that bucket's diagonal; so what it meets grows with n and not with the density of b.
-    The rows around a bucket are lists of at most `chunk`, which targets meet one by one."""
+    The targets of a bucket and the rows around it are sorted to one place and meet in numpy, `chunk` rows at a time."""
     keys, need, edge = [f"_{x}" for x in axes], n + skip_own, radius / math.sqrt(len(axes)) * (1 + 1e-9)
     finite = reduce(lambda p, x: p & (F.abs(x) < math.inf), axes, F.lit(True))
     a, b = a.where(finite), b.where(finite)
@@ -90,24 +152,16 @@ def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str =
     around = placed.withColumns(coarse).select("_level", "_salts", *keys).distinct().select("_level", "_salts", *[F.col(k).alias(f"_h{k}") for k in keys])
     for k in keys:
         around = around.withColumn(k, F.explode(F.sequence(F.col(f"_h{k}") - reach, F.col(f"_h{k}") + reach)))
-    home = ["_level", *[f"_h{k}" for k in keys]]
-    others = [c for c in b.columns if c != "row_id"]
-    met = at_levels(fine(b), levels).withColumns(coarse).join(around, ["_level", *keys]).select(*home, "_salts", F.struct("row_id", *others).alias("_e"))
-    met = met.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(*home).orderBy("_e.row_id")) - 1) / chunk))
-    lists = met.groupBy(*home, "_salts", "_chunk").agg(F.collect_list("_e").alias("_list")).withColumnsRenamed({f"_h{k}": k for k in keys})  # chunk at most
-    lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_chunk", "_salts")
-
-    def with_distance(e: Column) -> Column:
-        d2 = reduce(lambda t, x: t + (F.col(x) - e[x]) * (F.col(x) - e[x]), axes, F.lit(0.0))
-        return F.struct(F.sqrt(d2).alias("d"), e["row_id"].alias("row_id"), *[e[c].alias(c) for c in others])
-
-    diagonal = F.when(F.col("_level") > 0, radius * (1 + 1e-6) / F.pow(F.lit(2.0), "_level")).otherwise(radius)
-    right = lambda e: (e["d"] < radius) & (e["d"] <= F.col("_most")) & ((e["row_id"] != F.col("row_id")) if skip_own else F.lit(True))
-    asked = fine(a).join(placed, keys).withColumns(coarse).withColumns({"_most": diagonal, "_salt": F.pmod(F.xxhash64("row_id"), F.col("_salts")).cast("int")})
-    found = asked.join(lists.hint("merge"), ["_level", *keys, "_salt"])  # never a broadcast: the shuffle deals the targets out
-    found = found.withColumn("near", F.slice(F.sort_array(F.filter(F.transform("_list", with_distance), right)), 1, n)).where(F.size("near") > 0)
-    merged = found.groupBy("row_id").agg(*[F.first(c).alias(c) for c in a.columns if c != "row_id"], F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, n).alias("near"))  # n of each list
-    return merged.select(*a.columns, "near")
+    group, others = ["_level", *keys, "_salt"], [c for c in b.columns if c != "row_id"]
+    place = lambda: [F.col(x).cast("double").alias(f"_at_{x}") for x in axes]
+    met = at_levels(fine(b), levels).withColumns(coarse).join(around, ["_level", *keys]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    met = met.select("_level", *[F.col(f"_h{k}").alias(k) for k in keys], "_salt", F.lit(1).alias("_sample"), F.col("row_id").alias("_id"), *place(), F.struct("row_id", *others).alias("_b"))
+    asked = fine(a).join(placed, keys).withColumns(coarse).withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.col("_salts")).cast("int"))
+    asked = asked.select(*group, F.lit(0).alias("_sample"), F.col("row_id").alias("_id"), *place(), F.struct(*a.columns).alias("_a"))
+    rows = asked.unionByName(met, allowMissingColumns=True).repartition(*group).sortWithinPartitions(*group, "_sample", "_id", "_b")
+    near = StructType([StructField("d", DoubleType()), *met.schema["_b"].dataType.fields])
+    schema = StructType([*a.schema.fields, StructField("near", ArrayType(near))])
+    return rows.mapInArrow(_met_by_group(n, radius, axes, group, skip_own, chunk, schema.names, near.names), schema)
 
 
 def cut(df: DataFrame) -> DataFrame:

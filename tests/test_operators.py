@@ -156,6 +156,15 @@ def test_nearest_lists_equal_all_pairs(spark, axes, skip):
     assert {r.row_id: [e.row_id for e in r.near] for r in got} == {r: k for r, k in want.items() if k}
 
 
+def test_nearest_lists_meet_in_numpy_and_keep_repeated_targets(spark):
+    b = spark.range(40).selectExpr("id AS row_id", "double(id) AS x", "double(0) AS y")
+    a = b.where("row_id < 3").unionByName(b.where("row_id = 2"))
+    out = spatial.nearest_lists(a, b, 2, 9.0, skip_own=True)
+    got = sorted((r.row_id, [e.row_id for e in r.near]) for r in out.collect())
+    assert got == [(0, [1, 2]), (1, [0, 2]), (2, [1, 3]), (2, [1, 3])]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # no function that Spark calls element by element
+
+
 def test_contact_at_one_place_is_in_no_lag(spark):
     rows = [(1, 0.0, 0.0, 0.0, 1, 5.0), (2, 0.0, 0.0, 0.0, 2, 7.0), (3, 3.0, 0.0, 0.0, 2, 9.0)]
     df = spark.createDataFrame(rows, "row_id bigint, x double, y double, z double, dom int, v double")
