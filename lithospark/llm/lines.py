@@ -5,7 +5,7 @@ edits + 1 even segments unchanged, near its place. Each distinct line of at leas
 its segments into an index keyed by (its length, segment number, hash), and probes, for its own and each
 smaller length down to `edits` less, the substrings whose places are compatible with the edits to the left
 and right of the segment. Keys that only one line has drop out in one sorted pass; lines that share a key
-are compared: first by character histograms, then by banded bit-parallel edit distance, vectorised over pairs.
+are compared: first by character histograms, then by edit distance (furthest reaching rows), vectorised over pairs.
 Keys with many lines are compared in blocks paired with each other. Only a spanning star of each block's
 matches leaves a task, and connected components over all stars make the classes of lines.
 
@@ -46,6 +46,8 @@ MARKED = 2000
 PER, GRAM, FEW = 64, 20, 8
 #: Characters of lines whose keys are made together, and of pairs whose distances are.
 CHARACTERS = 1 << 18
+#: Most edits of pairs whose distances are made together by furthest reaching rows.
+RUNS = 200
 #: Keys that a task packs at a time.
 PACKED = 1 << 19
 _CLASSES = np.unique((1.1 ** np.arange(1, 226)).astype(np.int64))
@@ -57,18 +59,23 @@ def _hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _hashes(lines: list[str]) -> np.ndarray:
+    """_hash of each line."""
+    return np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in lines), np.uint64, len(lines)).view(np.int64)
+
+
 def _line_rows(min_chars: int):
     """rid, doc_id, line_no, h (hash of the stripped line) of the lines that count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, number, h = [], [], []
+            row, number, lines = [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 for k, x in enumerate((text or "").split("\n")):
                     if len(x := x.strip(_STRIP)) >= min_chars:
                         row.append(i)
                         number.append(k)
-                        h.append(_hash(x))
-            at = pa.array(row, pa.int64())
+                        lines.append(x)
+            at, h = pa.array(row, pa.int64()), _hashes(lines)
             yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("doc_id").take(at), pa.array(number, pa.int32()), pa.array(h, pa.int64())], ["rid", "doc_id", "line_no", "h"])
 
     return run
@@ -196,7 +203,7 @@ def _key_rows(edits: int, min_chars: int, per: int = 0, windows: bool = False):
 
     def keys(lines: set[str]) -> Iterator[pa.RecordBatch]:
         texts = sorted(lines, key=len)
-        h = np.array([_hash(x) for x in texts], np.int64)
+        h = _hashes(texts)
         line, key = window_keys(texts, per, first) if windows else keys_of(texts, edits)
         for i in range(0, len(key), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(h[line[i : i + 100_000]])], ["key", "h"])
@@ -223,8 +230,8 @@ def _packed(run, ranges: int):
     def send(held: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(held)
         to = ((rows[:, 0].view(np.uint64) >> np.uint64(1)) % np.uint64(ranges)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        rows, to = np.ascontiguousarray(rows[order]), to[order]
+        order = np.argsort(to.astype(np.uint16) if ranges <= 1 << 16 else to, kind="stable")  # of 16 bits by radix
+        rows, to = rows[order], to[order]
         start = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         return pa.RecordBatch.from_arrays([pa.array(to[start]), pa.array([x.tobytes() for x in np.split(rows, start[1:])], pa.binary())], ["range", "keys"])
 
@@ -253,14 +260,23 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle() -> pa.RecordBatch:
         nonlocal held, n, met
         rows = np.concatenate(held)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        k, g = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])].T
+        k = np.ascontiguousarray(rows[:, 0])
+        order = np.argsort(k)
+        k, g = k[order], rows[order, 1]
         start = np.flatnonzero(np.concatenate([[True], (k[1:] >> 1) != (k[:-1] >> 1)]))
         many = (np.minimum.reduceat(g, start) != np.maximum.reduceat(g, start)) | np.isin(k[start] >> 1, met)
         met = np.union1d(met, k[start][many] >> 1)
         hit = np.repeat(many, np.diff(np.append(start, len(k))))
-        held, n = [np.stack([k[~hit], g[~hit]], 1)], 0
-        return pa.RecordBatch.from_arrays([pa.array(k[hit] >> 1), pa.array(g[hit]), pa.array((k[hit] & 1).astype(bool))], ["bucket", "h", "index"])
+        alone = ~hit
+        alone[1:] &= k[1:] != k[:-1]  # all of a bucket are the same line
+        held, n = [np.stack([k[alone], g[alone]], 1)], 0
+        k, g = k[hit], g[hit]
+        order = np.lexsort((g, k))
+        k, g = k[order], g[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+        k, g = k[new], g[new]
+        return pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(g), pa.array((k & 1).astype(bool))], ["bucket", "h", "index"])
 
     for b in batches:
         for to, keys in zip(b.column("range").to_pylist(), b.column("keys").to_pylist()):
@@ -277,66 +293,90 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
-    """Edit distances of the pairs (a[i], b[i]), at most 31 edits; any value above edits if it is above edits."""
-    codes, size = code_rows([*a, *b])
-    return code_distance(codes, size, np.arange(len(a)), len(a) + np.arange(len(b)), edits)
+    """Edit distances of the pairs (a[i], b[i]); edits + 1 if they are above edits."""
+    return runs_distance([*a, *b], np.arange(len(a)), len(a) + np.arange(len(b)), np.full(len(a), edits))
 
 
-def code_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, a row each, and their numbers."""
+def runs_distance(texts: list[str], a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Edit distances of the pairs of texts with the numbers a[i] and b[i], which differ; edits[i] + 1 where they are above edits[i].
+
+    By furthest reaching rows: after e edits a diagonal's row is the furthest of its neighbors' rows after e - 1, moved on
+    over the equal characters that follow. These are found by hashes of 64, 32, ... characters, so equal stretches cost a few
+    steps whatever their length. Diagonals from which the edits left don't lead to the end are left out."""
     size = np.array([len(x) for x in texts], np.int64)
-    codes = np.full((len(texts), int(size.max(initial=0)) + 1), 0xFFFFFFFE, np.uint32)
-    for i, x in enumerate(texts):
-        codes[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-    return codes, size
-
-
-def code_distance(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
-    """Edit distances of the pairs of rows (a[i], b[i]).
-
-    Bit-parallel over the band: the words hold the vertical differences of the rows near the diagonal, the
-    highest bit being the row `edits` below it, and move down by a row in each column. Pairs of which no value
-    of a column is within the edits drop out."""
-    n, m = size[a], size[b]
-    out = np.full(len(a), edits + 1)
-    live = np.flatnonzero(np.abs(n - m) <= edits)
-    if not len(live):
+    begin = np.cumsum(size + 1) - size - 1
+    codes = np.empty(int(size.sum()) + len(texts) + 64, np.uint64)
+    codes[: len(codes) - 64] = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    codes[begin + size] = (1 << 32) + np.arange(len(texts), dtype=np.uint64)  # an end equals nothing
+    codes[len(codes) - 64 :] = 1 << 33
+    hashes = [mix(codes)]
+    for p in range(6):
+        h = hashes[-1].copy()
+        h[: -(1 << p)] += mix(hashes[-1][1 << p :] + np.uint64(p + 1))
+        hashes.append(mix(h))
+
+    def moved(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many characters from x and y on are equal."""
+        out = np.zeros(len(x), np.int64)
+        some = np.flatnonzero(hashes[0][x] == hashes[0][y])
+        x, y, on = x[some], y[some], np.arange(len(some))
+        start = x.copy()
+        while len(on := on[hashes[6][x[on]] == hashes[6][y[on]]]):
+            x[on] += 64
+            y[on] += 64
+        for p in range(5, -1, -1):
+            step = (hashes[p][x] == hashes[p][y]).astype(np.int64) << p
+            x += step
+            y += step
+        out[some] = x - start
         return out
-    n, m, a, b = n[live], m[live], a[live], b[live]
-    width = int(max(n.max(), m.max())) + 1
-    left = np.full((width + 2 * edits + 2, len(live)), 0xFFFFFFFF, np.uint32)
-    left[edits : edits + width - 1] = codes[a, : width - 1].T
-    left[edits : edits + width - 1][np.arange(width - 1)[:, None] >= n] = 0xFFFFFFFF
-    right = np.ascontiguousarray(codes[b, :width].T)
-    one, top, band = np.uint64(1), np.uint64(63), np.uint64(63 - 2 * edits)
-    vp = np.full(len(live), ~np.uint64(0) << (top - np.uint64(edits)), np.uint64)  # the first column grows by one a row
-    vn = np.zeros(len(live), np.uint64)
-    score = np.full(len(live), edits)
-    for j in range(width):
-        for i in np.flatnonzero(m == j):
-            # the row n[i] lies edits + m - n rows above the band's end, whose value is score
-            value = int(score[i])
-            for row in range(edits + int(m[i]) - int(n[i])):
-                bit = top - np.uint64(row + 1)
-                value -= int(vp[i] >> bit & one) - int(vn[i] >> bit & one)
-            out[live[i]] = value
-        if j % 16 == 15:
-            on = (m > j) & (score - np.bitwise_count(vp >> band) <= edits)
-            if on.sum() <= 0.8 * len(on):
-                live, n, m, vp, vn, score = (x[on] for x in (live, n, m, vp, vn, score))
-                left, right = left[:, on], right[:, on]
-            if not len(live):
-                break
-        match = np.zeros(len(live), np.uint64)
-        for k in range(2 * edits + 1):
-            match |= (left[j + k] == right[j]).astype(np.uint64) << (top - np.uint64(2 * edits - k))
-        d0 = (((match & vp) + vp) ^ vp) | match | vn
-        hp, hn = vn | ~(d0 | vp), d0 & vp
-        score = score + ((d0 >> top) & one ^ one).astype(np.int64)
-        vp, vn = hn | ~((d0 >> one) | hp), (d0 >> one) & hp
+
+    out, never = edits + 1, -(1 << 40)
+    live = np.flatnonzero(np.abs(size[a] - size[b]) <= edits)
+    n, m, at, to, k = (x[live] for x in (size[a], size[b], begin[a], begin[b], edits))
+    most = int(k.max(initial=0))
+    diagonal = np.arange(-most, most + 1)[:, None]
+    row = np.full((2 * most + 3, len(live)), never)  # a row of nothing at both ends
+    for e in range(most + 1):
+        if not len(live):
+            break
+        low, high = most - e, most + e + 1  # the diagonals -e to e
+        if e:
+            new = np.maximum(np.maximum(row[low + 1 : high + 1] + 1, row[low:high]), row[low + 2 : high + 2] + 1)
+        else:
+            new = np.zeros((1, len(live)), np.int64)
+        d = diagonal[low:high]
+        new = np.minimum(new, np.minimum(n, m - d))
+        on = (new >= 0) & (new + d >= 0) & (np.abs(m - n - d) <= k - e)
+        new[~on] = never
+        i, pair = np.nonzero(on)
+        here = new[i, pair]
+        new[i, pair] = here + moved(at[pair] + here, to[pair] + here + d[i, 0])
+        row[low + 1 : high + 1] = new
+        done = row[m - n + most + 1, np.arange(len(live))] == n
+        out[live[done]] = e
+        left = ~done & (k > e)
+        if not left.all():
+            live, n, m, at, to, k = (x[left] for x in (live, n, m, at, to, k))
+            row = row[:, left]
     return out
 
 
+def _close_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Which of some pairs of different texts are within their edits; where these are many, pair by pair."""
+    near, some = np.zeros(len(a), bool), np.flatnonzero(edits <= RUNS)
+    for i in np.flatnonzero(edits > RUNS):
+        near[i] = within(texts[a[i]], texts[b[i]], int(edits[i]))
+    size = np.array([len(x) for x in texts], np.int64)
+    some = some[np.argsort(np.maximum(size[a[some]], size[b[some]]), kind="stable")]
+    held = (size[a[some]] + size[b[some]] + 8 * edits[some]).cumsum()  # what hashes and rows of diagonals may take
+    for part in np.split(some, np.flatnonzero(np.diff(held // (4 * CHARACTERS))) + 1):
+        if len(part):
+            use, at = np.unique(np.concatenate([a[part], b[part]]), return_inverse=True)
+            near[part] = runs_distance([texts[i] for i in use], at[: len(part)], at[len(part) :], edits[part]) <= edits[part]
+    return near
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most edits, however many these are: bit-parallel over the band of each column."""
     if len(a) > len(b):
@@ -377,9 +417,12 @@ def within(a: str, b: str, edits: int) -> bool:
 
 def _marks(texts: list[str]) -> np.ndarray:
     """Counts of the characters of each text in 32 classes, 32,767 at most."""
+    size = np.array([len(x) for x in texts], np.int64)
     out = np.zeros((len(texts), 32), np.int16)
-    for i, x in enumerate(texts):
-        out[i] = np.minimum(np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(27), minlength=32), 32767)
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size.cumsum() // CHARACTERS)) + 1):
+        codes = np.frombuffer("".join([texts[i] for i in part]).encode("utf-32-le"), np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(27)
+        n = np.bincount(np.repeat(np.arange(len(part)) * 32, size[part]) + codes, minlength=32 * len(part))
+        out[part] = np.minimum(n, 32767).reshape(-1, 32)
     return out
 
 
@@ -444,8 +487,9 @@ def _near_pairs(edits: int, per: int):
         for b in batches:
             left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
             most = allowed(np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64), edits, per)
-            on = [i for i in range(len(left)) if within(left[i], right[i], int(most[i]))]
-            if on:
+            texts = {x: i for i, x in enumerate(dict.fromkeys([*left, *right]))}
+            near = _close_pairs(list(texts), np.array([texts[x] for x in left], np.int64), np.array([texts[x] for x in right], np.int64), most)
+            if len(on := np.flatnonzero(near)):
                 yield pa.RecordBatch.from_arrays([b.column("src").take(pa.array(on)), b.column("dst").take(pa.array(on))], ["src", "dst"])
 
     return run
@@ -506,36 +550,13 @@ def _joined(p: np.ndarray, texts: list[str], edits: int, per: int, label: np.nda
         at += n
         on = label[q[:, 0]] != label[q[:, 1]]
         q, k = q[on], k[on]
-        if len(q) > 4 and k.max() <= 31:
-            rows, at_rows = np.unique(q, return_inverse=True)
-            codes, lengths = code_rows([texts[i] for i in rows])
-            i, j = at_rows.reshape(q.shape).T
-            close = q[code_distance(codes, lengths, i, j, int(k.max())) <= k]
-        else:
-            close = [x for x, e in zip(q, k.tolist()) if label[x[0]] != label[x[1]] and within(texts[x[0]], texts[x[1]], e)]
+        close = q[_close_pairs(texts, q[:, 0], q[:, 1], k)]
         for i, j in close:
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 yield i, j
 
 
-def _close(p: np.ndarray, texts: list[str], edits: int) -> np.ndarray:
-    """The pairs of texts within the edits; pairs of about the same length are compared together, long ones a few at a time."""
-    size = np.array([len(x) for x in texts])[p].max(1)
-    p, out, at = p[np.argsort(size, kind="stable")], [], 0
-    size = np.sort(size)
-    while at < len(p):
-        n = int(np.searchsorted(np.arange(1, len(p) - at + 1) * size[at:], CHARACTERS, "right"))
-        q = p[at : at + max(1, n)]
-        if n:
-            q = q[banded_distance([texts[i] for i in q[:, 0]], [texts[i] for i in q[:, 1]], edits) <= edits]
-        elif not within(texts[q[0, 0]], texts[q[0, 1]], edits):
-            q = q[:0]
-        out.append(q)
-        at += max(1, n)
-    return np.concatenate(out)
-
-
 def _near_lines(edits: int):
     """Spanning stars of the matching lines of each bucket (block pair)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,10 +568,7 @@ def _near_lines(edits: int):
             for i, x in enumerate(texts):
                 where[i] = lines.setdefault(x, len(lines))
             distinct = list(lines)
-            marks = np.zeros((len(distinct), 32), np.int16)
-            for i, x in enumerate(distinct):
-                c = np.frombuffer(x.encode("utf-32-le"), np.uint32)
-                marks[i] = np.bincount(c * np.uint32(0x9E3779B1) >> np.uint32(27), minlength=32)
+            marks = _marks(distinct)
             pairs = set()
             for g in range(len(start) - 1):
                 s = np.arange(start[g], start[g + 1])
@@ -563,7 +581,7 @@ def _near_lines(edits: int):
             if not pairs:
                 continue
             p = np.array(sorted(pairs))
-            p = _close(p, distinct, edits)
+            p = p[_close_pairs(distinct, p[:, 0], p[:, 1], np.full(len(p), edits))]
             low = local_components(len(distinct), p[:, 0], p[:, 1])
             name = np.zeros(len(distinct), np.int64)
             name[where] = h
@@ -590,18 +608,19 @@ def _lines_of(docs: DataFrame, hot: DataFrame, met: DataFrame, min_chars: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                part, lines, h = b.slice(at, 1000), [], []
+                part, lines, where = b.slice(at, 1000), [], []
                 for rid, text in zip(part.column("rid").to_pylist(), part.column("text").to_pylist()):
                     for k, x in enumerate((text or "").split("\n")):
-                        if len(x := x.strip(_STRIP)) >= min_chars and once.get(own := _hash(x), (rid, k)) == (rid, k):
+                        if len(x := x.strip(_STRIP)) >= min_chars:
                             lines.append(x)
-                            h.append(own)
-                h = np.array(h, np.int64)
+                            where.append((rid, k))
+                h = _hashes(lines)
                 bit = h % size
-                on = pa.array(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1)
-                lines = [x for x, some in zip(lines, on.to_pylist()) if some]
+                on = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1)
+                on = np.array([i for i, own in zip(on.tolist(), h[on].tolist()) if once.get(own, where[i]) == where[i]], np.int64)
+                lines, h = [lines[i] for i in on], h[on]
                 marks = _marks(lines)
-                yield pa.RecordBatch.from_arrays([pa.array(h).filter(on), pa.array(lines, pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array([x.tobytes() for x in marks], pa.binary())], ["h", "line", "n", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(lines, pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array([x.tobytes() for x in marks], pa.binary())], ["h", "line", "n", "marks"])
 
     lines = docs.where("text IS NOT NULL").select(row_id().alias("rid"), "text").mapInArrow(run, "h bigint, line string, n bigint, marks binary")
     lines = lines.join(wanted.hint("merge"), ["h"], "left_semi")

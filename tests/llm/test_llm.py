@@ -232,6 +232,21 @@ def lines_gone(rows, per=lines.PER):
     return {i: [k for x, j, k in counted if j == i and first[label[x]] != (i, k)] for i, _ in rows}
 
 
+@pytest.mark.parametrize("edits", [0, 3, 60])
+def test_distances_of_long_lines_with_many_edits(edits):
+    rng = random.Random(edits)
+    base = "".join(rng.choice("abcdefé😀 ") for _ in range(400))
+    a, b = [], []
+    for n in (0, 1, 2, 3, 4, 40, 58, 60, 61, 80):
+        x, y = list(base[rng.randrange(3) :]), list(base)
+        for _ in range(n):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choice(["", "z", "é"])
+        a += ["".join(x), "".join(y)]
+        b += ["".join(y), "".join(x)]
+    assert lines.banded_distance(a, b, edits).tolist() == [min(distance(x, y), edits + 1) for x, y in zip(a, b)]
+
+
 @pytest.mark.parametrize("per", [24, 64])
 def test_line_dedup_edits_grow_and_short_lines_go(spark, monkeypatch, per):
     monkeypatch.setattr(lines, "FEW", 3)
