@@ -13,7 +13,7 @@ With `per`, a line may differ from a longer one by its length / per edits where
 leave a run of unchanged characters of a known length in such a line, wherever the edits are, and with it the
 least GRAM hash of a window of that run; the index has these, keyed by length class and place, each line being in
 the next class and step of places too where its edits reach them. Few lines with a key are compared as distinct pairs, many in blocks
-as above, without pairs that a block has joined already. With `exact`, lines below `min_chars` with a word go
+as above (fewer and larger ones), without pairs that a block has joined already. With `exact`, lines below `min_chars` with a word go
 where they equal an earlier line; without it they are never touched. The query and the pipeline use both.
 
 Lines are what newlines separate, without ASCII white space at the ends; edits count code points. Of each
@@ -38,7 +38,7 @@ from lithospark.llm.hashing import mix, powers, range_hash
 from lithospark.llm.repeats import row_id, window_min
 
 EDITS, MIN_CHARS, BUCKET, HOT = 2, 24, 1000, 1000
-#: Lines of a window key in one block: all lines of a block, or of two, may be compared in one task.
+#: Most lines of a window key that stay in one block; of n times as many each is in the root of n blocks. All lines of a block, or of two, may be compared in one task.
 BLOCK = 250
 #: The same where lines are told apart by counts of their characters only.
 MARKED = 2000
@@ -656,10 +656,12 @@ def _met_segments(shared: DataFrame) -> DataFrame:
 
 
 def _met_windows(shared: DataFrame, block: int) -> DataFrame:
-    """(bucket, h, index, size, lead, blocks): lines that share a window key with another line; keys of the same lines count once."""
+    """(bucket, h, index, size, lead, blocks): lines that share a window key with another line; keys of the same lines count once.
+
+    A line goes to as many tasks as its bucket has blocks, so blocks grow in number and in size, each as the root of the bucket."""
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.min("h").alias("lead")).where("size > 1")
     sizes = sizes.groupBy("size", "mark").agg(F.min("bucket").alias("bucket"), F.min("lead").alias("lead"))
-    return keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / block)), "met")
+    return keep(shared.join(sizes.select("bucket", "size", "lead").hint("merge"), "bucket").withColumn("blocks", F.ceil(F.sqrt(F.col("size") / block))), "met")
 
 
 def _likely(grown: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:

@@ -247,6 +247,14 @@ def test_distances_of_long_lines_with_many_edits(edits):
     assert lines.banded_distance(a, b, edits).tolist() == [min(distance(x, y), edits + 1) for x, y in zip(a, b)]
 
 
+def test_copies_into_blocks_grow_slower_than_the_square(spark):
+    met = lines._met_windows(spark.range(2500).selectExpr("1L AS bucket", "id AS h", "true AS index"), 25)
+    rows = lines._blocks(met, spark.range(2500).selectExpr("id AS h", "'x' AS line"), "lead")
+    assert met.count() == 2500 and rows.count() == 2500 * 10  # 100 blocks of 25 would be 250,000 rows
+    pairs = rows.groupBy("lo", "hi").agg(F.countDistinct("block").alias("n")).collect()
+    assert sorted((r.lo, r.hi, r.n) for r in pairs) == [(i, j, 1 + (i != j)) for i in range(10) for j in range(i, 10)]
+
+
 @pytest.mark.parametrize("per", [24, 64])
 def test_line_dedup_edits_grow_and_short_lines_go(spark, monkeypatch, per):
     monkeypatch.setattr(lines, "FEW", 3)
