@@ -1,6 +1,7 @@
 """Variogram fits, cokriging, wavelets and forests against dense or recursive versions."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -132,6 +133,21 @@ def test_wavelets_of_a_grid(spark, interleaved):
     assert len(back) == 30 and all(abs(r["v"] - z[r["i"], r["j"]]) < 1e-9 for r in back)
 
 
+@pytest.mark.parametrize("size, taps, levels", [((5, 6), 4, None), ((3, 1), 2, 1), ((7, 600), 8, None), ((40, 3), 6, 2)])
+def test_wavelets_by_lines_equal_those_of_the_square(spark, size, taps, levels):
+    z = np.random.default_rng(4).normal(size=size)
+    z[size[0] // 2, 0] = np.nan  # lost
+    grid = spark.createDataFrame([(i, j, None if np.isnan(z[i, j]) else float(z[i, j])) for i in range(size[0]) for j in range(size[1]) if (i, j) != (1, size[1] - 1)], "i int, j int, v double")
+    edge = 1 << (max(size) - 1).bit_length()
+    made = wavelets.dwt_grid(grid, "v", size, taps, levels)
+    assert not {"Range", "Join"} & set(re.findall(r"Range|Join", made._jdf.queryExecution().toString()))  # no cells of the square before the last step
+    got, want = (df.toPandas().sort_values(["i", "j"])["v"].to_numpy() for df in (made, wavelets.dwt(wavelets.mirror_pad(grid, "v", size), "v", edge, taps, levels)))
+    assert len(got) == edge * edge and np.allclose(got, want, atol=1e-9)
+    halved = wavelets.dwt_filter(grid, "v", size, lambda j, x: x / 2, taps, levels).collect()
+    z[1, size[1] - 1] = 0
+    assert len(halved) == z.size and all(abs(r["v"] - np.nan_to_num(z[r["i"], r["j"]]) / 2) < 1e-6 for r in halved)
+
+
 def tree_by_recursion(x, y, classes, depth, least):
     """value of each row's leaf, by trying every value of every feature."""
     score = lambda v: sum(np.bincount(v.astype(int)) ** 2) / len(v) if classes else v.sum() ** 2 / len(v)
