@@ -124,7 +124,8 @@ def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str =
     Ties go to the smaller row_id; skip_own leaves out rows of b with the target's row_id; targets without a row have none.
     Buckets halve from the radius on: a target asks around its smallest bucket that holds n rows, as these show that its
     n nearest are no farther than that bucket's diagonal; so what it meets grows with n and not with the density of b.
-    The targets of a bucket and the rows around it are sorted to one place and meet in numpy, `chunk` rows at a time."""
+    The targets of a bucket and the rows around it are sorted to one place and meet in numpy, `chunk` rows at a time.
+    Joins are merged, since Spark takes exploded buckets for as small as what they are made from and would send them through the driver."""
     keys, need, edge = [f"_{x}" for x in axes], n + skip_own, radius / math.sqrt(len(axes)) * (1 + 1e-9)
     finite = reduce(lambda p, x: p & (F.abs(x) < math.inf), axes, F.lit(True))
     a, b = a.where(finite), b.where(finite)
@@ -143,8 +144,8 @@ def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str =
     full = at_levels(fine(b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), levels[1:]).withColumns(coarse).groupBy("_level", *keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= need).drop("_n")
     homes = fine(a).groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
     own = at_levels(homes, levels[1:]).select("_level", *keys, *[F.col(k).alias(f"_f{k}") for k in keys]).withColumns(coarse)
-    served = own.join(full, ["_level", *keys], "left_semi").groupBy(*[F.col(f"_f{k}").alias(k) for k in keys]).agg(F.max("_level").alias("_level"))
-    placed = homes.join(served, keys, "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
+    served = own.join(full.hint("merge"), ["_level", *keys], "left_semi").groupBy(*[F.col(f"_f{k}").alias(k) for k in keys]).agg(F.max("_level").alias("_level"))
+    placed = homes.join(served.hint("merge"), keys, "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
     crowd = F.sum("_t").over(Window.partitionBy("_level", *coarse.values()))  # a bucket with many targets is dealt out with copies of its lists
     placed = placed.select(*keys, "_level", F.ceil(crowd / crowded).cast("int").alias("_salts"))
 
@@ -154,9 +155,9 @@ def nearest_lists(a: DataFrame, b: DataFrame, n: int, radius: float, axes: str =
         around = around.withColumn(k, F.explode(F.sequence(F.col(f"_h{k}") - reach, F.col(f"_h{k}") + reach)))
     group, others = ["_level", *keys, "_salt"], [c for c in b.columns if c != "row_id"]
     place = lambda: [F.col(x).cast("double").alias(f"_at_{x}") for x in axes]
-    met = at_levels(fine(b), levels).withColumns(coarse).join(around, ["_level", *keys]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    met = at_levels(fine(b), levels).withColumns(coarse).join(around.hint("merge"), ["_level", *keys]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     met = met.select("_level", *[F.col(f"_h{k}").alias(k) for k in keys], "_salt", F.lit(1).alias("_sample"), F.col("row_id").alias("_id"), *place(), F.struct("row_id", *others).alias("_b"))
-    asked = fine(a).join(placed, keys).withColumns(coarse).withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.col("_salts")).cast("int"))
+    asked = fine(a).join(placed.hint("merge"), keys).withColumns(coarse).withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.col("_salts")).cast("int"))
     asked = asked.select(*group, F.lit(0).alias("_sample"), F.col("row_id").alias("_id"), *place(), F.struct(*a.columns).alias("_a"))
     rows = asked.unionByName(met, allowMissingColumns=True).repartition(*group).sortWithinPartitions(*group, "_sample", "_id", "_b")
     near = StructType([StructField("d", DoubleType()), *met.schema["_b"].dataType.fields])

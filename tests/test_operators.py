@@ -165,6 +165,13 @@ def test_nearest_lists_meet_in_numpy_and_keep_repeated_targets(spark):
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # no function that Spark calls element by element
 
 
+def test_buckets_around_targets_are_not_broadcast(spark):
+    a = spark.createDataFrame([(n, float(n), 0.0, 0.0) for n in range(40)], "row_id bigint, x double, y double, z double")
+    near = spatial.nearest_lists(a, a, 1, 5.0, "xyz", skip_own=True)
+    assert near.count() == 40
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contact_at_one_place_is_in_no_lag(spark):
     rows = [(1, 0.0, 0.0, 0.0, 1, 5.0), (2, 0.0, 0.0, 0.0, 2, 7.0), (3, 3.0, 0.0, 0.0, 2, 9.0)]
     df = spark.createDataFrame(rows, "row_id bigint, x double, y double, z double, dom int, v double")
