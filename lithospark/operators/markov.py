@@ -166,6 +166,14 @@ def in_z_interval(segments: DataFrame, intervals: DataFrame, width: float) -> Da
     return met.drop("_slice", "_a", "_b")
 
 
+def sums_in_z_interval(segments: DataFrame, intervals: DataFrame, width: float, key: str = "row_id") -> DataFrame:
+    """key, n, intervals: how many of in_z_interval's pairs a segment has, and the sum of their intervals; none for segments without one.
+
+    Equal intervals meet a segment once, with their number and sum, so pairs grow with the different intervals only."""
+    kinds = intervals.groupBy("low", "high").agg(F.count(F.lit(1)).alias("_n"), F.sum("interval").alias("_s"))
+    return in_z_interval(segments, kinds, width).groupBy(key).agg(F.sum("_n").alias("n"), F.sum("_s").alias("intervals"))
+
+
 def cumulative_proportions(curve: DataFrame) -> DataFrame:
     """curve(d, cat, p) with cum, the sum of p up to each category of a depth."""
     return curve.withColumn("cum", F.sum("p").over(Window.partitionBy("d").orderBy("cat")))

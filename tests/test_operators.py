@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -205,3 +207,64 @@ def test_thinning_without_pairs_equals_the_walk_over_pairs(spark):
     got = spatial.thin_neighbors(targets, samples, 25.0, 8.0, "xy").collect()
     want = spatial.thin_min_distance(spatial.within_distance(targets, samples, 25.0, "xy"), 8.0, "xy").select("row_id_a", "row_id_b").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_equal_intervals_meet_a_segment_once(spark):
+    from lithospark.operators import markov
+
+    segments = spark.range(2000).selectExpr("id AS row_id", "id % 40 + 0.5D AS z0", "id % 40 + 7.5D AS z1")
+    intervals = spark.range(200_000).selectExpr("id AS interval", "CAST(id % 4 * 10 AS DOUBLE) AS low", "CAST(id % 4 * 10 + 2 AS DOUBLE) AS high")  # 400 million pairs, less than half of which meet
+    got = {r["row_id"]: (r["n"], r["intervals"]) for r in markov.sums_in_z_interval(segments, intervals, 10.0).collect()}
+    for k in range(2000):
+        some = [m for m in range(4) if m * 10 <= k % 40 + 7.5 and m * 10 + 2 >= k % 40 + 0.5]
+        assert got.get(k) == ((50_000 * len(some), sum(sum(range(m, 200_000, 4)) for m in some)) if some else None)
+
+
+@pytest.fixture
+def small_tiles(monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(spatial, "meet", partial(spatial.meet, rows=20, most=16))
+
+
+def random_rows(spark, n, seed, axes):
+    rng = np.random.default_rng(seed)
+    p = np.round(rng.normal(size=(n, 3)) * 20) / 2
+    rows = [(k, *map(float, v), float(k % 7)) for k, v in enumerate(p)]
+    return spark.createDataFrame([*rows, (n, None, 0.0, 0.0, 1.0), (n + 1, float("nan"), 0.0, 0.0, 1.0)], "row_id bigint, x double, y double, z double, v double"), p[:, : len(axes)]
+
+
+@pytest.mark.parametrize("axes", ["x", "xy", "xyz"])
+def test_pairs_of_tiles_and_of_parts(spark, small_tiles, axes):
+    (a, p), (b, q) = random_rows(spark, 120, 1, axes), random_rows(spark, 150, 2, axes)
+    far = np.sqrt(((p[:, None] - q) ** 2).sum(-1))
+    got = spatial.within_distance(a, b, 4.0, axes, ("row_id",)).collect()
+    assert sorted((r["row_id_a"], r["row_id_b"]) for r in got) == sorted(zip(*(x.tolist() for x in np.nonzero(far < 4)))) and all(r["d"] == far[r["row_id_a"], r["row_id_b"]] for r in got)
+    own = np.sqrt(((p[:, None] - p) ** 2).sum(-1))
+    twos = sorted(tuple(sorted((r["row_id_a"], r["row_id_b"]))) for r in spatial.self_pairs(a, 4.0, axes).collect())
+    assert twos == sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(own < 4, 1)))))
+
+
+@pytest.mark.parametrize("sectors, skip", [(0, True), (4, False)])
+def test_nearest_pairs(spark, small_tiles, sectors, skip):
+    (a, p), (b, q) = random_rows(spark, 60, 3, "xy"), random_rows(spark, 200, 4, "xy")
+    move = q - p[:, None]
+    far = np.sqrt((move**2).sum(-1))
+    angle = np.degrees(np.arctan2(move[..., 0], move[..., 1])) % 360
+    want = set()
+    for i in range(60):
+        for s in range(max(1, sectors)):
+            some = [j for j in range(200) if far[i, j] < 9 and abs(move[i, j, 1]) < 6 and not (skip and i == j) and (not sectors or int(angle[i, j] // 90) == s)]
+            want |= {(i, j, k, s) for k, j in enumerate(sorted(some, key=lambda j: (far[i, j], j))[:3], 1)}
+    got = spatial.nearest_pairs(a, b, 3, 9.0, "xy", lambda dx, dy: np.abs(dy) < 6, sectors, skip)
+    assert {(r["row_id_a"], r["row_id_b"], r["rank"], r["sector"] if sectors else 0) for r in got.collect()} == want
+
+
+def test_rows_at_one_place_go_as_their_sums(spark):
+    """Some 10 ** 9 pairs of rows, of few places."""
+    rows = spark.range(40_000).selectExpr("id AS row_id", "CAST(id % 4 AS DOUBLE) AS x", "0.0D AS y", "CAST(id % 8 AS DOUBLE) AS v")
+    out = {r["lag"]: (r["n"], r["h"], round(r["gamma"], 9)) for r in spatial.variogram_points(rows, "v", "v", 1.0, 4).collect()}
+    half = lambda k: sum((a + 4 * m - b - k - 4 * n) ** 2 / 2 for a in range(4 - k) for b in [a] for m in (0, 1) for n in (0, 1)) / (4 * (4 - k))
+    assert out == {k: (10**8 * (4 - k), float(k), round(half(k), 9)) for k in (1, 2, 3)}
+    est = {r["row_id"]: r["estimate"] for r in spatial.shepard(rows.selectExpr("row_id", "x + 0.5D * (row_id % 2) AS x", "y"), rows, "v", 1.2).collect()}
+    assert len(est) == 40_000 and math.isclose(est[0], 2.0) and math.isclose(est[1], 3.5)
