@@ -388,7 +388,7 @@ def j1(s, d):
 
 @query("J2_knn", f"WITH p AS ({_PT}), q AS ({_PS}) SELECT q.row_id AS row_id_a, p.row_id AS row_id_b, CAST(row_number() OVER w AS INTEGER) AS rank FROM q JOIN p ON p.row_id <> q.row_id WINDOW w AS (PARTITION BY q.row_id ORDER BY sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)), p.row_id) QUALIFY row_number() OVER w <= 4")
 def j2(s, d):
-    return spatial.knn(T.few_points(s, d), T.points(s, d), 4, 40.0, "xy").select("row_id_a", "row_id_b", "rank")
+    return spatial.knn(T.few_points(s, d).select("row_id", "x", "y"), T.points(s, d).select("row_id", "x", "y"), 4, 40.0, "xy").select("row_id_a", "row_id_b", "rank")
 
 
 @query("J5_ellipsoid", f"WITH p AS ({_PT}), q AS ({_PS}), n AS (SELECT q.row_id AS row_id_a, p.row_id AS row_id_b, sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) AS d FROM q JOIN p ON pow((p.x-q.x)/60.5,2)+pow((p.y-q.y)/30.5,2) <= 1) SELECT row_id_a, row_id_b, CAST(row_number() OVER w AS INTEGER) AS rank FROM n WINDOW w AS (PARTITION BY row_id_a ORDER BY d, row_id_b) QUALIFY row_number() OVER w <= 6")
