@@ -393,10 +393,8 @@ def j2(s, d):
 
 @query("J5_ellipsoid", f"WITH p AS ({_PT}), q AS ({_PS}), n AS (SELECT q.row_id AS row_id_a, p.row_id AS row_id_b, sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) AS d FROM q JOIN p ON pow((p.x-q.x)/60.5,2)+pow((p.y-q.y)/30.5,2) <= 1) SELECT row_id_a, row_id_b, CAST(row_number() OVER w AS INTEGER) AS rank FROM n WINDOW w AS (PARTITION BY row_id_a ORDER BY d, row_id_b) QUALIFY row_number() OVER w <= 6")
 def j5(s, d):
-    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d).select("row_id", "x", "y"), 60.6, "xy")
-    zero = F.lit(0.0)
-    pairs = pairs.where(spatial.in_ellipsoid(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"), zero, (60.5, 30.5, 1.0)))
-    return spatial.nearest(pairs, 6).select("row_id_a", "row_id_b", "rank")
+    near = spatial.nearest_pairs(T.few_points(s, d), T.points(s, d), 6, 60.6, "xy", lambda dx, dy: spatial.in_ellipsoid(dx, dy, 0.0, (60.5, 30.5, 1.0)), carry=("row_id",))
+    return near.select("row_id_a", "row_id_b", "rank")
 
 
 @query("J8_close_samples", "WITH p AS (SELECT p_partkey AS row_id, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS d FROM p a JOIN p b ON a.row_id < b.row_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 2.25")
