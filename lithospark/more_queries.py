@@ -142,7 +142,7 @@ def j3(s, d):
 
 @query("J6_sector_neighbors", f"WITH p AS ({_PT}), q AS ({_PS}), n AS (SELECT q.row_id AS a, p.row_id AS b, sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) AS d, least(CAST(floor((CASE WHEN atan2(p.x-q.x, p.y-q.y) < 0 THEN degrees(atan2(p.x-q.x, p.y-q.y)) + 360 ELSE degrees(atan2(p.x-q.x, p.y-q.y)) END) / 90) AS INTEGER), 3) AS sector FROM q JOIN p ON sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) < 70.7), s AS (SELECT *, row_number() OVER (PARTITION BY a, sector ORDER BY d, b) AS k FROM n), g AS (SELECT a FROM s WHERE k = 2 GROUP BY a HAVING count(*) = 4) SELECT a AS row_id_a, b AS row_id_b, sector, CAST(row_number() OVER (PARTITION BY a ORDER BY k, sector) AS INTEGER) AS rank FROM s WHERE k <= 3 AND a IN (SELECT a FROM g) QUALIFY row_number() OVER (PARTITION BY a ORDER BY k, sector) <= 10")
 def j6(s, d):
-    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d), 70.7, "xy")
+    pairs = spatial.nearest_pairs(T.few_points(s, d), T.points(s, d), 3, 70.7, "xy", sectors=4, carry=("row_id",))  # as many as a sector gives
     return spatial.sector_neighbors(pairs, 4, 10, 2, 3).select("row_id_a", "row_id_b", "sector", "rank")
 
 
