@@ -455,8 +455,23 @@ def in_box(points: DataFrame, boxes: DataFrame, size: float, axes: str = "xy") -
     return left.join(right, [f"_{c}" for c in axes]).where(inside).drop(*[f"_{c}" for c in axes])
 
 
-def close_samples(points: DataFrame, r: float, axes: str = "xy") -> DataFrame:
-    return self_pairs(points, r, axes, ("row_id",)).select(F.least("row_id_a", "row_id_b").alias("row_id_a"), F.greatest("row_id_a", "row_id_b").alias("row_id_b"), "d")
+def close_samples(points: DataFrame, r: float, axes: str = "xy", most: int = 500) -> DataFrame:
+    """row_id_a < row_id_b, d of each two points closer than r: of pairs of places, each with lists of up to some `most` row_ids, dealt out before they are spread."""
+    finite = reduce(lambda p, x: p & (F.abs(x) < math.inf), axes, F.lit(True))
+    rows = points.where(finite).select("row_id", *axes)
+    places = rows.groupBy(*axes).agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64("row_id"), F.ceil(F.col("_n") / most)).cast("int").alias("_part")
+    lists = rows.join(places.withColumnRenamed("row_id", "_p"), list(axes)).groupBy("_p", part).agg(F.collect_list("row_id").alias("_ids"))
+    same = places.where((F.col("_n") > 1) & F.lit(r > 0)).select(F.col("row_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"), F.lit(0.0).alias("d"))
+    pairs = self_pairs(places, r, axes, ("row_id",)).unionByName(same)
+    for e in "ab":
+        some = lists.select(F.col("_p").alias(f"row_id_{e}"), F.col("_part").alias(f"_part_{e}"), F.col("_ids").alias(f"_ids_{e}"))
+        pairs = pairs.join(some.hint("merge"), f"row_id_{e}")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as the lists are few bytes and many pairs
+    dealt = pairs.repartition(n, "row_id_a", "row_id_b", "_part_a", "_part_b")
+    spread = dealt.select((F.col("row_id_a") == F.col("row_id_b")).alias("_same"), "d", F.explode("_ids_a").alias("_i"), "_ids_b").select("_same", "d", "_i", F.explode("_ids_b").alias("_j"))
+    spread = spread.where(F.when(F.col("_same"), F.col("_i") < F.col("_j")).otherwise(F.col("_i") != F.col("_j")))
+    return spread.select(F.least("_i", "_j").alias("row_id_a"), F.greatest("_i", "_j").alias("row_id_b"), "d")
 
 
 def cell_of(spec: GridSpec, df: DataFrame) -> DataFrame:

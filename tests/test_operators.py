@@ -268,3 +268,14 @@ def test_rows_at_one_place_go_as_their_sums(spark):
     assert out == {k: (10**8 * (4 - k), float(k), round(half(k), 9)) for k in (1, 2, 3)}
     est = {r["row_id"]: r["estimate"] for r in spatial.shepard(rows.selectExpr("row_id", "x + 0.5D * (row_id % 2) AS x", "y"), rows, "v", 1.2).collect()}
     assert len(est) == 40_000 and math.isclose(est[0], 2.0) and math.isclose(est[1], 3.5)
+
+
+def test_close_samples_of_crowded_places(spark, small_tiles):
+    rng = np.random.default_rng(5)
+    p = rng.integers(0, 6, size=(150, 2)).astype(float)
+    rows = spark.createDataFrame([*((k, *map(float, v)) for k, v in enumerate(p)), (150, None, 1.0), (151, float("nan"), 1.0)], "row_id bigint, x double, y double")
+    far = np.sqrt(((p[:, None] - p) ** 2).sum(-1))
+    got = spatial.close_samples(rows, 1.5, most=3).collect()
+    assert sorted((r["row_id_a"], r["row_id_b"]) for r in got) == sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(far < 1.5, 1))))) and all(r["d"] == far[r["row_id_a"], r["row_id_b"]] for r in got)
+    many = rows.crossJoin(spark.range(100)).selectExpr("id * 1000 + row_id AS row_id", "x", "y")
+    assert spatial.close_samples(many, 1.5).count() == 100 * 100 * len(got) + 150 * 100 * 99 // 2
