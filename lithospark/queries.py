@@ -460,8 +460,7 @@ def k2(s, d):
 def j4(s, d):
     low = F.col("p_size") * 10.0
     windows = T.table(s, d, "part").select(F.col("p_partkey").alias("interval"), low.alias("low"), (low + F.col("p_partkey") % 7).alias("high"))
-    met = markov.in_z_interval(T.segments(s, d).select("row_id", "z0", "z1"), windows, 10.0)
-    return met.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.sum("interval").alias("intervals"))
+    return markov.sums_in_z_interval(T.segments(s, d).select("row_id", "z0", "z1"), windows, 10.0)
 
 
 @query("W4_cumulative_proportions", "WITH n AS (SELECT l_linenumber AS d, dense_rank() OVER (ORDER BY l_returnflag) AS cat FROM lineitem), c AS (SELECT d, cat, count(*) AS n FROM n GROUP BY ALL), p AS (SELECT d, cat, n / sum(n) OVER (PARTITION BY d) AS p FROM c) SELECT d, cat, round(sum(p) OVER (PARTITION BY d ORDER BY cat), 6) AS cum FROM p")
