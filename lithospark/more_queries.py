@@ -148,7 +148,7 @@ def j6(s, d):
 
 @query("J5_shell", f"WITH p AS ({_PT}), q AS ({_PS}) SELECT q.row_id AS row_id_a, p.row_id AS row_id_b FROM q JOIN p ON (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y) > 400.5 AND (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y) <= 900.5")
 def j5s(s, d):
-    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d), 30.1, "xy")
+    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d), 30.1, "xy", ("row_id", "x", "y"))
     inside = spatial.in_annulus(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"), 400.5**0.5, 900.5**0.5)
     return pairs.where(inside).select("row_id_a", "row_id_b")
 
@@ -203,7 +203,7 @@ def e7(s, d):
 
 @query("J5_neighborhoods", f"WITH p AS ({_PT}), q AS (SELECT *, CAST(row_id % 50 AS DOUBLE) AS z FROM ({_PS})), n AS (SELECT q.row_id AS row_id_a, p.row_id AS row_id_b, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz FROM q JOIN p ON abs(p.x - q.x) < 41 AND abs(p.y - q.y) < 41) SELECT *  EXCLUDE (dx, dy, dz) FROM (SELECT *, dx * dx + dy * dy > 100.5 AND dx * dx + dy * dy <= 900.5 AND abs(dz) <= 6 AS washer, dx * dx + dy * dy <= 625.5 AND abs(dz) <= 12 AS dumbbell, pow((dx * sin(radians(30)) + dy * cos(radians(30))) / 40, 2) + pow((-dx * cos(radians(30)) + dy * sin(radians(30))) / 15, 2) + pow(dz / 20, 2) <= 1 AS ellipsoid, dx * dx + dy * dy > 100.5 AND dx * dx + dy * dy <= 900.5 AND floor((dz + 0) / 1) = 0 AS layer FROM n) WHERE washer OR dumbbell OR ellipsoid OR layer")
 def j5n(s, d):
-    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d), 58.0, "xy")
+    pairs = spatial.within_distance(T.few_points(s, d), T.points(s, d), 41.0, "xy", ("row_id", "x", "y", "z"))  # no shape is wider than 40
     dx, dy, dz = (F.col(f"{c}_b") - F.col(f"{c}_a") for c in "xyz")
     near = pairs.where((F.abs(dx) < 41) & (F.abs(dy) < 41))
     kinds = {
