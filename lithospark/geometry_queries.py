@@ -115,7 +115,7 @@ def _meshed(s, d):
     h = T.table(s, d, "orders").select((F.col("o_orderkey") % 100).cast("int").alias("i"), F.floor(F.col("o_orderkey") / 100).cast("int").alias("j"), top.alias("top"), (top - 5 - F.col("o_orderkey") % 3 / 10).alias("base"))
     h = h.withColumns({"x": F.col("i") + 0.5, "y": F.col("j") + 0.5})
     ni, nj = h.agg(F.max("i"), F.max("j")).first()
-    return mesh.cells(mesh.vertices(h, 4)), (ni, nj, 4)
+    return mesh.cells(mesh.vertices(mesh.near(h, _asked(s, d), 1.0), 4)), (ni, nj, 4)
 
 
 @query("J13_locate", f"WITH {_INSIDE} SELECT row_id, i, j, k FROM inside")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,6 +43,25 @@ def cells(points: DataFrame) -> DataFrame:
     return out.select("i", "j", "k", *[F.struct(*[F.col(f"_{c}{n}").alias(c) for c in "xyz"]).alias(f"v{n}") for n in range(8)])
 
 
+def near(pillars: DataFrame, points: DataFrame, size: float) -> DataFrame:
+    """The rows of pillars or vertices(i, j, x, y, ...) in tiles of TILE x TILE cells whose box is within 2 `size` of the box around all points.
+
+    Other rows are in no cell that locate, with this size, could find for a point. Some rows for each tile near the points are broadcast."""
+    real = [F.when(F.abs(c) < math.inf, F.col(c)) for c in "xy"]
+    box = points.agg(*[f(c) for c in real for f in (F.min, F.max)]).first()  # one row
+    if None in tuple(box):
+        return pillars.limit(0)
+    tiles = pillars.select("i", "j", "x", "y")
+    for c in "ij":
+        tiles = tiles.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / TILE), F.floor(F.col(c) / TILE)))))
+    sides = tiles.groupBy("_i", "_j").agg(*[f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    kept = sides.where(reduce(Column.__and__, [(F.col(f"_low{c}") <= box[2 * n + 1] + 2 * size) & (F.col(f"_high{c}") >= box[2 * n] - 2 * size) for n, c in enumerate("xy")]))
+    for c in "ij":  # a tile's last cells have vertices in the next tile, all of which stays
+        kept = kept.withColumn(f"_{c}", F.explode(F.array(F.col(f"_{c}"), F.col(f"_{c}") + 1)))
+    at = pillars.withColumns({f"_{c}": F.floor(F.col(c) / TILE) for c in "ij"})
+    return at.join(F.broadcast(kept.select("_i", "_j").distinct()), ["_i", "_j"], "left_semi").select(*pillars.columns)
+
+
 def vertex_ids(mesh: DataFrame, ni: int, nj: int) -> DataFrame:
     """Adds ids: the vertices' numbers, i fastest, then j, then k, on ni x nj vertices."""
     one = lambda o: (F.col("k") + o[2]) * (ni * nj) + (F.col("j") + o[1]) * ni + F.col("i") + o[0]

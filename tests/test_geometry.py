@@ -310,3 +310,16 @@ def test_squares_across_tiles_send_vertices_about_once(spark):
     pieces = horizons.connect_gaps(holes)
     assert sorted((r.hole, r.seq, r.gap, r.x0, r.z1) for r in pieces.collect()) == [(1, 0, False, 0.0, 1.0), (1, 1, False, 1.0, 2.0), (1, 2, False, 3.0, 4.0), (1, 2, True, 2.0, 3.0), (2, 0, False, 9.0, 8.0)]
     assert "Union" not in pieces._jdf.queryExecution().optimizedPlan().toString()  # pieces are dealt out by hole, not as the file has them
+
+
+def test_only_tiles_near_points_are_meshed(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "TILE", 4)
+    rng = np.random.default_rng(3)
+    h = spark.createDataFrame([(i, j, i + float(u), j + float(v), 1.0, 0.0) for i in range(40) for j in range(40) for u, v in [rng.uniform(-0.2, 0.2, 2)]], "i int, j int, x double, y double, top double, base double")
+    points = spark.createDataFrame([*((k, float(x), float(y), 0.5) for k, (x, y) in enumerate(rng.uniform(7, 17, (60, 2)))), (99, None, 5.0, 0.5), (98, float("nan"), 5.0, 0.5)], "row_id bigint, x double, y double, z double")
+    some = mesh.near(h, points, 1.0)
+    assert 100 < some.count() < 700  # of 1600
+    for nearest in (False, True):
+        want, got = (mesh.locate(points, mesh.cells(mesh.vertices(df, 2)), 1.0, nearest=nearest).select("row_id", "i", "j", "k").collect() for df in (h, some))
+        assert sorted(want) == sorted(got) and len(got) > 30
+    assert mesh.near(h, points.limit(0), 1.0).count() == 0
