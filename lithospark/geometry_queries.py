@@ -261,7 +261,7 @@ def k8b(s, d):
     g = T.grid(s, d)
     size = 100, g.agg(F.max("j")).first()[0] + 1
     back = wavelets.dwt_filter(g, "v", size, taps=8)
-    return back.join(g.select("i", "j"), ["i", "j"], "left_semi").select("i", "j", F.round(F.col("v") + 1.7e-5, 3).alias("v"))
+    return back.join(g.select("i", "j").hint("merge"), ["i", "j"], "left_semi").select("i", "j", F.round(F.col("v") + 1.7e-5, 3).alias("v"))
 
 
 def _sold(s, d):
